@@ -30,6 +30,7 @@ def with_group_stats(df: DataFrame, keys: list[str], **aggs) -> DataFrame:
 
     Aggregate and join back instead of a window: the aggregate combines on the map side,
     and the adaptive join broadcasts it when it measured small or splits a hot group.
+    ``df`` is read twice: pass a written table, not a long plan.
     """
     stats = df.groupBy(*keys).agg(*[col.alias(name) for name, col in aggs.items()])
     return df.join(stats, keys, "left")

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -98,13 +98,16 @@ def encoder(df: DataFrame, spec: FeatureSpec, label: str, binary: bool = False):
         stages.append(
             TargetEncoder(
                 inputCols=[f"{c}__id" for c in wide],
-                outputCols=[f"{c}__mean" for c in wide],
+                outputCols=[f"{c}__target" for c in wide],
                 labelCol=label,
                 targetType="binary" if binary else "continuous",
                 handleInvalid="keep",
                 smoothing=10.0,
             )
         )
+        # A computed copy drops the category marks that the encoder leaves on its output.
+        means = ", ".join(f"{c}__target + 0D AS {c}__mean" for c in wide)
+        stages.append(SQLTransformer(statement=f"SELECT *, {means} FROM __THIS__"))
     inputs = [f"{c}__mean" if c in wide else f"{c}__id" for c in names] + spec.numeric
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     bins = max([32, *[s for c, s in sizes.items() if c not in wide]])
@@ -150,9 +153,8 @@ def train_classifier(
 def score_ranks(model: PipelineModel, df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Adds ``pred_closing_rank``; the original columns stay as they were."""
     scored = model.transform(_prepared_copy(df, spec))
-    keep = [c for c in df.columns]
     return scored.select(
-        *[F.col(f"__raw.{c}").alias(c) for c in keep],
+        *[F.col(f"__raw.{c}").alias(c) for c in df.columns],
         unlog_rank("prediction").alias("pred_closing_rank"),
     )
 
@@ -166,6 +168,14 @@ def score_eligibility(model: PipelineModel, df: DataFrame, spec: FeatureSpec = J
     )
 
 
+def dropping_unseen(model: PipelineModel) -> PipelineModel:
+    """The same model, but rows with a category value it never saw leave the result."""
+    indexer, *rest = model.stages
+    strict = indexer.copy()
+    strict.setHandleInvalid("skip")
+    return PipelineModel(stages=[strict, *rest])
+
+
 def _prepared_copy(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return prepare(df.withColumn("__raw", F.struct(*df.columns)), spec)
 

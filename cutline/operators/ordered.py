@@ -89,6 +89,8 @@ def running_counts(
 def with_percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds ``percent_rank()`` of ``value`` within ``keys`` (0 for a group of one).
 
+    ``df`` is read for the counts and for the rows: pass a written table.
+
     The join back is one row per (keys, value) on the right, so a hot value only makes
     a long left side, which the adaptive skew join splits.
     """
@@ -111,7 +113,7 @@ def with_position(
     """Adds the 1-based position by (value, tie_break) within ``keys``.
 
     The offset of a value comes from :func:`running_counts`; only rows that tie on
-    ``value`` are numbered together.
+    ``value`` are numbered together. ``df`` is read twice: pass a written table.
     """
     stats = running_counts(df, keys, value, bucket=bucket).select(*keys, value, "n_below")
     ties = Window.partitionBy(*keys, value).orderBy(*tie_break)

@@ -37,11 +37,12 @@ def fill_constant(df: DataFrame, values: dict) -> DataFrame:
 
 
 def fill_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Fills NULLs of each numeric column with its exact median."""
-    medians = exact_medians(df, cols)
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), medians.select(c).scalar()) for c in cols}
-    )
+    """Fills NULLs of each numeric column with its exact median.
+
+    ``df`` is read for the medians and for the fill: pass a written table.
+    """
+    medians = exact_medians(df, cols).select(F.struct(*cols).alias("m")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), medians[c]) for c in cols})
 
 
 def preview(df: DataFrame, cols: list[str], rows: int = 5) -> DataFrame:

@@ -62,10 +62,10 @@ def split_stratified(
     A label may hold most rows, so there is no sort per label. Counts per hash bucket
     (map-side combined) show in which bucket the cut of a label falls. All other rows
     are decided where they are, without a shuffle; only the rows of the one cut bucket,
-    about 1 in 65,536, are sorted.
+    about 1 in 16,384, are sorted.
     """
     hashed = df.withColumn("__hash", stable_hash(*keys, seed=seed)).withColumn(
-        "__bucket", F.shiftright("__hash", 16)
+        "__bucket", F.shiftright("__hash", 18)
     )
     group = Window.partitionBy(label)
     prefix = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,19 +117,21 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Largest class count over the class's count, one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
-    largest = counts.agg(F.max("n_rows")).scalar()
-    return counts.withColumn("weight", largest / F.col("n_rows"))
+    every_class = Window.partitionBy(F.lit(0))
+    return counts.withColumn("weight", F.max("n_rows").over(every_class) / F.col("n_rows"))
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Adds the balanced weight of a 0/1 label, from one pass over the labels."""
-    sides = df.agg(
-        F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros")
-    ).select(
-        (F.greatest("ones", "zeros") / F.nullif(F.col("ones"), F.lit(0))).alias("one"),
-        (F.greatest("ones", "zeros") / F.nullif(F.col("zeros"), F.lit(0))).alias("zero"),
+    ones = F.count_if(F.col(label) == 1)
+    zeros = F.count_if(F.col(label) == 0)
+    largest = F.greatest(ones, zeros)
+    weights = df.agg(
+        F.struct(
+            (largest / F.nullif(ones, F.lit(0))).alias("one"),
+            (largest / F.nullif(zeros, F.lit(0))).alias("zero"),
+        ).alias("w")
+    ).scalar()
+    return df.withColumn(
+        out, F.when(F.col(label) == 1, weights["one"]).otherwise(weights["zero"])
     )
-    weight = F.when(F.col(label) == 1, sides.select("one").scalar()).otherwise(
-        sides.select("zero").scalar()
-    )
-    return df.withColumn(out, weight)

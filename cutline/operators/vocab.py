@@ -15,7 +15,7 @@ def build_vocabulary(df: DataFrame, col: str, with_unknown: bool = False) -> Dat
     """Distinct normalised values with an id from 0 in alphabetical order."""
     values = df.select(vocab_text(col).alias("value")).filter(F.col("value").isNotNull())
     if with_unknown:
-        unknown = df.select(F.lit(UNKNOWN).alias("value")).limit(1)
+        unknown = df.sparkSession.range(1).select(F.lit(UNKNOWN).alias("value"))
         values = values.unionByName(unknown)
     distinct = values.distinct()
     numbered = with_bucket_position(distinct, [], text_bucket(F.col("value")), ["value"])
@@ -25,7 +25,9 @@ def build_vocabulary(df: DataFrame, col: str, with_unknown: bool = False) -> Dat
 def lookup_or_unknown(df: DataFrame, col: str, vocabulary: DataFrame, out: str) -> DataFrame:
     """Adds the id of the value; a value not in the vocabulary gets the unknown id.
 
-    A vocabulary without the unknown entry gives 0, as the older lookup does.
+    A vocabulary without the unknown entry gives 0, as the older lookup does. Pass a
+    written vocabulary: it is read for the join and for the unknown id. Its measured
+    size decides whether the join broadcasts it.
     """
     entry = vocabulary.withColumnsRenamed({"value": "__value", "id": "__id"})
     unknown = vocabulary.filter(F.col("value") == UNKNOWN).agg(F.max("id")).scalar()

@@ -19,7 +19,7 @@ from cutline.operators import (
     sampling,
     vocab,
 )
-from cutline.operators.ordered import with_percent_rank
+from cutline.plans import pipelines
 from cutline.plans.fixtures import table, view
 from cutline.session import materialise, scratch_dir
 from cutline.sources import catalog, readers, writers
@@ -313,15 +313,12 @@ def jee_rank_pressure(spark, sf_dir):
 
 @query
 def jee_difficulty(spark, sf_dir):
-    rows = features.jee_multi_year(_per_year(spark, sf_dir))
-    ranked = with_percent_rank(rows, features.JEE_COHORT, "closing_rank_avg", "share")
-    return ranked.select(
-        *features.JEE_KEYS, F.round(F.col("share") * 100, 1).alias("difficulty_pct")
-    )
+    base = materialise(features.jee_multi_year(_per_year(spark, sf_dir)), "jee-base")
+    return features.with_difficulty(base).select(*features.JEE_KEYS, "difficulty_pct")
 
 
 def _jee_features(spark, sf_dir):
-    return features.jee_features(_jee_clean(spark, sf_dir))
+    return pipelines.jee_feature_rows(_jee_clean(spark, sf_dir))
 
 
 @query
@@ -350,6 +347,11 @@ def _yearly(spark, sf_dir):
     return features.comedk_yearly(_valid(spark, sf_dir))
 
 
+def _yearly_table(spark, sf_dir):
+    """Written once where several branches read it, so the raw rows are scanned once."""
+    return materialise(_yearly(spark, sf_dir), "yearly")
+
+
 @query
 def neet_features(spark, sf_dir):
     rows = features.neet_features(view(spark, sf_dir, "fx_ranked"))
@@ -388,7 +390,7 @@ def comedk_lag(spark, sf_dir):
 
 @query
 def comedk_college_avg(spark, sf_dir):
-    return rounded(features.college_average(_yearly(spark, sf_dir)), "college_avg_rank")
+    return rounded(features.college_average(_yearly_table(spark, sf_dir)), "college_avg_rank")
 
 
 @query
@@ -404,13 +406,13 @@ COMEDK_ROUNDED = [
 
 @query
 def comedk_features(spark, sf_dir):
-    return rounded(features.comedk_features(_valid(spark, sf_dir)), *COMEDK_ROUNDED)
+    return rounded(features.comedk_features(_yearly_table(spark, sf_dir)), *COMEDK_ROUNDED)
 
 
 @query
 def comedk_features_as_of(spark, sf_dir):
     """The variant whose trend covers earlier years only."""
-    rows = features.comedk_features(_valid(spark, sf_dir), as_of=True)
+    rows = features.comedk_features(_yearly_table(spark, sf_dir), as_of=True)
     return rounded(rows, *COMEDK_ROUNDED)
 
 
@@ -434,7 +436,7 @@ def history_stats(spark, sf_dir):
 
 @query
 def fill_constant(spark, sf_dir):
-    rows = _jee_features(spark, sf_dir).select(
+    rows = features.jee_multi_year(_per_year(spark, sf_dir)).select(
         *features.JEE_KEYS, "yoy_rank_change", "trend_direction"
     )
     fills = {"yoy_rank_change": 0, "trend_direction": "UNKNOWN", "degree_short": "UNKNOWN"}
@@ -446,9 +448,10 @@ def fill_median(spark, sf_dir):
     rows = features.jee_multi_year(_per_year(spark, sf_dir)).select(
         *features.JEE_KEYS, "yoy_rank_change", "closing_rank_std"
     )
-    return rounded(
-        profile.fill_median(rows, ["yoy_rank_change", "closing_rank_std"]), "closing_rank_std"
+    filled = profile.fill_median(
+        materialise(rows, "trend"), ["yoy_rank_change", "closing_rank_std"]
     )
+    return rounded(filled, "closing_rank_std")
 
 
 @query
@@ -476,7 +479,7 @@ def vocab_build(spark, sf_dir):
 def _known_institutes(spark, sf_dir):
     """Vocabulary of all regions but one, so that the others' institutes are unseen."""
     seen = view(spark, sf_dir, "fx_ranked").filter(F.col("region") != MARKER)
-    return vocab.build_vocabulary(seen, "institute", with_unknown=True)
+    return materialise(vocab.build_vocabulary(seen, "institute", with_unknown=True), "vocab")
 
 
 @query
@@ -618,6 +621,11 @@ def _scored(spark, sf_dir):
     return view(spark, sf_dir, "fx_scored")
 
 
+def _catalogue(spark, sf_dir):
+    """The scored programmes as a table, as a scoring job leaves them."""
+    return materialise(_scored(spark, sf_dir), "scored")
+
+
 @query
 def route_segment(spark, sf_dir):
     rows = _requests(spark, sf_dir)
@@ -647,17 +655,16 @@ def branch_filter(spark, sf_dir):
     return recommend.filter_branch(_yearly(spark, sf_dir), "course_name", "pro")
 
 
-def _grid_contexts(spark, sf_dir):
-    return view(spark, sf_dir, "fx_ranked").select("category", "base_category").distinct()
-
-
 def _kcet_grid(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_ranked")
-    colleges = vocab.build_vocabulary(rows, "institute")
-    courses = vocab.build_vocabulary(rows, "course")
-    return recommend.kcet_candidates(
-        _grid_contexts(spark, sf_dir), colleges, courses, TARGET_YEAR
+    """Vocabularies and contexts come from one pass over the rows."""
+    seats = view(spark, sf_dir, "fx_ranked").select(
+        "institute", "course", "category", "base_category"
     )
+    seen = materialise(seats.distinct(), "seats")
+    contexts = seen.select("category", "base_category").distinct()
+    colleges = materialise(vocab.build_vocabulary(seen, "institute"), "vocab")
+    courses = materialise(vocab.build_vocabulary(seen, "course"), "vocab")
+    return recommend.kcet_candidates(contexts, colleges, courses, TARGET_YEAR)
 
 
 @query
@@ -679,7 +686,7 @@ def tier_probability(spark, sf_dir):
 
 def _gap(spark, sf_dir, rule, limit=None):
     return recommend.recommend_by_gap(
-        _requests(spark, sf_dir), _scored(spark, sf_dir), ["category"], "user_rank",
+        _requests(spark, sf_dir), _catalogue(spark, sf_dir), ["category"], "user_rank",
         "pred_closing_rank", SCORED_NAMES, rule, limit,
     )
 
@@ -714,7 +721,7 @@ def tier_order_asc(spark, sf_dir):
 @query
 def tier_order_probability(spark, sf_dir):
     """Complete probability tiers per category, highest probability first."""
-    tiered = recommend.with_probability_tier(_scored(spark, sf_dir))
+    tiered = recommend.with_probability_tier(_catalogue(spark, sf_dir))
     placed = recommend.order_tiers(tiered, ["category"], SCORED_NAMES)
     return placed.select("category", "tier", "pos", *SCORED_NAMES, "eligibility_prob")
 
@@ -741,7 +748,7 @@ def threshold_topn(spark, sf_dir):
 def request_summary(spark, sf_dir):
     requests = _requests(spark, sf_dir)
     bounds = recommend.tier_bounds(
-        requests, _scored(spark, sf_dir), ["category"], "user_rank", "pred_closing_rank",
+        requests, _catalogue(spark, sf_dir), ["category"], "user_rank", "pred_closing_rank",
         recommend.NEET_RULE,
     )
     rows = recommend.request_summary(requests, bounds, ["category"], "user_rank")
@@ -813,7 +820,7 @@ def score_classifier(spark, sf_dir):
     wanted = recommend.distinct_requests(_requests(spark, sf_dir), "jee", JEE_REQUEST)
     pairs = recommend.jee_candidates(wanted, rows, MARKER)
     scored = models.score_eligibility(model, pairs.withColumn("student_rank", F.col("user_rank")))
-    tiered = recommend.with_probability_tier(scored)
+    tiered = recommend.with_probability_tier(materialise(scored, "scored"))
     names = ["institute_short", "program_name", "degree_short"]
     placed = recommend.order_tiers(tiered, ["request_key"], names)
     return recommend.jee_response_rows(placed)
@@ -832,7 +839,8 @@ def score_grid(spark, sf_dir):
 
 @query
 def feature_importance(spark, sf_dir):
-    rows = materialise(features.comedk_features(_valid(spark, sf_dir), as_of=True), "comedk")
+    rows = features.comedk_features(_yearly_table(spark, sf_dir), as_of=True)
+    rows = materialise(rows, "comedk")
     model = models.train_regressor(rows, models.COMEDK_SPEC, **QUICK)
     return models.feature_importance(spark, model, 5)
 

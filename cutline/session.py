@@ -33,12 +33,13 @@ def scratch_dir(spark: SparkSession, label: str = "run") -> str:
     The folder is ``spark.checkpoint.dir``. Only a local session may fall back to
     the machine's own temporary folder: on a cluster other hosts could not read it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         if not _is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="cutline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cutline-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
