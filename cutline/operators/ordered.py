@@ -45,25 +45,26 @@ def running_counts(
     keys: list[str],
     value: str,
     weights: dict[str, Column] | None = None,
-    bucket: Column | None = None,
+    then: list[str] | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with ``n``, ``n_below`` and ``n_total``.
 
     ``n_below`` counts the rows of the group with a smaller value. ``weights`` replaces
-    the row count ``n`` by named sums, each with its ``_below`` and ``_total``.
+    the row count ``n`` by named sums, each with its ``_below`` and ``_total``. ``then``
+    adds columns that order equal values, and the counts become those of the longer key.
     NULL values must be filtered out by the caller.
     """
     sums = weights or {"n": F.lit(1)}
-    cut = number_bucket(F.col(value)) if bucket is None else bucket
+    order = [value, *(then or [])]
     per_value = (
-        df.groupBy(*keys, value)
+        df.groupBy(*keys, *order)
         .agg(*[F.sum(w).cast("long").alias(name) for name, w in sums.items()])
-        .withColumn("__bucket", cut)
+        .withColumn("__bucket", number_bucket(F.col(value)))
     )
     bucket_keys = [*keys, "__bucket"]
     before = Window.unboundedPreceding, -1
 
-    within = Window.partitionBy(*bucket_keys).orderBy(value).rowsBetween(*before)
+    within = Window.partitionBy(*bucket_keys).orderBy(*order).rowsBetween(*before)
     inner = per_value.withColumns(
         {f"__{n}_in": F.coalesce(F.sum(n).over(within), F.lit(0)) for n in sums}
     )
@@ -79,7 +80,7 @@ def running_counts(
     joined = match_null_safe(inner, offsets, bucket_keys)
     return joined.select(
         *keys,
-        value,
+        *order,
         *sums,
         *[(F.col(f"__{n}_in") + F.col(f"__{n}_off")).alias(f"{n}_below") for n in sums],
         *[f"{n}_total" for n in sums],
@@ -108,19 +109,20 @@ def with_position(
     value: str,
     tie_break: list[str],
     out: str = "pos",
-    bucket: Column | None = None,
 ) -> DataFrame:
     """Adds the 1-based position by (value, tie_break) within ``keys``.
 
-    The offset of a value comes from :func:`running_counts`; only rows that tie on
-    ``value`` are numbered together. ``df`` is read twice: pass a written table.
+    Tree models predict the same number for many rows, so equal values may be a large
+    share of a group. The running count therefore goes down to the first tie-break
+    column, and only rows that are equal in it as well are numbered together. ``df`` is
+    read twice: pass a written table.
     """
-    stats = running_counts(df, keys, value, bucket=bucket).select(*keys, value, "n_below")
-    ties = Window.partitionBy(*keys, value).orderBy(*tie_break)
-    numbered = match_null_safe(df, stats, [*keys, value])
-    return numbered.withColumn(
-        out, F.row_number().over(ties).cast("long") + F.col("n_below")
-    ).drop("n_below")
+    finest = [*keys, value, tie_break[0]]
+    stats = running_counts(df, keys, value, then=tie_break[:1]).select(*finest, "n_below")
+    rest = Window.partitionBy(*finest).orderBy(*(tie_break[1:] or tie_break))
+    numbered = match_null_safe(df.withColumn("__rn", F.row_number().over(rest)), stats, finest)
+    position = F.col("__rn").cast("long") + F.col("n_below")
+    return numbered.withColumn(out, position).drop("__rn", "n_below")
 
 
 def with_bucket_position(

@@ -8,10 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
+def local_session(
+    cpus: str | int = "*", shuffle_partitions: int = 8, hive: bool = False
+) -> SparkSession:
+    """Session for tests and the bench; a cluster brings its own.
+
+    ``hive`` keeps the catalog in a Hive metastore instead of memory.
+    """
+    builder = SparkSession.builder.enableHiveSupport() if hive else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("cutline")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
