@@ -2,10 +2,14 @@
 
 A plain ``percent_rank``/``row_number``/``median`` sends a whole group to one task, and
 the groups here are coarse: a cohort, a category, a label, or the whole table. These
-operators never do that. Rows are first collapsed to one count per distinct value
-(map-side combined, so a hot value is one row), the values are cut into buckets that
-keep their order, and a running sum over the few bucket totals gives each bucket its
-offset. Only one bucket of one group has to be sorted by one task.
+operators never do that. Values are cut into buckets that keep their order, a running
+sum over the bucket sizes (map-side combined, few rows) gives each bucket its offset,
+and only one bucket of one group is sorted by one task.
+
+Buckets cannot split equal values. :func:`running_counts` therefore works on one count
+per distinct value. The operators that number rows look at the largest bucket first: up
+to ``TASK_ROWS`` they sort the rows of a bucket, which costs one shuffle; beyond it they
+take the counts per value and join them back.
 """
 
 from __future__ import annotations
@@ -13,10 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutline.session import materialise
+
 # Buckets per unit of ln(1 + |x|): neighbours differ by about 0.1 %. A double spans at
 # most 1.5 million buckets, ranks up to a million 14 thousand.
 RESOLUTION = 1024
 
+# Rows of one bucket that one task may sort.
+TASK_ROWS = 4_000_000
+
 
 def number_bucket(value: Column, resolution: int = RESOLUTION) -> Column:
     """Bucket number that never falls as ``value`` rises."""
@@ -87,20 +96,56 @@ def running_counts(
     )
 
 
+def _bucket_offsets(
+    df: DataFrame, keys: list[str], bucket: Column
+) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with their bucket; size and offset of each bucket; size of the largest."""
+    cut = df.withColumn("__bucket", bucket)
+    bucket_keys = [*keys, "__bucket"]
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    prefix = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (
+        cut.filter(F.col("__bucket").isNotNull())
+        .groupBy(*bucket_keys)
+        .agg(F.count(F.lit(1)).alias("__size"))
+    )
+    offsets = materialise(
+        sizes.select(
+            *bucket_keys,
+            "__size",
+            F.coalesce(F.sum("__size").over(prefix), F.lit(0)).alias("__off"),
+            F.sum("__size").over(group).alias("__total"),
+        ),
+        "offsets",
+    )
+    return cut, offsets, offsets.agg(F.max("__size")).first()[0] or 0
+
+
+def _fitted_bucket(df: DataFrame, value: str) -> Column:
+    """Buckets as fine as the number of rows asks for."""
+    resolution = min(16 * RESOLUTION, max(16, df.count() // 1_000_000))
+    return number_bucket(F.col(value), resolution)
+
+
 def with_percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds ``percent_rank()`` of ``value`` within ``keys`` (0 for a group of one).
 
-    ``df`` is read for the counts and for the rows: pass a written table.
-
-    The join back is one row per (keys, value) on the right, so a hot value only makes
-    a long left side, which the adaptive skew join splits.
+    ``df`` is read for the sizes and for the rows: pass a written table.
     """
-    stats = running_counts(df.filter(F.col(value).isNotNull()), keys, value)
-    share = F.when(F.col("n_total") == 1, F.lit(0.0)).otherwise(
-        F.col("n_below") / (F.col("n_total") - 1)
-    )
-    ranked = stats.select(*keys, value, share.alias(out))
-    return match_null_safe(df, ranked, [*keys, value], "left")
+    cut, offsets, largest = _bucket_offsets(df, keys, _fitted_bucket(df, value))
+    bucket_keys = [*keys, "__bucket"]
+    if largest <= TASK_ROWS:
+        within = F.rank().over(Window.partitionBy(*bucket_keys).orderBy(value)) - 1
+        placed = match_null_safe(cut.withColumn("__in", within), offsets, bucket_keys, "left")
+        below, total = F.col("__in") + F.col("__off"), F.col("__total")
+    else:
+        # One row per (keys, value) on the right: a hot value only makes a long left
+        # side, which the adaptive skew join splits.
+        counts = running_counts(df.filter(F.col(value).isNotNull()), keys, value)
+        placed = match_null_safe(df, counts, [*keys, value], "left")
+        below, total = F.col("n_below"), F.col("n_total")
+    share = F.when(total == 1, F.lit(0.0)).otherwise(below / (total - 1))
+    return placed.select(*df.columns, share.alias(out))
 
 
 def with_position(
@@ -113,38 +158,39 @@ def with_position(
     """Adds the 1-based position by (value, tie_break) within ``keys``.
 
     Tree models predict the same number for many rows, so equal values may be a large
-    share of a group. The running count therefore goes down to the first tie-break
-    column, and only rows that are equal in it as well are numbered together. ``df`` is
-    read twice: pass a written table.
+    share of a group. Where a bucket is too large to sort, the running count goes down
+    to the first tie-break column, and only rows that are equal in it as well are
+    numbered together. ``df`` is read several times: pass a written table.
     """
-    finest = [*keys, value, tie_break[0]]
+    order = [value, *tie_break]
+    cut, offsets, largest = _bucket_offsets(df, keys, _fitted_bucket(df, value))
+    if largest <= TASK_ROWS:
+        return _number_in_buckets(df, cut, offsets, keys, order, out)
+    finest = [*keys, *order[:2]]
     stats = running_counts(df, keys, value, then=tie_break[:1]).select(*finest, "n_below")
     rest = Window.partitionBy(*finest).orderBy(*(tie_break[1:] or tie_break))
     numbered = match_null_safe(df.withColumn("__rn", F.row_number().over(rest)), stats, finest)
     position = F.col("__rn").cast("long") + F.col("n_below")
-    return numbered.withColumn(out, position).drop("__rn", "n_below")
+    return numbered.select(*df.columns, position.alias(out))
 
 
 def with_bucket_position(
     df: DataFrame, keys: list[str], bucket: Column, order: list[str], out: str = "pos"
 ) -> DataFrame:
-    """Adds the 1-based position by ``order`` within ``keys``, for nearly unique rows.
+    """Adds the 1-based position by ``order`` within ``keys``, for distinct rows.
 
-    ``bucket`` must keep the order and spread the rows. One shuffle of the rows, by
-    bucket; the bucket offsets come from a map-side combined count.
+    ``bucket`` must keep the order and spread the rows.
     """
-    cut = df.withColumn("__bucket", bucket)
+    cut, offsets, _ = _bucket_offsets(df, keys, bucket)
+    return _number_in_buckets(df, cut, offsets, keys, order, out)
+
+
+def _number_in_buckets(df, cut, offsets, keys, order, out) -> DataFrame:
     bucket_keys = [*keys, "__bucket"]
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    prefix = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(*bucket_keys).agg(F.count(F.lit(1)).alias("__size"))
-    offsets = sizes.select(
-        *bucket_keys, F.coalesce(F.sum("__size").over(prefix), F.lit(0)).alias("__off")
-    )
     within = F.row_number().over(Window.partitionBy(*bucket_keys).orderBy(*order))
     placed = match_null_safe(cut.withColumn("__rn", within), offsets, bucket_keys)
-    position = (F.col("__rn") + F.col("__off")).cast("long")
-    return placed.withColumn(out, position).drop("__rn", "__off", "__bucket")
+    position = F.col("__rn").cast("long") + F.col("__off")
+    return placed.select(*df.columns, position.alias(out))
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:

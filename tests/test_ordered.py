@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cutline.operators import ordered
 from cutline.operators.joins import grid, salted_join
 from cutline.operators.ordered import (
     count_below,
@@ -45,7 +46,9 @@ def test_running_counts(spark, sample):
             assert got[(key, value)] == want
 
 
-def test_percent_rank_equals_window(spark, sample):
+@pytest.mark.parametrize("task_rows", [10**9, 10])
+def test_percent_rank_equals_window(spark, sample, monkeypatch, task_rows):
+    monkeypatch.setattr(ordered, "TASK_ROWS", task_rows)
     sample.createOrReplaceTempView("sample_rows")
     want = spark.sql(
         "SELECT id, percent_rank() OVER (PARTITION BY k ORDER BY v) AS p FROM sample_rows"
@@ -61,7 +64,9 @@ def test_percent_rank_of_one_row(spark):
     assert with_percent_rank(df, ["k"], "v", "p").first().p == 0.0
 
 
-def test_positions_equal_window(spark, sample):
+@pytest.mark.parametrize("task_rows", [10**9, 10])
+def test_positions_equal_window(spark, sample, monkeypatch, task_rows):
+    monkeypatch.setattr(ordered, "TASK_ROWS", task_rows)
     sample.createOrReplaceTempView("sample_rows")
     want = spark.sql(
         "SELECT id, row_number() OVER (PARTITION BY k ORDER BY v, id) AS pos FROM sample_rows"
@@ -124,6 +129,20 @@ def test_salted_join_and_grid(spark):
     assert cells.distinct().count() == 700
 
 
+@pytest.mark.parametrize("task_rows", [10**9, 10])
+def test_positions_with_long_ties(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(ordered, "TASK_ROWS", task_rows)
+    df = spark.range(600).select(
+        F.lit("c").alias("k"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(5).cast("double").alias("v"),
+        F.concat(F.lit("i"), F.col("id") % 20).alias("a"),
+        F.col("id").alias("b"),
+    )
+    got = with_position(df, ["k"], "v", ["a", "b"]).collect()
+    want = sorted(got, key=lambda r: (r.v, r.a, r.b))
+    assert [r.pos for r in want] == list(range(1, 601))
+
+
 def test_no_cross_join_or_whole_group_window(spark, sample):
     df = with_percent_rank(sample, ["k"], "v", "p")
     plan = df._jdf.queryExecution().executedPlan().toString()
