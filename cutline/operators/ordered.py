@@ -14,10 +14,10 @@ take the counts per value and join them back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from cutline.session import materialise
+from cutline.session import materialise, observed
 
 # Buckets per unit of ln(1 + |x|): neighbours differ by about 0.1 %. A double spans at
 # most 1.5 million buckets, ranks up to a million 14 thousand.
@@ -96,29 +96,29 @@ def running_counts(
     )
 
 
-def _bucket_offsets(
-    df: DataFrame, keys: list[str], bucket: Column
-) -> tuple[DataFrame, DataFrame, int]:
-    """Rows with their bucket; size and offset of each bucket; size of the largest."""
-    cut = df.withColumn("__bucket", bucket)
-    bucket_keys = [*keys, "__bucket"]
+def _offsets(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """Size of each bucket, rows in smaller buckets, rows of the group."""
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     prefix = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         cut.filter(F.col("__bucket").isNotNull())
-        .groupBy(*bucket_keys)
+        .groupBy(*keys, "__bucket")
         .agg(F.count(F.lit(1)).alias("__size"))
     )
-    offsets = materialise(
-        sizes.select(
-            *bucket_keys,
-            "__size",
-            F.coalesce(F.sum("__size").over(prefix), F.lit(0)).alias("__off"),
-            F.sum("__size").over(group).alias("__total"),
-        ),
-        "offsets",
+    return sizes.withColumns(
+        {
+            "__off": F.coalesce(F.sum("__size").over(prefix), F.lit(0)),
+            "__total": F.sum("__size").over(group),
+        }
     )
-    return cut, offsets, offsets.agg(F.max("__size")).first()[0] or 0
+
+
+def _measured_offsets(cut: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """The offsets as a written table, and the rows of the largest bucket."""
+    seen = Observation()
+    largest = F.max("__size").alias("largest")
+    offsets = materialise(_offsets(cut, keys).observe(seen, largest), "offsets")
+    return offsets, observed(seen, "largest") or 0
 
 
 def _fitted_bucket(df: DataFrame, value: str) -> Column:
@@ -132,7 +132,8 @@ def with_percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> D
 
     ``df`` is read for the sizes and for the rows: pass a written table.
     """
-    cut, offsets, largest = _bucket_offsets(df, keys, _fitted_bucket(df, value))
+    cut = df.withColumn("__bucket", _fitted_bucket(df, value))
+    offsets, largest = _measured_offsets(cut, keys)
     bucket_keys = [*keys, "__bucket"]
     if largest <= TASK_ROWS:
         within = F.rank().over(Window.partitionBy(*bucket_keys).orderBy(value)) - 1
@@ -163,7 +164,8 @@ def with_position(
     numbered together. ``df`` is read several times: pass a written table.
     """
     order = [value, *tie_break]
-    cut, offsets, largest = _bucket_offsets(df, keys, _fitted_bucket(df, value))
+    cut = df.withColumn("__bucket", _fitted_bucket(df, value))
+    offsets, largest = _measured_offsets(cut, keys)
     if largest <= TASK_ROWS:
         return _number_in_buckets(df, cut, offsets, keys, order, out)
     finest = [*keys, *order[:2]]
@@ -181,8 +183,8 @@ def with_bucket_position(
 
     ``bucket`` must keep the order and spread the rows.
     """
-    cut, offsets, _ = _bucket_offsets(df, keys, bucket)
-    return _number_in_buckets(df, cut, offsets, keys, order, out)
+    cut = df.withColumn("__bucket", bucket)
+    return _number_in_buckets(df, cut, _offsets(cut, keys), keys, order, out)
 
 
 def _number_in_buckets(df, cut, offsets, keys, order, out) -> DataFrame:

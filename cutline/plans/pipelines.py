@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.operators import cleaning, features, metrics, models, profile, recommend
@@ -33,21 +32,17 @@ class IngestCounts:
         return self.raw - self.clean
 
 
-def write_counted(raw: DataFrame, clean_step, path: str, partition_by=None) -> IngestCounts:
-    """Writes ``clean_step(raw)``; both row counts come from the writing job itself."""
-    before, after = Observation(), Observation()
-    counted = raw.observe(before, F.count(F.lit(1)).alias("n"))
-    clean = clean_step(counted).observe(after, F.count(F.lit(1)).alias("n"))
-    writers.write_parquet(clean, path, partition_by)
-    return IngestCounts(_observed(before), _observed(after))
-
-
-def _observed(seen: Observation) -> int:
-    try:
-        return seen.get["n"]
-    except Py4JJavaError:
-        # A plan known to be empty (no file at all) is folded away, its counter included.
-        return 0
+def write_counted(
+    raw: DataFrame, clean_step, path: str, partition_by: list[str] | None = None
+) -> IngestCounts:
+    """Writes ``clean_step(raw)`` and counts both sides.
+
+    The clean count comes from the written files' footers. Counters inside the writing
+    job would be cheaper for the raw side, but repeat when a lost task is run again.
+    """
+    writers.write_parquet(clean_step(raw), path, partition_by)
+    written = raw.sparkSession.read.parquet(path)
+    return IngestCounts(raw.count(), written.count())
 
 
 # ---- ingest ------------------------------------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def local_session(
@@ -49,7 +50,7 @@ def scratch_dir(spark: SparkSession, label: str = "run") -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df, label: str = "cut"):
+def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts lineage in a way that survives lost executors, and fixes the rows where a
@@ -58,3 +59,15 @@ def materialise(df, label: str = "cut"):
     path = scratch_dir(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(seen: Observation, name: str):
+    """A value observed while a frame was written, None if the frame had no rows.
+
+    A lost executor may repeat tasks, so observe only what repeating cannot change, such
+    as a maximum; never a count.
+    """
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return None  # a plan found to be empty is folded away with its observation
