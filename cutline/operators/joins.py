@@ -5,23 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.session import materialise
+
+
+# Joined rows that one task should make, and rows up to which a side is broadcast.
+PAIRS_PER_TASK = 5_000_000
+BROADCAST_ROWS = 100_000
+
 
 def salted_join(
-    many: DataFrame,
-    few: DataFrame,
-    on: list[str],
-    spread_by: list[str],
-    salts: int = 16,
+    many: DataFrame, few: DataFrame, on: list[str], spread_by: list[str]
 ) -> DataFrame:
-    """Inner join on a hot key.
+    """Inner join on a coarse key, split by the number of rows each key value makes.
 
-    ``many`` is spread over ``salts`` slots by a hash of ``spread_by`` (its own unique
-    columns), ``few`` is repeated once per slot, so the partners of one key value meet
-    in ``salts`` tasks instead of one.
+    A first pass counts both sides per key value (map-side combined) and gives the value
+    as many slots as its pairs need. ``many`` goes to a slot by a hash of ``spread_by``
+    (its own unique columns), ``few`` is repeated once per slot of its key value only.
+    Both sides are read twice: pass written tables or short plans.
     """
-    slot = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    left = many.withColumn("__slot", slot)
-    right = few.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left_sizes = many.groupBy(*on).agg(F.count(F.lit(1)).alias("__left"))
+    right_sizes = few.groupBy(*on).agg(F.count(F.lit(1)).alias("__right"))
+    wanted = F.ceil(F.col("__left").cast("double") * F.col("__right") / PAIRS_PER_TASK)
+    slots = materialise(
+        left_sizes.join(right_sizes, on).select(
+            *on, F.least(wanted, F.col("__left")).cast("int").alias("__slots")
+        ),
+        "slots",
+    )
+    if slots.count() <= BROADCAST_ROWS:
+        slots = F.broadcast(slots)
+    slot = F.pmod(F.xxhash64(*spread_by), F.col("__slots")).cast("int")
+    every_slot = F.explode(F.sequence(F.lit(0), F.col("__slots") - 1))
+    left = many.join(slots, on).withColumn("__slot", slot).drop("__slots")
+    right = few.join(slots, on).withColumn("__slot", every_slot).drop("__slots")
     return left.join(right, [*on, "__slot"]).drop("__slot")
 
 

@@ -645,7 +645,7 @@ def jee_candidate_match(spark, sf_dir):
     offered = features.jee_multi_year(_per_year(spark, sf_dir)).select(
         *features.JEE_KEYS, "closing_rank_max", "opening_rank_min"
     )
-    matched = recommend.jee_candidates(wanted, offered, MARKER)
+    matched = recommend.jee_candidates(wanted, materialise(offered, "offered"), MARKER)
     return matched.select(
         "request_key", "institute_type", "institute_short", "program_name", "degree_short",
         "closing_rank_max", "opening_rank_min",

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cutline.operators import ordered
+from cutline.operators import joins, ordered
 from cutline.operators.joins import grid, salted_join
 from cutline.operators.ordered import (
     count_below,
@@ -19,6 +19,7 @@ from cutline.operators.ordered import (
     with_percent_rank,
     with_position,
 )
+from tests.conftest import rows
 
 
 @pytest.fixture(scope="module")
@@ -119,13 +120,21 @@ def test_bucket_formula_keeps_order(a, b):
     assert bucket(low) <= bucket(high)
 
 
-def test_salted_join_and_grid(spark):
-    many = spark.range(100).select(F.lit("c").alias("k"), F.col("id").alias("a"))
-    few = spark.range(7).select(F.lit("c").alias("k"), F.col("id").alias("b"))
-    joined = salted_join(many, few, ["k"], ["a"], salts=5)
-    assert joined.count() == joined.distinct().count() == 700
+@pytest.mark.parametrize("pairs,broadcast_rows", [(100, 10), (100, 0), (10**6, 10)])
+def test_salted_join(spark, monkeypatch, pairs, broadcast_rows):
+    monkeypatch.setattr(joins, "PAIRS_PER_TASK", pairs)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    key = F.when(F.col("id") % 4 == 0, "d").when(F.col("id") != 1, "c")
+    many = spark.range(100).select(key.alias("k"), F.col("id").alias("a"))
+    few = spark.range(7).select(key.alias("k"), F.col("id").alias("b"))
+    want = many.join(few, "k")
+    assert rows(salted_join(many, few, ["k"], ["a"]), "k", "a", "b") == rows(want, "k", "a", "b")
+
+
+def test_grid(spark):
+    many = spark.range(100).select(F.col("id").alias("a"))
     numbered = spark.range(7).select(F.col("id").alias("i"), (F.col("id") * 2).alias("w"))
-    cells = grid(many.select("a"), numbered, "i")
+    cells = grid(many, numbered, "i")
     assert cells.distinct().count() == 700
 
 
