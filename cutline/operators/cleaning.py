@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.functions.ranks import as_number, canonical_category, canonical_pool
-from cutline.functions.text import one_line, strip_links, upper_trim
+from cutline.functions.ranks import (
+    as_number,
+    canonical_category,
+    canonical_pool,
+    infer_segment,
+)
+from cutline.functions.text import one_line, strip_links, upper_trim, vocab_text
+from cutline.operators.reshape import keep_highest
 from cutline.sources.schemas import COMEDK_CLEAN, COMEDK_NAMES, KCET_NAMES, NEET_NAMES
 
 # Fixed values.
@@ -58,6 +64,13 @@ def clean_jee(df: DataFrame) -> DataFrame:
     return normalise_allotment(final_rounds(sane_ranks(require(df, JEE_REQUIRED))))
 
 
+def with_segment(df: DataFrame) -> DataFrame:
+    """``institute_type`` in upper case, or inferred from the name where there is none."""
+    if "institute_type" in df.columns:
+        return df.withColumn("institute_type", vocab_text("institute_type"))
+    return df.withColumn("institute_type", infer_segment("institute_short"))
+
+
 def clean_neet(df: DataFrame) -> DataFrame:
     """Expects ``year`` from :func:`cutline.sources.readers.with_source_year`."""
     valid = positive(require(df, ["Rank", "Institute"]), "Rank")
@@ -90,8 +103,6 @@ def shape_comedk_long(df: DataFrame) -> DataFrame:
 
 def clean_comedk_long(df: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Valid rows of the allowed categories, one per seat and year (highest rank kept)."""
-    from cutline.operators.reshape import keep_highest
-
     allowed = COMEDK_CATEGORIES if categories is None else categories
     valid = positive(
         require(df, ["college_code", "college_name", "course_name", "rank"]), "rank"

@@ -6,6 +6,7 @@ import math
 import random
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
@@ -257,11 +258,11 @@ def save_artifacts(path: str, model: PipelineModel, history: DataFrame | None =
         history.write.mode("overwrite").parquet(f"{path}/history")
 
 
-def load_artifacts(spark, path: str) -> tuple[PipelineModel, DataFrame | None]:
-    from pyspark.errors import AnalysisException
-
+def load_artifacts(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame | None]:
     model = PipelineModel.load(f"{path}/model")
     try:
         return model, spark.read.parquet(f"{path}/history")
-    except AnalysisException:
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return model, None

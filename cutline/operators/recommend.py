@@ -25,6 +25,7 @@ from cutline.functions.text import contains_ignore_case, request_key
 from cutline.operators.joins import grid, salted_join
 from cutline.operators.ordered import count_below, with_position
 from cutline.operators.vocab import UNKNOWN
+from cutline.session import materialise
 
 
 @dataclass(frozen=True)
@@ -139,8 +140,11 @@ def tier_bounds(
     pred: str,
     rule: GapRule,
 ) -> DataFrame:
-    """First and last place of each tier, one row per distinct (group, rank)."""
-    wanted = requests.select(*group, rank).distinct()
+    """First and last place of each tier, one row per distinct (group, rank).
+
+    The distinct pairs are written first, so a long request table is scanned once.
+    """
+    wanted = materialise(requests.select(*group, rank).distinct(), "contexts")
     high = F.col(rank)
     low = high - rule.window
     if rule.whole:

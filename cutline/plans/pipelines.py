@@ -194,6 +194,18 @@ def train_ranks(
     return metrics.regression_report(held, "closing_rank", "pred_closing_rank")
 
 
+def evaluate_ranks(
+    spark: SparkSession, features_path: str, model_path: str, spec: models.FeatureSpec
+) -> DataFrame:
+    """Report of a saved model over a whole feature table."""
+    rows = readers.read_parquet(spark, features_path).dropna(
+        subset=["closing_rank", *spec.categorical]
+    )
+    model, _ = models.load_artifacts(spark, model_path)
+    scored = models.score_ranks(model, rows.filter(F.col("closing_rank") > 0), spec)
+    return metrics.regression_report(scored, "closing_rank", "pred_closing_rank")
+
+
 # ---- recommendation ----------------------------------------------------------------
 
 

@@ -1,10 +1,12 @@
 """Hand-made rows for the rules that are easy to get wrong."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from cutline.functions import ranks, text
-from cutline.operators import cleaning, features, profile, recommend, reshape, sampling, vocab
+from cutline.operators import cleaning, features, metrics, profile, recommend, reshape, sampling, vocab
 from tests.conftest import rows
 
 ALLOTMENT = (
@@ -260,3 +262,50 @@ def test_legacy_defaults(spark):
     assert (full[1].is_dual_degree, full[0].year_offset, full[1].year_offset) == (0, 2, 0)
     bare = features.legacy_features(df.drop("round_no", "year")).first()
     assert abs(bare.round_norm - 6 / 7) < 1e-12 and bare.year_offset == 0
+
+
+def test_segment(spark):
+    df = spark.createDataFrame([("IIT B", " iit "), ("NIT K", "x")], "institute_short STRING, institute_type STRING")
+    assert rows(cleaning.with_segment(df), "institute_type") == [("IIT",), ("X",)]
+    bare = cleaning.with_segment(df.drop("institute_type"))
+    assert rows(bare, "institute_short", "institute_type") == [("IIT B", "IIT"), ("NIT K", "NIT")]
+
+
+def test_nested_response_json(spark):
+    asked = spark.createDataFrame([("GM", 100)], "category STRING, user_rank INT")
+    top = recommend.recommend_by_gap(
+        asked, catalogue(spark, [90, 200, 300]), ["category"], "user_rank", "pred",
+        ["institute", "course"], recommend.NEET_RULE, 15,
+    )
+    row = recommend.nested_response(
+        top, ["category", "user_rank"], ["institute", "course", "predicted_cutoff"]
+    ).first()
+    answer = json.loads(row.response)
+    assert [e["institute"] for e in answer["Safe"]] == ["i2", "i1"]
+    assert answer["Likely"] == [
+        {"pos": 1, "institute": "i0", "course": "c", "predicted_cutoff": 90}
+    ]
+
+
+def test_top_overall(spark):
+    df = spark.createDataFrame(
+        [("r", f"i{n:02}", 0.39995 if n == 0 else 0.3 if n == 1 else 0.5 + n / 1000) for n in range(40)],
+        "request STRING, name STRING, eligibility_prob DOUBLE",
+    )
+    got = recommend.top_overall(df, ["request"], ["name"]).orderBy("pos").collect()
+    assert [r.name for r in got] == [f"i{n:02}" for n in range(39, 19, -1)]
+    every = recommend.top_overall(df, ["request"], ["name"], limit=100)
+    assert every.count() == 39
+
+
+def test_metrics_on_known_rows(spark):
+    df = spark.createDataFrame(
+        [(1, 0.9), (1, 0.4), (0, 0.4), (0, 0.1)], "label INT, score DOUBLE"
+    )
+    assert metrics.exact_auc(df, "label", "score").first().auc == 0.875
+    report = {r["class"]: r for r in metrics.classification_report(df, "label", "score").collect()}
+    assert (report[1].precision, report[1].recall, report[0].recall, report[1].support) == (1, 0.5, 1, 2)
+    one_class = metrics.exact_auc(df.filter("label = 1"), "label", "score").first()
+    assert one_class.auc is None and one_class.n_positive == 2
+    weights = sampling.with_class_weight(df.union(df.filter("label = 0")), "label")
+    assert rows(weights.select("label", "weight").distinct()) == [(0, 1.0), (1, 2.0)]

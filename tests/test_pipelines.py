@@ -144,6 +144,8 @@ def test_comedk_long(spark, tmp_path):
     pipelines.train_ranks(
         spark, table, model, models.COMEDK_SPEC, [*features.COMEDK_SEAT, "year"], [QUICK]
     )
+    whole = pipelines.evaluate_ranks(spark, table, model, models.COMEDK_SPEC).first()
+    assert whole.n_rows == 16 and whole.rmse >= 0
     asked = spark.createDataFrame([(1, "gm"), (10**6, "gm")], "user_rank INT, category STRING")
     got = pipelines.recommend_comedk(spark, asked, table, model, branch="cs").collect()
     assert [r.user_rank for r in got].count(1) >= 1
