@@ -19,15 +19,21 @@ from pyspark.sql import functions as F
 
 from cutline.session import materialise, observed
 
-# Buckets per unit of ln(1 + |x|): neighbours differ by about 0.1 %. A double spans at
-# most 1.5 million buckets, ranks up to a million 14 thousand.
-RESOLUTION = 1024
-
 # Rows of one bucket that one task may sort.
 TASK_ROWS = 4_000_000
 
+# Buckets per unit of ln(1 + |x|), one for this many rows and within these limits. Ranks
+# up to a million span 14 units, probabilities 0.7.
+ROWS_PER_STEP = 100_000
+COARSEST, FINEST = 16, 1 << 20
+
+
+def fitted_resolution(df: DataFrame) -> int:
+    """Buckets as fine as the number of rows asks for (of a written table: its footers)."""
+    return min(FINEST, max(COARSEST, df.count() // ROWS_PER_STEP))
 
-def number_bucket(value: Column, resolution: int = RESOLUTION) -> Column:
+
+def number_bucket(value: Column, resolution: int = COARSEST) -> Column:
     """Bucket number that never falls as ``value`` rises."""
     v = value.cast("double")
     size = F.floor(F.log1p(F.abs(v)) * resolution)
@@ -55,6 +61,7 @@ def running_counts(
     value: str,
     weights: dict[str, Column] | None = None,
     then: list[str] | None = None,
+    resolution: int = COARSEST,
 ) -> DataFrame:
     """One row per (keys, value) with ``n``, ``n_below`` and ``n_total``.
 
@@ -68,7 +75,7 @@ def running_counts(
     per_value = (
         df.groupBy(*keys, *order)
         .agg(*[F.sum(w).cast("long").alias(name) for name, w in sums.items()])
-        .withColumn("__bucket", number_bucket(F.col(value)))
+        .withColumn("__bucket", number_bucket(F.col(value), resolution))
     )
     bucket_keys = [*keys, "__bucket"]
     before = Window.unboundedPreceding, -1
@@ -121,18 +128,13 @@ def _measured_offsets(cut: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     return offsets, observed(seen, "largest") or 0
 
 
-def _fitted_bucket(df: DataFrame, value: str) -> Column:
-    """Buckets as fine as the number of rows asks for."""
-    resolution = min(16 * RESOLUTION, max(16, df.count() // 1_000_000))
-    return number_bucket(F.col(value), resolution)
-
-
 def with_percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds ``percent_rank()`` of ``value`` within ``keys`` (0 for a group of one).
 
     ``df`` is read for the sizes and for the rows: pass a written table.
     """
-    cut = df.withColumn("__bucket", _fitted_bucket(df, value))
+    resolution = fitted_resolution(df)
+    cut = df.withColumn("__bucket", number_bucket(F.col(value), resolution))
     offsets, largest = _measured_offsets(cut, keys)
     bucket_keys = [*keys, "__bucket"]
     if largest <= TASK_ROWS:
@@ -142,7 +144,8 @@ def with_percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> D
     else:
         # One row per (keys, value) on the right: a hot value only makes a long left
         # side, which the adaptive skew join splits.
-        counts = running_counts(df.filter(F.col(value).isNotNull()), keys, value)
+        known = df.filter(F.col(value).isNotNull())
+        counts = running_counts(known, keys, value, resolution=resolution)
         placed = match_null_safe(df, counts, [*keys, value], "left")
         below, total = F.col("n_below"), F.col("n_total")
     share = F.when(total == 1, F.lit(0.0)).otherwise(below / (total - 1))
@@ -164,12 +167,14 @@ def with_position(
     numbered together. ``df`` is read several times: pass a written table.
     """
     order = [value, *tie_break]
-    cut = df.withColumn("__bucket", _fitted_bucket(df, value))
+    resolution = fitted_resolution(df)
+    cut = df.withColumn("__bucket", number_bucket(F.col(value), resolution))
     offsets, largest = _measured_offsets(cut, keys)
     if largest <= TASK_ROWS:
         return _number_in_buckets(df, cut, offsets, keys, order, out)
     finest = [*keys, *order[:2]]
-    stats = running_counts(df, keys, value, then=tie_break[:1]).select(*finest, "n_below")
+    stats = running_counts(df, keys, value, then=tie_break[:1], resolution=resolution)
+    stats = stats.select(*finest, "n_below")
     rest = Window.partitionBy(*finest).orderBy(*(tie_break[1:] or tie_break))
     numbered = match_null_safe(df.withColumn("__rn", F.row_number().over(rest)), stats, finest)
     position = F.col("__rn").cast("long") + F.col("n_below")
@@ -197,6 +202,7 @@ def _number_in_buckets(df, cut, offsets, keys, order, out) -> DataFrame:
 
 def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row with the exact median of each numeric column, NULLs left out."""
+    resolution = fitted_resolution(df)
     long = df.select(
         F.explode(
             F.array(
@@ -207,7 +213,8 @@ def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
             )
         ).alias("cell")
     ).select("cell.name", "cell.value")
-    stats = running_counts(long.filter(F.col("value").isNotNull()), ["name"], "value")
+    known = long.filter(F.col("value").isNotNull())
+    stats = running_counts(known, ["name"], "value", resolution=resolution)
     low = F.floor((F.col("n_total") - 1) / 2)
     high = F.floor(F.col("n_total") / 2)
 
@@ -239,7 +246,8 @@ def count_below(
             points.select(*keys, value).withColumns({"__n": F.lit(0), "__p": F.lit(1)})
         )
     )
-    stats = running_counts(both, keys, value, {"n": F.col("__n"), "p": F.col("__p")})
+    weights = {"n": F.col("__n"), "p": F.col("__p")}
+    stats = running_counts(both, keys, value, weights, resolution=fitted_resolution(rows))
     return stats.filter(F.col("p") > 0).select(
         *keys,
         value,
