@@ -221,12 +221,10 @@ def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     def covers(pos: Column) -> Column:
         return (F.col("n_below") <= pos) & (pos < F.col("n_below") + F.col("n"))
 
-    middles = stats.groupBy("name").agg(
-        (
-            (F.max(F.when(covers(low), F.col("value"))) + F.max(F.when(covers(high), F.col("value"))))
-            / 2
-        ).alias("median")
-    )
+    def at(pos: Column) -> Column:
+        return F.max(F.when(covers(pos), F.col("value")))
+
+    middles = stats.groupBy("name").agg(((at(low) + at(high)) / 2).alias("median"))
     return middles.agg(
         *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in cols]
     )

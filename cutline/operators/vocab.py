@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cutline.functions.text import vocab_text
 from cutline.operators.ordered import text_bucket, with_bucket_position
-from cutline.session import materialise
 
 UNKNOWN = "__UNKNOWN__"  # fixed value
 
@@ -15,14 +14,14 @@ UNKNOWN = "__UNKNOWN__"  # fixed value
 def build_vocabulary(df: DataFrame, col: str, with_unknown: bool = False) -> DataFrame:
     """Distinct normalised values with an id from 0 in alphabetical order.
 
-    The distinct values are written first, so ``df`` is scanned once.
+    ``df`` is read twice: pass a written table, such as the distinct values of the rows.
     """
     values = df.select(vocab_text(col).alias("value")).filter(F.col("value").isNotNull())
     if with_unknown:
         unknown = df.sparkSession.range(1).select(F.lit(UNKNOWN).alias("value"))
         values = values.unionByName(unknown)
-    distinct = materialise(values.distinct(), "values")
-    numbered = with_bucket_position(distinct, [], text_bucket(F.col("value")), ["value"])
+    by_prefix = text_bucket(F.col("value"))
+    numbered = with_bucket_position(values.distinct(), [], by_prefix, ["value"])
     return numbered.select("value", (F.col("pos") - 1).alias("id"))
 
 

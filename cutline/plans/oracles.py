@@ -163,11 +163,12 @@ JEE_FEATURE_COLUMNS = [
     "years_available", "yoy_rank_change", "trend_direction", "rank_pressure", "difficulty_pct",
 ]
 
-UNPIVOT = """
-SELECT {ids}, course_name, rank FROM (
-  SELECT {inner}, 'c_economy' AS course_name, c_economy AS rank FROM fx_wide
-  UNION ALL SELECT {inner}, 'c_promo', c_promo FROM fx_wide
-  UNION ALL SELECT {inner}, 'c_small', c_small FROM fx_wide)"""
+LONG_IDS = "institute, category, year AS year"
+UNPIVOT = f"""
+SELECT institute, category, year AS year, course_name, rank FROM (
+  SELECT {LONG_IDS}, 'c_economy' AS course_name, c_economy AS rank FROM fx_wide
+  UNION ALL SELECT {LONG_IDS}, 'c_promo', c_promo FROM fx_wide
+  UNION ALL SELECT {LONG_IDS}, 'c_small', c_small FROM fx_wide)"""
 
 BODIES = {
     "scan_csv_schema": "SELECT * FROM fx_ranked",
@@ -179,8 +180,8 @@ FROM fx_ranked GROUP BY institute, year""",
     "scan_parquet": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
     "roundtrip_partitioned": """SELECT year AS year, category, count(*) AS n_rows FROM fx_ranked
 GROUP BY year, category""",
-    "split_segment": """SELECT CASE WHEN institute_type = 'ASIA' THEN 'iit' ELSE 'nit' END AS segment,
-  category, quota, count(*) AS n_rows FROM jee_clean GROUP BY 1, 2, 3""",
+    "split_segment": """SELECT
+  CASE WHEN institute_type = 'ASIA' THEN 'iit' ELSE 'nit' END AS segment, category, quota, count(*) AS n_rows FROM jee_clean GROUP BY 1, 2, 3""",
     "catalog_register": "SELECT year AS year, count(*) AS n_rows FROM fx_ranked GROUP BY year",
     "csv_sink": TOP_N,
     "clean_required": f"""SELECT * FROM fx_allotment WHERE {COMPLETE}
@@ -314,11 +315,9 @@ SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM names""",
 GROUP BY 1, 2, 3""",
     "vocab_semi": """SELECT institute, year AS year, count(*) AS n_rows FROM fx_ranked
 WHERE upper(institute) IN (SELECT value FROM known_values) GROUP BY institute, year""",
-    "unpivot_courses": UNPIVOT.format(
-        ids="institute, category, year", inner="institute, category, year AS year"
-    ),
+    "unpivot_courses": UNPIVOT,
     "comedk_wide": f"""
-long AS ({UNPIVOT.format(ids="institute, category, year", inner="institute, category, year AS year")}),
+long AS ({UNPIVOT}),
 named AS (SELECT institute AS college_name, course_name, upper(category) AS category,
   year AS year, TRY_CAST(rank AS DOUBLE) AS rank FROM long
   WHERE category IN ('BUILDING', 'MACHINERY') AND TRY_CAST(rank AS DOUBLE) > 0)

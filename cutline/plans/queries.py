@@ -50,13 +50,6 @@ def counted(df: DataFrame, *cols: str) -> DataFrame:
 # ---- scans and sinks ---------------------------------------------------------------
 
 
-def _csv_round_trip(spark, sf_dir, label):
-    ranked = view(spark, sf_dir, "fx_ranked")
-    path = scratch_dir(spark, label)
-    ranked.write.option("header", True).csv(path)
-    return ranked, path
-
-
 RANKED_SCHEMA = (
     "institute STRING, course STRING, category STRING, base_category STRING, "
     "quota STRING, region STRING, year INT, rank DOUBLE"
@@ -65,7 +58,8 @@ RANKED_SCHEMA = (
 
 @query
 def scan_csv_schema(spark, sf_dir):
-    _, path = _csv_round_trip(spark, sf_dir, "csv-schema")
+    path = scratch_dir(spark, "csv-schema")
+    writers.write_csv(view(spark, sf_dir, "fx_ranked"), path)
     return readers.read_csv(spark, path, RANKED_SCHEMA, check_header=True)
 
 
@@ -473,12 +467,14 @@ def profile_nulls(spark, sf_dir):
 
 @query
 def vocab_build(spark, sf_dir):
-    return vocab.build_vocabulary(view(spark, sf_dir, "fx_ranked"), "institute")
+    names = view(spark, sf_dir, "fx_ranked").select("institute").distinct()
+    return vocab.build_vocabulary(materialise(names, "names"), "institute")
 
 
 def _known_institutes(spark, sf_dir):
     """Vocabulary of all regions but one, so that the others' institutes are unseen."""
-    seen = view(spark, sf_dir, "fx_ranked").filter(F.col("region") != MARKER)
+    seats = view(spark, sf_dir, "fx_ranked").filter(F.col("region") != MARKER)
+    seen = materialise(seats.select("institute").distinct(), "names")
     return materialise(vocab.build_vocabulary(seen, "institute", with_unknown=True), "vocab")
 
 
@@ -524,8 +520,8 @@ def union_years(spark, sf_dir):
     """One file set per year, columns in different orders; years without files are skipped."""
     path = scratch_dir(spark, "years")
     ranked = view(spark, sf_dir, "fx_ranked").withColumnRenamed("year", "part")
-    writers.write_parquet(ranked.select("institute", "course", "category", "rank", "part"),
-                          path, ["part"])
+    rows = ranked.select("institute", "course", "category", "rank", "part")
+    writers.write_parquet(rows, path, ["part"])
 
     def one_year(year):
         rows = spark.read.parquet(f"{path}/part={year}")
@@ -585,7 +581,8 @@ def log_target(spark, sf_dir):
     rows = _yearly(spark, sf_dir)
     logged = rows.withColumn("log_rank", ranks.log_rank("closing_rank"))
     back = ranks.whole_rank(ranks.unlog_rank("log_rank") + F.lit(0.5)).alias("back")
-    return logged.select(*features.COMEDK_SEAT, "year", F.round("log_rank", 4).alias("log_rank"), back)
+    shown = F.round("log_rank", 4).alias("log_rank")
+    return logged.select(*features.COMEDK_SEAT, "year", shown, back)
 
 
 # ---- metrics -----------------------------------------------------------------------
@@ -765,11 +762,12 @@ def nested_response(spark, sf_dir):
         top, ["category", "user_rank"], [*SCORED_NAMES, "predicted_cutoff"]
     )
 
+    def words(entry):
+        cutoff = entry["predicted_cutoff"].cast("string")
+        return F.concat_ws("/", entry["institute"], entry["course"], cutoff)
+
     def shown(col):
-        return F.array_join(
-            F.transform(col, lambda e: F.concat_ws("/", e["institute"], e["course"],
-                                                   e["predicted_cutoff"].cast("string"))), ","
-        ).alias(col)
+        return F.array_join(F.transform(col, words), ",").alias(col)
 
     return nested.select("category", "user_rank", shown("safe"), shown("likely"))
 
@@ -784,13 +782,9 @@ def _neet_rows(spark, sf_dir):
     return materialise(rows, "neet")
 
 
-def _neet_keys():
-    return features.NEET_KEYS
-
-
 @query
 def train_regressor(spark, sf_dir):
-    rows = sampling.split_by_hash(_neet_rows(spark, sf_dir), _neet_keys())
+    rows = sampling.split_by_hash(_neet_rows(spark, sf_dir), features.NEET_KEYS)
     model = models.train_regressor(rows.filter("is_test = 0"), models.NEET_SPEC, **QUICK)
     held = models.score_ranks(model, rows.filter("is_test = 1"), models.NEET_SPEC)
     return metrics.regression_report(held, "closing_rank", "pred_closing_rank")
@@ -850,8 +844,11 @@ def feature_importance(spark, sf_dir):
 @query
 def tune_regressor(spark, sf_dir):
     rows = _neet_rows(spark, sf_dir)
-    settings = models.draw_settings({"maxIter": (2, 3), "maxDepth": (2, 4), "stepSize": (0.1, 0.3)}, 2)
-    _, trials = models.tune_regressor(rows, models.NEET_SPEC, _neet_keys(), settings, folds=3)
+    ranges = {"maxIter": (2, 3), "maxDepth": (2, 4), "stepSize": (0.1, 0.3)}
+    settings = models.draw_settings(ranges, 2)
+    _, trials = models.tune_regressor(
+        rows, models.NEET_SPEC, features.NEET_KEYS, settings, folds=3
+    )
     return spark.createDataFrame(trials, "maxIter INT, maxDepth INT, stepSize DOUBLE, rmse DOUBLE")
 
 
@@ -864,4 +861,6 @@ def model_artifacts(spark, sf_dir):
     models.save_artifacts(path, model, features.history_lists(_yearly(spark, sf_dir)))
     loaded, _ = models.load_artifacts(spark, path)
     scored = models.score_ranks(loaded, rows, models.NEET_SPEC)
-    return scored.select(*features.NEET_KEYS, F.round("pred_closing_rank", 4).alias("pred_closing_rank"))
+    return rounded(
+        scored.select(*features.NEET_KEYS, "pred_closing_rank"), "pred_closing_rank"
+    )

@@ -15,7 +15,5 @@ def register_tables(spark: SparkSession, database: str, tables: dict[str, str])
     for name, path in tables.items():
         table = f"{database}.{name}"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {table} USING parquet OPTIONS (path '{path}')")
-        if spark.catalog.listColumns(table) and any(
-            c.isPartition for c in spark.catalog.listColumns(table)
-        ):
+        if any(column.isPartition for column in spark.catalog.listColumns(table)):
             spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
