@@ -52,54 +52,108 @@ def as_bytes(text: str) -> F.Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Bijective scrambling of 64-bit numbers (a fixed public finaliser)."""
+    h = h.astype(np.uint64, copy=True)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Words of many texts, one after the other, and how many each text has."""
+    if not texts:
+        return pa.array([], pa.binary()), np.zeros(0, np.int64)
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = SPACE[data]
+    inside = ~space
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    lengths = np.flatnonzero(last) - np.flatnonzero(first) + 1
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]
+    words = pa.Array.from_buffers(pa.binary(), len(lengths), buffers)
+    starts = offsets(len(t) + 1 for t in texts)[:-1]
+    sizes = np.add.reduceat(first, starts, dtype=np.int64)
+    return words, sizes
+
+
+def buffers_of(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words, and where each starts (and the last ends)."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
+
+def hash_runs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes; no run is empty.
+
+    A sum of the bytes times fixed pseudo-random factors per place, scrambled.
+    """
+    sizes = np.diff(ends)
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    factors = mix(np.arange(1, sizes.max() + 1, dtype=np.uint64)) | np.uint64(1)
+    parts = factors[np.arange(len(data)) - np.repeat(ends[:-1], sizes)]
+    parts *= data + np.uint64(1)
+    return mix(np.add.reduceat(parts, ends[:-1]) + sizes.astype(np.uint64) * MIX)
+
+
 class WordTable(dict):
     """Numbers words as they come and keeps one row of facts per distinct word.
 
     ``facts(words)`` gets the new words of a batch and returns arrays, a row per word.
-    ``number`` returns the word numbers of many texts, one after the other.
     """
 
     def __init__(self, facts: Callable[[list], list[np.ndarray]], limit: int = TABLE_WORDS):
         super().__init__()
-        self._facts, self._limit, self._new = facts, limit, []
+        self._facts, self._limit = facts, limit
         self._columns: list[np.ndarray] = []
-        self._used = 0
-
-    def __missing__(self, word) -> int:
-        self[word] = at = len(self)
-        self._new.append(word)
-        return at
 
-    def number(self, texts: list[list]) -> np.ndarray:
+    def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of many texts, one after the other, and how many each text has."""
+        words, sizes = split_words(texts)
+        words = words.dictionary_encode()
         if len(self) > self._limit:
             self.clear()
-            self._columns, self._used = [], 0
-        get = self.__getitem__
-        sizes = sum(map(len, texts))
-        out = np.fromiter((get(w) for ws in texts for w in ws), np.int64, sizes)
-        if self._new:
-            made = self._facts(self._new)
-            self._new = []
-            self._store([np.asarray(m) for m in made])
-        return out
-
-    def _store(self, made: list[np.ndarray]) -> None:
+            self._columns = []
+        distinct = words.dictionary.to_pylist()
+        used = len(self)
+        numbers = np.array([self.setdefault(w, len(self)) for w in distinct], np.int64)
+        if len(self) > used:
+            new = [w for w, k in zip(distinct, numbers.tolist()) if k >= used]
+            self._store([np.asarray(m) for m in self._facts(new)], used)
+        return numbers[words.indices.to_numpy()] if distinct else numbers, sizes
+
+    def _store(self, made: list[np.ndarray], used: int) -> None:
         end = len(self)
         if not self._columns or len(self._columns[0]) < end:
-            room = max(1024, 2 * end)
-            grown = [np.zeros((room, *m.shape[1:]), m.dtype) for m in made]
+            grown = [np.zeros((max(1024, 2 * end), *m.shape[1:]), m.dtype) for m in made]
             for old, new in zip(self._columns, grown):
-                new[: self._used] = old[: self._used]
+                new[:used] = old[:used]
             self._columns = grown
         for col, m in zip(self._columns, made):
-            col[self._used : end] = m
-        self._used = end
+            col[used:end] = m
 
     def fact(self, k: int) -> np.ndarray:
         return self._columns[k] if self._columns else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[tuple[int, list]]:
+def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[tuple[int, list]]:
     """The values of a bytes or string column in runs of about ``most`` bytes: (first row, values).
 
     Bounds the memory that arrays derived from the texts take; every row is in one run.
@@ -122,20 +176,6 @@ def offsets(sizes: Iterable[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))]).astype(np.int64)
 
 
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Bijective scrambling of 64-bit numbers (a fixed public finaliser)."""
-    h = h.astype(np.uint64, copy=True)
-    h ^= h >> np.uint64(30)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return h
-
-
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` neighbours in an array of 64-bit word hashes."""
     n = len(words) - size + 1
@@ -143,5 +183,6 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.full(n, size, np.uint64)
     for k in range(size):
-        h = mix(h * MIX + words[k : k + n])
-    return h
+        h *= MIX
+        h += words[k : k + n]
+    return mix(h)

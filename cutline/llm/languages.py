@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutline.llm.batches import WordTable, add_columns, column, offsets, slices
+from cutline.llm.batches import WordTable, add_columns, column, offsets, slices, split_words
 
 FEATURES = 1 << 16
 SMOOTHING = 0.5
@@ -41,8 +41,8 @@ class Model:
     logs: np.ndarray
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").split() if text else []
+def lowered(text: str | None) -> bytes:
+    return text.lower().encode("utf-8", "replace") if text else b""
 
 
 def has_letter(text: str | None) -> bool:
@@ -71,16 +71,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         for batch in batches:
             langs = column(batch, lang)
             for first, texts in slices(batch, text):
-                numbers: dict[bytes, int] = {}
-                per_lang: dict[str, list[int]] = {}
-                for name, t in zip(langs[first : first + len(texts)], texts):
-                    own = per_lang.setdefault(name, [])
-                    own.extend(numbers.setdefault(w, len(numbers)) for w in words_of(t))
-                if not numbers:
+                words, sizes = split_words([lowered(t) for t in texts])
+                words = words.dictionary_encode()
+                distinct, numbers = words.dictionary.to_pylist(), words.indices.to_numpy()
+                if not distinct:
                     continue
-                feature, word = grams(list(numbers))
-                for name, own in per_lang.items():
-                    weight = np.bincount(np.array(own, np.int64), minlength=len(numbers))[word]
+                feature, word = grams(distinct)
+                own = np.array(langs[first : first + len(texts)], object)
+                for name in set(own):
+                    used = numbers[np.repeat(own == name, sizes)]
+                    weight = np.bincount(used, minlength=len(distinct))[word]
                     sums = totals.setdefault(name, np.zeros(FEATURES))
                     sums += np.bincount(feature, weights=weight, minlength=FEATURES)
         for name, sums in totals.items():
@@ -130,16 +130,14 @@ class Mixture:
         if not self.model.names:
             return none
         docs = [k for k, t in enumerate(texts) if has_letter(t)]
-        words = [words_of(texts[k]) for k in docs]
         if not docs:
             return none
-        ends = offsets(map(len, words))
-        found = self.table.number(words)
+        found, sizes = self.table.number([lowered(texts[k]) for k in docs])
+        ends = offsets(sizes)
         logs = self.table.fact(0)[found]
         top = logs.max(1)
         like = np.exp(logs - top[:, None])
         base = np.add.reduceat(top.astype(np.float64), ends[:-1])
-        sizes = np.diff(ends)
         allowed = np.ones((len(docs), len(self.model.names)), bool)
         full, _ = self.fit(like, ends, allowed)
         order = np.argsort(-full, axis=1, kind="stable")

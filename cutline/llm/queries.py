@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from cutline.llm.languages import op10_languages
+from cutline.llm.lines import op8_lines
+from cutline.llm.near import op7_bottom_k
 from cutline.llm.outliers import op1_outliers
 from cutline.llm.personal import op3_personal
 from cutline.llm.pieces import op4_pieces
 from cutline.llm.shards import op5_shards
 from cutline.llm.suffix_tree import op6_suffix_tree
+from cutline.llm.templates import op2_templates
 from cutline.llm.token_files import op9_token_files
 
 QUERIES = {
     "op1_outliers": op1_outliers,
+    "op2_templates": op2_templates,
     "op3_personal": op3_personal,
     "op4_pieces": op4_pieces,
     "op5_shards": op5_shards,
     "op6_suffix_tree": op6_suffix_tree,
+    "op7_bottom_k": op7_bottom_k,
+    "op8_lines": op8_lines,
     "op9_token_files": op9_token_files,
     "op10_languages": op10_languages,
 }

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.batches import column, offsets, slices
+from cutline.llm.batches import offsets, slices, split_words
 from cutline.llm.languages import held_out
 from cutline.session import materialise
 
@@ -39,10 +39,6 @@ END = 10  # a line feed; words hold none
 TOKEN, GRAM, FINISH = b"w", b"g", b"e"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(values, return_counts=True)
 
@@ -70,13 +66,12 @@ def count(training: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch, text):
-                numbers: dict[bytes, int] = {}
-                split = [tokens(t) for t in texts]
-                at = [numbers.setdefault(w, len(numbers)) for ws in split for w in ws]
-                sizes = np.bincount(np.array(at, np.int64), minlength=len(numbers))
-                codes, counts = gram_counts([b" ".join(ws) for ws in split])
+                texts = [t.lower() for t in texts]
+                words = split_words(texts)[0].dictionary_encode()
+                sizes = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                codes, counts = gram_counts([b" ".join(t.split()) for t in texts])
                 raw = codes.astype(">u8").tobytes()
-                keys = [TOKEN + w for w in numbers]
+                keys = [TOKEN + w for w in words.dictionary.to_pylist()]
                 keys += [GRAM + raw[k : k + 8] for k in range(0, len(raw), 8)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -251,29 +246,32 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(key))
             for first, texts in slices(batch, "__text"):
-                split = [tokens(t) for t in texts]
-                tree_scores = tree.score([b" ".join(ws) for ws in split])
-                sums, known, rare, rare_n = [], [], [], []
-                for ws in split:
-                    found = [logs[w] for w in ws if w in logs]
-                    sums.append(sum(found) + end_log)
-                    known.append(len(found) + (1 if ends else 0))
-                    left: dict[bytes, int] = {}
-                    for w in ws:
-                        if w not in logs:
-                            left[w] = left.get(w, 0) + 1
-                    rare.append(list(left))
-                    rare_n.append(list(left.values()))
+                texts = [t.lower() for t in texts]
+                tree_scores = tree.score([b" ".join(t.split()) for t in texts])
+                words, sizes = split_words(texts)
+                words = words.dictionary_encode()
+                distinct, number = words.dictionary.to_pylist(), words.indices.to_numpy()
+                doc = np.repeat(np.arange(len(texts)), sizes)
+                log = np.array([logs.get(w, -1.0) for w in distinct])
+                found = log[number] if distinct else np.zeros(0)
+                is_known = found >= 0
+                sums = np.bincount(doc, np.where(is_known, found, 0), len(texts)) + end_log
+                known = np.bincount(doc[is_known], minlength=len(texts)) + (1 if ends else 0)
+                pairs = doc[~is_known] * (len(distinct) + 1) + number[~is_known]
+                pairs, times = np.unique(pairs, return_counts=True)
+                of, word = np.divmod(pairs, len(distinct) + 1)
+                runs = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32))
+                rare = words.dictionary.take(pa.array(word))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(at, at + len(texts), dtype=np.int64) + (part << 40)),
                         ids.slice(first, len(texts)),
-                        pa.array([len(ws) + 1 for ws in split], pa.int64()),
+                        pa.array(sizes + 1, pa.int64()),
                         pa.array(known, pa.int64()),
                         pa.array(sums, pa.float64()),
                         pa.array(tree_scores, pa.float64()),
-                        pa.array(rare, pa.list_(pa.binary())),
-                        pa.array(rare_n, pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(runs, rare),
+                        pa.ListArray.from_arrays(runs, pa.array(times, pa.int32())),
                     ],
                     ["__row", key, "n_tokens", "known", "sums", "score", "rare", "rare_n"],
                 )
