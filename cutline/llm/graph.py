@@ -63,29 +63,42 @@ def components(links: DataFrame) -> DataFrame:
 def linked(
     lists: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    near_enough: Callable[[str, str], F.Column],
+    threshold: float,
+    traits: DataFrame,
+    plausible: Callable[[Callable[[str], F.Column], Callable[[str], F.Column]], F.Column],
 ) -> DataFrame:
-    """(node, comp) of the nodes that verified links join.
-
-    ``lists`` has (key, node, size, rank): nodes that share a key are candidates. First every node of
-    a key meets one node of it, that of the highest rank; so a group of copies makes as many
-    pairs as it has rows. Then only pairs that are still in different components are left: nodes
-    outside the component of the key's first node meet the members of other components whose size
-    fits (``near_enough``). Pairs inside one component cannot change the result, all others are verified.
+    """(node, comp) of the nodes that links of at least ``threshold`` Jaccard similarity join.
+
+    ``lists`` has (key, node, rank): nodes that share a key are candidates. ``traits`` has a row per
+    node; ``plausible`` tells from the traits of two nodes whether they may be similar, and
+    ``verify`` adds to pairs (a, b) their exact ``share``.
+
+    First every node of a key meets one node of it, that of the highest rank; so a group of copies makes
+    as many pairs as it has rows. Then only pairs that are still in different components are
+    left: nodes outside the component of the key's first node meet the plausible members of other components.
+    Pairs inside one component cannot change the result. Jaccard distance is a metric, so a pair whose
+    distances to the key's first node differ by more than the threshold allows is no link either;
+    all other pairs are verified.
     """
+    names = [c for c in traits.columns if c != "node"]
+
+    def of(side: str) -> Callable[[str], F.Column]:
+        return lambda name: F.col(f"{side}_{name}")
+
+    def with_traits(df: DataFrame, node: str, side: str) -> DataFrame:
+        own = traits.select(F.col("node").alias(node), *[F.col(c).alias(f"{side}_{c}") for c in names])
+        return df.join(own, node)
+
     lists = materialise(lists, "lists")
     first = F.min_by("node", F.struct(-F.col("rank"), F.col("node"))).alias("hub")
     hubs = lists.groupBy("key").agg(first, F.min("node").alias("__a"), F.max("node").alias("__b"))
     hubs = materialise(hubs.filter("__a <> __b").select("key", "hub"), "hubs")
-    shared = lists.join(hubs, "key")
-    sizes = lists.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")).distinct()
-    stars = (
-        shared.filter("node <> hub").select("node", "size", "hub").distinct()
-        .join(sizes, "hub").filter(near_enough("size", "hub_size"))
-        .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    )
-    stars = materialise(stars, "stars")
-    links = materialise(verify(stars), "links")
+    shared = lists.drop("rank").join(hubs, "key")
+    pair = [F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")]
+    stars = shared.filter("node <> hub").select(*pair).distinct()
+    stars = with_traits(with_traits(stars, "a", "x"), "b", "y").filter(plausible(of("x"), of("y")))
+    stars = materialise(verify(materialise(stars.select("a", "b"), "stars")), "shares")
+    links = stars.filter(F.col("share") >= threshold).select("a", "b")
     comps = materialise(components(links), "components")
 
     def comp_of(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -93,31 +106,36 @@ def linked(
         other = comps.select(F.col("node").alias(node), F.col("comp").alias("__c"))
         return df.join(other, node, "left").withColumn(name, F.coalesce("__c", node)).drop("__c")
 
-    placed = comp_of(comp_of(shared, "node", "comp"), "hub", "main").drop("rank")
+    placed = comp_of(comp_of(shared, "node", "comp"), "hub", "main")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"))
     mixed = mixed.filter("__a <> __b").select("key")
-    placed = materialise(placed.join(mixed, "key", "left_semi"), "mixed")
-    outer = placed.filter("comp <> main").select(
-        "key", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("x_size")
-    )
-    inner = placed.select(
-        F.col("key").alias("y_key"),
-        "hub",
-        F.col("node").alias("y"),
-        F.col("comp").alias("y_comp"),
-        F.col("size").alias("y_size"),
-        (F.col("comp") != F.col("main")).alias("y_outer"),
-    )
+    placed = placed.join(mixed, "key", "left_semi").select("key", "node", "hub", "comp", "main", *pair)
+    placed = placed.join(stars, ["a", "b"], "left").withColumn("far", 1 - F.col("share"))
+    placed = materialise(placed.select("key", "node", "hub", "comp", "main", "far"), "mixed")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.select(
+            F.col("key").alias(f"{name}_key"),
+            F.col("hub").alias(f"{name}_hub"),
+            F.col("node").alias(name),
+            F.col("comp").alias(f"{name}_comp"),
+            F.col("far").alias(f"{name}_far"),
+            (F.col("comp") != F.col("main")).alias(f"{name}_outer"),
+        )
+        return with_traits(own, name, name)
+
+    apart = F.abs(F.col("x_far") - F.col("y_far")) > 1 - threshold + 1e-9
     fits = (
-        (F.col("key") == F.col("y_key"))
+        (F.col("x_key") == F.col("y_key"))
         & (F.col("x_comp") != F.col("y_comp"))
-        & (F.col("y") != F.col("hub"))
+        & (F.col("x") != F.col("x_hub"))
+        & (F.col("y") != F.col("y_hub"))
         & (~F.col("y_outer") | (F.col("x") > F.col("y")))
-        & near_enough("x_size", "y_size")
+        & ~F.coalesce(apart, F.lit(False))
+        & plausible(of("x"), of("y"))
     )
-    rest = outer.join(inner, fits).select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
-    ).distinct()
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = verify(rest)
-    return components(links.unionByName(materialise(more, "links")))
+    rest = side(placed.filter("comp <> main"), "x").join(side(placed, "y"), fits)
+    rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    rest = verify(materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest"))
+    more = materialise(rest.filter(F.col("share") >= threshold).select("a", "b"), "links")
+    return components(links.unionByName(more))

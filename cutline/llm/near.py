@@ -42,6 +42,7 @@ from cutline.session import materialise
 
 WORDS, KEPT, SHARED = 5, 64, 28
 NUMERATOR, DENOMINATOR = 75, 100
+THRESHOLD = NUMERATOR / DENOMINATOR
 # Union-sketch estimates this far below the threshold (five standard deviations of 64 draws at
 # 0.75) are not verified.
 SLACK = 0.27
@@ -96,7 +97,7 @@ def sketches(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(key, node, size, rank): each class in the lists of its rarest shared values."""
+    """(key, node, rank): each class in the lists of its rarest shared values."""
     values = classes.select("node", F.col("n").alias("size"), F.explode("sketch").alias("key"))
     often = values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     kept = F.least(F.lit(KEPT), "size")
@@ -110,28 +111,21 @@ def _lists(classes: DataFrame) -> DataFrame:
     ranked = own.withColumn("places", places.cast("int")).filter("places > 0")
     total = F.aggregate("found", F.lit(0).cast("long"), lambda a, v: a + v["df"])
     return ranked.select(
-        "node", "size", total.alias("rank"), F.explode(F.slice("found", F.lit(1), F.col("places"))).alias("v")
-    ).select(F.col("v.key").alias("key"), "node", "size", "rank")
+        "node", total.alias("rank"), F.explode(F.slice("found", F.lit(1), F.col("places"))).alias("v")
+    ).select(F.col("v.key").alias("key"), "node", "rank")
 
 
-def _estimate(a: str, b: str, most: int = KEPT) -> F.Column:
+def _estimate(a: F.Column, b: F.Column, most: int = KEPT) -> F.Column:
     """Share of the least ``most`` values of two sketches' union that are in both."""
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, most)
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
 def _verifier(docs: DataFrame, classes: DataFrame, text: str):
-    """Keeps the pairs (a, b) of classes whose full sets are similar."""
-    sketch = classes.select("node", "sketch")
+    """Adds to pairs (a, b) of classes the similarity of their full sets."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sided = pairs
-        for side in "ab":
-            own = sketch.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-            sided = sided.join(own, side)
-        close = _estimate("sketch_a", "sketch_b") >= NUMERATOR / DENOMINATOR - SLACK
-        likely = materialise(sided.filter(close).select("a", "b"), "likely")
-        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         nodes = materialise(nodes.join(classes.select("node", "h1", "h2"), "node"), "nodes")
         table = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(nodes, "h1")))
 
@@ -161,19 +155,20 @@ def _verifier(docs: DataFrame, classes: DataFrame, text: str):
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = []
+                shares = []
                 for x, y in zip(column(batch, "set_a"), column(batch, "set_b")):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                    shares.append(both / (len(x) + len(y) - both))
+                rows = [batch.column(0), batch.column(1), pa.array(shares, pa.float64())]
+                yield pa.RecordBatch.from_arrays(rows, ["a", "b", "share"])
 
-        sided = likely
+        sided = pairs
         for side in "ab":
             own = full.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}"))
             sided = sided.join(own, side)
         sided = sided.select("a", "b", "set_a", "set_b")
-        return sided.mapInArrow(compare, "a long, b long")
+        return sided.mapInArrow(compare, "a long, b long, share double")
 
     return verify
 
@@ -194,11 +189,14 @@ def components(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     )
     classes = materialise(classes, "representatives")
 
-    def near_enough(a: str, b: str) -> F.Column:
-        least, most = F.least(a, b), F.greatest(a, b)
-        return DENOMINATOR * least >= NUMERATOR * most
+    def plausible(x, y) -> F.Column:
+        """Sizes that fit, then the union-sketch estimate."""
+        least, most = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
+        close = _estimate(x("sketch"), y("sketch")) >= THRESHOLD - SLACK
+        return (DENOMINATOR * least >= NUMERATOR * most) & close
 
-    comps = linked(_lists(classes), _verifier(docs, classes, text), near_enough)
+    traits = classes.select("node", "n", "sketch")
+    comps = linked(_lists(classes), _verifier(docs, classes, text), THRESHOLD, traits, plausible)
     named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = base.join(named.select("h1", "h2", "comp"), ["h1", "h2"], "left")
     rows = rows.withColumn("comp", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("row")))
