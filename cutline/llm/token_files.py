@@ -22,7 +22,6 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cutline.llm.batches import column, slices
+from cutline.llm.batches import column, offsets, slices
 from cutline.session import scratch_dir
 
 MAGIC = b"TOKBLK1\n"
@@ -39,12 +38,19 @@ BLOCK_BYTES = 4 << 20  # raw ids per block
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8 << 20  # bound of the dictionary's training sample
 TABLE_CHUNKS = 500_000
-# Before a blank that stands right before a visible character the pretokenizer always cuts.
-CUT = re.compile(r" (?=\S)")
+TOGETHER = 1000  # new stretches that are encoded as one text
+# Bytes behind a blank before which the pretokenizer certainly cuts: visible ASCII, and lead bytes of
+# characters among which there is no white space.
+VISIBLE = np.zeros(256, bool)
+VISIBLE[33:127] = VISIBLE[0xC3:0xE1] = VISIBLE[0xE4:] = True
 
 
 class ChunkTable(dict):
-    """Ids per distinct stretch between two certain cuts of a byte-level tokenizer."""
+    """Ids per distinct stretch between two certain cuts of a byte-level tokenizer.
+
+    Every blank before a visible character opens a stretch. Stretches are found in arrays of bytes, each
+    distinct one is encoded once, and ids are put back by position.
+    """
 
     def __init__(self, path: str, limit: int = TABLE_CHUNKS):
         from tokenizers import Tokenizer
@@ -55,27 +61,59 @@ class ChunkTable(dict):
         self.model = Tokenizer.from_file(path)
         added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character stands for a byte
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, np.uint32) for c in coded]
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _of(self, chunks: list[bytes]) -> list[np.ndarray]:
         if len(self) > self.limit:
             self.clear()
-        cuts: list[list[str]] = []
-        for text in texts:
-            if not text:
-                cuts.append([])
-            elif self.special and self.special.search(text):
-                cuts.append([text])  # special strings cut first: left to the library as a whole
-            else:
-                head, *rest = CUT.split(text)
-                cuts.append([*([head] if head else []), *[" " + w for w in rest]])
-        new = [w for w in {*chain.from_iterable(cuts)} if w not in self]
-        self.update(zip(new, self._plain(new) if new else []))
-        none, get = np.zeros(0, np.uint32), self.__getitem__
-        return [np.concatenate([get(w) for w in c]) if c else none for c in cuts]
+        new = [c for c in chunks if c not in self]
+        # Stretches that open with a blank are cut apart wherever they stand side by side, so
+        # many go to the library as one text; the bytes of each id tell where a stretch ends.
+        spaced = [c for c in new if c[0] == 32]
+        groups = [spaced[k : k + TOGETHER] for k in range(0, len(spaced), TOGETHER)]
+        for group, ids in zip(groups, self._plain([b"".join(g).decode() for g in groups])):
+            ends = np.cumsum(self.bytes_of[ids])
+            at = np.searchsorted(ends, np.cumsum(list(map(len, group)))) + 1
+            self.update(zip(group, np.split(ids, at[:-1])))
+        first = [c for c in new if c[0] != 32]
+        self.update(zip(first, self._plain([c.decode() for c in first])))
+        return [self[c] for c in chunks]
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text. Special strings cut first: such a text is left to the library as a whole."""
+        whole = [bool(t and self.special and self.special.search(t)) for t in texts]
+        raw = [t.encode() if t and not w else b"" for t, w in zip(texts, whole)]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = offsets(map(len, raw))
+        if len(data):
+            opens = data == 32
+            opens[:-1] &= VISIBLE[data[1:]]
+            opens[-1] = False
+            opens[ends[:-1][np.diff(ends) > 0]] = True
+            starts = np.flatnonzero(opens)
+            runs = np.append(starts, len(data)).astype(np.int32)
+            buffers = [None, pa.py_buffer(runs), pa.py_buffer(data)]
+            chunks = pa.Array.from_buffers(pa.binary(), len(starts), buffers).dictionary_encode()
+            found = self._of(chunks.dictionary.to_pylist())
+            at, sizes = offsets(map(len, found)), np.array(list(map(len, found)), np.int64)
+            number = chunks.indices.to_numpy()
+            places = offsets(sizes[number])
+            flat = np.concatenate(found)
+            take = np.arange(places[-1]) + np.repeat(at[number] - places[:-1], sizes[number])
+            cuts = places[np.searchsorted(starts, ends)]
+            flat = flat[take]
+        else:
+            flat, cuts = np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        out = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._plain([texts[k]])[0]
+        return out
 
 
 def _tokenizer(path: str | None) -> str:
