@@ -49,5 +49,14 @@ def contains_ignore_case(col: Column | str, needle: str) -> Column:
 
 
 def request_key(prefix: str, *cols: str) -> Column:
-    """Reuse key of a request: equal keys get equal answers."""
-    return F.concat_ws("_", F.lit(prefix), *[F.col(c).cast("string") for c in cols])
+    """Reuse key of a request: equal keys get equal answers.
+
+    Parts are joined by ``_``. A ``_`` or ``\\`` inside a part is escaped and NULL is ``\\N``, so
+    different requests never share a key.
+    """
+
+    def part(name: str) -> Column:
+        text = F.regexp_replace(F.col(name).cast("string"), r"([\\_])", r"\\$1")
+        return F.coalesce(text, F.lit("\\N"))
+
+    return F.concat_ws("_", F.lit(prefix), *[part(c) for c in cols])

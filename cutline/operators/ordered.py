@@ -7,20 +7,16 @@ sum over the bucket sizes (map-side combined, few rows) gives each bucket its of
 and only one bucket of one group is sorted by one task.
 
 Buckets cannot split equal values. :func:`running_counts` therefore works on one count
-per distinct value. The operators that number rows look at the largest bucket first: up
-to ``TASK_ROWS`` they sort the rows of a bucket, which costs one shuffle; beyond it they
-take the counts per value and join them back.
+per distinct value, and the operators that number rows join the counts back. There is
+one path for every size: bucket sizes cannot change a result. NULL sorts first and NaN
+last, as in Spark's own ascending windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutline.session import materialise, observed
-
-# Rows of one bucket that one task may sort.
-TASK_ROWS = 4_000_000
 
 # Buckets per unit of ln(1 + |x|), one for this many rows and within these limits. Ranks
 # up to a million span 14 units, probabilities 0.7.
@@ -28,16 +24,20 @@ ROWS_PER_STEP = 100_000
 COARSEST, FINEST = 16, 1 << 20
 
 
+LAST = 1 << 60  # bucket behind (and, negative, before) those of all numbers
+
+
 def fitted_resolution(df: DataFrame) -> int:
     """Buckets as fine as the number of rows asks for (of a written table: its footers)."""
     return min(FINEST, max(COARSEST, df.count() // ROWS_PER_STEP))
 
 
 def number_bucket(value: Column, resolution: int = COARSEST) -> Column:
-    """Bucket number that never falls as ``value`` rises."""
+    """Bucket number that never falls as ``value`` rises: NULL first, NaN last, as Spark sorts."""
     v = value.cast("double")
-    size = F.floor(F.log1p(F.abs(v)) * resolution)
-    return F.when(v < 0, -size).otherwise(size).cast("long")
+    size = F.least(F.floor(F.log1p(F.abs(v)) * resolution), F.lit(LAST - 1))
+    finite = F.when(v < 0, -size).otherwise(size).cast("long")
+    return F.when(v.isNull(), -LAST).when(F.isnan(v), LAST).otherwise(finite)
 
 
 def text_bucket(value: Column, width: int = 4) -> Column:
@@ -120,35 +120,17 @@ def _offsets(cut: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _measured_offsets(cut: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """The offsets as a written table, and the rows of the largest bucket."""
-    seen = Observation()
-    largest = F.max("__size").alias("largest")
-    offsets = materialise(_offsets(cut, keys).observe(seen, largest), "offsets")
-    return offsets, observed(seen, "largest") or 0
-
-
 def with_percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds ``percent_rank()`` of ``value`` within ``keys`` (0 for a group of one).
 
-    ``df`` is read for the sizes and for the rows: pass a written table.
+    As in Spark's own window, NULL counts as the least value and NaN as the greatest. One row per
+    (keys, value) is counted and joined back, so a hot value only makes a long left side, which the
+    adaptive skew join splits. ``df`` is read twice: pass a written table.
     """
-    resolution = fitted_resolution(df)
-    cut = df.withColumn("__bucket", number_bucket(F.col(value), resolution))
-    offsets, largest = _measured_offsets(cut, keys)
-    bucket_keys = [*keys, "__bucket"]
-    if largest <= TASK_ROWS:
-        within = F.rank().over(Window.partitionBy(*bucket_keys).orderBy(value)) - 1
-        placed = match_null_safe(cut.withColumn("__in", within), offsets, bucket_keys, "left")
-        below, total = F.col("__in") + F.col("__off"), F.col("__total")
-    else:
-        # One row per (keys, value) on the right: a hot value only makes a long left
-        # side, which the adaptive skew join splits.
-        known = df.filter(F.col(value).isNotNull())
-        counts = running_counts(known, keys, value, resolution=resolution)
-        placed = match_null_safe(df, counts, [*keys, value], "left")
-        below, total = F.col("n_below"), F.col("n_total")
-    share = F.when(total == 1, F.lit(0.0)).otherwise(below / (total - 1))
+    counts = running_counts(df, keys, value, resolution=fitted_resolution(df))
+    placed = match_null_safe(df, counts, [*keys, value], "left")
+    total = F.col("n_total")
+    share = F.when(total == 1, F.lit(0.0)).otherwise(F.col("n_below") / (total - 1))
     return placed.select(*df.columns, share.alias(out))
 
 
@@ -159,20 +141,15 @@ def with_position(
     tie_break: list[str],
     out: str = "pos",
 ) -> DataFrame:
-    """Adds the 1-based position by (value, tie_break) within ``keys``.
+    """Adds the 1-based position by (value, tie_break) within ``keys``, NULL first and NaN last.
 
     Tree models predict the same number for many rows, so equal values may be a large
-    share of a group. Where a bucket is too large to sort, the running count goes down
-    to the first tie-break column, and only rows that are equal in it as well are
-    numbered together. ``df`` is read several times: pass a written table.
+    share of a group. The running count goes down to the first tie-break column, and only
+    rows that are equal in it as well are numbered together. ``df`` is read twice: pass a
+    written table.
     """
-    order = [value, *tie_break]
+    finest = [*keys, value, *tie_break[:1]]
     resolution = fitted_resolution(df)
-    cut = df.withColumn("__bucket", number_bucket(F.col(value), resolution))
-    offsets, largest = _measured_offsets(cut, keys)
-    if largest <= TASK_ROWS:
-        return _number_in_buckets(df, cut, offsets, keys, order, out)
-    finest = [*keys, *order[:2]]
     stats = running_counts(df, keys, value, then=tie_break[:1], resolution=resolution)
     stats = stats.select(*finest, "n_below")
     rest = Window.partitionBy(*finest).orderBy(*(tie_break[1:] or tie_break))

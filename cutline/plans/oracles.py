@@ -266,17 +266,18 @@ FROM yearly""",
   round(closing_rank_mean, 4) AS category_avg_rank
 FROM lagged l JOIN seat_trend t ON {same("l", "t", SEAT)}""",
     "comedk_features_as_of": f"""SELECT {SEAT}, year AS year, closing_rank,
-  round(coalesce(lagged_rank, avg(lagged_rank) OVER (PARTITION BY {SEAT}), closing_rank), 4)
-    AS prev_year_closing_rank,
+  (SELECT round(arg_max(o.closing_rank, o.year), 4) FROM yearly o
+    WHERE {same("o", "l", SEAT)} AND o.year < l.year) AS prev_year_closing_rank,
   round(avg(closing_rank) OVER w, 4) AS closing_rank_mean,
   round(coalesce(stddev_samp(closing_rank) OVER w, 0), 4) AS closing_rank_std,
   min(closing_rank) OVER w AS closing_rank_min, max(closing_rank) OVER w AS closing_rank_max,
   max(closing_rank) OVER w - min(closing_rank) OVER w AS rank_trend,
   count(year) OVER w AS years_available, max(year) OVER w AS latest_year,
   min(year) OVER w AS earliest_year,
-  round(avg(closing_rank) OVER (PARTITION BY college_name, year), 4) AS college_avg_rank,
+  (SELECT round(avg(o.closing_rank), 4) FROM yearly o
+    WHERE o.college_name = l.college_name AND o.year < l.year) AS college_avg_rank,
   round(avg(closing_rank) OVER w, 4) AS category_avg_rank
-FROM lagged WINDOW w AS (PARTITION BY {SEAT} ORDER BY year
+FROM yearly l WINDOW w AS (PARTITION BY {SEAT} ORDER BY year
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "history_list": f"""SELECT {SEAT},
   string_agg(CAST(CAST(closing_rank AS BIGINT) AS VARCHAR), ',' ORDER BY year) AS history
@@ -400,8 +401,8 @@ cou AS (SELECT DISTINCT upper(course) AS course_name FROM fx_ranked)
 SELECT category, base_category, college_name, course_name, 2002 AS year FROM ctx, col, cou""",
     "neet_candidates": """
 ctx AS (SELECT DISTINCT category FROM fx_requests)
-SELECT category, value AS institute, 'MBBS' AS course, 2002 AS year FROM ctx, known_values
-WHERE value <> '__UNKNOWN__'""",
+SELECT category, value AS institute, 'MBBS' AS course, 2002 AS year
+FROM ctx, (SELECT DISTINCT upper(institute) AS value FROM fx_ranked)""",
     "tier_probability": """
 r AS (SELECT institute, course, category, round(eligibility_prob, 4) AS eligibility_prob
   FROM fx_scored)

@@ -471,9 +471,10 @@ def vocab_build(spark, sf_dir):
     return vocab.build_vocabulary(materialise(names, "names"), "institute")
 
 
-def _known_institutes(spark, sf_dir):
-    """Vocabulary of all regions but one, so that the others' institutes are unseen."""
-    seats = view(spark, sf_dir, "fx_ranked").filter(F.col("region") != MARKER)
+def _known_institutes(spark, sf_dir, every=False):
+    """Vocabulary of all institutes, or of all regions but one, so that some are unseen."""
+    seats = view(spark, sf_dir, "fx_ranked")
+    seats = seats if every else seats.filter(F.col("region") != MARKER)
     seen = materialise(seats.select("institute").distinct(), "names")
     return materialise(vocab.build_vocabulary(seen, "institute", with_unknown=True), "vocab")
 
@@ -528,7 +529,8 @@ def union_years(spark, sf_dir):
         return rows if year % 2 else rows.select(*reversed(rows.columns))
 
     empty = "institute STRING, course STRING, category STRING, rank DOUBLE, year INT"
-    return readers.read_years(spark, range(1990, 2010), one_year, empty)
+    years = spark.read.parquet(path).select("part").distinct().collect()  # from directory names
+    return readers.read_years(spark, sorted(r.part for r in years), one_year, empty)
 
 
 @query
@@ -674,7 +676,8 @@ def kcet_grid(spark, sf_dir):
 @query
 def neet_candidates(spark, sf_dir):
     contexts = _requests(spark, sf_dir).select("category").distinct()
-    return recommend.neet_candidates(contexts, _known_institutes(spark, sf_dir), TARGET_YEAR)
+    known = _known_institutes(spark, sf_dir, every=True)
+    return recommend.neet_candidates(contexts, known, TARGET_YEAR)
 
 
 @query

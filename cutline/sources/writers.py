@@ -6,8 +6,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on tasks that write into one partition directory.
-FILES_PER_PARTITION = 16
 
 
 def write_parquet(
@@ -26,8 +24,7 @@ def write_parquet(
         df.write.mode("overwrite").parquet(path)
         return
     if files_per_partition > 1:
-        spread = min(files_per_partition, FILES_PER_PARTITION)
-        slot = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+        slot = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
         df = df.repartition(*partition_by, slot)
     else:
         df = df.hint("rebalance", *partition_by)

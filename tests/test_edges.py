@@ -309,3 +309,30 @@ def test_metrics_on_known_rows(spark):
     assert one_class.auc is None and one_class.n_positive == 2
     weights = sampling.with_class_weight(df.union(df.filter("label = 0")), "label")
     assert rows(weights.select("label", "weight").distinct()) == [(0, 1.0), (1, 2.0)]
+
+
+def test_request_keys_do_not_collide(spark):
+    from cutline.functions.text import request_key
+
+    rows = [("A", None, "B"), ("A", "B", None), ("A_B", "", "C"), ("A", "B_", "C"), ("A", "B", "C"), ("A", "\\N", "B")]
+    df = spark.createDataFrame(rows, "a STRING, b STRING, c STRING")
+    keys = [r.k for r in df.select(request_key("jee", "a", "b", "c").alias("k")).collect()]
+    assert len(set(keys)) == len(rows) and "jee_A_B_C" in keys
+
+
+def test_as_of_features_do_not_see_their_own_rank(spark):
+    from cutline.operators import features
+
+    rows = [("c", "k", "GM", y, r) for y, r in ((2020, 10.0), (2021, 20.0), (2022, 40.0))] + [("c", "m", "GM", 2021, 7.0)]
+    names = "college_name STRING, course_name STRING, category STRING, year INT, closing_rank DOUBLE"
+
+    def of(values):
+        got = features.comedk_features(spark.createDataFrame(values, names), as_of=True).collect()
+        return {(r.course_name, r.year): {k: v for k, v in r.asDict().items() if k != "closing_rank"} for r in got}
+
+    before = of(rows)
+    for k, (*seat, rank) in enumerate(rows):
+        changed = of([*rows[:k], (*seat, rank + 1000), *rows[k + 1 :]])
+        assert changed[seat[1], seat[3]] == before[seat[1], seat[3]]
+    assert before["k", 2020]["prev_year_closing_rank"] is None
+    assert before["k", 2022]["college_avg_rank"] == pytest.approx(37 / 3)

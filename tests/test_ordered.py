@@ -47,9 +47,9 @@ def test_running_counts(spark, sample):
             assert got[(key, value)] == want
 
 
-@pytest.mark.parametrize("task_rows", [10**9, 10])
-def test_percent_rank_equals_window(spark, sample, monkeypatch, task_rows):
-    monkeypatch.setattr(ordered, "TASK_ROWS", task_rows)
+@pytest.mark.parametrize("step_rows", [10**9, 10])
+def test_percent_rank_equals_window(spark, sample, monkeypatch, step_rows):
+    monkeypatch.setattr(ordered, "ROWS_PER_STEP", step_rows)
     sample.createOrReplaceTempView("sample_rows")
     want = spark.sql(
         "SELECT id, percent_rank() OVER (PARTITION BY k ORDER BY v) AS p FROM sample_rows"
@@ -65,9 +65,9 @@ def test_percent_rank_of_one_row(spark):
     assert with_percent_rank(df, ["k"], "v", "p").first().p == 0.0
 
 
-@pytest.mark.parametrize("task_rows", [10**9, 10])
-def test_positions_equal_window(spark, sample, monkeypatch, task_rows):
-    monkeypatch.setattr(ordered, "TASK_ROWS", task_rows)
+@pytest.mark.parametrize("step_rows", [10**9, 10])
+def test_positions_equal_window(spark, sample, monkeypatch, step_rows):
+    monkeypatch.setattr(ordered, "ROWS_PER_STEP", step_rows)
     sample.createOrReplaceTempView("sample_rows")
     want = spark.sql(
         "SELECT id, row_number() OVER (PARTITION BY k ORDER BY v, id) AS pos FROM sample_rows"
@@ -138,9 +138,9 @@ def test_grid(spark):
     assert cells.distinct().count() == 700
 
 
-@pytest.mark.parametrize("task_rows", [10**9, 10])
-def test_positions_with_long_ties(spark, monkeypatch, task_rows):
-    monkeypatch.setattr(ordered, "TASK_ROWS", task_rows)
+@pytest.mark.parametrize("step_rows", [10**9, 10])
+def test_positions_with_long_ties(spark, monkeypatch, step_rows):
+    monkeypatch.setattr(ordered, "ROWS_PER_STEP", step_rows)
     df = spark.range(600).select(
         F.lit("c").alias("k"),
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(5).cast("double").alias("v"),
@@ -156,3 +156,16 @@ def test_no_cross_join_or_whole_group_window(spark, sample):
     df = with_percent_rank(sample, ["k"], "v", "p")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_null_first_and_nan_last(spark):
+    values = [5.0, None, 7.0, float("nan"), None, float("inf"), -float("inf"), float("nan"), -1.0, 7.0]
+    df = spark.createDataFrame(list(enumerate(values)), "id INT, v DOUBLE").withColumn("k", F.lit("a"))
+    df.createOrReplaceTempView("odd_rows")
+    want = spark.sql(
+        "SELECT id, row_number() OVER (ORDER BY v, id) AS pos, percent_rank() OVER (ORDER BY v) AS p FROM odd_rows"
+    ).collect()
+    places = {r.id: r.pos for r in with_position(df, ["k"], "v", ["id"]).collect()}
+    shares = {r.id: r.p for r in with_percent_rank(df, ["k"], "v", "p").collect()}
+    assert places == {r.id: r.pos for r in want}
+    assert shares == pytest.approx({r.id: r.p for r in want})
