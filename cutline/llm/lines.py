@@ -32,6 +32,7 @@ SIZE = 8  # bytes of a shingle: it fills one 64-bit number, so sets are exact
 BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 AGREE = 20  # equal minima of 40 that make a pair plausible
+BLOCK = 1 << 18  # shingles hashed at a time, so that they stay in cache
 SHORT = [f"s{k}" for k in range(BANDS * ROWS // 8)]
 
 
@@ -48,12 +49,11 @@ def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not lines:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     lines = [padded(x) for x in lines]
-    data = np.frombuffer(b"".join(lines), np.uint8)
+    joined = b"".join(lines)
     ends = offsets(map(len, lines))
-    code = np.zeros(len(data) - SIZE + 1, np.uint64)
-    for k in range(SIZE):
-        code = code << np.uint64(8) | data[k : len(data) - SIZE + 1 + k]
-    inside = np.ones(len(data), bool)
+    # Eight bytes from every place on, read as one number.
+    code = np.ndarray(len(joined) - SIZE + 1, ">u8", joined, strides=(1,)).astype(np.uint64)
+    inside = np.ones(len(joined), bool)
     for k in range(1, SIZE):
         inside[ends[1:] - k] = False
     return code[inside[: len(code)]], ends - np.arange(len(ends)) * (SIZE - 1)
@@ -72,16 +72,28 @@ def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per line its band keys, and a byte of each minimum, eight to a number."""
     keys = np.zeros((len(lines), BANDS), np.uint64)
     short = np.zeros((len(lines), BANDS * ROWS), np.uint8)
-    if lines:
-        code, starts = shingles(lines)
-        low = mix(code).astype(np.uint32)
+    code, starts = shingles(lines)
+    low = mix(code).astype(np.uint32)
+    sizes = np.diff(starts)
+    order, first = np.argsort(sizes, kind="stable"), 0
+    while first < len(lines):
+        # Lines of like length side by side; a shorter one repeats its last shingle.
+        some = order[first : first + max(1, BLOCK // sizes[order[first]])]
+        most = sizes[some].cumsum().searchsorted(BLOCK, "right")
+        some = some[: max(1, most)]
+        first += len(some)
+        at = np.minimum(np.arange(sizes[some[-1]])[:, None], sizes[some] - 1) + starts[some]
+        part = low[at]
+        hashed = np.empty_like(part)
         for band in range(BANDS):
-            key = np.full(len(lines), band + 1, np.uint64)
+            key = np.full(len(some), band + 1, np.uint64)
             for k in range(band * ROWS, band * ROWS + ROWS):
-                least = np.minimum.reduceat(low * FACTORS[k] + SHIFTS[k], starts[:-1])
+                np.multiply(part, FACTORS[k], out=hashed)
+                np.add(hashed, SHIFTS[k], out=hashed)
+                least = hashed.min(axis=0)
                 key = mix(key * MIX + least)
-                short[:, k] = mix(least.astype(np.uint64)) & np.uint64(255)
-            keys[:, band] = key
+                short[some, k] = mix(least.astype(np.uint64)) & np.uint64(255)
+            keys[some, band] = key
     return keys.view(np.int64), short.view(np.int64)
 
 
@@ -112,12 +124,15 @@ def _doc(doc: str, text: str) -> list[F.Column]:
 
 
 def occurrences(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """A row per line with a word: h1, h2 (128 bits of the line), doc, digest, at."""
+    """A row per line with a word: h1, h2 (128 bits of the line), doc, digest, at.
+
+    The first row of each distinct line of a run also has keys and s0..: its band keys and short signature.
+    """
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
+            ids, digests = batch.column(0), batch.column(1)
             for first, texts in slices(batch, "text"):
                 lines, of, at = [], [], []
                 for k, t in enumerate(texts):
@@ -126,20 +141,32 @@ def occurrences(docs: DataFrame, doc: str, text: str) -> DataFrame:
                             lines.append(plain(line))
                             of.append(first + k)
                             at.append(i)
-                h, of = _digests(lines), pa.array(of, pa.int64())
+                place: dict[bytes, int] = {}
+                which = np.array([place.setdefault(x, len(place)) for x in lines], np.int64)
+                once = list(place)
+                h, of = _digests(once)[which], pa.array(of, pa.int64())
+                repeat = np.ones(len(lines), bool)
+                repeat[np.unique(which, return_index=True)[1]] = False
+                signed = pa.array(which, mask=repeat)
+                keys, short = signatures(once)
+                ends = pa.array(np.arange(len(once) + 1, dtype=np.int32) * BANDS)
+                bands = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h[:, 0]),
                         pa.array(h[:, 1]),
                         ids.take(of),
-                        keys.take(of),
+                        digests.take(of),
                         pa.array(at, pa.int32()),
+                        bands.take(signed),
+                        *[pa.array(short[:, k]).take(signed) for k in range(len(SHORT))],
                     ],
-                    ["h1", "h2", "doc", "digest", "at"],
+                    ["h1", "h2", "doc", "digest", "at", "keys", *SHORT],
                 )
 
     picked = docs.select(*_doc(doc, text), F.col(text).alias("text"))
-    return picked.mapInArrow(run, f"h1 long, h2 long, doc {kind}, digest long, at int")
+    fields = f"h1 long, h2 long, doc {kind}, digest long, at int, keys array<long>, "
+    return picked.mapInArrow(run, fields + ", ".join(f"{c} long" for c in SHORT))
 
 
 def _distinct_lines(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
@@ -154,25 +181,6 @@ def _distinct_lines(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, fields)
 
 
-def _signed_lines(docs: DataFrame, text: str) -> DataFrame:
-    """(node, keys, s0..): number, band keys and short signature of each distinct line of a run."""
-
-    def make(lines: list[bytes]) -> pa.RecordBatch:
-        keys, short = signatures(lines)
-        ends = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * BANDS)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(_digests(lines)[:, 0]),
-                pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1))),
-                *[pa.array(short[:, k]) for k in range(len(SHORT))],
-            ],
-            ["node", "keys", *SHORT],
-        )
-
-    fields = "node long, keys array<long>, " + ", ".join(f"{c} long" for c in SHORT)
-    return _distinct_lines(docs, text, fields, make)
-
-
 def _lists(signed: DataFrame) -> DataFrame:
     """(key, node, rank) for the band keys that two different lines hold.
 
@@ -200,38 +208,40 @@ def _lists(signed: DataFrame) -> DataFrame:
     return some.join(shared, "key").distinct().withColumn("rank", F.lit(0).cast("long"))
 
 
-def _verifier(docs: DataFrame, text: str):
-    """Adds to pairs (a, b) of lines the similarity of their shingle sets."""
+def _texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+    """(node, line) of the lines that ``nodes`` names."""
+    table = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(nodes, "node")))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        nodes = materialise(nodes, "nodes")
-        table = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(nodes, "node")))
-
-        def pick(lines: list[bytes]) -> pa.RecordBatch:
-            h = _digests(lines)
-            at = np.flatnonzero(has_bit(np.unpackbits(table.value).view(bool), h[:, 0]))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h[at, 0]),
-                    pa.array(h[at, 1]),
-                    pa.array([lines[k] for k in at], pa.binary()),
-                ],
-                ["node", "h2", "line"],
-            )
+    def pick(lines: list[bytes]) -> pa.RecordBatch:
+        h = _digests(lines)
+        at = np.flatnonzero(has_bit(np.unpackbits(table.value).view(bool), h[:, 0]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(h[at, 0]),
+                pa.array(h[at, 1]),
+                pa.array([lines[k] for k in at], pa.binary()),
+            ],
+            ["node", "h2", "line"],
+        )
+
+    texts = _distinct_lines(docs, text, "node long, h2 long, line binary", pick)
+    return texts.join(nodes, "node").groupBy("node").agg(F.min_by("line", "h2").alias("line"))
 
-        texts = _distinct_lines(docs, text, "node long, h2 long, line binary", pick)
-        texts = texts.join(nodes, "node").groupBy("node").agg(F.min_by("line", "h2").alias("line"))
-        texts = materialise(texts, "texts")
 
+def _verifier(texts: DataFrame):
+    """Adds to pairs (a, b) of lines the similarity of their shingle sets."""
+
+    def verify(pairs: DataFrame) -> DataFrame:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets: dict[bytes, frozenset[bytes]] = {}
+                sets: dict[bytes, np.ndarray] = {}
                 shares = []
-                for x, y in zip(column(batch, "line_a"), column(batch, "line_b")):
-                    x = sets.get(x) or sets.setdefault(x, shingle_set(x))
-                    y = sets.get(y) or sets.setdefault(y, shingle_set(y))
-                    both = len(x & y)
+                for pair in zip(column(batch, "line_a"), column(batch, "line_b")):
+                    for line in pair:
+                        if line not in sets:
+                            sets[line] = np.unique(shingles([line])[0])
+                    x, y = sets[pair[0]], sets[pair[1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
                     shares.append(both / (len(x) + len(y) - both))
                 rows = [batch.column(0), batch.column(1), pa.array(shares, pa.float64())]
                 yield pa.RecordBatch.from_arrays(rows, ["a", "b", "share"])
@@ -255,11 +265,12 @@ def duplicate_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "digest", "at")
     per_line = seen.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     per_line = materialise(per_line, "lines")
-    signed = materialise(_signed_lines(docs, text), "signed")
+    signed = seen.filter("keys IS NOT NULL").select(F.col("h1").alias("node"), "keys", *SHORT)
     lists = materialise(_lists(signed), "lists")
     traits = signed.join(lists.select("node").distinct(), "node", "left_semi")
     traits = materialise(traits.groupBy("node").agg(*[F.min(c).alias(c) for c in SHORT]), "traits")
-    comps = linked(lists, _verifier(docs, text), THRESHOLD, traits, _plausible)
+    texts = materialise(_texts(docs, text, traits.select("node")), "texts")
+    comps = linked(lists, _verifier(texts), THRESHOLD, traits, _plausible)
     grouped = per_line.join(comps.withColumnRenamed("node", "h1"), "h1")
     single = grouped.groupBy("h1").agg(F.min("h2").alias("h2"))
     grouped = materialise(grouped.join(single, ["h1", "h2"]).select("h1", "h2", "first", "comp"), "grouped")
