@@ -43,6 +43,7 @@ from cutline.session import materialise
 WORDS, KEPT, SHARED = 5, 64, 28
 NUMERATOR, DENOMINATOR = 75, 100
 THRESHOLD = NUMERATOR / DENOMINATOR
+SIGN = np.uint64(1 << 63)  # flipped in sketches: their signed order is the order of the hashes
 # Union-sketch estimates this far below the threshold (five standard deviations of 64 draws at
 # 0.75) are not verified.
 SLACK = 0.27
@@ -84,7 +85,7 @@ def sketches(docs: DataFrame, doc: str, text: str) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(h[:, 0]),
                         pa.array(h[:, 1]),
-                        pa.array([s[:KEPT].view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
+                        pa.array([(s[:KEPT] ^ SIGN).view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
                     ],
                     ["row", "doc", "digest", "n", "h1", "h2", "sketch"],
                 )

@@ -98,6 +98,18 @@ def test_op7_families_and_edges(spark, tmp_path):
     assert near.op7_bottom_k(spark, save(no_docs(spark), tmp_path / "n")).count() == 0
 
 
+def test_op7_unequal_sizes_near_the_threshold(spark, tmp_path):
+    """Sets a little above a sketch in size, one the longer by a third: 0.75 to 0.78."""
+    rows = []
+    for k in range(400):
+        long = 84 + 4 * (k % 12)
+        short = -(-long * (75 + k % 4) // 100)
+        words = [f"p{k}w{j}" for j in range(long + 4)]
+        rows += [(2 * k, " ".join(words), "en", "s", 0), (2 * k + 1, " ".join(words[: short + 4]), "en", "s", 0)]
+    got = check_op7(spark, save(spark.createDataFrame(rows, SCHEMA), tmp_path), rows)
+    assert sum(r.kept for r in got) == 400
+
+
 def test_op7_documents(spark):
     left = near.documents(clashing(edge_docs(spark), "node", "comp", "digest")).collect()
     words = [r.text for r in left if (r.text or "").encode().split()]
