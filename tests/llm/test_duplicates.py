@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import pytest
-
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cutline.llm import graph, lines, near, templates
@@ -234,6 +234,18 @@ def test_op2_templates(spark):
     assert left.columns == docs.columns
 
 
+def test_op2_items_of_one_template(spark):
+    """Every item is found by its own copy, whichever of its numbers are equal."""
+    make = "A farmer sells {} apples and {} pears at the market on monday and then buys {} bags of corn".format
+    values = [(3, 3, 3), (3, 5, 5), (3, 5, 3), (3, 3, 5), (3, 5, 7), (9, 9, 9)]
+    items = spark.createDataFrame([(k, make(*v)) for k, v in enumerate(values)], "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("some words before. "), "text").alias("text"))
+    found = {(r.doc, r.item): r.n_changed for r in templates.matches(docs, items).collect()}
+    assert all(found[k, k] == 0 for k in range(5)) and (5, 0) in found
+    assert {i for _, i in found} == set(range(5))  # the last item is in the class of the first
+    assert templates.decontaminate(docs, items).count() == 0
+
+
 def test_op2_large_benchmark_and_empty(spark, monkeypatch, tmp_path):
     docs = spark.createDataFrame([(1, prose(40, 1)), (2, prose(40, 2))], "doc_id long, text string")
     items = spark.createDataFrame([(1, prose(40, 1)), (2, "")], "item_id long, text string")
