@@ -246,6 +246,29 @@ def test_op2_items_of_one_template(spark):
     assert templates.decontaminate(docs, items).count() == 0
 
 
+DENSE = [
+    "What is 12 + 34 - 5 * 6?",
+    "What is 12 + 34 - 5 * 7?",
+    "Add 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg then 10 kg",
+    "Rows 1 2 3 4 5 6 7 8 9 10 11 12 13 of the table in the annex show how many tons of grain were sold in may",
+]
+
+
+def test_op2_dense_items_and_opening_names(spark):
+    people = "Martha has 12 small red apples today. Martha gives 5 apples to him now. Martha buys 7 more of them."
+    items = spark.createDataFrame([*enumerate(DENSE), (10, people)], "item_id long, text string")
+    other = "some words of another kind stand here before it. "
+    texts = [other + t + " and more words" for t in DENSE] + [other + "what is 12 + 34 - 5 * 8?"]
+    texts += [other + people.replace("Martha", "Oliver"), other + people.replace("Martha", "Oliver", 1)]
+    texts += [other + DENSE[3].replace("13", "99")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc, r.item): r.n_changed for r in templates.matches(docs, items).collect()}
+    assert {k: found.get((k, k)) for k in range(4)} == dict.fromkeys(range(4), 0)
+    assert not any(d == 4 or d < 2 and i < 2 and d != i for d, i in found)
+    assert found[5, 10] == 1  # the name
+    assert found[6, 10] == 0 and (7, 3) in found  # the rest is verbatim and long enough
+
+
 def test_op2_large_benchmark_and_empty(spark, monkeypatch, tmp_path):
     docs = spark.createDataFrame([(1, prose(40, 1)), (2, prose(40, 2))], "doc_id long, text string")
     items = spark.createDataFrame([(1, prose(40, 1)), (2, "")], "item_id long, text string")
