@@ -28,13 +28,14 @@ from cutline.session import materialise
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIMS = [f"v{k}" for k in range(5)]
-# Least standard deviation per statistic; differences below it are no reason to reject.
-FLOORS = [0.35, 0.12, 0.5, 0.5, 0.75]
+# Least standard deviation per statistic; differences below it are no reason to reject. That of the
+# last one lets a text with a fifth of its words in repeated windows be rejected for it alone.
+FLOORS = [0.35, 0.12, 0.5, 0.5, 0.65]
 BULK = 0.75
 # BULK / P(chi2 with 7 degrees < the BULK quantile of chi2 with 5): makes the estimate of a
 # normal sample's covariance consistent.
 CONSISTENCY = 1.4132
-CUTOFF = 45.0  # squared distance; a normal sample stays below it in all but one of 7e7 rows
+CUTOFF = 20.515  # squared distance: the 0.999 quantile of chi2 with 5 degrees
 STEPS = 4
 LEAST_ROWS = 50
 BINS = 32  # per unit of the logarithm of a squared distance

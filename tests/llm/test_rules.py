@@ -110,6 +110,20 @@ def test_op1_rejects_a_bad_cluster(spark):
     assert sum(got[k] for k in range(300)) >= 299
 
 
+def test_op1_rejects_for_one_statistic_alone(spark):
+    """Planted texts that differ from the bulk in their symbols or their repeats only."""
+    make = lambda k, n: [f"w{1000 * (k % 9 + 1) + j}a" for j in range(n)]
+    rows = [(k, " ".join(make(k, 60 + k % 90)), "en", "s", 0) for k in range(300)]
+    for k in range(5):
+        words = make(k, 90 + k)
+        rows.append((1000 + k, " ".join(words + words[:12]), "en", "s", 0))
+        rows.append((2000 + k, " ".join(w[:-1] + "|" for w in words), "en", "s", 0))
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[k].base_failed for k in got)
+    assert [k for k in got if k >= 1000 and got[k].kept] == []
+    assert sum(got[k].kept for k in range(300)) >= 299
+
+
 def test_op1_native_and_empty(spark, tmp_path):
     assert outliers.op1_outliers(spark, save(no_docs(spark), tmp_path)).count() == 0
     plan = outliers.with_statistics(edge_docs(spark))._jdf.queryExecution().toString()
