@@ -167,6 +167,19 @@ def test_op8(spark, tmp_path):
     assert sum(t != k[1] for k, t in want.items()) > 20
 
 
+def test_op8_bands_find_pairs_at_the_threshold():
+    """20,000 pairs of lines of similarity 0.8: each shares a band."""
+    both = []
+    for k in range(20_000):
+        digest = hashlib.sha256(str(k).encode()).hexdigest()
+        both += [digest[:39].encode(), (digest[:39] + digest[-8:]).encode()]
+    sets = [lines.shingle_set(x) for x in both[:2]]
+    assert len(sets[0] & sets[1]) == 0.8 * len(sets[0] | sets[1])
+    keys = lines.signatures(both)[0]
+    missed = int((keys[::2] != keys[1::2]).all(axis=1).sum())
+    assert missed <= 4, missed
+
+
 def test_op8_small(spark, tmp_path):
     rows = [
         (2, "Subscribe to our weekly newsletter today!\nunique words in this line here", "en", "s", 1),
