@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.operators.ordered import fitted_resolution, running_counts
+from cutline.operators.ordered import running_counts
 
 # Fixed values.
 RANK_TOLERANCES = [500, 1000, 2000]
@@ -33,13 +33,13 @@ def regression_report(df: DataFrame, truth: str, prediction: str) -> DataFrame:
 
 
 def exact_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve; equal scores count half. Pass a written table."""
+    """Area under the ROC curve; equal scores count half."""
     sides = {
         "pos": F.when(F.col(label) == 1, 1).otherwise(0),
         "neg": F.when(F.col(label) == 0, 1).otherwise(0),
     }
     known = df.filter(F.col(score).isNotNull())
-    stats = running_counts(known, [], score, sides, resolution=fitted_resolution(df))
+    stats = running_counts(known, [], score, sides)
     won = F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)
     pairs = F.max("pos_total").cast("double") * F.max("neg_total")
     return stats.agg(

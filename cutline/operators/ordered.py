@@ -2,14 +2,15 @@
 
 A plain ``percent_rank``/``row_number``/``median`` sends a whole group to one task, and
 the groups here are coarse: a cohort, a category, a label, or the whole table. These
-operators never do that. Values are cut into buckets that keep their order, a running
-sum over the bucket sizes (map-side combined, few rows) gives each bucket its offset,
-and only one bucket of one group is sorted by one task.
-
-Buckets cannot split equal values. :func:`running_counts` therefore works on one count
-per distinct value, and the operators that number rows join the counts back. There is
-one path for every size: bucket sizes cannot change a result. NULL sorts first and NaN
-last, as in Spark's own ascending windows.
+operators never do that. Rows are dealt to ranges of (keys, order) that Spark samples, so
+ranges hold like numbers of rows however narrow the values lie or however long their common
+beginning is. Each range is summed by itself; a prefix sum over the ranges, one row per
+range and group, gives each its start.
+
+Ranges cannot split equal rows. :func:`running_counts` therefore works on one count
+per distinct value, and :func:`with_percent_rank` joins the counts back; values that hold a large
+share of all rows are sent to the rows instead of the rows to them. There is one path for
+every size. NULL sorts first and NaN last, as in Spark's own windows.
 """
 
 from __future__ import annotations
@@ -17,32 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutline.session import materialise
 
-# Buckets per unit of ln(1 + |x|), one for this many rows and within these limits. Ranks
-# up to a million span 14 units, probabilities 0.7.
-ROWS_PER_STEP = 100_000
-COARSEST, FINEST = 16, 1 << 20
-
-
-LAST = 1 << 60  # bucket behind (and, negative, before) those of all numbers
-
-
-def fitted_resolution(df: DataFrame) -> int:
-    """Buckets as fine as the number of rows asks for (of a written table: its footers)."""
-    return min(FINEST, max(COARSEST, df.count() // ROWS_PER_STEP))
-
-
-def number_bucket(value: Column, resolution: int = COARSEST) -> Column:
-    """Bucket number that never falls as ``value`` rises: NULL first, NaN last, as Spark sorts."""
-    v = value.cast("double")
-    size = F.least(F.floor(F.log1p(F.abs(v)) * resolution), F.lit(LAST - 1))
-    finite = F.when(v < 0, -size).otherwise(size).cast("long")
-    return F.when(v.isNull(), -LAST).when(F.isnan(v), LAST).otherwise(finite)
-
-
-def text_bucket(value: Column, width: int = 4) -> Column:
-    """Prefix of a text; prefixes sort as their texts do."""
-    return F.substring(value, 1, width)
+# A value that holds more than one in so many rows is hot; there are fewer than that.
+HOT_SHARE = 1000
 
 
 def match_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"):
@@ -55,151 +34,127 @@ def match_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, cond, how).drop(*tag.values())
 
 
+def attach(df: DataFrame, facts: DataFrame, on: list[str], size: str = "n") -> DataFrame:
+    """``df`` with the facts of its group, NULL where there are none; NULL keys match.
+
+    ``facts`` has a row per group and the number of the group's rows of ``df`` in ``size``. Groups
+    with more than 1 in ``HOT_SHARE`` rows, fewer than that many, are broadcast, so a hot group is
+    not gathered in one task; the others meet their rows by shuffle or as measured. Both
+    sides are read more than once: pass written tables.
+    """
+    most = df.count() / HOT_SHARE
+    hot = facts.filter(F.col(size) > most)
+    if facts.count() <= HOT_SHARE or not hot.take(1):
+        return match_null_safe(df, facts, on, "left")
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    marked = match_null_safe(df, hot, on, "left")
+    made = [c for c in marked.columns if c not in df.columns]
+    cold = marked.filter(F.col("__hot").isNull()).drop(*made)
+    cold = match_null_safe(cold, facts.filter(F.col(size) <= most), on, "left")
+    return marked.filter("__hot").drop("__hot").unionByName(cold)
+
+
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` written in sampled ranges of ``order``, numbered by ``__part``.
+
+    Every row of a range sorts before every row of the next one. The table is written, so
+    a lost executor cannot move a row to another range.
+    """
+    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
+    return materialise(ranged.withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def running_sums(
+    df: DataFrame, keys: list[str], order: list[str], sums: list[str]
+) -> DataFrame:
+    """Adds ``<s>_upto`` (sum of column ``s`` up to and with the row) and ``<s>_total`` per group.
+
+    Rows should differ in (keys, order); equal ones lie in one range, in any order.
+    """
+    ranged = in_ranges(df, [*keys, *order])
+    place = [*keys, "__part"]
+    upto = Window.unboundedPreceding, Window.currentRow
+    within = Window.partitionBy(*place).orderBy(*order).rowsBetween(*upto)
+    inner = ranged.withColumns({f"__{s}_in": F.sum(s).over(within) for s in sums})
+
+    per_range = ranged.groupBy(*place).agg(*[F.sum(s).alias(f"__{s}_sum") for s in sums])
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_range.select(
+        *place,
+        *[F.coalesce(F.sum(f"__{s}_sum").over(before), F.lit(0)).alias(f"__{s}_off") for s in sums],
+        *[F.sum(f"__{s}_sum").over(group).alias(f"{s}_total") for s in sums],
+    )
+    return match_null_safe(inner, starts, place).select(
+        *df.columns,
+        *[(F.col(f"__{s}_in") + F.col(f"__{s}_off")).alias(f"{s}_upto") for s in sums],
+        *[f"{s}_total" for s in sums],
+    )
+
+
 def running_counts(
     df: DataFrame,
     keys: list[str],
     value: str,
     weights: dict[str, Column] | None = None,
-    then: list[str] | None = None,
-    resolution: int = COARSEST,
 ) -> DataFrame:
     """One row per (keys, value) with ``n``, ``n_below`` and ``n_total``.
 
     ``n_below`` counts the rows of the group with a smaller value. ``weights`` replaces
-    the row count ``n`` by named sums, each with its ``_below`` and ``_total``. ``then``
-    adds columns that order equal values, and the counts become those of the longer key.
-    NULL values must be filtered out by the caller.
+    the row count ``n`` by named sums, each with its ``_below`` and ``_total``.
     """
     sums = weights or {"n": F.lit(1)}
-    order = [value, *(then or [])]
-    per_value = (
-        df.groupBy(*keys, *order)
-        .agg(*[F.sum(w).cast("long").alias(name) for name, w in sums.items()])
-        .withColumn("__bucket", number_bucket(F.col(value), resolution))
-    )
-    bucket_keys = [*keys, "__bucket"]
-    before = Window.unboundedPreceding, -1
-
-    within = Window.partitionBy(*bucket_keys).orderBy(*order).rowsBetween(*before)
-    inner = per_value.withColumns(
-        {f"__{n}_in": F.coalesce(F.sum(n).over(within), F.lit(0)) for n in sums}
-    )
-
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    prefix = group.orderBy("__bucket").rowsBetween(*before)
-    per_bucket = per_value.groupBy(*bucket_keys).agg(*[F.sum(n).alias(f"__{n}_b") for n in sums])
-    offsets = per_bucket.select(
-        *bucket_keys,
-        *[F.coalesce(F.sum(f"__{n}_b").over(prefix), F.lit(0)).alias(f"__{n}_off") for n in sums],
-        *[F.sum(f"__{n}_b").over(group).alias(f"{n}_total") for n in sums],
+    per_value = df.groupBy(*keys, value).agg(
+        *[F.sum(w).cast("long").alias(name) for name, w in sums.items()]
     )
-    joined = match_null_safe(inner, offsets, bucket_keys)
-    return joined.select(
+    summed = running_sums(per_value, keys, [value], list(sums))
+    return summed.select(
         *keys,
-        *order,
+        value,
         *sums,
-        *[(F.col(f"__{n}_in") + F.col(f"__{n}_off")).alias(f"{n}_below") for n in sums],
+        *[(F.col(f"{n}_upto") - F.col(n)).alias(f"{n}_below") for n in sums],
         *[f"{n}_total" for n in sums],
     )
 
 
-def _offsets(cut: DataFrame, keys: list[str]) -> DataFrame:
-    """Size of each bucket, rows in smaller buckets, rows of the group."""
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    prefix = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        cut.filter(F.col("__bucket").isNotNull())
-        .groupBy(*keys, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__size"))
-    )
-    return sizes.withColumns(
-        {
-            "__off": F.coalesce(F.sum("__size").over(prefix), F.lit(0)),
-            "__total": F.sum("__size").over(group),
-        }
-    )
-
-
 def with_percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds ``percent_rank()`` of ``value`` within ``keys`` (0 for a group of one).
 
-    As in Spark's own window, NULL counts as the least value and NaN as the greatest. One row per
-    (keys, value) is counted and joined back, so a hot value only makes a long left side, which the
-    adaptive skew join splits. ``df`` is read twice: pass a written table.
+    As in Spark's own window, NULL counts as the least value and NaN as the greatest. ``df`` is
+    read more than once: pass a written table.
     """
-    counts = running_counts(df, keys, value, resolution=fitted_resolution(df))
-    placed = match_null_safe(df, counts, [*keys, value], "left")
+    counts = materialise(running_counts(df, keys, value), "counts")
+    placed = attach(df, counts, [*keys, value])
     total = F.col("n_total")
     share = F.when(total == 1, F.lit(0.0)).otherwise(F.col("n_below") / (total - 1))
     return placed.select(*df.columns, share.alias(out))
 
 
 def with_position(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    tie_break: list[str],
-    out: str = "pos",
+    df: DataFrame, keys: list[str], order: list[str], out: str = "pos"
 ) -> DataFrame:
-    """Adds the 1-based position by (value, tie_break) within ``keys``, NULL first and NaN last.
+    """Adds the 1-based position by ``order`` within ``keys``, NULL first and NaN last.
 
-    Tree models predict the same number for many rows, so equal values may be a large
-    share of a group. The running count goes down to the first tie-break column, and only
-    rows that are equal in it as well are numbered together. ``df`` is read twice: pass a
-    written table.
+    A random number ends the order, so rows that are equal in all of it are spread as well.
     """
-    finest = [*keys, value, *tie_break[:1]]
-    resolution = fitted_resolution(df)
-    stats = running_counts(df, keys, value, then=tie_break[:1], resolution=resolution)
-    stats = stats.select(*finest, "n_below")
-    rest = Window.partitionBy(*finest).orderBy(*(tie_break[1:] or tie_break))
-    numbered = match_null_safe(df.withColumn("__rn", F.row_number().over(rest)), stats, finest)
-    position = F.col("__rn").cast("long") + F.col("n_below")
-    return numbered.select(*df.columns, position.alias(out))
-
-
-def with_bucket_position(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], out: str = "pos"
-) -> DataFrame:
-    """Adds the 1-based position by ``order`` within ``keys``, for distinct rows.
-
-    ``bucket`` must keep the order and spread the rows.
-    """
-    cut = df.withColumn("__bucket", bucket)
-    return _number_in_buckets(df, cut, _offsets(cut, keys), keys, order, out)
-
-
-def _number_in_buckets(df, cut, offsets, keys, order, out) -> DataFrame:
-    bucket_keys = [*keys, "__bucket"]
-    within = F.row_number().over(Window.partitionBy(*bucket_keys).orderBy(*order))
-    placed = match_null_safe(cut.withColumn("__rn", within), offsets, bucket_keys)
-    position = F.col("__rn").cast("long") + F.col("__off")
-    return placed.select(*df.columns, position.alias(out))
+    numbered = df.withColumns({"__one": F.lit(1).cast("long"), "__last": F.rand(7)})
+    placed = running_sums(numbered, keys, [*order, "__last"], ["__one"])
+    return placed.select(*df.columns, F.col("__one_upto").alias(out))
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row with the exact median of each numeric column, NULLs left out."""
-    resolution = fitted_resolution(df)
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
-                    for c in cols
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.name", "cell.value")
-    known = long.filter(F.col("value").isNotNull())
-    stats = running_counts(known, ["name"], "value", resolution=resolution)
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols
+    ]
+    long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.name", "cell.value")
+    stats = running_counts(long.filter(F.col("value").isNotNull()), ["name"], "value")
     low = F.floor((F.col("n_total") - 1) / 2)
     high = F.floor(F.col("n_total") / 2)
 
-    def covers(pos: Column) -> Column:
-        return (F.col("n_below") <= pos) & (pos < F.col("n_below") + F.col("n"))
-
     def at(pos: Column) -> Column:
-        return F.max(F.when(covers(pos), F.col("value")))
+        here = (F.col("n_below") <= pos) & (pos < F.col("n_below") + F.col("n"))
+        return F.max(F.when(here, F.col("value")))
 
     middles = stats.groupBy("name").agg(((at(low) + at(high)) / 2).alias("median"))
     return middles.agg(
@@ -222,7 +177,7 @@ def count_below(
         )
     )
     weights = {"n": F.col("__n"), "p": F.col("__p")}
-    stats = running_counts(both, keys, value, weights, resolution=fitted_resolution(rows))
+    stats = running_counts(both, keys, value, weights)
     return stats.filter(F.col("p") > 0).select(
         *keys,
         value,

@@ -1,10 +1,12 @@
 """Batch recommendation: requests in, tiered and ordered programmes out.
 
 Equal requests are answered once. For the gap tiers the prediction does not depend on
-the applicant's rank, so a tier is a run of neighbours in the ordered catalogue: two
-exact counts per distinct rank give its first and last position, and only the rows of
-the answer are fetched, by an equi join on the position. No applicant meets programmes
-outside the tier, and tier sizes are known without any join.
+the applicant's rank, so a tier is a run of neighbours in the ordered catalogue. Requests and
+programmes are put in one order, and a running count over it places every programme and gives
+each tier of each request its first and last place: an interval join without pairs. Answers are
+kept in that form (:class:`Answers`): the catalogue once, and two intervals per request.
+Pages of an answer are read from it by an equi join on blocks of places, so no applicant meets
+programmes outside the page, and tier sizes are known without any join.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from cutline.functions.ranks import (
 )
 from cutline.functions.text import contains_ignore_case, request_key
 from cutline.operators.joins import grid, salted_join
-from cutline.operators.ordered import count_below, with_position
+from cutline.operators.ordered import running_sums, with_position
 from cutline.operators.vocab import UNKNOWN
 from cutline.session import materialise
 
@@ -47,6 +49,9 @@ KCET_RULE = GapRule(window=5000, descending=True, whole=False)
 COMEDK_RULE = GapRule(window=1000, descending=False, whole=True)
 TOP_PER_TIER = 15
 TOP_OVERALL = 20
+
+PAGE = 500  # entries of a page of a nested response
+BLOCK = 64  # neighbouring places that are fetched together
 NEET_COURSE = "MBBS"
 
 
@@ -118,113 +123,181 @@ def kcet_candidates(
 
 # ---- gap tiers ---------------------------------------------------------------------
 
+TIERS = ["safe", "likely"]
+
 
 def _order_key(pred: str, rule: GapRule):
     value = whole_rank(pred) if rule.whole else F.col(pred).cast("double")
     return -value if rule.descending else value
 
 
-def place_catalogue(
-    catalogue: DataFrame, group: list[str], pred: str, names: list[str], rule: GapRule
-) -> DataFrame:
-    """Catalogue rows with their position in the order in which answers list them."""
-    keyed = catalogue.withColumn("__key", _order_key(pred, rule))
-    return with_position(keyed, group, "__key", names, "place").drop("__key")
+def _known(*cols: str):
+    """No column is NULL or NaN: such requests have no answer, such programmes are in none."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).isNotNull() & (F.col(c).cast("string") != "NaN")
+    return cond
 
 
-def tier_bounds(
+@dataclass(frozen=True)
+class Answers:
+    """Answers to all distinct (group, rank) in interval form.
+
+    ``placed``: the catalogue with ``place``, the 1-based position within the group.
+    ``bounds``: first and last place of each tier per (group, rank); a tier whose last place lies
+    before its first is empty.
+    """
+
+    bounds: DataFrame
+    placed: DataFrame
+    group: list[str]
+    rank: str
+
+    def intervals(self) -> DataFrame:
+        """One row per (group, rank, tier) that has rows: ``first``, ``last``, ``n_rows``."""
+        runs = F.array(
+            *[
+                F.struct(
+                    F.lit(tier.capitalize()).alias("tier"),
+                    F.col(f"{tier}_first").alias("first"),
+                    F.col(f"{tier}_last").alias("last"),
+                )
+                for tier in TIERS
+            ]
+        )
+        rows = self.bounds.select(*self.group, self.rank, F.explode(runs).alias("t"))
+        rows = rows.select(*self.group, self.rank, "t.*").filter(F.col("first") <= F.col("last"))
+        return rows.withColumn("n_rows", F.col("last") - F.col("first") + 1)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page ``number`` (from 0) of every tier: programmes with their position ``pos``."""
+        runs = self.intervals().withColumn("__from", F.col("first") + number * size)
+        until = F.least("last", F.col("__from") + (size - 1))
+        return self._rows(runs.withColumn("__until", until))
+
+    def every(self) -> DataFrame:
+        """All pages at once: a row per request and programme of its tiers."""
+        return self._rows(self.intervals().withColumns({"__from": F.col("first"), "__until": F.col("last")}))
+
+    def _rows(self, runs: DataFrame) -> DataFrame:
+        """Rows ``__from`` to ``__until`` of each run, fetched in blocks of neighbours.
+
+        A request asks for the few blocks that its run touches, not for each place. A block is asked
+        for by the different ranks of its group only, and those are whole and bounded.
+        """
+        block = F.floor((F.col("place") - 1) / BLOCK)
+        entry = F.struct("place", *[c for c in self.placed.columns if c not in {*self.group, "place"}])
+        blocks = self.placed.groupBy(*self.group, block.alias("__block")).agg(
+            F.sort_array(F.collect_list(entry)).alias("__rows")
+        )
+        asked = runs.filter(F.col("__from") <= F.col("__until")).withColumn(
+            "__block",
+            F.explode(
+                F.sequence(
+                    F.floor((F.col("__from") - 1) / BLOCK), F.floor((F.col("__until") - 1) / BLOCK)
+                )
+            ),
+        )
+        found = asked.join(blocks, [*self.group, "__block"])
+        inside = F.filter("__rows", lambda r: r["place"].between(F.col("__from"), F.col("__until")))
+        flat = found.select(*self.group, self.rank, "tier", "first", F.explode(inside).alias("__r"))
+        pos = F.col("__r.place") - F.col("first") + 1
+        rest = [F.col(f"__r.{c}") for c in self.placed.columns if c not in {*self.group, "place"}]
+        return flat.select(*self.group, self.rank, "tier", pos.alias("pos"), *rest)
+
+
+def interval_answers(
     requests: DataFrame,
     catalogue: DataFrame,
     group: list[str],
     rank: str,
     pred: str,
+    names: list[str],
     rule: GapRule,
-) -> DataFrame:
-    """First and last place of each tier, one row per distinct (group, rank).
+) -> Answers:
+    """Places the catalogue and bounds the tiers of every request in one ordered pass.
 
-    The distinct pairs are written first, so a long request table is scanned once.
+    Each distinct (group, rank) adds its two edges to the catalogue's order: behind all programmes
+    of smaller key, or behind those of equal key as well. The programmes counted up to an edge are
+    the place where a tier ends or the next one begins.
     """
-    wanted = materialise(requests.select(*group, rank).distinct(), "contexts")
-    high = F.col(rank)
-    low = high - rule.window
+    sign, kind = (-1 if rule.descending else 1), ("long" if rule.whole else "double")
+    low = F.col(rank) - rule.window
     if rule.whole:
         low = F.greatest(F.lit(1), low)
-    kind = "long" if rule.whole else "double"
-    sign = -1 if rule.descending else 1
-    edges = wanted.withColumn(
-        "__edge",
-        F.explode(
-            F.array(
-                F.struct(F.lit("high").alias("side"), (high * sign).cast(kind).alias("key")),
-                F.struct(F.lit("low").alias("side"), (low * sign).cast(kind).alias("key")),
+    # Descending: both tiers leave out the edge itself. Ascending: Likely keeps both of its edges.
+    sides = {"high": (F.col(rank), 0 if rule.descending else 2), "low": (low, 0)}
+    edges = F.array(
+        *[
+            F.struct(
+                F.lit(side).alias("__side"), (at * sign).cast(kind).alias("__key"), F.lit(k).alias("__kind")
             )
-        ),
-    ).select(*group, rank, "__edge.side", F.col("__edge.key").alias("__key"))
-    ordered = catalogue.select(*group, _order_key(pred, rule).alias("__key"))
-    counts = count_below(edges, ordered, group, "__key")
+            for side, (at, k) in sides.items()
+        ]
+    )
+    wanted = requests.select(*group, rank).filter(_known(*group, rank)).distinct()
+    points = wanted.select(*group, F.col(rank).alias("__rank"), F.explode(edges).alias("e"))
+    points = points.select(*group, "__rank", "e.*", F.lit(0).cast("long").alias("__n"))
+    offered = catalogue.filter(_known(*group, pred)).select(
+        *group, *names, pred, _order_key(pred, rule).alias("__key"),
+        F.lit(1).alias("__kind"), F.lit(1).cast("long").alias("__n"),
+    )
+    both = offered.unionByName(points, allowMissingColumns=True)
+    order = ["__key", "__kind", *names, "__rank", "__side"]
+    counted = materialise(running_sums(both, group, order, ["__n"]), "placed")
+    placed = counted.filter("__kind = 1").select(
+        *group, *names, pred, F.col("__n_upto").alias("place")
+    )
 
-    def at(side: str, what: str):
-        return F.max(F.when(F.col("side") == side, F.col(what)))
+    def at(side: str):
+        return F.max(F.when(F.col("__side") == side, F.col("__n_upto")))
 
     if rule.descending:
         # key = -prediction: Safe is key < -rank, Likely goes on to key < -(rank - window).
-        bounds = {
-            "safe_first": F.lit(1).cast("long"),
-            "safe_last": at("high", "below"),
-            "likely_first": at("high", "below") + 1,
-            "likely_last": at("low", "below"),
+        ends = {
+            "safe_first": F.lit(1).cast("long"), "safe_last": at("high"),
+            "likely_first": at("high") + 1, "likely_last": at("low"),
         }
     else:
-        bounds = {
-            "safe_first": at("high", "upto") + 1,
-            "safe_last": F.max("total"),
-            "likely_first": at("low", "below") + 1,
-            "likely_last": at("high", "upto"),
+        ends = {
+            "safe_first": at("high") + 1, "safe_last": F.max("__n_total"),
+            "likely_first": at("low") + 1, "likely_last": at("high"),
         }
-    placed = edges.join(counts, [*group, "__key"])
-    return placed.groupBy(*group, rank).agg(*[c.alias(n) for n, c in bounds.items()])
+    found = counted.filter("__kind <> 1").withColumnRenamed("__rank", rank)
+    bounds = found.groupBy(*group, rank).agg(*[c.alias(n) for n, c in ends.items()])
+    return Answers(bounds, placed, group, rank)
+
+
+def tier_bounds(
+    requests: DataFrame, catalogue: DataFrame, group: list[str], rank: str, pred: str, rule: GapRule
+) -> DataFrame:
+    """First and last place of each tier, one row per distinct (group, rank)."""
+    return interval_answers(requests, catalogue, group, rank, pred, [], rule).bounds
 
 
 def tier_sizes(bounds: DataFrame) -> DataFrame:
     """Rows per tier, from the bounds alone."""
     out = bounds
-    for tier in ("safe", "likely"):
+    for tier in TIERS:
         size = F.greatest(F.lit(0), F.col(f"{tier}_last") - F.col(f"{tier}_first") + 1)
         out = out.withColumn(f"n_{tier}", size.cast("long"))
-    return out.drop("safe_first", "safe_last", "likely_first", "likely_last")
+    return out.drop(*[f"{tier}_{end}" for tier in TIERS for end in ("first", "last")])
 
 
-def tier_rows(
-    bounds: DataFrame,
-    placed: DataFrame,
-    group: list[str],
-    rank: str,
-    limit: int | None = None,
-) -> DataFrame:
-    """Programmes of each tier with their position ``pos``; ``limit`` makes a top-k report."""
-    tiers = F.array(
-        F.struct(
-            F.lit("Safe").alias("tier"),
-            F.col("safe_first").alias("first"),
-            F.col("safe_last").alias("last"),
-        ),
-        F.struct(
-            F.lit("Likely").alias("tier"),
-            F.col("likely_first").alias("first"),
-            F.col("likely_last").alias("last"),
-        ),
+def published(answers: Answers, names: list[str], pred: str) -> DataFrame:
+    """Intervals and catalogue as one table; ``part`` tells the rows of the two apart.
+
+    Row k of a tier is the catalogue row at place ``first + k - 1`` of its group.
+    """
+    group, rank = answers.group, answers.rank
+    runs = answers.intervals().select(
+        F.lit("answer").alias("part"), *group, rank, "tier", "first", "last"
     )
-    runs = bounds.select(*group, rank, F.explode(tiers).alias("t")).select(*group, rank, "t.*")
-    if limit is not None:
-        runs = runs.withColumn("last", F.least("last", F.col("first") + (limit - 1)))
-    runs = runs.filter(F.col("first") <= F.col("last"))
-    places = runs.withColumn("place", F.explode(F.sequence("first", "last")))
-    return (
-        places.withColumn("pos", F.col("place") - F.col("first") + 1)
-        .drop("first", "last")
-        .join(placed, [*group, "place"])
-        .drop("place")
+    rows = answers.placed.select(
+        F.lit("catalogue").alias("part"), *group, "place", *names,
+        whole_rank(pred).alias("predicted_cutoff"),
     )
+    return runs.unionByName(rows, allowMissingColumns=True)
 
 
 def recommend_by_gap(
@@ -237,10 +310,13 @@ def recommend_by_gap(
     rule: GapRule,
     limit: int | None = None,
 ) -> DataFrame:
-    """Tiered answer per distinct (group, rank); join it to the requests on those."""
-    bounds = tier_bounds(requests, catalogue, group, rank, pred, rule)
-    placed = place_catalogue(catalogue, group, pred, names, rule)
-    rows = tier_rows(bounds, placed, group, rank, limit)
+    """Rows of the answer per distinct (group, rank): the first ``limit`` of each tier, or all.
+
+    All rows are requests times programmes: meant for few requests. :func:`interval_answers` keeps
+    the complete answers of many.
+    """
+    answers = interval_answers(requests, catalogue, group, rank, pred, names, rule)
+    rows = answers.every() if limit is None else answers.page(0, limit)
     return rows.withColumn("predicted_cutoff", whole_rank(pred)).select(
         *group, rank, "tier", "pos", *names, "predicted_cutoff"
     )
@@ -275,7 +351,7 @@ def order_tiers(
     places, and only rows with equal probability are numbered together.
     """
     keyed = tiered.withColumn("__key", F.round(F.col(prob) * -10000).cast("long"))
-    return with_position(keyed, [*request, "tier"], "__key", names).drop("__key")
+    return with_position(keyed, [*request, "tier"], ["__key", *names]).drop("__key")
 
 
 def top_overall(
@@ -315,7 +391,7 @@ def jee_response_rows(scored: DataFrame) -> DataFrame:
 def nested_response(top: DataFrame, request: list[str], fields: list[str]) -> DataFrame:
     """One row per request with an ordered array per tier and the JSON of both.
 
-    Takes a top-k report, so an array has at most k entries per tier.
+    Takes a page of the answers, so an array has at most that many entries per tier.
     """
     entry = F.struct("pos", *fields)
 
@@ -325,3 +401,28 @@ def nested_response(top: DataFrame, request: list[str], fields: list[str]) -> Da
     nested = top.groupBy(*request).agg(of("Safe").alias("safe"), of("Likely").alias("likely"))
     both = F.struct(F.col("safe").alias("Safe"), F.col("likely").alias("Likely"))
     return nested.withColumn("response", F.to_json(both))
+
+
+def response_pages(
+    rows: DataFrame, keys: list[str], place: str, fields: list[str], size: int = PAGE
+) -> DataFrame:
+    """Ordered rows as JSON pages: (keys, page, n_rows, response).
+
+    ``response`` is the array of the page's entries with their places, in order. A page holds
+    ``size`` entries at most, so no answer becomes one huge value, however long it is. The keys are
+    those of the catalogue, whose pages all requests share, or of single requests and tiers.
+    """
+    page = F.floor((F.col(place) - 1) / size).cast("long").alias("page")
+    entries = F.sort_array(F.collect_list(F.struct(place, *fields)))
+    pages = rows.groupBy(*keys, page).agg(entries.alias("__entries"))
+    return pages.select(
+        *keys, "page", F.size("__entries").cast("long").alias("n_rows"),
+        F.to_json("__entries").alias("response"),
+    )
+
+
+def read_pages(pages: DataFrame, keys: list[str], entry: str) -> DataFrame:
+    """Rows of the pages' entries; ``entry`` is their schema, such as ``place BIGINT, ...``."""
+    fields = ",".join("`{}`:{}".format(*part.split()) for part in entry.split(","))
+    parsed = F.from_json("response", f"array<struct<{fields}>>")
+    return pages.select(*keys, F.explode(parsed).alias("__e")).select(*keys, "__e.*")

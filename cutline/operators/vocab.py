@@ -6,22 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.text import vocab_text
-from cutline.operators.ordered import text_bucket, with_bucket_position
+from cutline.operators.ordered import with_position
 
 UNKNOWN = "__UNKNOWN__"  # fixed value
 
 
 def build_vocabulary(df: DataFrame, col: str, with_unknown: bool = False) -> DataFrame:
-    """Distinct normalised values with an id from 0 in alphabetical order.
-
-    ``df`` is read twice: pass a written table, such as the distinct values of the rows.
-    """
+    """Distinct normalised values with an id from 0 in alphabetical order."""
     values = df.select(vocab_text(col).alias("value")).filter(F.col("value").isNotNull())
     if with_unknown:
         unknown = df.sparkSession.range(1).select(F.lit(UNKNOWN).alias("value"))
         values = values.unionByName(unknown)
-    by_prefix = text_bucket(F.col("value"))
-    numbered = with_bucket_position(values.distinct(), [], by_prefix, ["value"])
+    numbered = with_position(values.distinct(), [], ["value"])
     return numbered.select("value", (F.col("pos") - 1).alias("id"))
 
 

@@ -41,18 +41,25 @@ SELECT n_name AS institute, p_type AS course, c_mktsegment AS category,
 SELECT institute, category, year,
   max(CASE WHEN course = 'ECONOMY' THEN CAST(CAST(rank AS bigint) AS varchar(20)) END) AS c_economy,
   max(CASE WHEN course = 'PROMO' THEN CAST(CAST(rank AS bigint) AS varchar(20)) END) AS c_promo,
-  max(CASE WHEN course = 'SMALL' AND year = 1996 THEN '--' END) AS c_small
+  max(CASE WHEN course = 'STANDARD' THEN CAST(CAST(rank AS bigint) AS varchar(20)) END) AS c_standard,
+  max(CASE WHEN course = 'MEDIUM' THEN CAST(CAST(rank AS bigint) AS varchar(20)) END) AS c_medium,
+  max(CASE WHEN course = 'LARGE' THEN CAST(CAST(rank AS bigint) AS varchar(20)) END) AS c_large,
+  max(CASE WHEN course = 'SMALL' THEN CASE WHEN year = 1996 THEN '--'
+    ELSE CAST(CAST(rank AS bigint) AS varchar(20)) END END) AS c_small
 FROM fx_ranked GROUP BY institute, category, year""",
     "fx_requests": """
 SELECT c_custkey AS request_id,
-  CAST(greatest(1, floor(c_acctbal / 500) * 5000) AS bigint) AS user_rank,
+  CAST(greatest(1, floor(c_acctbal * 10)) AS bigint) AS user_rank,
   c_mktsegment AS category,
+  CASE WHEN c_custkey % 5 = 0 THEN '1-urgent' WHEN c_custkey % 5 = 1 THEN '2-High'
+       WHEN c_custkey % 5 = 2 THEN '3-MEDIUM' ELSE '4-NOT SPECIFIED' END AS base_category,
+  lower(r_name) AS region,
   CASE WHEN c_custkey % 2 = 0 THEN 'JEE Advanced' ELSE 'JEE Main' END AS exam_type,
   CASE WHEN c_custkey % 3 = 0 THEN 'F' WHEN c_custkey % 3 = 1 THEN 'O' ELSE 'P' END AS quota,
   CASE WHEN c_custkey % 4 = 0 THEN 'Female-Only' ELSE 'Gender-Neutral' END AS pool
-FROM customer""",
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "fx_scored": """
-SELECT institute, course, category, CAST(floor(avg(rank)) AS bigint) AS pred_closing_rank,
+SELECT institute, course, category, avg(rank) AS pred_closing_rank,
   round(CAST(count(*) % 101 AS double) / 100, 4) AS eligibility_prob
 FROM fx_ranked GROUP BY institute, course, category""",
     "fx_eval": """

@@ -110,36 +110,76 @@ def grouped(keys: str, source: str) -> str:
   max(year) AS latest_recorded_year FROM {source} GROUP BY {keys}"""
 
 
-def gap(safe: str, likely: str, order: str, value: str = "pred_closing_rank",
-        limit: int | None = None, pos: bool = True) -> str:
-    cut = f"WHERE pos <= {limit}" if limit else ""
-    shown = ", pos" if pos else ""
+# Per rule: the value that is compared and ordered, the order, tier conditions, and the tiers as
+# intervals of the order (first and last place) from counts of the group's rows.
+WHOLE = "CAST(floor(pred_closing_rank) AS BIGINT)"
+
+
+def window_rule(window: int) -> dict[str, str]:
+    high, low = "pred_closing_rank > user_rank", f"pred_closing_rank > user_rank - {window}"
+    return {
+        "value": "pred_closing_rank", "order": "DESC", "safe": high, "likely": f"{low} AND NOT {high}",
+        "safe_first": "1", "safe_last": f"count(*) FILTER ({high})",
+        "likely_first": f"count(*) FILTER ({high}) + 1", "likely_last": f"count(*) FILTER ({low})",
+    }
+
+
+COMEDK = {
+    "value": WHOLE, "order": "ASC", "safe": f"{WHOLE} > user_rank",
+    "likely": f"{WHOLE} >= greatest(1, user_rank - 1000) AND {WHOLE} <= user_rank",
+    "safe_first": f"count(*) FILTER ({WHOLE} <= user_rank) + 1", "safe_last": "count(*)",
+    "likely_first": f"count(*) FILTER ({WHOLE} < greatest(1, user_rank - 1000)) + 1",
+    "likely_last": f"count(*) FILTER ({WHOLE} <= user_rank)",
+}
+NEET, KCET = window_rule(1500), window_rule(5000)
+
+
+def answer_rows(rule: dict[str, str]) -> str:
+    """Every programme of every tier of every request, with its position."""
     return f"""
-tiered AS (SELECT q.category, q.user_rank, s.institute, s.course,
-  CAST({value} AS BIGINT) AS predicted_cutoff,
-  CASE WHEN {safe} THEN 'Safe' WHEN {likely} THEN 'Likely' END AS tier
+tiered AS (SELECT q.category, q.user_rank, s.institute, s.course, {WHOLE} AS predicted_cutoff,
+  {rule["value"]} AS v, CASE WHEN {rule["safe"]} THEN 'Safe' WHEN {rule["likely"]} THEN 'Likely' END AS tier
   FROM contexts q JOIN fx_scored s ON q.category = s.category),
 placed AS (SELECT *, row_number() OVER (PARTITION BY category, user_rank, tier
-  ORDER BY predicted_cutoff {order}, institute, course) AS pos
-  FROM tiered WHERE tier IS NOT NULL)
-SELECT category, user_rank, tier{shown}, institute, course, predicted_cutoff
-FROM placed {cut}"""
+  ORDER BY v {rule["order"]}, institute, course) AS pos
+  FROM tiered WHERE tier IS NOT NULL)"""
 
 
-def window_gap(window: int, **kw) -> str:
-    return gap(
-        "pred_closing_rank > user_rank",
-        f"pred_closing_rank > user_rank - {window} AND pred_closing_rank <= user_rank",
-        "DESC", **kw,
-    )
+def gap(rule: dict[str, str], first: int, last: int) -> str:
+    return f"""{answer_rows(rule)}
+SELECT category, user_rank, tier, pos, institute, course, predicted_cutoff
+FROM placed WHERE pos BETWEEN {first} AND {last}"""
 
 
-def comedk_gap(**kw) -> str:
-    return gap(
-        "pred_closing_rank > user_rank",
-        "pred_closing_rank >= greatest(1, user_rank - 1000) AND pred_closing_rank <= user_rank",
-        "ASC", **kw,
-    )
+def catalogue_order(rule: dict[str, str]) -> str:
+    return f"""
+ordered AS (SELECT category, row_number() OVER (PARTITION BY category
+  ORDER BY {rule["value"]} {rule["order"]}, institute, course) AS place, institute, course,
+  {WHOLE} AS predicted_cutoff FROM fx_scored)"""
+
+
+def intervals(rule: dict[str, str]) -> str:
+    return f"""{catalogue_order(rule)},
+counted AS (SELECT q.category, q.user_rank,
+  {", ".join(f"{rule[c]} AS {c}" for c in ("safe_first", "safe_last", "likely_first", "likely_last"))}
+  FROM contexts q JOIN fx_scored s ON q.category = s.category GROUP BY 1, 2),
+runs AS (SELECT category, user_rank, 'Safe' AS tier, safe_first AS f, safe_last AS l FROM counted
+  UNION ALL SELECT category, user_rank, 'Likely', likely_first, likely_last FROM counted)
+SELECT 'answer' AS part, category, user_rank, tier, f AS first, l AS last, NULL AS place,
+  NULL AS institute, NULL AS course, NULL AS predicted_cutoff FROM runs WHERE f <= l
+UNION ALL SELECT 'catalogue', category, NULL, NULL, NULL, NULL, place, institute, course,
+  predicted_cutoff FROM ordered"""
+
+
+def tier_ends(rule: dict[str, str]) -> str:
+    ends = [
+        f"{pick}({c}, pos) AS {end}_{name}"
+        for end, pick in (("first", "arg_min"), ("last", "arg_max"))
+        for c, name in (("institute",) * 2, ("course",) * 2, ("predicted_cutoff", "cutoff"))
+    ]
+    return f"""{answer_rows(rule)}
+SELECT category, user_rank, tier, count(*) AS n_rows, {", ".join(ends)}
+FROM placed GROUP BY category, user_rank, tier"""
 
 
 FEATURE_ROUNDED = f"""SELECT {JEE}, closing_rank_max, opening_rank_min,
@@ -163,12 +203,12 @@ JEE_FEATURE_COLUMNS = [
     "years_available", "yoy_rank_change", "trend_direction", "rank_pressure", "difficulty_pct",
 ]
 
+WIDE_COURSES = ["economy", "promo", "standard", "medium", "large", "small"]
 LONG_IDS = "institute, category, year AS year"
 UNPIVOT = f"""
 SELECT institute, category, year AS year, course_name, rank FROM (
-  SELECT {LONG_IDS}, 'c_economy' AS course_name, c_economy AS rank FROM fx_wide
-  UNION ALL SELECT {LONG_IDS}, 'c_promo', c_promo FROM fx_wide
-  UNION ALL SELECT {LONG_IDS}, 'c_small', c_small FROM fx_wide)"""
+  {" UNION ALL ".join(f"SELECT {LONG_IDS}, 'c_{c}' AS course_name, c_{c} AS rank FROM fx_wide"
+                      for c in WIDE_COURSES)})"""
 
 BODIES = {
     "scan_csv_schema": "SELECT * FROM fx_ranked",
@@ -408,19 +448,20 @@ r AS (SELECT institute, course, category, round(eligibility_prob, 4) AS eligibil
   FROM fx_scored)
 SELECT *, CASE WHEN eligibility_prob >= 0.70 THEN 'Safe' ELSE 'Likely' END AS tier
 FROM r WHERE eligibility_prob >= 0.40""",
-    "tier_neet": window_gap(1500, pos=False),
-    "tier_kcet": window_gap(5000, pos=False),
-    "tier_comedk": comedk_gap(pos=False),
-    "tier_order": window_gap(1500),
-    "tier_order_asc": comedk_gap(),
+    "tier_neet": intervals(NEET),
+    "tier_kcet": intervals(KCET),
+    "tier_comedk": intervals(COMEDK),
+    "tier_order": tier_ends(NEET),
+    "tier_order_asc": tier_ends(COMEDK),
+    "tier_page": gap(KCET, 41, 60),
     "tier_order_probability": """
 r AS (SELECT *, CASE WHEN eligibility_prob >= 0.70 THEN 'Safe' ELSE 'Likely' END AS tier
   FROM fx_scored WHERE eligibility_prob >= 0.40)
 SELECT category, tier, row_number() OVER (PARTITION BY category, tier
     ORDER BY eligibility_prob DESC, institute, course) AS pos, institute, course,
   eligibility_prob FROM r""",
-    "tier_topk_desc": window_gap(5000, limit=15),
-    "tier_topk_asc": comedk_gap(limit=15),
+    "tier_topk_desc": gap(KCET, 1, 15),
+    "tier_topk_asc": gap(COMEDK, 1, 15),
     "threshold_topn": TOP_N,
     "request_summary": """
 pairs AS (SELECT q.category, q.user_rank,
@@ -431,7 +472,7 @@ pairs AS (SELECT q.category, q.user_rank,
 SELECT request_id, coalesce(n_safe, 0) AS n_safe, coalesce(n_likely, 0) AS n_likely,
   CASE WHEN coalesce(n_safe, 0) + coalesce(n_likely, 0) > 0 THEN 1 ELSE 0 END AS has_result
 FROM fx_requests q LEFT JOIN pairs p ON q.category = p.category AND q.user_rank = p.user_rank""",
-    "nested_response": window_gap(1500, limit=15).replace(
+    "nested_response": gap(NEET, 1, 15).replace(
         "SELECT category, user_rank, tier, pos, institute, course, predicted_cutoff\nFROM placed",
         """SELECT category, user_rank,
   coalesce(string_agg(institute || '/' || course || '/' || predicted_cutoff, ',' ORDER BY pos)
@@ -439,6 +480,9 @@ FROM fx_requests q LEFT JOIN pairs p ON q.category = p.category AND q.user_rank
   coalesce(string_agg(institute || '/' || course || '/' || predicted_cutoff, ',' ORDER BY pos)
     FILTER (WHERE tier = 'Likely'), '') AS likely FROM placed""",
     ) + " GROUP BY category, user_rank",
+    "response_pages": f"""{catalogue_order(NEET)}
+SELECT category, (place - 1) // 100 AS page, place, institute, course, predicted_cutoff
+FROM ordered""",
 }
 
 

@@ -686,38 +686,70 @@ def tier_probability(spark, sf_dir):
     return rows.select("institute", "course", "category", "eligibility_prob", "tier")
 
 
-def _gap(spark, sf_dir, rule, limit=None):
-    return recommend.recommend_by_gap(
-        _requests(spark, sf_dir), _catalogue(spark, sf_dir), ["category"], "user_rank",
-        "pred_closing_rank", SCORED_NAMES, rule, limit,
+def _answers(spark, sf_dir, rule):
+    return recommend.interval_answers(
+        _requests(spark, sf_dir), _scored(spark, sf_dir), ["category"], "user_rank",
+        "pred_closing_rank", SCORED_NAMES, rule,
+    )
+
+
+def _published(spark, sf_dir, rule):
+    answers = _answers(spark, sf_dir, rule)
+    return recommend.published(answers, SCORED_NAMES, "pred_closing_rank")
+
+
+def _page(spark, sf_dir, rule, number, size):
+    rows = _answers(spark, sf_dir, rule).page(number, size)
+    return rows.withColumn("predicted_cutoff", ranks.whole_rank("pred_closing_rank")).drop(
+        "pred_closing_rank"
     )
 
 
 @query
 def tier_neet(spark, sf_dir):
-    return _gap(spark, sf_dir, recommend.NEET_RULE).drop("pos")
+    """Complete answers to all requests: an interval per tier, and the catalogue in its order."""
+    return _published(spark, sf_dir, recommend.NEET_RULE)
 
 
 @query
 def tier_kcet(spark, sf_dir):
-    return _gap(spark, sf_dir, recommend.KCET_RULE).drop("pos")
+    return _published(spark, sf_dir, recommend.KCET_RULE)
 
 
 @query
 def tier_comedk(spark, sf_dir):
-    return _gap(spark, sf_dir, recommend.COMEDK_RULE).drop("pos")
+    return _published(spark, sf_dir, recommend.COMEDK_RULE)
+
+
+def _ends(spark, sf_dir, rule):
+    """Both ends of every tier's complete order, fetched by place."""
+    answers = _answers(spark, sf_dir, rule)
+    runs = answers.intervals()
+    for end in ("first", "last"):
+        names = {c: f"{end}_{c}" for c in SCORED_NAMES}
+        rows = answers.placed.withColumn(
+            f"{end}_cutoff", ranks.whole_rank("pred_closing_rank")
+        ).drop("pred_closing_rank").withColumnsRenamed({**names, "place": end})
+        runs = runs.join(rows, ["category", end])
+    return runs.drop("first", "last")
 
 
 @query
 def tier_order(spark, sf_dir):
-    """Complete tiers, highest cutoff first."""
-    return _gap(spark, sf_dir, recommend.NEET_RULE)
+    """Complete tiers, highest cutoff first: size, first and last programme."""
+    return _ends(spark, sf_dir, recommend.NEET_RULE)
 
 
 @query
 def tier_order_asc(spark, sf_dir):
-    """Complete tiers, lowest cutoff first."""
-    return _gap(spark, sf_dir, recommend.COMEDK_RULE)
+    """Complete tiers, lowest cutoff first: size, first and last programme."""
+    return _ends(spark, sf_dir, recommend.COMEDK_RULE)
+
+
+@query
+def tier_page(spark, sf_dir):
+    """The third page of 20 of every tier."""
+    return _page(spark, sf_dir, recommend.KCET_RULE, 2, 20)
 
 
 @query
@@ -730,12 +762,12 @@ def tier_order_probability(spark, sf_dir):
 
 @query
 def tier_topk_desc(spark, sf_dir):
-    return _gap(spark, sf_dir, recommend.KCET_RULE, recommend.TOP_PER_TIER)
+    return _page(spark, sf_dir, recommend.KCET_RULE, 0, recommend.TOP_PER_TIER)
 
 
 @query
 def tier_topk_asc(spark, sf_dir):
-    return _gap(spark, sf_dir, recommend.COMEDK_RULE, recommend.TOP_PER_TIER)
+    return _page(spark, sf_dir, recommend.COMEDK_RULE, 0, recommend.TOP_PER_TIER)
 
 
 @query
@@ -749,10 +781,7 @@ def threshold_topn(spark, sf_dir):
 @query
 def request_summary(spark, sf_dir):
     requests = _requests(spark, sf_dir)
-    bounds = recommend.tier_bounds(
-        requests, _catalogue(spark, sf_dir), ["category"], "user_rank", "pred_closing_rank",
-        recommend.NEET_RULE,
-    )
+    bounds = _answers(spark, sf_dir, recommend.NEET_RULE).bounds
     rows = recommend.request_summary(requests, bounds, ["category"], "user_rank")
     return rows.select("request_id", "n_safe", "n_likely", "has_result")
 
@@ -760,7 +789,7 @@ def request_summary(spark, sf_dir):
 @query
 def nested_response(spark, sf_dir):
     """Top 15 per tier as arrays, shown as text for the check."""
-    top = _gap(spark, sf_dir, recommend.NEET_RULE, recommend.TOP_PER_TIER)
+    top = _page(spark, sf_dir, recommend.NEET_RULE, 0, recommend.TOP_PER_TIER)
     nested = recommend.nested_response(
         top, ["category", "user_rank"], [*SCORED_NAMES, "predicted_cutoff"]
     )
@@ -775,6 +804,22 @@ def nested_response(spark, sf_dir):
     return nested.select("category", "user_rank", shown("safe"), shown("likely"))
 
 
+@query
+def response_pages(spark, sf_dir):
+    """Complete nested response as JSON pages that all requests share, written and parsed back.
+
+    A tier of a request is the entries between its first and last place (``tier_neet``).
+    """
+    placed = _answers(spark, sf_dir, recommend.NEET_RULE).placed
+    rows = placed.withColumn("predicted_cutoff", ranks.whole_rank("pred_closing_rank"))
+    fields = [*SCORED_NAMES, "predicted_cutoff"]
+    pages = recommend.response_pages(rows, ["category"], "place", fields, 100)
+    path = scratch_dir(spark, "pages")
+    writers.write_parquet(pages, path, ["category"])
+    entry = "place BIGINT, institute STRING, course STRING, predicted_cutoff BIGINT"
+    return recommend.read_pages(spark.read.parquet(path), ["category", "page"], entry)
+
+
 # ---- models ------------------------------------------------------------------------
 
 QUICK = {"maxIter": 3, "maxDepth": 4, "stepSize": 0.3}

@@ -336,3 +336,52 @@ def test_as_of_features_do_not_see_their_own_rank(spark):
         assert changed[seat[1], seat[3]] == before[seat[1], seat[3]]
     assert before["k", 2020]["prev_year_closing_rank"] is None
     assert before["k", 2022]["college_avg_rank"] == pytest.approx(37 / 3)
+
+
+@pytest.mark.parametrize("rule", [recommend.NEET_RULE, recommend.COMEDK_RULE])
+def test_pages_and_intervals_give_the_whole_answer(spark, rule, monkeypatch):
+    """All pages, the published table, and shared JSON pages each rebuild every row."""
+    import random
+
+    monkeypatch.setattr(recommend, "BLOCK", 7)
+    dice = random.Random(5)
+    preds = [dice.choice([dice.uniform(1, 9000), 5000.0, 5000.5]) for _ in range(150)]
+    bad = spark.createDataFrame(
+        [("GM", "null", "c", None), ("GM", "nan", "c", float("nan")), (None, "lost", "c", 1.0)],
+        "category STRING, institute STRING, course STRING, pred DOUBLE",
+    )
+    offered = catalogue(spark, preds).unionByName(bad)
+    asked = spark.createDataFrame(
+        [("GM", r) for r in (1, 4999, 5000, 5001, 99999, None, 5000)] + [("none", 5), (None, 5)],
+        "category STRING, user_rank INT",
+    )
+    names = ["institute", "course"]
+    answers = recommend.interval_answers(asked, offered, ["category"], "user_rank", "pred", names, rule)
+    want = rows(answers.every(), "user_rank", "tier", "pos", "institute")
+    assert {i for *_, i in want}.isdisjoint({"null", "nan", "lost"}) and {r for r, *_ in want} >= {1, 5000}
+    flat = rows(recommend.recommend_by_gap(asked, offered, ["category"], "user_rank", "pred", names, rule),
+                "user_rank", "tier", "pos", "institute")
+    assert flat == want
+    size = 40
+    read = [t for k in range(5) for t in rows(answers.page(k, size), "user_rank", "tier", "pos", "institute")]
+    assert sorted(read) == want
+    table = recommend.published(answers, names, "pred")
+    order = {r.place: r.institute for r in table.filter("part = 'catalogue'").collect()}
+    runs = table.filter("part = 'answer'").collect()
+    assert sorted(
+        (r.user_rank, r.tier, p - r["first"] + 1, order[p]) for r in runs for p in range(r["first"], r["last"] + 1)
+    ) == want
+    pages = recommend.response_pages(answers.placed, ["category"], "place", names, 11)
+    assert pages.agg(F.max("n_rows")).first()[0] == 11
+    back = recommend.read_pages(pages, ["category"], "place BIGINT, institute STRING, course STRING")
+    assert {r.place: r.institute for r in back.collect()} == order
+
+
+def test_answers_without_requests_or_catalogue(spark):
+    names = ["institute", "course"]
+    asked = spark.createDataFrame([("GM", 5)], "category STRING, user_rank INT")
+    for requests, offered in ((asked, catalogue(spark, [9]).limit(0)), (asked.limit(0), catalogue(spark, [9]))):
+        answers = recommend.interval_answers(
+            requests, offered, ["category"], "user_rank", "pred", names, recommend.KCET_RULE
+        )
+        assert answers.intervals().count() == answers.page(0, 5).count() == 0

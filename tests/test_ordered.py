@@ -13,9 +13,8 @@ from cutline.operators.joins import grid, salted_join
 from cutline.operators.ordered import (
     count_below,
     exact_medians,
-    number_bucket,
+    in_ranges,
     running_counts,
-    with_bucket_position,
     with_percent_rank,
     with_position,
 )
@@ -47,9 +46,10 @@ def test_running_counts(spark, sample):
             assert got[(key, value)] == want
 
 
-@pytest.mark.parametrize("step_rows", [10**9, 10])
-def test_percent_rank_equals_window(spark, sample, monkeypatch, step_rows):
-    monkeypatch.setattr(ordered, "ROWS_PER_STEP", step_rows)
+@pytest.mark.parametrize("share", [1000, 20, 1])
+def test_percent_rank_equals_window(spark, sample, monkeypatch, share):
+    """Also where few or all values count as hot."""
+    monkeypatch.setattr(ordered, "HOT_SHARE", share)
     sample.createOrReplaceTempView("sample_rows")
     want = spark.sql(
         "SELECT id, percent_rank() OVER (PARTITION BY k ORDER BY v) AS p FROM sample_rows"
@@ -65,19 +65,13 @@ def test_percent_rank_of_one_row(spark):
     assert with_percent_rank(df, ["k"], "v", "p").first().p == 0.0
 
 
-@pytest.mark.parametrize("step_rows", [10**9, 10])
-def test_positions_equal_window(spark, sample, monkeypatch, step_rows):
-    monkeypatch.setattr(ordered, "ROWS_PER_STEP", step_rows)
+def test_positions_equal_window(spark, sample):
     sample.createOrReplaceTempView("sample_rows")
     want = spark.sql(
         "SELECT id, row_number() OVER (PARTITION BY k ORDER BY v, id) AS pos FROM sample_rows"
     ).toPandas()
-    for got in (
-        with_position(sample, ["k"], "v", ["id"]),
-        with_bucket_position(sample, ["k"], number_bucket(F.col("v")), ["v", "id"]),
-    ):
-        both = want.merge(got.toPandas(), on="id")
-        assert len(both) == 3000 and (both.pos_x == both.pos_y).all()
+    both = want.merge(with_position(sample, ["k"], ["v", "id"]).toPandas(), on="id")
+    assert len(both) == 3000 and (both.pos_x == both.pos_y).all()
 
 
 def test_count_below(spark, sample):
@@ -107,17 +101,41 @@ def test_median(spark, values):
     assert (got is None and want != want) or abs(got - want) < 1e-9
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.floats(-1e300, 1e300), st.floats(-1e300, 1e300))
-def test_bucket_formula_keeps_order(a, b):
-    import math
+@pytest.fixture
+def sixteen_ranges(spark):
+    """Shuffles of 16 partitions that are not merged."""
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
 
-    def bucket(x):
-        size = math.floor(math.log1p(abs(x)) * 1024)
-        return -size if x < 0 else size
 
-    low, high = min(a, b), max(a, b)
-    assert bucket(low) <= bucket(high)
+VALUES = {
+    "narrow": "1e6 + id / 1e9",
+    "prefix": "concat('NATIONAL INSTITUTE OF TECHNOLOGY ', lpad(id, 9, '0'))",
+    "copies": "7.0D",
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_ranges_hold_like_numbers_of_rows(spark, sixteen_ranges, name):
+    """Narrow values, long common beginnings and copies do not meet in one task."""
+    df = spark.range(20_000).selectExpr("id", f"{VALUES[name]} AS v")
+    placed = with_position(df, [], ["v"])
+    assert sorted(r.pos for r in placed.select("pos").collect()) == list(range(1, 20_001))
+    last = [F.rand(7).alias("r")] if name == "copies" else []
+    parts = in_ranges(df.select("v", *last), ["v", *["r"][: len(last)]]).groupBy("__part").count().collect()
+    assert len(parts) == 16 and max(r["count"] for r in parts) < 2 * 20_000 / 16
+
+
+def test_sums_over_many_ranges(spark, sixteen_ranges, sample):
+    """Groups that span ranges, and ranges that hold many groups."""
+    test_running_counts(spark, sample)
+    test_count_below(spark, sample)
+    test_positions_equal_window(spark, sample)
 
 
 @pytest.mark.parametrize("pairs,broadcast_rows", [(100, 10), (100, 0), (10**6, 10)])
@@ -138,16 +156,14 @@ def test_grid(spark):
     assert cells.distinct().count() == 700
 
 
-@pytest.mark.parametrize("step_rows", [10**9, 10])
-def test_positions_with_long_ties(spark, monkeypatch, step_rows):
-    monkeypatch.setattr(ordered, "ROWS_PER_STEP", step_rows)
+def test_positions_with_long_ties(spark):
     df = spark.range(600).select(
         F.lit("c").alias("k"),
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(5).cast("double").alias("v"),
         F.concat(F.lit("i"), F.col("id") % 20).alias("a"),
         F.col("id").alias("b"),
     )
-    got = with_position(df, ["k"], "v", ["a", "b"]).collect()
+    got = with_position(df, ["k"], ["v", "a", "b"]).collect()
     want = sorted(got, key=lambda r: (r.v, r.a, r.b))
     assert [r.pos for r in want] == list(range(1, 601))
 
@@ -165,7 +181,7 @@ def test_null_first_and_nan_last(spark):
     want = spark.sql(
         "SELECT id, row_number() OVER (ORDER BY v, id) AS pos, percent_rank() OVER (ORDER BY v) AS p FROM odd_rows"
     ).collect()
-    places = {r.id: r.pos for r in with_position(df, ["k"], "v", ["id"]).collect()}
+    places = {r.id: r.pos for r in with_position(df, ["k"], ["v", "id"]).collect()}
     shares = {r.id: r.p for r in with_percent_rank(df, ["k"], "v", "p").collect()}
     assert places == {r.id: r.pos for r in want}
     assert shares == pytest.approx({r.id: r.p for r in want})
