@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutline.functions.hashing import stable_hash
+from cutline.functions.hashing import stable_digest, stable_hash
+from cutline.operators.ordered import attach, match_null_safe, with_position
+from cutline.session import materialise
 
 # Fixed value: ranks of negative samples end below this.
 RANK_LIMIT = 500_001
@@ -54,51 +56,90 @@ def split_by_hash(
     return df.withColumn("is_test", (share < test_percent).cast("int"))
 
 
-def split_stratified(
-    df: DataFrame, label: str, keys: list[str], test_percent: int = 15, seed: int = 42
+DIGITS = 4  # hexadecimal digits of the digest that a round looks at: 65,536 buckets per label
+CUT_ROWS = 10_000  # rows of a bucket that need no further round
+
+
+def _cut_digests(
+    hashed: DataFrame, label: str, test_percent: int
 ) -> DataFrame:
-    """Adds ``is_test``: exactly the rounded-up share of each 0/1 label, by hash order.
+    """Radix selection: the digest at which each label's test part ends.
 
-    A label may hold most rows, so there is no sort per label. Counts per hash bucket
-    (map-side combined) show in which bucket the cut of a label falls. All other rows
-    are decided where they are, without a shuffle; only the rows of the one cut bucket,
-    about 1 in 16,384, are sorted.
+    Columns: label, ``__cut``, ``__n`` (rows of the label) and ``__take`` (how many rows with exactly
+    that digest are in the test part). A round counts the digests' next digits, which combine on
+    the map side, and keeps the one bucket per label in which the cut falls; when no bucket holds
+    more than ``CUT_ROWS`` different digests, the cut is picked from it.
     """
-    hashed = df.withColumn("__hash", stable_hash(*keys, seed=seed)).withColumn(
-        "__bucket", F.shiftright("__hash", 18)
-    )
-    group = Window.partitionBy(label)
-    prefix = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        hashed.filter(F.col(label).isin(0, 1))
-        .groupBy(label, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__size"))
-    )
-    quota = F.ceil(F.sum("__size").over(group) * test_percent / 100)
-    below = F.coalesce(F.sum("__size").over(prefix), F.lit(0))
-    cuts = (
-        sizes.select(label, "__bucket", "__size", below.alias("__below"), quota.alias("__quota"))
-        .filter(
-            (F.col("__below") < F.col("__quota"))
-            & (F.col("__quota") <= F.col("__below") + F.col("__size"))
+    state, rows, depth = None, hashed, 0
+    while True:
+        depth += DIGITS
+        bucket = F.substring("__digest", 1, depth).alias("__prefix")
+        counts = rows.groupBy(label, bucket).agg(
+            F.count(F.lit(1)).alias("__size"), F.count_distinct("__digest").alias("__kinds")
         )
-        .select(
-            F.col(label).alias("__label"),
-            F.col("__bucket").alias("__cut"),
-            (F.col("__quota") - F.col("__below")).alias("__take"),
+        group = Window.partitionBy(label)
+        before = group.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("__below", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+        if state is None:
+            whole = F.sum("__size").over(group)
+            counts = counts.withColumns(
+                {"__n": whole, "__need": F.ceil(whole * test_percent / 100).cast("long")}
+            )
+        else:
+            counts = match_null_safe(counts, state.select(label, "__n", "__need"), [label])
+        hit = (F.col("__below") < F.col("__need")) & (
+            F.col("__need") <= F.col("__below") + F.col("__size")
         )
+        state = materialise(
+            counts.filter(hit).select(
+                label, "__prefix", "__kinds", "__n", (F.col("__need") - F.col("__below")).alias("__need")
+            ),
+            "cut",
+        )
+        inside = F.substring("__digest", 1, depth) == F.col("__prefix")
+        cut = attach(hashed, state.select(label, "__prefix", "__n"), [label], "__n").filter(inside)
+        # Only the rows of one bucket per label go on.
+        rows = materialise(cut.select(label, "__digest"), "bucket")
+        if depth >= 32 or not state.filter(F.col("__kinds") > CUT_ROWS).take(1):
+            break
+    sizes = rows.groupBy(label, "__digest").agg(F.count(F.lit(1)).alias("__size"))
+    upto = Window.partitionBy(label).orderBy("__digest")
+    placed = sizes.withColumn("__upto", F.sum("__size").over(upto))
+    last = match_null_safe(placed, state.select(label, "__n", "__need"), [label])
+    below = F.col("__upto") - F.col("__size")
+    last = last.filter((below < F.col("__need")) & (F.col("__need") <= F.col("__upto")))
+    return materialise(
+        last.select(
+            label, F.col("__digest").alias("__cut"), "__n",
+            (F.col("__need") - below).alias("__take"), "__size",
+        ),
+        "cuts",
     )
-    # At most one row per label value, and two label values.
-    placed = hashed.join(F.broadcast(cuts), F.col(label) == F.col("__label"), "left")
-    at_cut = F.coalesce(F.col("__bucket") == F.col("__cut"), F.lit(False))
-    by_hash = Window.partitionBy(label, "__bucket").orderBy("__hash", *keys)
+
+
+def split_stratified(
+    df: DataFrame, label: str, keys: list[str], test_percent: int = 15, seed: int = 42
+) -> DataFrame:
+    """Adds ``is_test``: exactly the rounded-up share of each label value, by digest order.
+
+    There may be any number of label values, NULL is one, and one may hold most rows. The digest at
+    which a label's test part ends is selected without sorting; then each row is decided where it
+    is. Only copies of a key that sits exactly at the cut are numbered, as they cannot be told
+    apart otherwise. ``df`` is read more than once: pass a written table.
+    """
+    hashed = df.withColumn("__digest", stable_digest(*keys, seed=seed))
+    cuts = _cut_digests(hashed, label, test_percent)
+    placed = attach(hashed, cuts, [label], "__n")
+    split = F.col("__size") > F.col("__take")
+    at_cut = F.coalesce((F.col("__digest") == F.col("__cut")) & split, F.lit(False))
     clear = placed.filter(~at_cut).withColumn(
-        "is_test", F.coalesce((F.col("__bucket") < F.col("__cut")).cast("int"), F.lit(0))
-    )
-    edge = placed.filter(at_cut).withColumn(
-        "is_test", (F.row_number().over(by_hash) <= F.col("__take")).cast("int")
-    )
-    return clear.unionByName(edge).select(*df.columns, "is_test")
+        "is_test", F.coalesce((F.col("__digest") <= F.col("__cut")).cast("int"), F.lit(0))
+    ).select(*df.columns, "is_test")
+    if not cuts.filter(split).take(1):
+        return clear
+    copies = with_position(materialise(placed.filter(at_cut), "copies"), [label], ["__digest"], "__at")
+    edge = copies.withColumn("is_test", (F.col("__at") <= F.col("__take")).cast("int"))
+    return clear.unionByName(edge.select(*df.columns, "is_test"))
 
 
 def assign_folds(df: DataFrame, keys: list[str], folds: int = 3, seed: int = 42) -> DataFrame:

@@ -17,9 +17,13 @@ SANE = "closing_rank > 0 AND opening_rank > 0 AND closing_rank >= opening_rank"
 LINK = r"'\[([^\]]+)\]\([^)]+\)', '\1', 'g'"
 
 
-def chance(*parts: str) -> str:
+def digest(*parts: str) -> str:
     text = ", ".join(["'42'", *parts])
-    return f"CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 8) AS BIGINT)"
+    return f"md5(concat_ws('|', {text}))"
+
+
+def chance(*parts: str) -> str:
+    return f"CAST('0x' || substr({digest(*parts)}, 1, 8) AS BIGINT)"
 
 
 def same(left: str, right: str, cols: str) -> str:
@@ -380,6 +384,13 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY label
     ORDER BY h, l_orderkey, l_linenumber) AS rn,
   count(*) OVER (PARTITION BY label) AS n FROM eval_hash)
 SELECT l_orderkey, l_linenumber, label,
+  CASE WHEN rn <= ceil(n * 15 / 100) THEN 1 ELSE 0 END AS is_test FROM placed""",
+    "split_stratified_many": f"""
+hashed AS (SELECT l_orderkey, l_linenumber, nullif(l_suppkey, 1) AS supplier,
+  {digest("l_orderkey", "l_linenumber")} AS h FROM lineitem),
+placed AS (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY h) AS rn,
+  count(*) OVER (PARTITION BY supplier) AS n FROM hashed)
+SELECT l_orderkey, l_linenumber, supplier,
   CASE WHEN rn <= ceil(n * 15 / 100) THEN 1 ELSE 0 END AS is_test FROM placed""",
     "kfold_assign": """SELECT l_orderkey, l_linenumber, CAST(h % 3 AS INT) AS fold
 FROM eval_hash""",

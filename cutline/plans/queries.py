@@ -562,6 +562,14 @@ def split_stratified(spark, sf_dir):
     return sampling.split_stratified(rows, "label", EVAL_KEYS)
 
 
+@query
+def split_stratified_many(spark, sf_dir):
+    """Stratified by supplier: labels of any number and kind, NULL among them."""
+    supplier = F.expr("nullif(l_suppkey, 1)").alias("supplier")
+    rows = table(spark, sf_dir, "lineitem").select(*EVAL_KEYS, supplier)
+    return sampling.split_stratified(rows, "supplier", EVAL_KEYS)
+
+
 @query
 def kfold_assign(spark, sf_dir):
     rows = sampling.assign_folds(view(spark, sf_dir, "fx_eval"), EVAL_KEYS, 3)

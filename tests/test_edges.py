@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import ranks, text
 from cutline.operators import cleaning, features, metrics, profile, recommend, reshape, sampling, vocab
+from cutline.session import materialise
 from tests.conftest import rows
 
 ALLOTMENT = (
@@ -154,6 +155,29 @@ def test_stratified_on_copies_and_one_label(spark):
     assert got.count() == 1000 and got.agg(F.sum("is_test")).first()[0] == 150
 
 
+@pytest.mark.parametrize("digits,cut_rows", [(4, 10_000), (1, 5), (16, 0)])
+def test_stratified_radix_rounds(spark, monkeypatch, digits, cut_rows):
+    """Any labels, several rounds, a hot label, and NULL; the cut is that of the sorted digests."""
+    import hashlib
+    import math
+
+    monkeypatch.setattr(sampling, "DIGITS", digits)
+    monkeypatch.setattr(sampling, "CUT_ROWS", cut_rows)
+    label = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, None).otherwise(
+        F.concat(F.lit("k"), F.col("id") % 7)
+    )
+    df = materialise(spark.range(800).select("id", label.alias("label")))
+    got = sampling.split_stratified(df, "label", ["id"]).collect()
+    assert len(got) == 800
+    by = {}
+    for r in got:
+        by.setdefault(r.label, []).append((hashlib.md5(f"42|{r.id}".encode()).hexdigest(), r.is_test))
+    for part in by.values():
+        part.sort()
+        take = math.ceil(len(part) * 15 / 100)
+        assert [t for _, t in part] == [1] * take + [0] * (len(part) - take)
+
+
 def test_probability_tiers(spark):
     df = spark.createDataFrame(
         [(0.69996,), (0.69994,), (0.40,), (0.3999,)], "eligibility_prob DOUBLE"
