@@ -1,44 +1,11 @@
-"""Joins whose natural key is coarse, and the grid of two vocabularies."""
+"""Statistics of a row's group, and the product of numbered tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.session import materialise
-
-
-# Joined rows that one task should make, and rows up to which a side is broadcast.
-PAIRS_PER_TASK = 5_000_000
-BROADCAST_ROWS = 100_000
-
-
-def salted_join(
-    many: DataFrame, few: DataFrame, on: list[str], spread_by: list[str]
-) -> DataFrame:
-    """Inner join on a coarse key, split by the number of rows each key value makes.
-
-    A first pass counts both sides per key value (map-side combined) and gives the value
-    as many slots as its pairs need. ``many`` goes to a slot by a hash of ``spread_by``
-    (its own unique columns), ``few`` is repeated once per slot of its key value only.
-    Both sides are read twice: pass written tables or short plans.
-    """
-    left_sizes = many.groupBy(*on).agg(F.count(F.lit(1)).alias("__left"))
-    right_sizes = few.groupBy(*on).agg(F.count(F.lit(1)).alias("__right"))
-    wanted = F.ceil(F.col("__left").cast("double") * F.col("__right") / PAIRS_PER_TASK)
-    slots = materialise(
-        left_sizes.join(right_sizes, on).select(
-            *on, F.least(wanted, F.col("__left")).cast("int").alias("__slots")
-        ),
-        "slots",
-    )
-    if slots.count() <= BROADCAST_ROWS:
-        slots = F.broadcast(slots)
-    slot = F.pmod(F.xxhash64(*spread_by), F.col("__slots")).cast("int")
-    every_slot = F.explode(F.sequence(F.lit(0), F.col("__slots") - 1))
-    left = many.join(slots, on).withColumn("__slot", slot).drop("__slots")
-    right = few.join(slots, on).withColumn("__slot", every_slot).drop("__slots")
-    return left.join(right, [*on, "__slot"]).drop("__slot")
+CELLS_PER_TASK = 1_000_000
 
 
 def with_group_stats(df: DataFrame, keys: list[str], **aggs) -> DataFrame:
@@ -52,13 +19,29 @@ def with_group_stats(df: DataFrame, keys: list[str], **aggs) -> DataFrame:
     return df.join(stats, keys, "left")
 
 
-def grid(left: DataFrame, numbered: DataFrame, index: str) -> DataFrame:
-    """Every row of ``left`` with every row of ``numbered``.
+def _stride(sizes: list[int]) -> int:
+    out = 1
+    for n in sizes:
+        out *= max(n, 1)
+    return out
+
+
+def product(parts: list[DataFrame], index: str = "id") -> DataFrame:
+    """Every combination of a row of each part; ``index`` numbers each part's rows from 0.
 
-    ``numbered`` carries ``index`` = 0..n-1. Each left row lists the indexes it needs
-    and an equi join fetches them, so the work spreads over the index and neither side
-    has to fit into one task's memory.
+    The cells are the numbers of one range, split evenly whatever the parts' sizes; a cell's
+    number says which row of each part it holds, and an equi join fetches it. No part is repeated,
+    and the planner broadcasts those that measure small. Numbers without a row make no cells.
     """
-    last = numbered.agg(F.max(index).alias("last")).scalar()
-    wanted = left.withColumn(index, F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return wanted.join(numbered, index).drop(index)
+    spark = parts[0].sparkSession
+    last = [p.agg(F.max(index)).first()[0] for p in parts]
+    sizes = [0 if n is None else n + 1 for n in last]
+    total = 0 if 0 in sizes else _stride(sizes)
+    tasks = max(1, spark.sparkContext.defaultParallelism, total // CELLS_PER_TASK)
+    cells, rest = spark.range(0, total, 1, tasks).withColumnRenamed("id", "__cell"), F.col("__cell")
+    for k, n in enumerate(sizes):
+        cells = cells.withColumn(f"__at{k}", F.pmod(rest, F.lit(max(n, 1))))
+        rest = F.expr(f"__cell div {_stride(sizes[: k + 1])}")
+    for k, part in enumerate(parts):
+        cells = cells.join(part.withColumnRenamed(index, f"__at{k}"), f"__at{k}")
+    return cells.drop("__cell", *[f"__at{k}" for k in range(len(parts))])

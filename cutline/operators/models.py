@@ -1,25 +1,34 @@
-"""Training and scoring with Spark ML."""
+"""Training and scoring with Spark ML.
+
+Categories enter the trees as mean targets (:mod:`cutline.operators.encoding`), numbers with the
+training rows' medians for NULL. Both are fitted on training rows only, saved with the trees, and
+used for scoring as they were for training.
+"""
 
 from __future__ import annotations
 
+import json
 import math
 import random
-from dataclasses import dataclass, field
+import re
+import statistics
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.functions.ranks import log_rank, unlog_rank
 from cutline.functions.text import vocab_text
+from cutline.operators.encoding import fold_sums, target_means, with_means, with_random_fold
+from cutline.operators.ordered import exact_medians
 from cutline.operators.sampling import assign_folds, with_class_weight
+from cutline.session import materialise
 
 # Feature lists and search ranges.
 JEE_NUMERIC = [
@@ -52,16 +61,22 @@ SEARCH = {
 }
 TRIALS = {"kcet": (15, 3), "neet": (30, 3), "comedk": (30, 5)}
 
-MAX_BINS = 1024  # categories beyond this are replaced by their mean target
 SEED = 42
+BINS = 64  # ranges of a feature's values that a tree may split at
+FOLDS = 5  # of the mean targets
 
 
 @dataclass(frozen=True)
 class FeatureSpec:
+    """Columns of a model, and the number that stands for NULL in each numeric one (else 0)."""
+
     categorical: list[str]
     numeric: list[str]
     fills: dict[str, float] = field(default_factory=dict)
 
+    def inputs(self) -> list[str]:
+        return [*[f"{c}__mean" for c in self.categorical], *self.numeric]
+
 
 JEE_SPEC = FeatureSpec(JEE_CATEGORICAL, JEE_NUMERIC)
 NEET_SPEC = FeatureSpec(NEET_CATEGORICAL, ["year"])
@@ -69,8 +84,28 @@ KCET_SPEC = FeatureSpec(KCET_CATEGORICAL, ["year"])
 COMEDK_SPEC = FeatureSpec(COMEDK_CATEGORICAL, COMEDK_NUMERIC)
 
 
+@dataclass(frozen=True)
+class FittedModel:
+    """Trees with everything that scoring needs: columns, fills and mean targets."""
+
+    trees: PipelineModel
+    means: DataFrame
+    spec: FeatureSpec
+    unseen: str = "prior"
+
+
+def with_fills(rows: DataFrame, spec: FeatureSpec) -> FeatureSpec:
+    """``spec`` with the exact medians of ``rows`` (a written table) where it names no fill."""
+    wanted = [c for c in spec.numeric if c not in spec.fills and c in rows.columns]
+    if not wanted:
+        return spec
+    found = exact_medians(rows, wanted).first().asDict()
+    medians = {c: float(v) for c, v in found.items() if v is not None}
+    return replace(spec, fills={**medians, **spec.fills})
+
+
 def prepare(df: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Numbers as double with NULL filled (0 unless given), categories never NULL."""
+    """Numbers as double with NULL filled, categories never NULL."""
     numbers = {
         c: F.coalesce(F.col(c).cast("double"), F.lit(float(spec.fills.get(c, 0.0))))
         for c in spec.numeric
@@ -79,187 +114,263 @@ def prepare(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return df.withColumns({**numbers, **texts})
 
 
-def encoder(df: DataFrame, spec: FeatureSpec, label: str, binary: bool = False):
-    """Fitted stages that turn prepared columns into one vector, and the bins they need.
+def with_log_label(df: DataFrame, target: str) -> DataFrame:
+    return df.filter(F.col(target) > 0).withColumn("label", log_rank(target))
 
-    The vocabularies travel with the model. A column with more values than a tree can
-    bin is encoded by its smoothed mean target instead.
-    """
-    names = spec.categorical
-    indexer = StringIndexer(
-        inputCols=names,
-        outputCols=[f"{c}__id" for c in names],
-        handleInvalid="keep",
-        stringOrderType="alphabetAsc",
-    ).fit(df)
-    sizes = {c: len(labels) + 1 for c, labels in zip(names, indexer.labelsArray)}
-    wide = [c for c in names if sizes[c] > MAX_BINS]
-    stages = [indexer]
-    if wide:
-        stages.append(
-            TargetEncoder(
-                inputCols=[f"{c}__id" for c in wide],
-                outputCols=[f"{c}__target" for c in wide],
-                labelCol=label,
-                targetType="binary" if binary else "continuous",
-                handleInvalid="keep",
-                smoothing=10.0,
-            )
-        )
-        # A computed copy drops the category marks that the encoder leaves on its output.
-        means = ", ".join(f"{c}__target + 0D AS {c}__mean" for c in wide)
-        stages.append(SQLTransformer(statement=f"SELECT *, {means} FROM __THIS__"))
-    inputs = [f"{c}__mean" if c in wide else f"{c}__id" for c in names] + spec.numeric
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    bins = max([32, *[s for c, s in sizes.items() if c not in wide]])
-    return Pipeline(stages=stages).fit(df), inputs, bins
 
+def _assembler(spec: FeatureSpec) -> VectorAssembler:
+    return VectorAssembler(inputCols=spec.inputs(), outputCol="features")
 
-def with_log_label(df: DataFrame, target: str) -> DataFrame:
-    return df.filter(F.col(target) > 0).withColumn("label", log_rank(target))
+
+def _encoded(rows: DataFrame, spec: FeatureSpec, held: str | None = None):
+    """Training rows with out-of-fold means, those marked ``held`` with the means of all training
+    rows; and the table of means. ``rows`` are prepared and labelled."""
+    dealt = materialise(with_random_fold(rows, FOLDS, SEED), "train")
+    train = dealt if held is None else dealt.filter(~F.col(held))
+    folds = list(range(FOLDS))
+    sums = materialise(fold_sums(train, spec.categorical, "label"), "sums")
+    means = materialise(target_means(sums, folds), "means")
+    if held is not None:
+        dealt = dealt.withColumn("fold", F.when(F.col(held), -1).otherwise(F.col("fold")))
+    return with_means(dealt, means, spec.categorical, "fold"), means
 
 
 def train_regressor(
     train: DataFrame, spec: FeatureSpec, target: str = "closing_rank", **settings
-) -> PipelineModel:
-    """Boosted trees on the log of the closing rank."""
-    rows = with_log_label(prepare(train, spec), target)
-    encode, _, bins = encoder(rows, spec, "label")
-    trees = GBTRegressor(
-        featuresCol="features", labelCol="label", maxBins=bins, seed=SEED, **settings
-    ).fit(encode.transform(rows))
-    return PipelineModel(stages=[*encode.stages, trees])
+) -> FittedModel:
+    """Boosted trees on the log of the closing rank. ``train`` is a written table."""
+    spec = with_fills(train, spec)
+    encoded, means = _encoded(with_log_label(prepare(train, spec), target), spec)
+    assembler = _assembler(spec)
+    options = {"maxBins": BINS, "seed": SEED, **settings}
+    trees = GBTRegressor(featuresCol="features", labelCol="label", **options)
+    fitted = trees.fit(materialise(assembler.transform(encoded).select("features", "label"), "fit"))
+    return FittedModel(PipelineModel(stages=[assembler, fitted]), means, spec)
 
 
 def train_classifier(
     samples: DataFrame, spec: FeatureSpec = JEE_SPEC, validation: str | None = None, **settings
-) -> PipelineModel:
+) -> FittedModel:
     """Boosted trees on eligibility with balanced class weights.
 
-    ``validation`` names a boolean column whose rows stop the boosting early.
+    ``validation`` names a boolean column whose rows stop the boosting early; fills, mean targets and
+    weights do not see them. ``samples`` is a written table.
     """
-    options = {**JEE_SETTINGS, **settings}
+    options = {**JEE_SETTINGS, "maxBins": BINS, "seed": SEED, **settings}
+    train = samples if validation is None else samples.filter(~F.col(validation))
+    spec = with_fills(train, spec)
+    label = F.col("eligible").cast("double")
+    encoded, means = _encoded(prepare(samples, spec).withColumn("label", label), spec, validation)
+    seen = train.select(label.alias("label"))
+    weighted = with_class_weight(encoded, "label", counted=seen)
+    columns = ["features", "label", "weight"]
     if validation is not None:
         options["validationIndicatorCol"] = validation
-    labelled = prepare(samples, spec).withColumn("label", F.col("eligible").cast("double"))
-    rows = with_class_weight(labelled, "label")
-    encode, _, bins = encoder(rows, spec, "label", binary=True)
-    trees = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", maxBins=bins, seed=SEED,
-        **options,
-    ).fit(encode.transform(rows))
-    return PipelineModel(stages=[*encode.stages, trees])
+        columns.append(validation)
+    assembler = _assembler(spec)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **options)
+    fitted = trees.fit(materialise(assembler.transform(weighted).select(*columns), "fit"))
+    return FittedModel(PipelineModel(stages=[assembler, fitted]), means, spec)
+
 
+def _scored(model: FittedModel, df: DataFrame) -> DataFrame:
+    copy = prepare(df.withColumn("__raw", F.struct(*df.columns)), model.spec)
+    needed = copy.select("__raw", *model.spec.categorical, *model.spec.numeric)
+    encoded = with_means(needed, model.means, model.spec.categorical, unseen=model.unseen)
+    return model.trees.transform(encoded)
 
-def score_ranks(model: PipelineModel, df: DataFrame, spec: FeatureSpec) -> DataFrame:
+
+def score_ranks(model: FittedModel, df: DataFrame) -> DataFrame:
     """Adds ``pred_closing_rank``; the original columns stay as they were."""
-    scored = model.transform(_prepared_copy(df, spec))
-    return scored.select(
+    return _scored(model, df).select(
         *[F.col(f"__raw.{c}").alias(c) for c in df.columns],
         unlog_rank("prediction").alias("pred_closing_rank"),
     )
 
 
-def score_eligibility(model: PipelineModel, df: DataFrame, spec: FeatureSpec = JEE_SPEC):
+def score_eligibility(model: FittedModel, df: DataFrame) -> DataFrame:
     """Adds ``eligibility_prob`` rounded to 4 places."""
-    scored = model.transform(_prepared_copy(df, spec))
-    return scored.select(
+    return _scored(model, df).select(
         *[F.col(f"__raw.{c}").alias(c) for c in df.columns],
         F.round(vector_to_array("probability")[1], 4).alias("eligibility_prob"),
     )
 
 
-def dropping_unseen(model: PipelineModel) -> PipelineModel:
+def dropping_unseen(model: FittedModel) -> FittedModel:
     """The same model, but rows with a category value it never saw leave the result."""
-    indexer, *rest = model.stages
-    strict = indexer.copy()
-    strict.setHandleInvalid("skip")
-    return PipelineModel(stages=[strict, *rest])
+    return replace(model, unseen="drop")
 
 
-def _prepared_copy(df: DataFrame, spec: FeatureSpec) -> DataFrame:
-    return prepare(df.withColumn("__raw", F.struct(*df.columns)), spec)
+def split_points(model: FittedModel, column: str) -> list[float]:
+    """Rising thresholds at which the trees split a numeric column: between two neighbours the
+    score does not depend on it. There are fewer than ``BINS``, whatever the number of trees."""
+    at = model.spec.inputs().index(column)
+    trees = model.trees.stages[-1]
+    return sorted({float(x) for x in re.findall(rf"feature {at} <= (\S+?)\)", trees.toDebugString)})
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, limit: int = 10) -> DataFrame:
+def feature_importance(spark: SparkSession, model: FittedModel, limit: int = 10) -> DataFrame:
     """Most important inputs of the model's trees (as many rows as the model has inputs)."""
-    *_, assembler, trees = model.stages
-    weights = trees.featureImportances.toArray()
-    rows = [(c, float(w)) for c, w in zip(assembler.getInputCols(), weights)]
+    weights = model.trees.stages[-1].featureImportances.toArray()
+    rows = [(c, float(w)) for c, w in zip(model.spec.inputs(), weights)]
     table = spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
     return table.orderBy(F.col("importance").desc(), "feature").limit(limit)
 
 
 # ---- search ------------------------------------------------------------------------
 
+STARTUP = 5  # random trials before the sampler learns from them
+GOOD_SHARE = 0.25  # best trials that the sampler imitates
+CANDIDATES = 24
+RUNG = 3  # the first look at a trial has one in so many of its trees
+
 
-class RankRmse(Evaluator):
-    """RMSE in ranks of predictions made in log space."""
+def _to_line(name: str, value: float, low) -> float:
+    return float(value) if isinstance(low, int) else math.log(value)
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        gap = F.expm1("label") - F.expm1("prediction")
-        return dataset.agg(F.sqrt(F.avg(gap * gap)).alias("rmse")).first()["rmse"]
 
-    def isLargerBetter(self) -> bool:
-        return False
+def _draw(dice: random.Random, ranges: dict) -> dict:
+    """Uniform settings: whole numbers as they are, others in their logarithm."""
+    one = {}
+    for name, (low, high) in ranges.items():
+        if isinstance(low, int):
+            one[name] = dice.randint(low, high)
+        else:
+            one[name] = math.exp(dice.uniform(math.log(low), math.log(high)))
+    return one
 
 
 def draw_settings(ranges: dict, trials: int, seed: int = SEED) -> list[dict]:
-    """Random settings: whole numbers uniform, the step size uniform in its logarithm."""
+    """Random settings."""
     dice = random.Random(seed)
-    drawn = []
-    for _ in range(trials):
-        one = {}
-        for name, (low, high) in ranges.items():
-            if isinstance(low, int):
-                one[name] = dice.randint(low, high)
-            else:
-                one[name] = math.exp(dice.uniform(math.log(low), math.log(high)))
-        drawn.append(one)
-    return drawn
+    return [_draw(dice, ranges) for _ in range(trials)]
+
+
+def propose(dice: random.Random, ranges: dict, done: list[tuple[dict, float]]) -> dict:
+    """Next settings, from the settings and losses of past trials (a Parzen estimator).
+
+    The best trials and the others each make a mixture of normal distributions around their
+    settings, and a wide one over the whole range. Of candidates drawn from the first mixture the one
+    that is likeliest under it, relative to the second, is tried next.
+    """
+    if len(done) < STARTUP:
+        return _draw(dice, ranges)
+    ranked = [one for one, _ in sorted(done, key=lambda t: t[1])]
+    cut = max(1, math.ceil(GOOD_SHARE * len(ranked)))
+    good, rest = ranked[:cut], ranked[cut:]
+    one = {}
+    for name, (low, high) in ranges.items():
+        a, b = _to_line(name, low, low), _to_line(name, high, low)
+        width = max(b - a, 1e-12)
+
+        def density(x: float, group: list[dict]) -> float:
+            points = [_to_line(name, g[name], low) for g in group]
+            spread = width / math.sqrt(1 + len(points))
+            bells = sum(math.exp(-0.5 * ((x - p) / spread) ** 2) / spread for p in points)
+            return (bells / 2.5066 + 1 / width) / (1 + len(points))
+
+        spread = width / math.sqrt(1 + len(good))
+        points = [_to_line(name, g[name], low) for g in good]
+        drawn = [
+            dice.uniform(a, b) if dice.random() < 1 / (1 + len(points))
+            else min(b, max(a, dice.gauss(dice.choice(points), spread)))
+            for _ in range(CANDIDATES)
+        ]
+        best = max(drawn, key=lambda x: density(x, good) / density(x, rest))
+        one[name] = round(best) if isinstance(low, int) else min(high, max(low, math.exp(best)))
+    return one
+
+
+@dataclass(frozen=True)
+class Trial:
+    """Settings, how many folds were fitted with them, and the mean RMSE (None if given up)."""
+
+    number: int
+    settings: dict
+    folds: int
+    rmse: float | None
+    first_look: float
 
 
 def tune_regressor(
     train: DataFrame,
     spec: FeatureSpec,
     keys: list[str],
-    settings: list[dict],
+    ranges: dict,
+    trials: int,
     folds: int = 3,
     target: str = "closing_rank",
     in_ranks: bool = False,
-    parallelism: int = 4,
-) -> tuple[CrossValidatorModel, list[dict]]:
-    """Cross-validates each setting on hash folds; returns the model and the trial table."""
+    seed: int = SEED,
+) -> list[Trial]:
+    """Sequential search over ``ranges`` by cross-validation on hash folds of ``keys``.
+
+    For every fold the rows are encoded once, with mean targets of the other folds only. A trial is first
+    fitted with a third of its trees on one fold and given up there if it is worse than the median of
+    the trials before it; the others are fitted on all folds, each of which also stops its own
+    boosting early. Pass a written table.
+    """
+    spec = with_fills(train, spec)
     rows = with_log_label(prepare(train, spec), target)
-    encode, _, bins = encoder(rows, spec, "label")
-    encoded = assign_folds(encode.transform(rows), keys, folds).select(
-        "features", "label", "fold"
-    )
-    trees = GBTRegressor(featuresCol="features", labelCol="label", maxBins=bins, seed=SEED)
-    maps = [{trees.getParam(k): v for k, v in one.items()} for one in settings]
-    score = RankRmse() if in_ranks else RegressionEvaluator(labelCol="label", metricName="rmse")
-    search = CrossValidator(
-        estimator=trees, estimatorParamMaps=maps, evaluator=score, numFolds=folds,
-        foldCol="fold", parallelism=parallelism, seed=SEED,
-    )
-    model = search.fit(encoded)
-    return model, [
-        {**one, "rmse": float(m)} for one, m in zip(settings, model.avgMetrics)
-    ]
+    dealt = assign_folds(rows, keys, folds).withColumnRenamed("fold", "cv_fold")
+    dealt = dealt.select(*spec.categorical, *spec.numeric, "label", "cv_fold")
+    dealt = materialise(dealt, "tune")
+    parts = []
+    for held in range(folds):
+        marked = dealt.withColumn("held_out", F.col("cv_fold") == held)
+        encoded, _ = _encoded(marked, spec, "held_out")
+        encoded = _assembler(spec).transform(encoded).select("features", "label", "held_out")
+        parts.append(materialise(encoded, "fold"))
+
+    def loss(settings: dict, part: DataFrame) -> float:
+        trees = GBTRegressor(
+            featuresCol="features", labelCol="label", maxBins=BINS, seed=SEED,
+            validationIndicatorCol="held_out", **settings,
+        )
+        scored = trees.fit(part).transform(part.filter("held_out"))
+        gap = F.col("label") - F.col("prediction")
+        if in_ranks:
+            gap = F.expm1("label") - F.expm1("prediction")
+        return scored.agg(F.sqrt(F.avg(gap * gap)).alias("rmse")).first()["rmse"]
+
+    dice = random.Random(seed)
+    made: list[Trial] = []
+    for number in range(trials):
+        # A trial that was given up counts with its first look, which is no better than its end.
+        past = [(t.settings, t.rmse if t.rmse is not None else t.first_look) for t in made]
+        one = propose(dice, ranges, past)
+        short = {**one, "maxIter": max(1, one["maxIter"] // RUNG)} if "maxIter" in one else one
+        look = loss(short, parts[0])
+        if made and look > statistics.median(t.first_look for t in made):
+            made.append(Trial(number, one, 0, None, look))
+            continue
+        scores = [loss(one, part) for part in parts]
+        made.append(Trial(number, one, folds, statistics.fmean(scores), look))
+    return made
+
+
+def best_trial(trials: list[Trial]) -> Trial:
+    return min((t for t in trials if t.rmse is not None), key=lambda t: t.rmse)
 
 
 # ---- artifacts ---------------------------------------------------------------------
 
 
-def save_artifacts(path: str, model: PipelineModel, history: DataFrame | None = None) -> None:
-    """One folder with the pipeline (vocabularies and column order inside) and the history."""
-    model.write().overwrite().save(f"{path}/model")
+def save_artifacts(path: str, model: FittedModel, history: DataFrame | None = None) -> None:
+    """One folder: trees, mean targets, columns and fills, and the history if there is one."""
+    spark = model.means.sparkSession
+    model.trees.write().overwrite().save(f"{path}/model")
+    model.means.write.mode("overwrite").parquet(f"{path}/means")
+    spec = spark.createDataFrame([(json.dumps(asdict(model.spec)),)], "spec STRING")
+    spec.write.mode("overwrite").parquet(f"{path}/spec")
     if history is not None:
         history.write.mode("overwrite").parquet(f"{path}/history")
 
 
-def load_artifacts(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame | None]:
-    model = PipelineModel.load(f"{path}/model")
+def load_artifacts(spark: SparkSession, path: str) -> tuple[FittedModel, DataFrame | None]:
+    spec = FeatureSpec(**json.loads(spark.read.parquet(f"{path}/spec").first()["spec"]))
+    means = spark.read.parquet(f"{path}/means")
+    model = FittedModel(PipelineModel.load(f"{path}/model"), means, spec)
     try:
         return model, spark.read.parquet(f"{path}/history")
     except AnalysisException as err:

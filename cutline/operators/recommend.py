@@ -24,7 +24,8 @@ from cutline.functions.ranks import (
     whole_rank,
 )
 from cutline.functions.text import contains_ignore_case, request_key
-from cutline.operators.joins import grid, salted_join
+from cutline.operators import models
+from cutline.operators.joins import product
 from cutline.operators.ordered import running_sums, with_position
 from cutline.operators.vocab import UNKNOWN
 from cutline.session import materialise
@@ -50,6 +51,7 @@ COMEDK_RULE = GapRule(window=1000, descending=False, whole=True)
 TOP_PER_TIER = 15
 TOP_OVERALL = 20
 
+COHORT = ["segment", "quota_key", "pool_key", "category_key"]
 PAGE = 500  # entries of a page of a nested response
 BLOCK = 64  # neighbouring places that are fetched together
 NEET_COURSE = "MBBS"
@@ -74,38 +76,46 @@ def filter_branch(df: DataFrame, course: str, branch: str | None) -> DataFrame:
 # ---- candidates --------------------------------------------------------------------
 
 
-def jee_candidates(requests: DataFrame, features: DataFrame, marker: str = "IIT") -> DataFrame:
-    """Programmes of the applicant's segment, quota, pool and category (any letter case).
-
-    Cohorts are coarse, so programmes are spread over slots inside a cohort.
-    """
-    wanted = requests.withColumns(
+def with_cohort(requests: DataFrame) -> DataFrame:
+    """Adds the segment and the spellings under which a request meets its programmes."""
+    return requests.withColumns(
         {
-            "__segment": route_segment("exam_type"),
-            "__quota": F.upper("quota"),
-            "__pool": F.lower("pool"),
-            "__category": F.upper("category"),
+            "segment": route_segment("exam_type"),
+            "quota_key": F.upper("quota"),
+            "pool_key": F.lower("pool"),
+            "category_key": F.upper("category"),
         }
     )
+
+
+def jee_candidates(requests: DataFrame, features: DataFrame, marker: str = "IIT") -> DataFrame:
+    """Programmes of the segments, quotas, pools and categories (any letter case) asked for.
+
+    A programme belongs to one cohort, so this is a semi join: programmes are never repeated, however
+    many requests share their cohort, and requests meet cohorts, not programmes.
+    """
     segment = F.when(F.col("institute_type") == marker, "IIT").otherwise("NIT")
     offered = features.withColumns(
         {
-            "__segment": segment,
-            "__quota": F.upper("quota"),
-            "__pool": F.lower("pool"),
-            "__category": F.upper("category"),
+            "segment": segment,
+            "quota_key": F.upper("quota"),
+            "pool_key": F.lower("pool"),
+            "category_key": F.upper("category"),
         }
-    ).drop("quota", "pool", "category")
-    on = ["__segment", "__quota", "__pool", "__category"]
-    spread = ["institute_short", "program_name", "degree_short"]
-    return salted_join(offered, wanted, on, spread).drop(*on)
+    )
+    return offered.join(with_cohort(requests).select(*COHORT).distinct(), COHORT, "left_semi")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows with ``id`` from 0 in their order."""
+    return with_position(df, [], df.columns, "id").withColumn("id", F.col("id") - 1)
 
 
 def neet_candidates(contexts: DataFrame, institutes: DataFrame, year: int) -> DataFrame:
     """Every known institute for every distinct category."""
-    known = institutes.filter(F.col("value") != UNKNOWN)
-    # Ids may have a gap where the unknown entry was; the grid only fetches those present.
-    return grid(contexts, known.withColumnRenamed("value", "institute"), "id").withColumns(
+    known = institutes.filter(F.col("value") != UNKNOWN).withColumnRenamed("value", "institute")
+    wanted = materialise(_numbered(contexts.distinct()), "contexts")
+    return product([wanted, known]).withColumns(
         {"course": F.lit(NEET_COURSE), "year": F.lit(year)}
     )
 
@@ -115,10 +125,13 @@ def kcet_candidates(
 ) -> DataFrame:
     """Every college with every course, for every distinct request context."""
     attributes = {c: F.upper(c) for c in contexts.columns}
-    wanted = contexts.withColumns(attributes).distinct()
-    offered = grid(wanted, colleges.withColumnRenamed("value", "college_name"), "id")
-    pairs = grid(offered, courses.withColumnRenamed("value", "course_name"), "id")
-    return pairs.withColumn("year", F.lit(year))
+    wanted = materialise(_numbered(contexts.withColumns(attributes).distinct()), "contexts")
+    parts = [
+        wanted,
+        colleges.withColumnRenamed("value", "college_name"),
+        courses.withColumnRenamed("value", "course_name"),
+    ]
+    return product(parts).withColumn("year", F.lit(year))
 
 
 # ---- gap tiers ---------------------------------------------------------------------
@@ -372,10 +385,80 @@ def top_overall(
     return rounded.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= limit)
 
 
-def jee_response_rows(scored: DataFrame) -> DataFrame:
-    """Published columns of a tiered JEE answer (the duration repeats the degree)."""
-    return scored.select(
-        *[c for c in ("request_key", "user_rank", "tier", "pos") if c in scored.columns],
+def _band(rank, points: list[float]):
+    """Number of the interval between split points that holds the rank."""
+    return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < rank)) if points else F.lit(0)
+
+
+def score_bands(model: models.FittedModel, programmes: DataFrame) -> DataFrame:
+    """``eligibility_prob`` of each programme for every interval of the applicant's rank.
+
+    Trees see a rank only through their split points, so between two neighbours the score is one
+    number: a programme is scored once per interval, of which there are fewer than a tree has bins,
+    and not once per request.
+    """
+    points = models.split_points(model, "student_rank")
+    ends = [*points, points[-1] + 1] if points else [1.0]
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(e).alias("r")) for k, e in enumerate(ends)])
+    rows = programmes.withColumn("__b", F.explode(bands))
+    rows = rows.withColumns({"band": F.col("__b.band"), "student_rank": F.col("__b.r")}).drop("__b")
+    return models.score_eligibility(model, rows)
+
+
+JEE_NAMES = ["institute_short", "program_name", "degree_short"]
+
+
+def jee_answers(
+    requests: DataFrame,
+    segments: dict[str, tuple[DataFrame, models.FittedModel]],
+    marker: str = "IIT",
+) -> tuple[DataFrame, Answers]:
+    """Answers of a mixed batch: each segment's requests go to its features and its model.
+
+    Returns the requests with segment, tier sizes and ``has_result`` (0 where nothing was found, also
+    where a segment has no model), and the programmes in interval form: ordered by falling probability
+    within (cohort, band), so that the Safe ones come first and the Likely ones follow.
+    """
+    asked = with_cohort(requests).withColumn("user_rank", F.col("user_rank").cast("double"))
+    band, parts = F.lit(None).cast("int"), []
+    for name, (rows, model) in segments.items():
+        points = models.split_points(model, "student_rank")
+        band = F.when(F.col("segment") == name, _band(F.col("user_rank"), points)).otherwise(band)
+        offered = jee_candidates(asked, rows, marker).filter(F.col("segment") == name)
+        scored = score_bands(model, offered)
+        parts.append(scored.select(*COHORT, "band", *JEE_NAMES, "closing_rank_max", "eligibility_prob"))
+    asked = asked.withColumn("band", band)
+    scored = materialise(with_probability_tier(_union(parts)), "scored")
+    group = [*COHORT, "band"]
+    keyed = scored.withColumn("__key", F.round(F.col("eligibility_prob") * -10000).cast("long"))
+    placed = with_position(keyed, group, ["__key", *JEE_NAMES], "place").drop("__key", "tier")
+    sizes = scored.groupBy(*group).agg(
+        F.count_if(F.col("tier") == "Safe").alias("n_safe"),
+        F.count_if(F.col("tier") == "Likely").alias("n_likely"),
+    )
+    found = asked.join(sizes, group, "left").fillna({"n_safe": 0, "n_likely": 0})
+    safe, both = F.col("n_safe"), F.col("n_safe") + F.col("n_likely")
+    known = found.filter(both > 0).select(*group, "user_rank", "n_safe", "n_likely").distinct()
+    bounds = known.select(
+        *group, "user_rank", F.lit(1).cast("long").alias("safe_first"), safe.alias("safe_last"),
+        (safe + 1).alias("likely_first"), both.alias("likely_last"),
+    )
+    outcomes = found.withColumn("has_result", (both > 0).cast("int"))
+    return outcomes, Answers(bounds, materialise(placed, "placed"), group, "user_rank")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def jee_response_rows(rows: DataFrame) -> DataFrame:
+    """Published columns of rows of a JEE answer (the duration repeats the degree)."""
+    published = {"institute_short", "program_name", "degree_short", "closing_rank_max", "eligibility_prob"}
+    return rows.select(
+        *[c for c in rows.columns if c not in published],
         F.col("institute_short").alias("institute"),
         F.col("program_name").alias("program"),
         F.col("degree_short").alias("program_duration"),

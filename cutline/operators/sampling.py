@@ -162,12 +162,14 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("weight", F.max("n_rows").over(every_class) / F.col("n_rows"))
 
 
-def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Adds the balanced weight of a 0/1 label, from one pass over the labels."""
+def with_class_weight(
+    df: DataFrame, label: str, out: str = "weight", counted: DataFrame | None = None
+) -> DataFrame:
+    """Adds the balanced weight of a 0/1 label, from one pass over the labels (of ``counted``)."""
     ones = F.count_if(F.col(label) == 1)
     zeros = F.count_if(F.col(label) == 0)
     largest = F.greatest(ones, zeros)
-    weights = df.agg(
+    weights = (df if counted is None else counted).agg(
         F.struct(
             (largest / F.nullif(ones, F.lit(0))).alias("one"),
             (largest / F.nullif(zeros, F.lit(0))).alias("zero"),

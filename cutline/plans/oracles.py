@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cutline.functions.text import STRIP_CODES
+from cutline.operators.models import COMEDK_CATEGORICAL, COMEDK_NUMERIC
 from cutline.plans.fixtures import with_views
 
 JEE = "institute_type, institute_short, program_name, degree_short, category, quota, pool"
@@ -100,6 +101,23 @@ SELECT DISTINCT upper(institute) AS value FROM fx_ranked WHERE region <> 'ASIA'
 UNION SELECT '__UNKNOWN__'""",
     "known": """
 SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM known_values""",
+    "candidates": """
+SELECT DISTINCT s.segment, upper(f.quota) AS quota_key, lower(f.pool) AS pool_key,
+  upper(f.category) AS category_key, institute_short, program_name, degree_short,
+  closing_rank_max, opening_rank_min
+FROM multi_raw f JOIN (SELECT CASE WHEN lower(exam_type) LIKE '%advanced%' THEN 'IIT' ELSE 'NIT' END
+    AS segment, quota, pool, category FROM fx_requests) s
+  ON upper(s.quota) = upper(f.quota) AND lower(s.pool) = lower(f.pool)
+  AND upper(s.category) = upper(f.category) AND (s.segment = 'IIT') = (f.institute_type = 'ASIA')""",
+    "kcet_contexts": """
+SELECT DISTINCT upper(category) AS category, upper(base_category) AS base_category,
+  upper(quota) AS quota, upper(region) AS region FROM fx_requests""",
+    "kcet_cells": """
+SELECT college_name, course_name FROM (SELECT DISTINCT upper(institute) AS college_name FROM fx_ranked),
+  (SELECT DISTINCT upper(course) AS course_name FROM fx_ranked)""",
+    "neet_rows": f"""
+SELECT institute, course, category, quota, year AS year, max(rank) AS closing_rank
+FROM fx_ranked GROUP BY institute, course, category, quota, year""",
     "contexts": """
 SELECT DISTINCT category, user_rank FROM fx_requests""",
     "eval_hash": f"""
@@ -434,22 +452,11 @@ FROM fx_requests""",
     "request_dedup": """SELECT user_rank, exam_type, category, quota, pool, count(*) AS n_requests,
   concat_ws('_', 'jee', user_rank, exam_type, category, quota, pool) AS request_key
 FROM fx_requests GROUP BY user_rank, exam_type, category, quota, pool""",
-    "jee_candidate_match": """
-wanted AS (SELECT DISTINCT user_rank, exam_type, category, quota, pool,
-  concat_ws('_', 'jee', user_rank, exam_type, category, quota, pool) AS request_key
-  FROM fx_requests)
-SELECT request_key, institute_type, institute_short, program_name, degree_short,
-  closing_rank_max, opening_rank_min
-FROM wanted w JOIN multi_raw f ON upper(w.quota) = upper(f.quota)
-  AND lower(w.pool) = lower(f.pool) AND upper(w.category) = upper(f.category)
-  AND (lower(w.exam_type) LIKE '%advanced%') = (f.institute_type = 'ASIA')""",
+    "jee_candidate_match": "SELECT * FROM candidates",
     "branch_filter": "SELECT * FROM yearly WHERE lower(course_name) LIKE '%pro%'",
-    "kcet_grid": """
-ctx AS (SELECT DISTINCT upper(category) AS category, upper(base_category) AS base_category
-  FROM fx_ranked),
-col AS (SELECT DISTINCT upper(institute) AS college_name FROM fx_ranked),
-cou AS (SELECT DISTINCT upper(course) AS course_name FROM fx_ranked)
-SELECT category, base_category, college_name, course_name, 2002 AS year FROM ctx, col, cou""",
+    "kcet_grid": f"""
+SELECT category, base_category, quota, region, college_name, course_name, 2002 AS year
+FROM kcet_contexts, kcet_cells""",
     "neet_candidates": """
 ctx AS (SELECT DISTINCT category FROM fx_requests)
 SELECT category, value AS institute, 'MBBS' AS course, 2002 AS year
@@ -496,6 +503,51 @@ SELECT category, (place - 1) // 100 AS page, place, institute, course, predicted
 FROM ordered""",
 }
 
+BODIES |= {
+    "target_means": f"""
+dealt AS (SELECT *, ln(1 + closing_rank) AS y,
+  CAST({chance("institute", "course", "category", "quota", "year")} % 3 AS INT) AS fold FROM neet_rows),
+cells AS (SELECT 'institute' AS "column", upper(institute) AS value, fold, y FROM dealt
+  UNION ALL SELECT 'category', upper(category), fold, y FROM dealt
+  UNION ALL SELECT '', '', fold, y FROM dealt),
+outside AS (SELECT v."column", v.value, f.fold, count(c.y) AS n, coalesce(sum(c.y), 0) AS total
+  FROM (SELECT DISTINCT "column", value FROM cells) v
+  CROSS JOIN (SELECT unnest([-1, 0, 1, 2]) AS fold) f
+  LEFT JOIN cells c ON c."column" = v."column" AND c.value = v.value AND c.fold <> f.fold
+  GROUP BY 1, 2, 3),
+priors AS (SELECT fold, total / n AS prior FROM outside WHERE "column" = '')
+SELECT "column", value, o.fold, n, round(CASE WHEN "column" = '' THEN prior
+  ELSE (total + 10 * prior) / (n + 10) END, 6) AS mean FROM outside o JOIN priors p ON o.fold = p.fold""",
+    "train_regressor": f"""
+SELECT count(*) FILTER ({chance("institute", "course", "category", "quota", "year")} % 100 < 15)
+  AS n_rows, 1 AS beats_mean FROM neet_rows""",
+    "train_classifier": f"""
+draws AS (SELECT draw, {chance(JEE, "draw").replace("'42'", "'43'")} % 100 < 15 AS held
+  FROM multi_raw, (SELECT 0 AS draw UNION ALL SELECT 1)
+  WHERE greatest(1, opening_rank_min) <= closing_rank_max)
+SELECT count(*) FILTER (held AND draw = 0) AS n_positive, count(*) FILTER (held AND draw = 1)
+  AS n_negative, 1 AS beats_chance FROM draws""",
+    "score_classifier": """
+SELECT segment, quota_key, pool_key, category_key, institute_short, program_name, degree_short,
+  1 AS in_range, 1 AS all_bands FROM candidates""",
+    "jee_answers": """
+asked AS (SELECT request_id, CASE WHEN lower(exam_type) LIKE '%advanced%' THEN 'IIT' ELSE 'NIT' END
+    AS segment, upper(quota) AS quota_key, lower(pool) AS pool_key, upper(category) AS category_key
+  FROM fx_requests)
+SELECT request_id, any_value(a.segment) AS segment, count(c.institute_short) AS n_programmes,
+  1 AS within, 1 AS listed, 1 AS told
+FROM asked a LEFT JOIN candidates c ON a.segment = c.segment AND a.quota_key = c.quota_key
+  AND a.pool_key = c.pool_key AND a.category_key = c.category_key GROUP BY request_id""",
+    "score_grid": """SELECT request_id, (SELECT count(*) FROM kcet_cells) AS n_cells, 1 AS fits
+FROM fx_requests""",
+    "feature_importance": f"""SELECT unnest({[*[f"{c}__mean" for c in COMEDK_CATEGORICAL],
+  *COMEDK_NUMERIC]}) AS feature, 1 AS shared""",
+    "tune_regressor": """SELECT unnest(range(8)) AS trial, 1 AS in_range, 1 AS folds_told,
+  1 AS no_worse""",
+    "model_artifacts": f"""SELECT (SELECT count(*) FROM neet_rows) AS n_rows,
+  CAST(0 AS DOUBLE) AS max_gap, (SELECT count(*) FROM (SELECT DISTINCT {SEAT} FROM yearly)) AS n_histories""",
+}
+
 
 def oracles() -> dict[str, str]:
     return {name: with_views(body, PARTS) for name, body in BODIES.items()}

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.operators import cleaning, features, metrics, models, profile, recommend
+from cutline.operators import cleaning, features, metrics, models, recommend
 from cutline.operators import reshape, sampling, vocab
 from cutline.session import materialise
 from cutline.sources import readers, schemas, writers
@@ -146,14 +146,11 @@ def build_comedk_simple(spark: SparkSession, clean_path: str, out: str) -> None:
 def train_jee(spark: SparkSession, features_path: str, model_path: str, **settings) -> DataFrame:
     """Trains on drawn ranks, stops early on the held-out part, returns its report."""
     rows = readers.read_parquet(spark, features_path)
-    medians = [c for c in models.JEE_NUMERIC if c in rows.columns]
-    samples = materialise(
-        sampling.sample_eligibility(profile.fill_median(rows, medians), features.JEE_KEYS),
-        "samples",
-    )
+    samples = materialise(sampling.sample_eligibility(rows, features.JEE_KEYS), "samples")
     keys = [*features.JEE_KEYS, "draw"]
     parts = materialise(
-        sampling.split_stratified(samples, "eligible", keys).withColumn(
+        # Another seed than that of the drawn ranks, or a row's part would follow from its rank.
+        sampling.split_stratified(samples, "eligible", keys, seed=43).withColumn(
             "held_out", F.col("is_test") == 1
         ),
         "parts",
@@ -172,25 +169,27 @@ def train_ranks(
     model_path: str,
     spec: models.FeatureSpec,
     keys: list[str],
-    trials: list[dict],
+    ranges: dict | None = None,
+    trials: int = 15,
     folds: int = 3,
     in_ranks: bool = False,
+    **settings,
 ) -> DataFrame:
-    """Searches settings by cross-validation, fits the best, returns the held-out report."""
+    """Searches ``ranges`` by cross-validation if given, fits the best settings, returns the
+    held-out report."""
     rows = readers.read_parquet(spark, features_path).dropna(
         subset=["closing_rank", *spec.categorical]
     )
     parts = materialise(sampling.split_by_hash(rows, keys), "parts")
-    train = parts.filter("is_test = 0")
-    best = trials[0]
-    if len(trials) > 1:
-        _, scored = models.tune_regressor(
-            train, spec, keys, trials, folds=folds, in_ranks=in_ranks
+    train = materialise(parts.filter("is_test = 0"), "train")
+    if ranges:
+        found = models.tune_regressor(
+            train, spec, keys, ranges, trials, folds=folds, in_ranks=in_ranks
         )
-        best = trials[min(range(len(trials)), key=lambda i: scored[i]["rmse"])]
-    model = models.train_regressor(train, spec, **best)
+        settings = {**settings, **models.best_trial(found).settings}
+    model = models.train_regressor(train, spec, **settings)
     models.save_artifacts(model_path, model)
-    held = models.score_ranks(model, parts.filter("is_test = 1"), spec)
+    held = models.score_ranks(model, parts.filter("is_test = 1"))
     return metrics.regression_report(held, "closing_rank", "pred_closing_rank")
 
 
@@ -202,7 +201,7 @@ def evaluate_ranks(
         subset=["closing_rank", *spec.categorical]
     )
     model, _ = models.load_artifacts(spark, model_path)
-    scored = models.score_ranks(model, rows.filter(F.col("closing_rank") > 0), spec)
+    scored = models.score_ranks(model, rows.filter(F.col("closing_rank") > 0))
     return metrics.regression_report(scored, "closing_rank", "pred_closing_rank")
 
 
@@ -210,21 +209,14 @@ def evaluate_ranks(
 
 
 def recommend_jee(
-    spark: SparkSession, requests: DataFrame, features_path: str, model_path: str
-) -> DataFrame:
-    """Tiered programmes per distinct request; join to the requests on ``request_key``."""
-    asked = ["user_rank", "exam_type", "category", "quota", "pool"]
-    wanted = recommend.distinct_requests(requests, "jee", asked)
-    offered = readers.read_parquet(spark, features_path)
-    model, _ = models.load_artifacts(spark, model_path)
-    pairs = recommend.jee_candidates(wanted, offered)
-    scored = models.score_eligibility(
-        model, pairs.withColumn("student_rank", F.col("user_rank"))
-    )
-    tiered = materialise(recommend.with_probability_tier(scored), "scored")
-    names = ["institute_short", "program_name", "degree_short"]
-    placed = recommend.order_tiers(tiered, ["request_key"], names)
-    return recommend.jee_response_rows(placed)
+    spark: SparkSession, requests: DataFrame, segments: dict[str, tuple[str, str]]
+) -> tuple[DataFrame, recommend.Answers]:
+    """Outcome of each request, and the answers, from (features path, model path) per segment."""
+    known = {
+        name: (readers.read_parquet(spark, rows), models.load_artifacts(spark, model)[0])
+        for name, (rows, model) in segments.items()
+    }
+    return recommend.jee_answers(requests, known)
 
 
 def recommend_neet(
@@ -241,7 +233,7 @@ def recommend_neet(
     model, _ = models.load_artifacts(spark, model_path)
     contexts = requests.select("category").distinct()
     grid = recommend.neet_candidates(contexts, known, year)
-    scored = materialise(models.score_ranks(model, grid, models.NEET_SPEC), "scored")
+    scored = materialise(models.score_ranks(model, grid), "scored")
     return recommend.recommend_by_gap(
         requests, scored, ["category"], "candidate_rank", "pred_closing_rank",
         ["institute", "course"], recommend.NEET_RULE, limit,
@@ -264,7 +256,7 @@ def recommend_kcet(
     model, _ = models.load_artifacts(spark, model_path)
     asked = requests.withColumns({c: F.upper(c) for c in context})
     grid = recommend.kcet_candidates(asked.select(*context), colleges, courses, year)
-    scored = materialise(models.score_ranks(model, grid, models.KCET_SPEC), "scored")
+    scored = materialise(models.score_ranks(model, grid), "scored")
     return recommend.recommend_by_gap(
         asked, scored, context, "user_rank", "pred_closing_rank",
         ["college_name", "course_name"], recommend.KCET_RULE, limit,
@@ -288,7 +280,7 @@ def recommend_comedk(
     )
     model, _ = models.load_artifacts(spark, model_path)
     strict = models.dropping_unseen(model)
-    scored = materialise(models.score_ranks(strict, history, models.COMEDK_SPEC), "scored")
+    scored = materialise(models.score_ranks(strict, history), "scored")
     asked = requests.withColumn("category", F.upper("category"))
     return recommend.recommend_by_gap(
         asked, scored, ["category"], "user_rank", "pred_closing_rank",

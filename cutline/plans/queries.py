@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutline.functions import ranks, text
 from cutline.operators import (
     cleaning,
+    encoding,
     features,
     metrics,
     models,
@@ -648,13 +649,13 @@ def request_dedup(spark, sf_dir):
 
 @query
 def jee_candidate_match(spark, sf_dir):
-    wanted = recommend.distinct_requests(_requests(spark, sf_dir), "jee", JEE_REQUEST)
+    """Programmes of every cohort that was asked for."""
     offered = features.jee_multi_year(_per_year(spark, sf_dir)).select(
         *features.JEE_KEYS, "closing_rank_max", "opening_rank_min"
     )
-    matched = recommend.jee_candidates(wanted, materialise(offered, "offered"), MARKER)
+    matched = recommend.jee_candidates(_requests(spark, sf_dir), offered, MARKER)
     return matched.select(
-        "request_key", "institute_type", "institute_short", "program_name", "degree_short",
+        *recommend.COHORT, "institute_short", "program_name", "degree_short",
         "closing_rank_max", "opening_rank_min",
     )
 
@@ -664,13 +665,14 @@ def branch_filter(spark, sf_dir):
     return recommend.filter_branch(_yearly(spark, sf_dir), "course_name", "pro")
 
 
+KCET_CONTEXT = ["category", "base_category", "quota", "region"]
+
+
 def _kcet_grid(spark, sf_dir):
-    """Vocabularies and contexts come from one pass over the rows."""
-    seats = view(spark, sf_dir, "fx_ranked").select(
-        "institute", "course", "category", "base_category"
-    )
-    seen = materialise(seats.distinct(), "seats")
-    contexts = seen.select("category", "base_category").distinct()
+    """All four attributes of the requests; vocabularies come from one pass over the rows."""
+    seats = view(spark, sf_dir, "fx_ranked").select("institute", "course").distinct()
+    seen = materialise(seats, "seats")
+    contexts = _requests(spark, sf_dir).select(*KCET_CONTEXT)
     colleges = materialise(vocab.build_vocabulary(seen, "institute"), "vocab")
     courses = materialise(vocab.build_vocabulary(seen, "course"), "vocab")
     return recommend.kcet_candidates(contexts, colleges, courses, TARGET_YEAR)
@@ -829,8 +831,14 @@ def response_pages(spark, sf_dir):
 
 
 # ---- models ------------------------------------------------------------------------
+# Scores themselves cannot be stated in SQL: these queries give row and key sets, counts and
+# properties that must hold.
 
-QUICK = {"maxIter": 3, "maxDepth": 4, "stepSize": 0.3}
+BOOSTED = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.2}
+
+
+def _flag(cond):
+    return F.coalesce(cond, F.lit(False)).cast("int")
 
 
 def _neet_rows(spark, sf_dir):
@@ -838,85 +846,158 @@ def _neet_rows(spark, sf_dir):
     return materialise(rows, "neet")
 
 
+@query
+def target_means(spark, sf_dir):
+    """Mean log ranks of category values, per fold over the rows of the other folds."""
+    dealt = sampling.assign_folds(_neet_rows(spark, sf_dir), features.NEET_KEYS, 3)
+    rows = models.with_log_label(models.prepare(dealt, models.NEET_SPEC), "closing_rank")
+    sums = materialise(encoding.fold_sums(rows, models.NEET_CATEGORICAL, "label"), "sums")
+    means = encoding.target_means(sums, [0, 1, 2])
+    return means.withColumn("mean", F.round("mean", 6))
+
+
 @query
 def train_regressor(spark, sf_dir):
+    """Held-out rows, and whether their predictions beat the mean."""
     rows = sampling.split_by_hash(_neet_rows(spark, sf_dir), features.NEET_KEYS)
-    model = models.train_regressor(rows.filter("is_test = 0"), models.NEET_SPEC, **QUICK)
-    held = models.score_ranks(model, rows.filter("is_test = 1"), models.NEET_SPEC)
-    return metrics.regression_report(held, "closing_rank", "pred_closing_rank")
+    train = materialise(rows.filter("is_test = 0"), "train")
+    model = models.train_regressor(train, models.NEET_SPEC, **BOOSTED)
+    held = models.score_ranks(model, rows.filter("is_test = 1"))
+    report = metrics.regression_report(held, "closing_rank", "pred_closing_rank")
+    return report.select("n_rows", _flag(F.col("r2") > 0).alias("beats_mean"))
 
 
 def _jee_samples(spark, sf_dir):
     rows = materialise(_jee_features(spark, sf_dir), "jee")
     samples = sampling.sample_eligibility(rows, features.JEE_KEYS)
-    return rows, sampling.split_by_hash(samples, [*features.JEE_KEYS, "draw"])
+    split = sampling.split_by_hash(samples, [*features.JEE_KEYS, "draw"], seed=43)
+    flagged = split.withColumn("held_out", F.col("is_test") == 1)
+    return rows, materialise(flagged, "samples")
 
 
-def _jee_model(samples):
-    flagged = samples.withColumn("held_out", F.col("is_test") == 1)
-    return models.train_classifier(flagged, validation="held_out", **QUICK)
+def _segments(spark, sf_dir):
+    """Features and model of each segment."""
+    rows, samples = _jee_samples(spark, sf_dir)
+    known = {}
+    for name, own in (("IIT", F.col("institute_type") == MARKER), ("NIT", F.col("institute_type") != MARKER)):
+        part = materialise(samples.filter(own), "segment")
+        known[name] = rows.filter(own), models.train_classifier(part, validation="held_out", **BOOSTED)
+    return known
 
 
 @query
 def train_classifier(spark, sf_dir):
+    """Held-out rows of both classes, and whether the scores order them better than chance."""
     _, samples = _jee_samples(spark, sf_dir)
-    model = _jee_model(samples)
-    held = models.score_eligibility(model, samples.filter("is_test = 1"))
-    return metrics.exact_auc(held, "eligible", "eligibility_prob")
+    model = models.train_classifier(samples, validation="held_out", **BOOSTED)
+    held = models.score_eligibility(model, samples.filter("held_out"))
+    report = metrics.exact_auc(held, "eligible", "eligibility_prob")
+    better = _flag(F.col("auc") > 0.6).alias("beats_chance")
+    return report.select("n_positive", "n_negative", better)
 
 
 @query
 def score_classifier(spark, sf_dir):
-    rows, samples = _jee_samples(spark, sf_dir)
-    model = _jee_model(samples)
-    wanted = recommend.distinct_requests(_requests(spark, sf_dir), "jee", JEE_REQUEST)
-    pairs = recommend.jee_candidates(wanted, rows, MARKER)
-    scored = models.score_eligibility(model, pairs.withColumn("student_rank", F.col("user_rank")))
-    tiered = recommend.with_probability_tier(materialise(scored, "scored"))
-    names = ["institute_short", "program_name", "degree_short"]
-    placed = recommend.order_tiers(tiered, ["request_key"], names)
-    return recommend.jee_response_rows(placed)
+    """Every programme of every cohort asked for, scored by its segment's model for all ranks."""
+    asked, parts = _requests(spark, sf_dir), []
+    for name, (rows, model) in _segments(spark, sf_dir).items():
+        offered = recommend.jee_candidates(asked, rows, MARKER).filter(F.col("segment") == name)
+        parts.append(recommend.score_bands(model, offered))
+    keys = [*recommend.COHORT, *recommend.JEE_NAMES]
+    prob = F.col("eligibility_prob")
+    return reshape.union_all(parts).groupBy(*keys).agg(
+        _flag((F.min(prob) >= 0) & (F.max(prob) <= 1)).alias("in_range"),
+        _flag(F.count(prob) == F.max("band") + 1).alias("all_bands"),
+    )
+
+
+@query
+def jee_answers(spark, sf_dir):
+    """Both segments in one batch: each request's programmes, and whether its answer fits them."""
+    known = _segments(spark, sf_dir)
+    outcomes, answers = recommend.jee_answers(_requests(spark, sf_dir), known, MARKER)
+    offered = [
+        recommend.jee_candidates(_requests(spark, sf_dir), rows, MARKER).filter(F.col("segment") == name)
+        for name, (rows, _) in known.items()
+    ]
+    sizes = counted(reshape.union_all(offered), *recommend.COHORT)
+    told = outcomes.join(sizes, recommend.COHORT, "left").fillna({"n_rows": 0})
+    # The intervals say the same as the outcome.
+    runs = answers.intervals().groupBy(*answers.group, answers.rank).agg(F.sum("n_rows").alias("listed"))
+    told = told.join(runs, [*answers.group, answers.rank], "left").fillna({"listed": 0})
+    found = F.col("n_safe") + F.col("n_likely")
+    return told.select(
+        "request_id", "segment", F.col("n_rows").alias("n_programmes"),
+        _flag(found <= F.col("n_rows")).alias("within"),
+        _flag(F.col("listed") == found).alias("listed"),
+        _flag(F.col("has_result") == _flag(found > 0)).alias("told"),
+    )
 
 
 @query
 def score_grid(spark, sf_dir):
-    """Model trained on the feature table, every grid cell scored for the target year."""
+    """Model trained on the feature table, every cell scored for the target year and answered from
+    as intervals: cells per request, and whether its tiers fit them."""
     rows = features.kcet_features(view(spark, sf_dir, "fx_ranked").withColumnsRenamed(SEAT_NAMES))
-    spec = models.FeatureSpec(
-        ["college_name", "course_name", "category", "base_category"], ["year"]
+    model = models.train_regressor(materialise(rows, "kcet"), models.KCET_SPEC, **BOOSTED)
+    scored = materialise(models.score_ranks(model, _kcet_grid(spark, sf_dir)), "scored")
+    requests = _requests(spark, sf_dir).withColumns({c: F.upper(c) for c in KCET_CONTEXT})
+    answers = recommend.interval_answers(
+        requests, scored, KCET_CONTEXT, "user_rank", "pred_closing_rank",
+        ["college_name", "course_name"], recommend.KCET_RULE,
+    )
+    told = recommend.request_summary(requests, answers.bounds, KCET_CONTEXT, "user_rank")
+    cells = scored.groupBy(*KCET_CONTEXT).agg(
+        F.count("pred_closing_rank").alias("n_cells"), F.min("pred_closing_rank").alias("lowest")
     )
-    model = models.train_regressor(materialise(rows, "kcet"), spec, **QUICK)
-    return models.score_ranks(model, _kcet_grid(spark, sf_dir), spec)
+    fits = (F.col("n_safe") + F.col("n_likely") <= F.col("n_cells")) & (F.col("lowest") > 0)
+    return told.join(cells, KCET_CONTEXT).select("request_id", "n_cells", _flag(fits).alias("fits"))
 
 
 @query
 def feature_importance(spark, sf_dir):
+    """All inputs of a model; their shares are known and make 1."""
     rows = features.comedk_features(_yearly_table(spark, sf_dir), as_of=True)
-    rows = materialise(rows, "comedk")
-    model = models.train_regressor(rows, models.COMEDK_SPEC, **QUICK)
-    return models.feature_importance(spark, model, 5)
+    model = models.train_regressor(materialise(rows, "comedk"), models.COMEDK_SPEC, **BOOSTED)
+    top = models.feature_importance(spark, model, 100)
+    whole = F.abs(F.sum("importance").over(Window.partitionBy()) - 1) < 1e-9
+    return top.select("feature", _flag((F.col("importance") >= 0) & whole).alias("shared"))
+
+
+TUNED = {"maxIter": (5, 15), "maxDepth": (2, 5), "stepSize": (0.05, 0.4)}
 
 
 @query
 def tune_regressor(spark, sf_dir):
-    rows = _neet_rows(spark, sf_dir)
-    ranges = {"maxIter": (2, 3), "maxDepth": (2, 4), "stepSize": (0.1, 0.3)}
-    settings = models.draw_settings(ranges, 2)
-    _, trials = models.tune_regressor(
-        rows, models.NEET_SPEC, features.NEET_KEYS, settings, folds=3
+    """Trials of the search: settings within the ranges, folds fitted, best against the first."""
+    trials = models.tune_regressor(
+        _neet_rows(spark, sf_dir), models.NEET_SPEC, features.NEET_KEYS, TUNED, 8, folds=3
     )
-    return spark.createDataFrame(trials, "maxIter INT, maxDepth INT, stepSize DOUBLE, rmse DOUBLE")
+    best, first = models.best_trial(trials).rmse, trials[0].rmse
+    rows = [
+        (
+            t.number,
+            int(all(low <= t.settings[k] <= high for k, (low, high) in TUNED.items())),
+            int(t.folds == (0 if t.rmse is None else 3)),
+            int(best <= first),
+        )
+        for t in trials
+    ]
+    return spark.createDataFrame(rows, "trial INT, in_range INT, folds_told INT, no_worse INT")
 
 
 @query
 def model_artifacts(spark, sf_dir):
-    """Saved and loaded pipeline gives the scores of the one in memory."""
+    """The saved and loaded model against the one in memory, over all rows."""
     rows = _neet_rows(spark, sf_dir)
-    model = models.train_regressor(rows, models.NEET_SPEC, **QUICK)
+    model = models.train_regressor(rows, models.NEET_SPEC, **BOOSTED)
     path = scratch_dir(spark, "artifacts")
     models.save_artifacts(path, model, features.history_lists(_yearly(spark, sf_dir)))
-    loaded, _ = models.load_artifacts(spark, path)
-    scored = models.score_ranks(loaded, rows, models.NEET_SPEC)
-    return rounded(
-        scored.select(*features.NEET_KEYS, "pred_closing_rank"), "pred_closing_rank"
-    )
+    loaded, history = models.load_artifacts(spark, path)
+    pred = F.col("pred_closing_rank")
+    both = models.score_ranks(model, rows).select(*features.NEET_KEYS, pred.alias("memory"))
+    both = both.join(models.score_ranks(loaded, rows).select(*features.NEET_KEYS, pred), features.NEET_KEYS)
+    gap = F.max(F.abs(F.col("memory") - pred)).alias("max_gap")
+    lists = history.agg(F.count(F.lit(1)).alias("n_histories"))
+    told = both.agg(F.count(F.lit(1)).alias("n_rows"), gap)
+    return told.withColumn("n_histories", lists.scalar())

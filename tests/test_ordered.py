@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cutline.operators import joins, ordered
-from cutline.operators.joins import grid, salted_join
+from cutline.operators.joins import product
 from cutline.operators.ordered import (
     count_below,
     exact_medians,
@@ -138,22 +138,28 @@ def test_sums_over_many_ranges(spark, sixteen_ranges, sample):
     test_positions_equal_window(spark, sample)
 
 
-@pytest.mark.parametrize("pairs,broadcast_rows", [(100, 10), (100, 0), (10**6, 10)])
-def test_salted_join(spark, monkeypatch, pairs, broadcast_rows):
-    monkeypatch.setattr(joins, "PAIRS_PER_TASK", pairs)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
-    key = F.when(F.col("id") % 4 == 0, "d").when(F.col("id") != 1, "c")
-    many = spark.range(100).select(key.alias("k"), F.col("id").alias("a"))
-    few = spark.range(7).select(key.alias("k"), F.col("id").alias("b"))
-    want = many.join(few, "k")
-    assert rows(salted_join(many, few, ["k"], ["a"]), "k", "a", "b") == rows(want, "k", "a", "b")
-
-
-def test_grid(spark):
-    many = spark.range(100).select(F.col("id").alias("a"))
-    numbered = spark.range(7).select(F.col("id").alias("i"), (F.col("id") * 2).alias("w"))
-    cells = grid(many, numbered, "i")
-    assert cells.distinct().count() == 700
+@pytest.mark.parametrize("sizes", [(100, 7), (1, 5, 3), (4, 0), (1,)])
+def test_product(spark, sizes):
+    parts = [
+        spark.range(n).select(F.col("id"), (F.col("id") * 2).alias(f"w{k}")) for k, n in enumerate(sizes)
+    ]
+    cells = product(parts)
+    want = 1
+    for n in sizes:
+        want *= n
+    assert cells.columns == [f"w{k}" for k in range(len(sizes))]
+    assert cells.distinct().count() == cells.count() == want
+
+
+def test_product_is_split_evenly(spark, monkeypatch):
+    """Tasks follow the number of cells, not a part's size; a number without a row has no cells."""
+    monkeypatch.setattr(joins, "CELLS_PER_TASK", 100)
+    few = spark.range(2).select("id", F.lit("x").alias("a"))
+    gap = spark.range(1000).filter("id % 10 <> 3").select("id", F.col("id").alias("b"))
+    cells = product([few, gap])
+    assert cells.count() == 1800
+    parts = cells.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 20 and max(r["count"] for r in parts) <= 100
 
 
 def test_positions_with_long_ties(spark):

@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from cutline.operators import features, models
+from cutline.operators import features, models, recommend
 from cutline.plans import pipelines
 from cutline.session import materialise
 from cutline.sources import catalog, readers, writers
@@ -38,6 +38,24 @@ def jee_lines():
     yield "9002,2021,IIT,6,AI,Gender-Neutral,IIT1,CSE,4 Years,B.Tech,OPEN,x,2,0"
 
 
+def check_bands(spark, table, path, got):
+    """A score per interval of ranks equals the score of the rank itself."""
+    model, _ = models.load_artifacts(spark, path)
+    programmes = readers.read_parquet(spark, table)
+    points = models.split_points(model, "student_rank")
+    assert 0 < len(points) < models.BINS
+    for rank in (1.0, 100.0, points[0], points[0] + 1, points[-1], points[-1] + 5):
+        direct = models.score_eligibility(model, programmes.withColumn("student_rank", F.lit(rank)))
+        band = sum(p < rank for p in points)
+        banded = recommend.score_bands(model, programmes).filter(F.col("band") == band)
+        names = [*recommend.JEE_NAMES, "eligibility_prob"]
+        assert rows(direct, *names) == rows(banded, *names)
+        if rank == 100.0:
+            want = {(r.institute_short, r.program_name): r.eligibility_prob for r in direct.collect()}
+            assert all(want[r.institute, r.program] == r.eligibility_prob for r in got)
+            assert len(got) == sum(v >= 0.4 for v in want.values())
+
+
 def test_jee(spark, tmp_path):
     raw = save(tmp_path / "jee.csv", jee_lines())
     clean = str(tmp_path / "clean")
@@ -58,9 +76,14 @@ def test_jee(spark, tmp_path):
         + [(3, 100, "JEE Main", "GEN", "AI", "Gender-Neutral")],
         "request_id INT, user_rank INT, exam_type STRING, category STRING, quota STRING, pool STRING",
     )
-    got = pipelines.recommend_jee(spark, asked, first, model).collect()
-    assert got and {r.request_key for r in got} == {"jee_100_JEE Advanced_gen_AI_gender-neutral"}
+    outcomes, answers = pipelines.recommend_jee(spark, asked, {"IIT": (first, model)})
+    told = rows(outcomes, "request_id", "segment", "has_result")
+    assert told == [(1, "IIT", 1), (1, "IIT", 1), (3, "NIT", 0)]
+    got = recommend.jee_response_rows(answers.every()).collect()
     assert all(r.institute.startswith("IIT") and r.eligibility_prob >= 0.4 for r in got)
+    sizes = outcomes.first()
+    assert (sum(r.tier == "Safe" for r in got), sum(r.tier == "Likely" for r in got)) == (sizes.n_safe, sizes.n_likely)
+    check_bands(spark, first, model, got)
     for tier in ("Safe", "Likely"):
         part = sorted((r.pos, r.eligibility_prob) for r in got if r.tier == tier)
         assert [p for p, _ in part] == list(range(1, len(part) + 1))
@@ -85,7 +108,7 @@ def test_neet(spark, tmp_path):
     assert "candidate_category" in clean.columns
     table, model = str(tmp_path / "features"), str(tmp_path / "model")
     pipelines.build_neet_features(spark, out, table)
-    pipelines.train_ranks(spark, table, model, models.NEET_SPEC, features.NEET_KEYS, [QUICK])
+    pipelines.train_ranks(spark, table, model, models.NEET_SPEC, features.NEET_KEYS, **QUICK)
     asked = spark.createDataFrame(
         [(5000, "open"), (10, "open")], "candidate_rank INT, category STRING"
     )
@@ -105,11 +128,9 @@ def test_kcet(spark, tmp_path):
     table, model = str(tmp_path / "features"), str(tmp_path / "model")
     pipelines.build_kcet_features(spark, out, table)
     assert {r.category for r in readers.read_parquet(spark, table).collect()} == {"02"}
-    settings = models.draw_settings(
-        {"maxIter": (2, 3), "maxDepth": (2, 3), "stepSize": (0.1, 0.3)}, 2
-    )
+    ranges = {"maxIter": (2, 3), "maxDepth": (2, 3), "stepSize": (0.1, 0.3)}
     report = pipelines.train_ranks(
-        spark, table, model, models.KCET_SPEC, features.KCET_KEYS, settings, folds=2, in_ranks=True
+        spark, table, model, models.KCET_SPEC, features.KCET_KEYS, ranges, 2, folds=2, in_ranks=True
     )
     assert report.first().rmse >= 0
     asked = spark.createDataFrame(
@@ -142,7 +163,7 @@ def test_comedk_long(spark, tmp_path):
     pipelines.build_comedk_features(spark, out, table)
     assert readers.read_parquet(spark, table).columns == features.COMEDK_COLUMNS
     pipelines.train_ranks(
-        spark, table, model, models.COMEDK_SPEC, [*features.COMEDK_SEAT, "year"], [QUICK]
+        spark, table, model, models.COMEDK_SPEC, [*features.COMEDK_SEAT, "year"], **QUICK
     )
     whole = pipelines.evaluate_ranks(spark, table, model, models.COMEDK_SPEC).first()
     assert whole.n_rows == 16 and whole.rmse >= 0
@@ -215,8 +236,7 @@ def test_materialise(spark):
     assert rows(materialise(df)) == rows(df)
 
 
-def test_high_cardinality_category(spark, monkeypatch):
-    monkeypatch.setattr(models, "MAX_BINS", 16)
+def test_high_cardinality_category(spark):
     df = spark.range(400).select(
         F.concat(F.lit("c"), F.col("id") % 40).alias("college"),
         F.lit("x").alias("kind"),
@@ -225,12 +245,12 @@ def test_high_cardinality_category(spark, monkeypatch):
     )
     spec = models.FeatureSpec(["college", "kind"], ["year"])
     model = models.train_regressor(df, spec, maxIter=8, maxDepth=4, stepSize=0.5)
-    scored = models.score_ranks(model, df, spec)
+    scored = models.score_ranks(model, df)
     corr = scored.stat.corr("closing_rank", "pred_closing_rank")
     assert corr > 0.9
     new = df.limit(1).withColumn("college", F.lit("new"))
-    assert models.score_ranks(model, new, spec).count() == 1
-    assert models.score_ranks(models.dropping_unseen(model), new, spec).count() == 0
+    assert models.score_ranks(model, new).count() == 1
+    assert models.score_ranks(models.dropping_unseen(model), new).count() == 0
 
 
 def test_better_than_a_constant(spark):
@@ -243,7 +263,7 @@ def test_better_than_a_constant(spark):
     model = models.train_regressor(df, models.NEET_SPEC, maxIter=10, maxDepth=3, stepSize=0.5)
     from cutline.operators.metrics import regression_report
 
-    held = models.score_ranks(model, df, models.NEET_SPEC)
+    held = models.score_ranks(model, df)
     assert regression_report(held, "closing_rank", "pred_closing_rank").first().r2 > 0.8
     top = models.feature_importance(spark, model, 2).collect()
-    assert top[0].feature == "institute__id"
+    assert top[0].feature == "institute__mean"
