@@ -265,11 +265,11 @@ def propose(dice: random.Random, ranges: dict, done: list[tuple[dict, float]]) -
 
         def density(x: float, group: list[dict]) -> float:
             points = [_to_line(name, g[name], low) for g in group]
-            spread = width / math.sqrt(1 + len(points))
+            spread = width / (1 + len(points))
             bells = sum(math.exp(-0.5 * ((x - p) / spread) ** 2) / spread for p in points)
             return (bells / 2.5066 + 1 / width) / (1 + len(points))
 
-        spread = width / math.sqrt(1 + len(good))
+        spread = width / (1 + len(good))
         points = [_to_line(name, g[name], low) for g in good]
         drawn = [
             dice.uniform(a, b) if dice.random() < 1 / (1 + len(points))

@@ -94,19 +94,18 @@ def test_search_learns_and_stays_in_range():
     def loss(one):
         return abs(one["maxIter"] - 300) / 400 + abs(one["stepSize"] - 0.05)
 
-    found = []
-    for seed in range(8):
+    learned, plain = [], []
+    for seed in range(60):
         dice, done = random.Random(seed), []
         for _ in range(40):
             one = models.propose(dice, ranges, done)
             assert isinstance(one["maxIter"], int) and 10 <= one["maxIter"] <= 400
             assert 0.01 <= one["stepSize"] <= 0.3
             done.append((one, loss(one)))
-        dice = random.Random(seed)
-        plain = min(loss(s) for s in models.draw_settings(ranges, 40, seed))
-        found.append((min(x for _, x in done), plain))
-    assert sum(a <= b for a, b in found) >= 6  # mostly better than the same number of random trials
-    assert max(a for a, _ in found) < 0.08
+        learned.append(min(x for _, x in done))
+        plain.append(min(loss(s) for s in models.draw_settings(ranges, 40, seed)))
+    # The best of 40 trials lies on average much nearer to the optimum than that of random ones.
+    assert sum(learned) < 0.75 * sum(plain)
 
 
 def test_trials_are_given_up_early(spark):
