@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.ranks import (
@@ -13,6 +13,7 @@ from cutline.functions.ranks import (
 )
 from cutline.functions.text import one_line, strip_links, upper_trim, vocab_text
 from cutline.operators.reshape import keep_highest
+from cutline.sources.readers import below, year_of
 from cutline.sources.schemas import COMEDK_CLEAN, COMEDK_NAMES, KCET_NAMES, NEET_NAMES
 
 # Fixed values.
@@ -71,10 +72,37 @@ def with_segment(df: DataFrame) -> DataFrame:
     return df.withColumn("institute_type", infer_segment("institute_short"))
 
 
+def audit_files(
+    df: DataFrame, base_path: str, valid: Column, year: Column | None = None
+) -> DataFrame:
+    """Rows per input file: read, dated by ``year`` (by default from the path), dated and valid,
+    dropped.
+
+    One aggregate over the raw rows: a task that runs again counts once, and rows of files without
+    a year are seen before they leave. Rows have to come straight from a scan.
+    """
+    file = below(base_path)
+    year = year_of(file) if year is None else year
+    told = df.select(
+        file.alias("file"), valid.alias("__valid"), year.isNotNull().alias("__dated")
+    )
+    kept = F.col("__dated") & F.coalesce("__valid", F.lit(False))
+    return told.groupBy("file").agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if("__dated").alias("dated_rows"),
+        F.count_if(kept).alias("valid_rows"),
+        F.count_if(~kept).alias("dropped_rows"),
+    )
+
+
+def valid_neet() -> Column:
+    """The rows that :func:`clean_neet` keeps."""
+    return F.col("Rank").isNotNull() & F.col("Institute").isNotNull() & (F.col("Rank") > 0)
+
+
 def clean_neet(df: DataFrame) -> DataFrame:
     """Expects ``year`` from :func:`cutline.sources.readers.with_source_year`."""
-    valid = positive(require(df, ["Rank", "Institute"]), "Rank")
-    shaped = valid.withColumn("Allotted Category", upper_trim("Allotted Category"))
+    shaped = df.filter(valid_neet()).withColumn("Allotted Category", upper_trim("Allotted Category"))
     return shaped.withColumnsRenamed(NEET_NAMES)
 
 

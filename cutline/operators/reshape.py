@@ -16,8 +16,12 @@ def unpivot_courses(
     """Wide rows to ``course_name``/``rank`` rows.
 
     The id columns are the first three unless named; ``names`` renames them. All other
-    columns are courses. Fewer than one course column gives no rows.
+    columns are courses. Fewer than one course column gives no rows, and so does a file that is
+    too narrow for three id columns.
     """
+    if ids is None and len(df.columns) < 3:
+        columns = [*(names or [f"id_{k}" for k in range(3)]), "course_name", "rank"]
+        return df.select(*[F.lit("").alias(c) for c in columns]).filter(F.lit(False))
     id_cols = list(df.columns[:3]) if ids is None else ids
     courses = [c for c in df.columns if c not in id_cols]
     if not courses:

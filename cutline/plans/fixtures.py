@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents",
+    "events",
 ]
 
 _SEATS = """
@@ -58,6 +59,9 @@ SELECT c_custkey AS request_id,
   CASE WHEN c_custkey % 3 = 0 THEN 'F' WHEN c_custkey % 3 = 1 THEN 'O' ELSE 'P' END AS quota,
   CASE WHEN c_custkey % 4 = 0 THEN 'Female-Only' ELSE 'Gender-Neutral' END AS pool
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "fx_asks": """
+SELECT event_id AS ask_id, ts AS asked_at, category, quota, pool
+FROM events JOIN fx_requests ON user_id = request_id""",
     "fx_scored": """
 SELECT institute, course, category, avg(rank) AS pred_closing_rank,
   round(CAST(count(*) % 101 AS double) / 100, 4) AS eligibility_prob

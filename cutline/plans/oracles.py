@@ -281,6 +281,20 @@ SELECT count(*) AS raw_rows, count(*) FILTER (WHERE c) AS complete_rows,
   count(*) FILTER (WHERE c AND s AND l) AS final_round_rows,
   count(*) FILTER (WHERE c AND s AND l AND r) AS clean_rows,
   count(*) - count(*) FILTER (WHERE c AND s AND l AND r) AS dropped_rows FROM marks""",
+    "ingest_audit_files": """
+dealt AS (SELECT CASE WHEN quota = 'P' THEN 'part=undated' ELSE 'part=' || year END AS folder,
+  quota <> 'P' AS dated, rank > 20000 AS valid FROM fx_ranked)
+SELECT folder, count(*) AS raw_rows, count(*) FILTER (dated) AS dated_rows,
+  count(*) FILTER (dated AND valid) AS valid_rows,
+  count(*) FILTER (NOT (dated AND valid)) AS dropped_rows FROM dealt GROUP BY folder""",
+    "scan_first_existing": "SELECT year AS year, count(*) AS n_rows FROM fx_ranked GROUP BY year",
+    "scan_uri": "SELECT category, count(*) AS n_rows, 1 AS has_scheme FROM fx_ranked GROUP BY category",
+    "scan_missing_year": """
+asked AS (SELECT unnest([0, 1, 2, 2]) AS asked, unnest([1900, 1996, 1995, 1996]) AS y)
+SELECT asked, count(rank) AS n_rows, max(rank) AS highest
+FROM asked LEFT JOIN fx_ranked ON year = y GROUP BY asked""",
+    "preview_rows": "SELECT least(5, count(*)) AS n_rows, least(5, count(*)) AS n_known FROM fx_ranked",
+    "align_columns": "SELECT institute, year AS year, rank, 0 AS spread, 0 AS trend FROM fx_ranked",
     "partition_counts": """SELECT year AS year, institute_type, category, count(*) AS n_rows
 FROM jee_clean GROUP BY year, institute_type, category""",
     "jee_per_year": "SELECT * FROM per_year",
@@ -453,6 +467,18 @@ FROM fx_requests""",
   concat_ws('_', 'jee', user_rank, exam_type, category, quota, pool) AS request_key
 FROM fx_requests GROUP BY user_rank, exam_type, category, quota, pool""",
     "jee_candidate_match": "SELECT * FROM candidates",
+    "request_answers": f"""
+asks AS (SELECT ask_id, category, concat_ws('_', category, quota, pool) AS k,
+  CAST(floor(epoch(asked_at)) AS BIGINT) AS s FROM fx_asks),
+issues AS (SELECT k, min(s) AS t FROM asks GROUP BY k
+  UNION ALL SELECT i.k, min(a.s) FROM issues i JOIN asks a ON a.k = i.k AND a.s >= i.t + 3600
+  GROUP BY i.k),
+{TOP_N.strip().replace("SELECT category, pos, institute, course, eligibility_prob FROM kept WHERE pos <= 20",
+  ", best AS (SELECT category, count(*) AS n_rows, arg_min(institute, pos) AS first_institute FROM kept WHERE pos <= 3 GROUP BY category)")}
+SELECT ask_id, max(t) AS issued_at, CASE WHEN max(t) = any_value(a.s) THEN 'model' ELSE 'cache' END AS source,
+  any_value(n_rows) AS n_rows, any_value(first_institute) AS first_institute
+FROM asks a JOIN issues i ON a.k = i.k AND i.t <= a.s JOIN best b ON a.category = b.category
+GROUP BY ask_id""",
     "branch_filter": "SELECT * FROM yearly WHERE lower(course_name) LIKE '%pro%'",
     "kcet_grid": f"""
 SELECT category, base_category, quota, region, college_name, course_name, 2002 AS year
@@ -550,4 +576,7 @@ FROM fx_requests""",
 
 
 def oracles() -> dict[str, str]:
-    return {name: with_views(body, PARTS) for name, body in BODIES.items()}
+    texts = {name: with_views(body, PARTS) for name, body in BODIES.items()}
+    # The times of issue follow from one another.
+    texts["request_answers"] = texts["request_answers"].replace("WITH ", "WITH RECURSIVE ", 1)
+    return texts

@@ -18,8 +18,7 @@ from cutline.sources import readers, schemas, writers
 
 JEE_PARTITIONS = ["year", "institute_type", "category"]
 YEAR_PARTITIONS = ["year", "category"]
-# Fixed value: the years of the COMEDK files.
-COMEDK_YEARS = [2023, 2024, 2025]
+COMEDK_FILE = "comedk"  # fixed value: files are named comedk<year>.csv
 
 
 @dataclass(frozen=True)
@@ -55,8 +54,17 @@ def ingest_jee(spark: SparkSession, csv_path: str, out: str) -> IngestCounts:
 
 def ingest_neet(spark: SparkSession, csv_dir: str, out: str) -> IngestCounts:
     raw = readers.read_csv(spark, csv_dir, schemas.NEET_RAW, recursive=True)
-    dated = readers.with_source_year(raw, csv_dir)
-    return write_counted(dated, cleaning.clean_neet, out, YEAR_PARTITIONS)
+
+    def clean(rows: DataFrame) -> DataFrame:
+        return cleaning.clean_neet(readers.with_source_year(rows, csv_dir))
+
+    return write_counted(raw, clean, out, YEAR_PARTITIONS)
+
+
+def audit_neet(spark: SparkSession, csv_dir: str) -> DataFrame:
+    """Rows read, dated, valid and dropped per file."""
+    raw = readers.read_csv(spark, csv_dir, schemas.NEET_RAW, recursive=True)
+    return cleaning.audit_files(raw, csv_dir, cleaning.valid_neet())
 
 
 def ingest_kcet(spark: SparkSession, csv_path: str, out: str) -> IngestCounts:
@@ -67,13 +75,14 @@ def ingest_kcet(spark: SparkSession, csv_path: str, out: str) -> IngestCounts:
 def ingest_comedk(
     spark: SparkSession, raw_dir: str, out: str, years: list[int] | None = None
 ) -> IngestCounts:
-    """Long files ``comedk<year>.csv``; missing years are left out."""
+    """Long files ``comedk<year>.csv``: the years given, or all in the folder."""
+    years = readers.years_in(spark, raw_dir, COMEDK_FILE) if years is None else years
 
     def load(year: int) -> DataFrame:
         rows = readers.read_csv_text(spark, f"{raw_dir}/comedk{year}.csv")
         return cleaning.shape_comedk_long(rows)
 
-    raw = readers.read_years(spark, years or COMEDK_YEARS, load, schemas.COMEDK_CLEAN)
+    raw = readers.read_years(spark, years, load, schemas.COMEDK_CLEAN)
     return write_counted(raw, cleaning.clean_comedk_long, out)
 
 
@@ -81,13 +90,14 @@ def ingest_comedk_wide(
     spark: SparkSession, raw_dir: str, out: str, years: list[int] | None = None
 ) -> IngestCounts:
     """Wide files: three id columns by position, then one column per course."""
+    years = readers.years_in(spark, raw_dir, COMEDK_FILE) if years is None else years
     names = ["college_code", "college_name", "category"]
 
     def load(year: int) -> DataFrame:
         rows = readers.read_csv_text(spark, f"{raw_dir}/comedk{year}.csv")
         return reshape.unpivot_courses(rows, names=names)
 
-    raw = readers.read_years(spark, years or COMEDK_YEARS, load, schemas.COMEDK_CLEAN)
+    raw = readers.read_years(spark, years, load, schemas.COMEDK_CLEAN)
     return write_counted(raw, cleaning.clean_comedk_wide, out)
 
 

@@ -18,6 +18,7 @@ from cutline.operators import (
     recommend,
     reshape,
     sampling,
+    store,
     vocab,
 )
 from cutline.plans import pipelines
@@ -255,6 +256,77 @@ def ingest_audit(spark, sf_dir):
     return cleaning.audit(view(spark, sf_dir, "fx_allotment"))
 
 
+@query
+def ingest_audit_files(spark, sf_dir):
+    """Counts per folder of files; one folder has no year in its name."""
+    ranked = view(spark, sf_dir, "fx_ranked")
+    path = scratch_dir(spark, "csv-audit")
+    part = F.when(F.col("quota") == "P", "undated").otherwise(F.col("year").cast("string"))
+    ranked.withColumn("part", part).write.partitionBy("part").option("header", True).csv(path)
+    raw = readers.read_csv(spark, path, RANKED_SCHEMA, recursive=True)
+    folder = F.substring_index(readers.below(path), "/", 1)  # Spark's file names hold digits
+    files = cleaning.audit_files(raw, path, F.col("rank") > 20000, readers.year_of(folder))
+    sums = [F.sum(c).alias(c) for c in files.columns if c != "file"]
+    return files.groupBy(F.substring_index("file", "/", 1).alias("folder")).agg(*sums)
+
+
+@query
+def scan_first_existing(spark, sf_dir):
+    """The first of several places that exists."""
+    path = scratch_dir(spark, "place")
+    writers.write_parquet(view(spark, sf_dir, "fx_ranked"), f"{path}/second")
+    found = readers.first_existing(spark, [f"{path}/first", f"{path}/second", f"{path}/third"])
+    return counted(readers.read_parquet(spark, found), "year")
+
+
+@query
+def scan_uri(spark, sf_dir):
+    """Written and read by a full URI with scheme."""
+    uri = readers.qualified(spark, scratch_dir(spark, "uri"))
+    writers.write_parquet(view(spark, sf_dir, "fx_ranked"), uri, ["year"])
+    scheme = F.lit(int("://" in uri or uri.startswith("file:"))).alias("has_scheme")
+    return counted(readers.read_parquet(spark, uri), "category").select("*", scheme)
+
+
+@query
+def scan_missing_year(spark, sf_dir):
+    """Years with and without files; no file at all gives no rows, not an error."""
+    path = scratch_dir(spark, "some-years")
+    ranked = view(spark, sf_dir, "fx_ranked").withColumnRenamed("year", "part")
+    writers.write_parquet(ranked.select("institute", "rank", "part"), path, ["part"])
+
+    def load(year):
+        return spark.read.parquet(f"{path}/part={year}")
+
+    asked = [[1900], [1900, 1996], [1995, 1996]]
+    parts = [
+        readers.read_years(spark, years, load, "institute STRING, rank DOUBLE, year INT").agg(
+            F.lit(k).alias("asked"), F.count(F.lit(1)).alias("n_rows"), F.max("rank").alias("highest")
+        )
+        for k, years in enumerate(asked)
+    ]
+    return reshape.union_all(parts)
+
+
+@query
+def preview_rows(spark, sf_dir):
+    """A preview has as many rows as asked for, and all of them are in the table."""
+    ranked = view(spark, sf_dir, "fx_ranked")
+    some = materialise(profile.preview(ranked, ["institute", "year", "rank"], 5), "preview")
+    known = some.join(ranked, ["institute", "year", "rank"], "left_semi")
+    return some.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "n_known", known.agg(F.count(F.lit(1))).scalar()
+    )
+
+
+@query
+def align_columns(spark, sf_dir):
+    """Columns that a model wants: those present in its order, the missing ones as 0."""
+    ranked = view(spark, sf_dir, "fx_ranked")
+    some = reshape.keep_present(ranked, ["rank", "spread", "institute", "year"])
+    return reshape.add_missing(some, ["institute", "year", "rank", "spread", "trend"])
+
+
 @query
 def partition_counts(spark, sf_dir):
     clean = cleaning.clean_jee(view(spark, sf_dir, "fx_allotment"))
@@ -660,6 +732,30 @@ def jee_candidate_match(spark, sf_dir):
     )
 
 
+ASKED = ["category", "quota", "pool"]
+
+
+@query
+def request_answers(spark, sf_dir):
+    """Requests in two batches; answers are issued once, kept, and reused for an hour."""
+    asks = view(spark, sf_dir, "fx_asks").withColumn("request_key", text.request_key("jee", *ASKED))
+    asks = materialise(asks, "asks")
+    best = recommend.top_overall(_scored(spark, sf_dir), ["category"], SCORED_NAMES, limit=3)
+
+    def answer(wanted):
+        return wanted.select("request_key", "category").join(best, "category")
+
+    path, served = scratch_dir(spark, "store"), []
+    later = F.col("asked_at") >= F.lit("2024-01-16").cast("timestamp")
+    for batch in (asks.filter(~later), asks.filter(later)):
+        served.append(materialise(store.serve(batch, path, answer), "served"))
+    kept = store.read_store(spark, path).groupBy("request_key", "issued_at").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max_by("institute", -F.col("pos")).alias("first_institute")
+    )
+    rows = reshape.union_all(served).join(kept, ["request_key", "issued_at"])
+    return rows.select("ask_id", "issued_at", "source", "n_rows", "first_institute")
+
+
 @query
 def branch_filter(spark, sf_dir):
     return recommend.filter_branch(_yearly(spark, sf_dir), "course_name", "pro")

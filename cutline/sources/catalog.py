@@ -16,6 +16,7 @@ def register_tables(spark: SparkSession, database: str, tables: dict[str, str])
     for name, path in tables.items():
         table = f"{database}.{name}"
         place = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.read.parquet(path)  # a path that cannot be read leaves the old registration
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         spark.sql(f"CREATE TABLE {table} USING parquet OPTIONS (path '{place}')")
         if any(column.isPartition for column in spark.catalog.listColumns(table)):

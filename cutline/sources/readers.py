@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,9 +55,7 @@ def with_source_year(df: DataFrame, base_path: str) -> DataFrame:
     Digits in ``base_path`` itself are not looked at. Rows of files without such a run
     are dropped.
     """
-    below = F.substring_index(F.col("_metadata.file_path"), base_path.rstrip("/") + "/", -1)
-    digits = F.nullif(F.regexp_extract(below, r"(\d{4})", 1), F.lit(""))
-    return df.withColumn("year", digits.try_cast("int")).filter(F.col("year").isNotNull())
+    return df.withColumn("year", year_of(below(base_path))).filter(F.col("year").isNotNull())
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +96,33 @@ def read_years(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def years_in(spark: SparkSession, folder: str, prefix: str, suffix: str = ".csv") -> list[int]:
+    """Years of the files ``<prefix><year><suffix>`` in a folder of any file system, rising."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{prefix}*{suffix}")
+    found = target.getFileSystem(conf).globStatus(target) or []
+    names = [f.getPath().getName()[len(prefix) : -len(suffix)] for f in found]
+    return sorted(int(n) for n in names if len(n) == 4 and n.isdigit())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority of its file system."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(conf).makeQualified(target).toString()
+
+
+def below(base_path: str):
+    """Path of a row's file below ``base_path``."""
+    return F.substring_index(F.col("_metadata.file_path"), base_path.rstrip("/") + "/", -1)
+
+
+def year_of(path) -> Column:
+    """First run of four digits in a path, or NULL."""
+    return F.nullif(F.regexp_extract(path, r"(\d{4})", 1), F.lit("")).try_cast("int")
+
+
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
     """First path that exists on its file system."""
     jvm = spark.sparkContext._jvm

@@ -31,6 +31,11 @@ def write_parquet(
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def append_parquet(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Adds rows to a partitioned table; an empty frame still leaves the table's schema."""
+    df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
 def write_split(
     df: DataFrame,
     routes: dict[str, Column],
