@@ -26,11 +26,11 @@ TTL = 3600  # fixed value: seconds for which an answer is reused
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored answers, or None before the first batch."""
+    """The stored answers, or None before the first one (a folder may be there without a file)."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
+        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 

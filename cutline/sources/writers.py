@@ -32,7 +32,7 @@ def write_parquet(
 
 
 def append_parquet(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Adds rows to a partitioned table; an empty frame still leaves the table's schema."""
+    """Adds rows to a partitioned table; an empty frame adds no file."""
     df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
