@@ -73,15 +73,17 @@ class ChunkTable(dict):
         if len(self) > self.limit:
             self.clear()
         new = [c for c in chunks if c not in self]
-        # Stretches that open with a blank are cut apart wherever they stand side by side, so
-        # many go to the library as one text; the bytes of each id tell where a stretch ends.
-        spaced = [c for c in new if c[0] == 32]
+        # Stretches that open with a blank and a visible character are cut apart wherever they stand
+        # side by side, so many go to the library as one text; the bytes of each id tell where a stretch
+        # ends. The first stretch of a text may open with a blank and more white space: it goes alone.
+        spaced, first = [], []
+        for c in new:
+            (spaced if c[0] == 32 and len(c) > 1 and VISIBLE[c[1]] else first).append(c)
         groups = [spaced[k : k + TOGETHER] for k in range(0, len(spaced), TOGETHER)]
         for group, ids in zip(groups, self._plain([b"".join(g).decode() for g in groups])):
             ends = np.cumsum(self.bytes_of[ids])
             at = np.searchsorted(ends, np.cumsum(list(map(len, group)))) + 1
             self.update(zip(group, np.split(ids, at[:-1])))
-        first = [c for c in new if c[0] != 32]
         self.update(zip(first, self._plain([c.decode() for c in first])))
         return [self[c] for c in chunks]
 

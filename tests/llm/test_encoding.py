@@ -121,3 +121,22 @@ def test_op5_weights_and_moves(spark):
 
 def test_op5_no_rows(spark, tmp_path):
     assert shards.op5_shards(spark, save(no_docs(spark), tmp_path)).count() == 0
+
+
+def test_op9_white_space_at_the_borders_of_texts():
+    """Texts that begin or end in blanks, no-break spaces and line ends, encoded side by side."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    signs = [" ", "  ", "\xa0", "\r\n", "\n", "\t", "\u3000", "\u2003", "\x85", "x", "é", "12", "'s", ".", "—", "\x0b", "日", "\x00"]
+    dice = random.Random(2)
+    texts = ["".join(dice.choices(signs, k=dice.randint(1, 7))) for _ in range(30_000)]
+    texts[:2] = [" \xa0", " \xa0\r\n x"]
+    model = Tokenizer.from_file(path)
+    want = [c.ids for c in model.encode_batch(texts, add_special_tokens=False)]
+    table = token_files.ChunkTable(path)
+    got = [ids.tolist() for k in range(0, len(texts), 500) for ids in table.ids(texts[k : k + 500])]
+    assert got == want
