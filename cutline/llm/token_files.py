@@ -118,6 +118,16 @@ class ChunkTable(dict):
         return out
 
 
+_TABLES: dict[str, ChunkTable] = {}
+
+
+def table_of(path: str) -> ChunkTable:
+    """This worker's table: the tasks that a Python worker runs share it, and its bound holds."""
+    if path not in _TABLES:
+        _TABLES[path] = ChunkTable(path)
+    return _TABLES[path]
+
+
 def _tokenizer(path: str | None) -> str:
     if path is None:
         import public_tokenizers
@@ -138,7 +148,7 @@ def train_dictionary(docs: DataFrame, key: str, text: str, end_id: int, path: st
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        table, samples, held = ChunkTable(path), [], 0
+        table, samples, held = table_of(path), [], 0
         for batch in batches:
             for ids in table.ids(column(batch, text)):
                 if held < SAMPLE_BYTES:
@@ -181,7 +191,7 @@ def write_dataset(
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        table = ChunkTable(tokenizer)
+        table = table_of(tokenizer)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=3, dict_data=shared, write_dict_id=False)
         part, number, before = TaskContext.get().partitionId(), 0, 0
