@@ -70,7 +70,7 @@ def serve(
 
     ``requests`` (a written table) has ``request_key``, ``asked_at`` (timestamp) and whatever ``answer``
     needs: that function gets one row per key that needs an answer and gives its rows, by
-    ``request_key``. Returns the requests with ``issued_at`` (seconds) and ``source``: ``model`` for
+    ``request_key``, or none. Returns the requests with ``issued_at`` (seconds) and ``source``: ``model`` for
     those in the second of issue, else ``cache``. Requests without a key or time are not served.
     """
     spark = requests.sparkSession
@@ -89,7 +89,8 @@ def serve(
     wanted = asked.join(fresh.select("request_key"), "request_key", "left_semi")
     wanted = wanted.groupBy("request_key").agg(sample.alias("r")).select("r.*")
     moments = fresh.select("request_key", F.explode("issued").alias("issued_at"))
-    rows = answer(wanted).join(moments, "request_key")
+    # An empty answer is an answer: it is kept as one row without values.
+    rows = moments.join(answer(wanted), "request_key", "left")
     rows = rows.withColumn("issued_on", F.to_date(F.timestamp_seconds("issued_at")))
     writers.append_parquet(rows, path, ["issued_on"])
 

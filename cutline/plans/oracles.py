@@ -476,8 +476,8 @@ issues AS (SELECT k, min(s) AS t FROM asks GROUP BY k
 {TOP_N.strip().replace("SELECT category, pos, institute, course, eligibility_prob FROM kept WHERE pos <= 20",
   ", best AS (SELECT category, count(*) AS n_rows, arg_min(institute, pos) AS first_institute FROM kept WHERE pos <= 3 GROUP BY category)")}
 SELECT ask_id, max(t) AS issued_at, CASE WHEN max(t) = any_value(a.s) THEN 'model' ELSE 'cache' END AS source,
-  any_value(n_rows) AS n_rows, any_value(first_institute) AS first_institute
-FROM asks a JOIN issues i ON a.k = i.k AND i.t <= a.s JOIN best b ON a.category = b.category
+  coalesce(any_value(n_rows), 0) AS n_rows, any_value(first_institute) AS first_institute
+FROM asks a JOIN issues i ON a.k = i.k AND i.t <= a.s LEFT JOIN best b ON a.category = b.category
 GROUP BY ask_id""",
     "branch_filter": "SELECT * FROM yearly WHERE lower(course_name) LIKE '%pro%'",
     "kcet_grid": f"""
@@ -545,8 +545,8 @@ priors AS (SELECT fold, total / n AS prior FROM outside WHERE "column" = '')
 SELECT "column", value, o.fold, n, round(CASE WHEN "column" = '' THEN prior
   ELSE (total + 10 * prior) / (n + 10) END, 6) AS mean FROM outside o JOIN priors p ON o.fold = p.fold""",
     "train_regressor": f"""
-SELECT count(*) FILTER ({chance("institute", "course", "category", "quota", "year")} % 100 < 15)
-  AS n_rows, 1 AS beats_mean FROM neet_rows""",
+SELECT count(*) AS n_rows, count(*) AS n_ranked, 1 AS reported FROM neet_rows
+WHERE {chance("institute", "course", "category", "quota", "year")} % 100 < 15""",
     "train_classifier": f"""
 draws AS (SELECT draw, {chance(JEE, "draw").replace("'42'", "'43'")} % 100 < 15 AS held
   FROM multi_raw, (SELECT 0 AS draw UNION ALL SELECT 1)

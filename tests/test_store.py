@@ -68,6 +68,21 @@ def test_no_requests(spark, tmp_path):
     assert [r.source for r in got] == ["model"]
 
 
+def test_empty_answers_are_kept(spark, tmp_path):
+    """A request without any row is not asked again before its answer expires."""
+    path, calls = str(tmp_path / "store"), []
+
+    def answer(wanted):
+        calls.append(wanted.count())
+        return wanted.limit(0).select("request_key", F.lit(1).alias("pos"))
+
+    first = store.serve(batch(spark, [(1, "k", 5)]), path, answer).collect()
+    second = store.serve(batch(spark, [(2, "k", 1000), (3, "k", 4000)]), path, answer).collect()
+    assert [r.source for r in first] == ["model"]
+    assert {r.ask_id: r.source for r in second} == {2: "cache", 3: "model"}
+    assert rows(store.read_store(spark, path), "pos") == [(None,), (None,)]
+
+
 def test_audit_counts_files_without_a_year(spark, tmp_path):
     for name, lines in {"2020r1.csv": ["5,x", "0,x", ",x"], "other/late.csv": ["5,x", "6,"], "2021.csv": []}.items():
         target = tmp_path / name
