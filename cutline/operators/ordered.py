@@ -42,11 +42,12 @@ def attach(df: DataFrame, facts: DataFrame, on: list[str], size: str = "n") -> D
     not gathered in one task; the others meet their rows by shuffle or as measured. Both
     sides are read more than once: pass written tables.
     """
-    most = df.count() / HOT_SHARE
-    hot = facts.filter(F.col(size) > most)
-    if facts.count() <= HOT_SHARE or not hot.take(1):
+    told = facts.agg(F.count(F.lit(1)).alias("k"), F.sum(size).alias("n"), F.max(size).alias("m"))
+    groups, rows, largest = told.first()
+    most = (rows or 0) / HOT_SHARE
+    if groups <= HOT_SHARE or largest <= most:
         return match_null_safe(df, facts, on, "left")
-    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    hot = F.broadcast(facts.filter(F.col(size) > most).withColumn("__hot", F.lit(True)))
     marked = match_null_safe(df, hot, on, "left")
     made = [c for c in marked.columns if c not in df.columns]
     cold = marked.filter(F.col("__hot").isNull()).drop(*made)

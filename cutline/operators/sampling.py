@@ -56,7 +56,7 @@ def split_by_hash(
     return df.withColumn("is_test", (share < test_percent).cast("int"))
 
 
-DIGITS = 4  # hexadecimal digits of the digest that a round looks at: 65,536 buckets per label
+DIGITS = 3  # hexadecimal digits of the digest that a round looks at: 4,096 buckets per label
 CUT_ROWS = 10_000  # rows of a bucket that need no further round
 
 
@@ -68,15 +68,13 @@ def _cut_digests(
     Columns: label, ``__cut``, ``__n`` (rows of the label) and ``__take`` (how many rows with exactly
     that digest are in the test part). A round counts the digests' next digits, which combine on
     the map side, and keeps the one bucket per label in which the cut falls; when no bucket holds
-    more than ``CUT_ROWS`` different digests, the cut is picked from it.
+    more than ``CUT_ROWS`` rows, or the digits are used up, the cut is picked from it.
     """
     state, rows, depth = None, hashed, 0
     while True:
         depth += DIGITS
         bucket = F.substring("__digest", 1, depth).alias("__prefix")
-        counts = rows.groupBy(label, bucket).agg(
-            F.count(F.lit(1)).alias("__size"), F.count_distinct("__digest").alias("__kinds")
-        )
+        counts = rows.groupBy(label, bucket).agg(F.count(F.lit(1)).alias("__size"))
         group = Window.partitionBy(label)
         before = group.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("__below", F.coalesce(F.sum("__size").over(before), F.lit(0)))
@@ -92,7 +90,7 @@ def _cut_digests(
         )
         state = materialise(
             counts.filter(hit).select(
-                label, "__prefix", "__kinds", "__n", (F.col("__need") - F.col("__below")).alias("__need")
+                label, "__prefix", "__size", "__n", (F.col("__need") - F.col("__below")).alias("__need")
             ),
             "cut",
         )
@@ -100,7 +98,7 @@ def _cut_digests(
         cut = attach(hashed, state.select(label, "__prefix", "__n"), [label], "__n").filter(inside)
         # Only the rows of one bucket per label go on.
         rows = materialise(cut.select(label, "__digest"), "bucket")
-        if depth >= 32 or not state.filter(F.col("__kinds") > CUT_ROWS).take(1):
+        if depth >= 32 or not state.filter(F.col("__size") > CUT_ROWS).take(1):
             break
     sizes = rows.groupBy(label, "__digest").agg(F.count(F.lit(1)).alias("__size"))
     upto = Window.partitionBy(label).orderBy("__digest")

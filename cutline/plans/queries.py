@@ -933,7 +933,7 @@ def response_pages(spark, sf_dir):
 # Scores themselves cannot be stated in SQL: these queries give row and key sets, counts and
 # properties that must hold.
 
-BOOSTED = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.2}
+BOOSTED = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}
 
 
 def _flag(cond):
