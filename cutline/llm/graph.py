@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.llm.batches import column
 from cutline.session import materialise
 
 BITS = 1 << 26  # of a bit table of ids: 8 MB, whatever the number of ids
 ROUNDS = 50
+OFTEN = (2, 16, 256)  # numbers of owners that part the elements of sets into classes
 
 
 def bit_table(ids: DataFrame, column: str) -> np.ndarray:
@@ -24,11 +27,12 @@ def bit_table(ids: DataFrame, column: str) -> np.ndarray:
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(BITS // 64, np.int64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+    return table
 
 
 def has_bit(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return table[np.mod(ids.astype(np.int64), BITS)]
+    place = ids.astype(np.int64) & (BITS - 1)
+    return (table[place >> 6] >> (place & 63) & 1).astype(bool)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -60,34 +64,115 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _shares(pairs: DataFrame, data: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """Pairs (a, b) of nodes with the exact Jaccard similarity of their sets."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[bytes, np.ndarray] = {}
+            shares = []
+            for pair in zip(column(batch, "data_a"), column(batch, "data_b")):
+                x, y = (sets[d] if d in sets else sets.setdefault(d, decode(d)) for d in pair)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                shares.append(both / (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(shares, pa.float64())], ["a", "b", "share"]
+            )
+
+    sided = pairs
+    for side in "ab":
+        own = data.select(F.col("node").alias(side), F.col("data").alias(f"data_{side}"))
+        sided = sided.join(own, side)
+    return sided.select("a", "b", "data_a", "data_b").mapInArrow(compare, "a long, b long, share double")
+
+
+def _prefixes(data: DataFrame, decode: Callable[[bytes], np.ndarray], part: tuple[int, int]) -> DataFrame:
+    """(token, node, size, place): the first elements of each set, the rarest first.
+
+    Sets of Jaccard similarity ``num / den`` share ``num / den`` of each, hence one of the first
+    ``size - ceil(size num / den) + 1`` elements of each in any common order. The order here is by class
+    of owners, then value. The class is read from bit tables of fixed size, so it may be too high for some elements
+    but is the same in all sets. Elements with one owner take up their places and are not listed.
+    """
+    num, den = part
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [decode(d) for d in column(batch, "data")]
+            if sets:
+                found, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"]
+                )
+
+    counts = data.select("data").mapInArrow(tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.filter(F.col("n") >= OFTEN[0]), "tokens")
+    tables = [bit_table(counts.filter(F.col("n") >= n), "token") for n in OFTEN]
+    shared = data.sparkSession.sparkContext.broadcast(np.array(tables))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        for batch in batches:
+            tokens, of, sizes, places = [], [], [], []
+            for k, d in enumerate(column(batch, "data")):
+                own = decode(d)
+                most = len(own) - -(-len(own) * num // den) + 1
+                level = sum(has_bit(t, own).astype(np.int8) for t in levels)
+                single = len(own) - np.count_nonzero(level)
+                if single < most:
+                    order = np.lexsort((own, level))[single:most]
+                    tokens.append(own[order].view(np.int64))
+                    of.append(np.full(len(order), k))
+                    sizes.append(np.full(len(order), len(own)))
+                    places.append(np.arange(single, single + len(order)))
+            if tokens:
+                nodes = batch.column(0).take(pa.array(np.concatenate(of)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(tokens)),
+                        nodes,
+                        pa.array(np.concatenate(sizes), pa.int64()),
+                        pa.array(np.concatenate(places), pa.int64()),
+                    ],
+                    ["token", "node", "size", "place"],
+                )
+
+    return data.select("node", "data").mapInArrow(first, "token long, node long, size long, place long")
+
+
 def linked(
     lists: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    threshold: float,
+    payload: Callable[[DataFrame], DataFrame],
+    decode: Callable[[bytes], np.ndarray],
+    part: tuple[int, int],
     traits: DataFrame,
     plausible: Callable[[Callable[[str], F.Column], Callable[[str], F.Column]], F.Column],
 ) -> DataFrame:
-    """(node, comp) of the nodes that links of at least ``threshold`` Jaccard similarity join.
+    """(node, comp) of the nodes that links of at least ``num / den`` Jaccard similarity join.
 
     ``lists`` has (key, node, rank): nodes that share a key are candidates. ``traits`` has a row per
-    node; ``plausible`` tells from the traits of two nodes whether they may be similar, and
-    ``verify`` adds to pairs (a, b) their exact ``share``.
+    node; ``plausible`` tells from the traits of two nodes whether they may be similar. ``payload`` gives
+    (node, data) of a table of nodes, and ``decode`` makes of data the sorted distinct elements of a set.
 
     First every node of a key meets one node of it, that of the highest rank; so a group of copies makes
     as many pairs as it has rows. Then only pairs that are still in different components are
-    left: nodes outside the component of the key's first node meet the plausible members of other components.
-    Pairs inside one component cannot change the result. Jaccard distance is a metric, so a pair whose
-    distances to the key's first node differ by more than the threshold allows is no link either;
-    all other pairs are verified.
+    left; pairs inside one component cannot change the result. The nodes of keys that still hold several
+    components are open. Of their full sets the rarest elements are listed, as many as make similar sets meet
+    (``_prefixes``); of each such list, nodes outside its largest component meet those of
+    other components where sizes and places leave room for enough common elements. So nodes that share a
+    passage or a common original, but differ in more elements than the threshold allows, make no pairs.
     """
+    num, den = part
     names = [c for c in traits.columns if c != "node"]
 
     def of(side: str) -> Callable[[str], F.Column]:
         return lambda name: F.col(f"{side}_{name}")
 
-    def with_traits(df: DataFrame, node: str, side: str) -> DataFrame:
-        own = traits.select(F.col("node").alias(node), *[F.col(c).alias(f"{side}_{c}") for c in names])
-        return df.join(own, node)
+    def likely(pairs: DataFrame) -> DataFrame:
+        for node, side in (("a", "x"), ("b", "y")):
+            own = traits.select(F.col("node").alias(node), *[F.col(c).alias(f"{side}_{c}") for c in names])
+            pairs = pairs.join(own, node)
+        return pairs.filter(plausible(of("x"), of("y"))).select("a", "b")
 
     lists = materialise(lists, "lists")
     first = F.min_by("node", F.struct(-F.col("rank"), F.col("node"))).alias("hub")
@@ -95,47 +180,45 @@ def linked(
     hubs = materialise(hubs.filter("__a <> __b").select("key", "hub"), "hubs")
     shared = lists.drop("rank").join(hubs, "key")
     pair = [F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")]
-    stars = shared.filter("node <> hub").select(*pair).distinct()
-    stars = with_traits(with_traits(stars, "a", "x"), "b", "y").filter(plausible(of("x"), of("y")))
-    stars = materialise(verify(materialise(stars.select("a", "b"), "stars")), "shares")
-    links = stars.filter(F.col("share") >= threshold).select("a", "b")
-    comps = materialise(components(links), "components")
+    stars = materialise(likely(shared.filter("node <> hub").select(*pair).distinct()), "stars")
 
-    def comp_of(df: DataFrame, node: str, name: str) -> DataFrame:
-        """``df`` with the component of a node, itself where it has no link."""
-        other = comps.select(F.col("node").alias(node), F.col("comp").alias("__c"))
-        return df.join(other, node, "left").withColumn(name, F.coalesce("__c", node)).drop("__c")
+    def links_of(pairs: DataFrame, data: DataFrame) -> DataFrame:
+        close = _shares(pairs, data, decode).filter(F.col("share") >= num / den)
+        return materialise(close.select("a", "b"), "links")
 
-    placed = comp_of(comp_of(shared, "node", "comp"), "hub", "main")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"))
-    mixed = mixed.filter("__a <> __b").select("key")
-    placed = placed.join(mixed, "key", "left_semi").select("key", "node", "hub", "comp", "main", *pair)
-    placed = placed.join(stars, ["a", "b"], "left").withColumn("far", 1 - F.col("share"))
-    placed = materialise(placed.select("key", "node", "hub", "comp", "main", "far"), "mixed")
+    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = links_of(stars, materialise(payload(materialise(nodes, "nodes")), "sets"))
+    comps = materialise(components(links), "components")
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("width"))
+    comps = materialise(comps.join(sizes, "comp"), "components")
+
+    def placed(df: DataFrame) -> DataFrame:
+        """``df`` with the component of its nodes and its width, themselves where they have no link."""
+        found = df.join(comps, "node", "left")
+        return found.withColumn("comp", F.coalesce("comp", "node")).fillna(1, ["width"])
+
+    def mixed(df: DataFrame, key: str) -> DataFrame:
+        """The keys that hold several components, and the widest of them."""
+        main = F.max_by("comp", F.struct("width", "comp")).alias("main")
+        found = df.groupBy(key).agg(main, F.min("comp").alias("__a"), F.max("comp").alias("__b"))
+        return found.filter("__a <> __b").select(key, "main")
+
+    own = placed(lists.select("key", "node"))
+    left = own.select("key", "node").join(mixed(own, "key"), "key", "left_semi").select("node").distinct()
+    data = materialise(payload(materialise(left, "open")), "sets")
+    tokens = placed(materialise(_prefixes(data, decode, part), "prefixes"))
+    tokens = materialise(tokens.join(mixed(tokens, "token"), "token"), "mixed")
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        own = rows.select(
-            F.col("key").alias(f"{name}_key"),
-            F.col("hub").alias(f"{name}_hub"),
-            F.col("node").alias(name),
-            F.col("comp").alias(f"{name}_comp"),
-            F.col("far").alias(f"{name}_far"),
-            (F.col("comp") != F.col("main")).alias(f"{name}_outer"),
-        )
-        return with_traits(own, name, name)
-
-    apart = F.abs(F.col("x_far") - F.col("y_far")) > 1 - threshold + 1e-9
+        return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "token"])
+
+    room = F.least(F.expr("x_size - x_place"), F.expr("y_size - y_place"))
     fits = (
-        (F.col("x_key") == F.col("y_key"))
-        & (F.col("x_comp") != F.col("y_comp"))
-        & (F.col("x") != F.col("x_hub"))
-        & (F.col("y") != F.col("y_hub"))
-        & (~F.col("y_outer") | (F.col("x") > F.col("y")))
-        & ~F.coalesce(apart, F.lit(False))
-        & plausible(of("x"), of("y"))
+        F.expr("x_comp <> y_comp AND (y_comp = y_main OR x_node > y_node)")
+        & (room * (num + den) >= num * (F.col("x_size") + F.col("y_size")))
     )
-    rest = side(placed.filter("comp <> main"), "x").join(side(placed, "y"), fits)
-    rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    rest = verify(materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest"))
-    more = materialise(rest.filter(F.col("share") >= threshold).select("a", "b"), "links")
+    rest = side(tokens.filter("comp <> main"), "x").join(side(tokens, "y"), "token").filter(fits)
+    pair = [F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")]
+    rest = rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
+    more = links_of(materialise(likely(rest), "rest"), data)
     return components(links.unionByName(more))

@@ -30,7 +30,7 @@ from cutline.session import materialise
 
 SIZE = 8  # bytes of a shingle: it fills one 64-bit number, so sets are exact
 BANDS, ROWS = 20, 4
-THRESHOLD = 0.8
+PART = (4, 5)  # the least similarity
 AGREE = 45  # equal minima of 80 that make a pair plausible
 BLOCK = 1 << 18  # shingles hashed at a time, so that they stay in cache
 SHORT = [f"s{k}" for k in range(BANDS * ROWS // 8)]
@@ -191,14 +191,13 @@ def _lists(signed: DataFrame) -> DataFrame:
     every = signed.select(F.explode("keys").alias("key"), half.alias("half"))
     shared = every.groupBy("key").agg(F.min("half").alias("a"), F.max("half").alias("b"))
     shared = materialise(shared.filter("a <> b").select("key"), "keys")
-    table = signed.sparkSession.sparkContext.broadcast(np.packbits(bit_table(shared, "key")))
+    table = signed.sparkSession.sparkContext.broadcast(bit_table(shared, "key"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(table.value).view(bool)
         for batch in batches:
             keys = batch.column(1)
             flat, of = keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), BANDS)
-            at = np.flatnonzero(has_bit(bits, flat))
+            at = np.flatnonzero(has_bit(table.value, flat))
             of = pa.array(of[at])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat[at]), batch.column(0).take(of)], ["key", "node"]
@@ -209,12 +208,12 @@ def _lists(signed: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """(node, line) of the lines that ``nodes`` names."""
-    table = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(nodes, "node")))
+    """(node, data): the lines that ``nodes`` names."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(nodes, "node"))
 
     def pick(lines: list[bytes]) -> pa.RecordBatch:
         h = _digests(lines)
-        at = np.flatnonzero(has_bit(np.unpackbits(table.value).view(bool), h[:, 0]))
+        at = np.flatnonzero(has_bit(table.value, h[:, 0]))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(h[at, 0]),
@@ -225,34 +224,11 @@ def _texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
         )
 
     texts = _distinct_lines(docs, text, "node long, h2 long, line binary", pick)
-    return texts.join(nodes, "node").groupBy("node").agg(F.min_by("line", "h2").alias("line"))
+    return texts.join(nodes, "node").groupBy("node").agg(F.min_by("line", "h2").alias("data"))
 
 
-def _verifier(texts: DataFrame):
-    """Adds to pairs (a, b) of lines the similarity of their shingle sets."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets: dict[bytes, np.ndarray] = {}
-                shares = []
-                for pair in zip(column(batch, "line_a"), column(batch, "line_b")):
-                    for line in pair:
-                        if line not in sets:
-                            sets[line] = np.unique(shingles([line])[0])
-                    x, y = sets[pair[0]], sets[pair[1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    shares.append(both / (len(x) + len(y) - both))
-                rows = [batch.column(0), batch.column(1), pa.array(shares, pa.float64())]
-                yield pa.RecordBatch.from_arrays(rows, ["a", "b", "share"])
-
-        sided = pairs
-        for side in "ab":
-            own = texts.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}"))
-            sided = sided.join(own, side)
-        return sided.select("a", "b", "line_a", "line_b").mapInArrow(compare, "a long, b long, share double")
-
-    return verify
+def _decode(line: bytes) -> np.ndarray:
+    return np.unique(shingles([line])[0])
 
 
 def duplicate_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,7 +246,7 @@ def duplicate_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     traits = signed.join(lists.select("node").distinct(), "node", "left_semi")
     traits = materialise(traits.groupBy("node").agg(*[F.min(c).alias(c) for c in SHORT]), "traits")
     texts = materialise(_texts(docs, text, traits.select("node")), "texts")
-    comps = linked(lists, _verifier(texts), THRESHOLD, traits, _plausible)
+    comps = linked(lists, lambda nodes: texts.join(nodes, "node", "left_semi"), _decode, PART, traits, _plausible)
     grouped = per_line.join(comps.withColumnRenamed("node", "h1"), "h1")
     single = grouped.groupBy("h1").agg(F.min("h2").alias("h2"))
     grouped = materialise(grouped.join(single, ["h1", "h2"]).select("h1", "h2", "first", "comp"), "grouped")

@@ -7,8 +7,9 @@ values that is binomial at worst with mean 48 of 64, so below ``SHARED`` = 28 on
 Each class therefore enters only the lists of its rarest values, as many as ensure that two
 sketches with ``SHARED`` common values meet in one list (ordered by frequency, then value). Passages that
 many documents share are frequent, so documents meet by them only if they fill most of the
-sketch. ``graph.linked`` turns lists into candidates; the union-sketch estimate filters them and
-the Jaccard similarity of the full sets decides.
+sketch. ``graph.linked`` turns lists into candidates (documents that one comparison per list leaves open must
+also meet among the rarest shingles of their full sets); the union-sketch estimate filters them and the
+Jaccard similarity of the full sets decides.
 
 Edge cases: NULL and empty texts have no shingles and no links; a text of fewer than five words is one
 shingle; equal texts with the same id are rows of one class; NULL ids: a class without any id has component
@@ -30,7 +31,6 @@ from xxhash import xxh3_128_digest
 from cutline.llm.batches import (
     as_bytes,
     buffers_of,
-    column,
     hash_runs,
     offsets,
     slices,
@@ -122,56 +122,37 @@ def _estimate(a: F.Column, b: F.Column, most: int = KEPT) -> F.Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
-def _verifier(docs: DataFrame, classes: DataFrame, text: str):
-    """Adds to pairs (a, b) of classes the similarity of their full sets."""
+def _payload(docs: DataFrame, classes: DataFrame, text: str):
+    """Gives (node, data) of classes: their full sets, from the texts."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def payload(nodes: DataFrame) -> DataFrame:
         nodes = materialise(nodes.join(classes.select("node", "h1", "h2"), "node"), "nodes")
-        table = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(nodes, "h1")))
+        table = docs.sparkSession.sparkContext.broadcast(bit_table(nodes, "h1"))
 
         def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(table.value).view(bool)
             for batch in batches:
                 for _, texts in slices(batch, "text"):
                     sets = shingle_sets(texts)
                     digests = b"".join(xxh3_128_digest(s.tobytes()) for s in sets)
                     h = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                    at = np.flatnonzero(has_bit(bits, h[:, 0]))
+                    at = np.flatnonzero(has_bit(table.value, h[:, 0]))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(h[at, 0]),
                             pa.array(h[at, 1]),
                             pa.array([sets[k].tobytes() for k in at], pa.binary()),
                         ],
-                        ["h1", "h2", "set"],
+                        ["h1", "h2", "data"],
                     )
 
-        found = docs.select(as_bytes(text).alias("text")).mapInArrow(
-            reread, "h1 long, h2 long, set binary"
-        )
-        full = materialise(
-            nodes.join(found, ["h1", "h2"]).groupBy("node").agg(F.first("set").alias("set")), "sets"
-        )
+        found = docs.select(as_bytes(text).alias("text")).mapInArrow(reread, "h1 long, h2 long, data binary")
+        return nodes.join(found, ["h1", "h2"]).groupBy("node").agg(F.first("data").alias("data"))
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                shares = []
-                for x, y in zip(column(batch, "set_a"), column(batch, "set_b")):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    shares.append(both / (len(x) + len(y) - both))
-                rows = [batch.column(0), batch.column(1), pa.array(shares, pa.float64())]
-                yield pa.RecordBatch.from_arrays(rows, ["a", "b", "share"])
+    return payload
 
-        sided = pairs
-        for side in "ab":
-            own = full.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}"))
-            sided = sided.join(own, side)
-        sided = sided.select("a", "b", "set_a", "set_b")
-        return sided.mapInArrow(compare, "a long, b long, share double")
 
-    return verify
+def _decode(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
 
 def components(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,7 +178,8 @@ def components(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
         return (DENOMINATOR * least >= NUMERATOR * most) & close
 
     traits = classes.select("node", "n", "sketch")
-    comps = linked(_lists(classes), _verifier(docs, classes, text), THRESHOLD, traits, plausible)
+    payload, part = _payload(docs, classes, text), (NUMERATOR, DENOMINATOR)
+    comps = linked(_lists(classes), payload, _decode, part, traits, plausible)
     named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = base.join(named.select("h1", "h2", "comp"), ["h1", "h2"], "left")
     rows = rows.withColumn("comp", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("row")))
