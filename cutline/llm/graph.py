@@ -150,7 +150,7 @@ def linked(
 ) -> DataFrame:
     """(node, comp) of the nodes that links of at least ``num / den`` Jaccard similarity join.
 
-    ``lists`` has (key, node, rank): nodes that share a key are candidates. ``traits`` has a row per
+    ``lists`` (a written table, as it is read twice) has (key, node, rank): nodes that share a key are candidates. ``traits`` has a row per
     node; ``plausible`` tells from the traits of two nodes whether they may be similar. ``payload`` gives
     (node, data) of a table of nodes, and ``decode`` makes of data the sorted distinct elements of a set.
 
@@ -174,7 +174,6 @@ def linked(
             pairs = pairs.join(own, node)
         return pairs.filter(plausible(of("x"), of("y"))).select("a", "b")
 
-    lists = materialise(lists, "lists")
     first = F.min_by("node", F.struct(-F.col("rank"), F.col("node"))).alias("hub")
     hubs = lists.groupBy("key").agg(first, F.min("node").alias("__a"), F.max("node").alias("__b"))
     hubs = materialise(hubs.filter("__a <> __b").select("key", "hub"), "hubs")

@@ -184,6 +184,8 @@ def _distinct_lines(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
 def _lists(signed: DataFrame) -> DataFrame:
     """(key, node, rank) for the band keys that two different lines hold.
 
+    The rank is the number of rows in all lists of a line: high for the original of edited copies.
+
     Most keys have one line. A bit table of the shared keys drops most others before the
     exact join.
     """
@@ -204,7 +206,10 @@ def _lists(signed: DataFrame) -> DataFrame:
             )
 
     some = signed.select("node", "keys").mapInArrow(pick, "key long, node long")
-    return some.join(shared, "key").distinct().withColumn("rank", F.lit(0).cast("long"))
+    found = materialise(some.join(shared, "key").distinct(), "found")
+    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    ranks = found.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("rank"))
+    return found.join(ranks, "node")
 
 
 def _texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def components(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
 
     traits = classes.select("node", "n", "sketch")
     payload, part = _payload(docs, classes, text), (NUMERATOR, DENOMINATOR)
-    comps = linked(_lists(classes), payload, _decode, part, traits, plausible)
+    comps = linked(materialise(_lists(classes), "lists"), payload, _decode, part, traits, plausible)
     named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = base.join(named.select("h1", "h2", "comp"), ["h1", "h2"], "left")
     rows = rows.withColumn("comp", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("row")))
