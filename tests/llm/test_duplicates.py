@@ -326,3 +326,20 @@ def test_pipeline_edges(spark, tmp_path, make):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, save(make(spark), tmp_path)).collect()
     assert (len(got) > 3) == (make is edge_docs)
+
+
+def test_shared_passages_make_no_pairs(spark, monkeypatch):
+    """Texts with a common passage and a fifth of their own are told apart without pairs of them."""
+    passage = prose(80, 7)
+    rows = [(k, passage + " " + " ".join(f"own{k}w{j}" for j in range(20))) for k in range(120)]
+    made, write = {}, graph.materialise
+
+    def counted(df, label="cut"):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    got = near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc == r.component for r in got)
+    assert made["stars"] < 2 * len(rows) and made["rest"] == 0
