@@ -1,19 +1,32 @@
-"""Language-model scores by a probabilistic suffix tree over the bytes of the tokens.
+"""Language-model scores by a probabilistic suffix tree over words, kept as tables.
 
-A text is the lower-cased words with one blank between neighbours and an end symbol. The tree
-holds contexts of up to ``DEPTH`` bytes. A context is a candidate if it makes up at least
-``LEAST_SHARE`` of all training symbols (the bound of the method: at most ``1 / LEAST_SHARE``
-contexts per length, whatever the corpus), and it is retained if its next-symbol counts diverge from
-those of its parent, the context without its first byte, by more than their description costs:
-``n KL >= (symbols - 1) / 2 ln N``. Each distribution is smoothed with its parent's. Scoring
-follows the longest retained suffix.
+A text is its lower-cased words (A-Z) and an end symbol; a begin symbol stands before it. A context is
+a run of up to ``DEPTH`` symbols before the next one. Contexts are grown level by level: a
+candidate was seen at least ``FLOOR`` times, and both the context without its first symbol and the one
+without its last are in the tree. It is retained if its next-symbol counts diverge from its
+parent's distribution (the context without its first symbol): the sum over occurrences of
+``ln p(symbol | context) / p(symbol | parent)``, each occurrence left out of the counts that predict it,
+must reach ``COST``. Both limits are absolute, so the tree grows with the corpus.
 
-The unigram base needs counts of all words. Words above ``N / FREQUENT`` occurrences are at most
-``FREQUENT`` and go to every task; the others are joined by word, where no word is hot.
+Each distribution is smoothed with its parent's by absolute discounting. Next symbols seen once in a
+context (under ``LEAST``) count as part of the mass left to the parent:
+
+    p(s | c) = (n - D) / N + B / N p(s | parent),  p(s | c) = B / N p(s | parent) if n < LEAST
+
+with B the discounts plus the occurrences under ``LEAST``. The root is the add-one unigram of the base. The
+log probability under the longest retained suffix is then a sum of terms that do not depend on
+each other: the base term of the symbol, ``log10 B / N`` of each retained suffix, and for each seen
+(suffix, symbol) what it gains over backing off. A text's score is the sum of the terms of the keys that it
+holds: one join by key, whatever the depth.
+
+Nothing of the size of the corpus is gathered: counts, contexts and terms are tables. Tasks get bit tables
+of fixed size that tell which keys cannot be in a table, and the terms of keys that make up more than
+1 / ``FREQUENT`` of the training symbols (at most ``FREQUENT`` per level and kind); the others are joined
+by key, where no key is hot. Symbols and contexts are compared by 64-bit hashes.
 
 Edge cases: NULL, empty and blank texts are the end symbol alone; with no training text
-the base is 0 and all bytes are equally likely; repeated rows each get a row; an empty table stays
-empty; only the key and text columns are read, so further columns cannot clash.
+base and score are 0; repeated rows each get a row; an empty table stays empty; only the key and text
+columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,253 +40,293 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.batches import offsets, slices, split_words
+from cutline.llm.batches import MIX, as_bytes, buffers_of, hash_runs, mix, offsets, slices, split_words
+from cutline.llm.graph import bit_table, has_bit
 from cutline.llm.languages import held_out
 from cutline.session import materialise
 
-DEPTH = 7  # with the next byte they fill a 64-bit number
-LEAST_SHARE = 2e-5
+DEPTH = 3  # symbols of the longest context
+FLOOR = 4  # occurrences of a context
+LEAST = 2  # occurrences of a next symbol in a context that gets a term of its own
+DISCOUNT = 0.75
+COST = 5.0  # nats that a context must gain
 FREQUENT = 50_000
-LANE = 1024  # bytes that one lane of the vectorised scoring walks
-END = 10  # a line feed; words hold none
-TOKEN, GRAM, FINISH = b"w", b"g", b"e"
+RUN = 1 << 20  # bytes of text that are hashed at once
+HELD = 1 << 21  # positions that a task counts at once
+BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+CONTEXT = 0x2545F4914F6CDD1D  # tells a context's key from that of the same symbols as a gram
 
 
-def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(values, return_counts=True)
+def raw_text(text: str) -> F.Column:
+    """The input of ``learn``: the bytes of a text, NULL as no bytes."""
+    return as_bytes(text).alias("__text")
 
 
-def gram_counts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct stretches of ``DEPTH`` context bytes and one next byte, and their counts.
-
-    Bytes are packed into a number, the next one lowest. Before a text stand end symbols.
-    """
-    pad = bytes([END]) * DEPTH
-    data = np.frombuffer(b"".join(pad + s + pad[:1] for s in streams), np.uint8)
-    code = np.zeros(len(data) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        code = code << np.uint64(8) | data[k : len(data) - DEPTH + k]
-    starts = offsets(len(s) + DEPTH + 1 for s in streams)[1:-1]
-    inside = np.ones(len(code), bool)  # no stretch ends in the padding of the next text
-    for k in range(DEPTH):
-        inside[starts - DEPTH + k] = False
-    return _unique(code[inside])
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of a run of symbols from those of the run without its last and without its first."""
+    return mix(first * MIX + second)
 
 
-def count(training: DataFrame, text: str) -> DataFrame:
-    """(key, n): words, packed stretches and ends of all training texts, in one pass."""
+@dataclass
+class Symbols:
+    """Symbols of some texts, one after the other; ``place`` is 0 at the begin of each text."""
+
+    doc: np.ndarray
+    place: np.ndarray
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Symbols:
+        words, sizes = split_words([t.lower() for t in texts])
+        words = words.dictionary_encode()
+        starts = offsets(int(n) + 2 for n in sizes)
+        doc = np.repeat(np.arange(len(texts)), sizes + 2)
+        place = np.arange(starts[-1]) - starts[doc]
+        hashes = np.empty(starts[-1], np.uint64)
+        inside = np.ones(len(hashes), bool)
+        for at, symbol in ((starts[:-1], BEGIN), (starts[1:] - 1, END)):
+            inside[at] = False
+            hashes[at] = symbol
+        if len(words):
+            hashes[inside] = hash_runs(*buffers_of(words.dictionary))[words.indices.to_numpy()]
+        return cls(doc, place, hashes)
+
+    def levels(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For contexts of 1 to ``depth`` symbols, at each position from the second on: whether the
+        text reaches back so far; hashes of the context, of the run without its first symbol, and of all."""
+        runs = self.hashes
+        for k in range(1, depth + 1):
+            context, rest = runs[:-1], runs[1:]
+            whole = _joined(context, rest)
+            yield self.place[1:] >= k, context, rest, whole
+            runs = np.concatenate([runs[:1], whole])
+
+
+def _pairs(parts: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some columns, in order, and how often each occurs."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+
+
+def _counted(training: DataFrame, names: tuple[str, ...], find) -> DataFrame:
+    """(names, n): how often each row occurs that ``find(symbols)`` gives as arrays."""
+
+    def batch_of(parts) -> pa.RecordBatch:
+        columns, n = _pairs(parts)
+        arrays = [pa.array(c.view(np.int64)) for c in columns] + [pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, [*names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            for _, texts in slices(batch, text):
-                texts = [t.lower() for t in texts]
-                words = split_words(texts)[0].dictionary_encode()
-                sizes = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                codes, counts = gram_counts([b" ".join(t.split()) for t in texts])
-                raw = codes.astype(">u8").tobytes()
-                keys = [TOKEN + w for w in words.dictionary.to_pylist()]
-                keys += [GRAM + raw[k : k + 8] for k in range(0, len(raw), 8)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*keys, FINISH], pa.binary()),
-                        pa.array(np.concatenate([sizes, counts, [len(texts)]]).astype(np.int64)),
-                    ],
-                    ["key", "n"],
-                )
+            for _, texts in slices(batch, "__text", RUN):
+                found = find(Symbols.of(texts))
+                if len(found[0]):
+                    parts.append(found)
+                    held += len(found[0])
+                if held >= HELD:
+                    yield batch_of(parts)
+                    parts, held = [], 0
+        if parts:
+            yield batch_of(parts)
 
-    rows = training.select(F.col(text)).mapInArrow(run, "key binary, n long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{c} long" for c in [*names, "n"])
+    return training.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Tree:
-    """Suffix automaton: a class per byte, next state and log10 probability by state and class."""
-
-    classes: np.ndarray
-    step: np.ndarray
-    logs: np.ndarray
-    first: int
-    contexts: int
-
-    def score(self, streams: list[bytes]) -> np.ndarray:
-        """log10 probability of each stream and its end symbol."""
-        width = self.step.shape[1]
-        data = np.frombuffer(b"".join(s + bytes([END]) for s in streams), np.uint8)
-        ends = offsets(len(s) + 1 for s in streams)
-        lanes = -(-len(data) // LANE)
-        front = np.full(DEPTH, END, np.uint8)  # a state depends on the last DEPTH bytes only
-        back = np.full(lanes * LANE - len(data), END, np.uint8)
-        symbols = self.classes[np.concatenate([front, data, back])]
-        starts = np.arange(lanes) * LANE
-        state = np.zeros(lanes, np.int64)
-        state[0] = self.first
-        logs = np.zeros((LANE, lanes))
-        step, table = self.step.reshape(-1), self.logs.reshape(-1)
-        for j in range(LANE + DEPTH):
-            at = state * width + symbols[starts + j]
-            if j >= DEPTH:
-                logs[j - DEPTH] = table[at]
-            state = step[at]
-        flat = logs.T.reshape(-1)[: len(data)]
-        return np.add.reduceat(flat, ends[:-1])
-
-
-def _levels(counts: DataFrame) -> DataFrame:
-    """(depth, context, symbol, n, total): next-symbol counts of the candidate contexts."""
-    grams = counts.filter(F.substring("key", 1, 1) == F.lit(GRAM))
-    code = F.conv(F.hex(F.substring("key", 2, 8)), 16, -10).cast("long")
-    per = grams.select(code.alias("code"), "n").select(
-        F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"), "code", "n"
+def _with_gram(rows: DataFrame) -> DataFrame:
+    """Adds ``gram``, the hash of the context and its next symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, rest = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            gram = pa.array(_joined(context, rest).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, gram], ["context", "rest", "n", "gram"])
+
+    return rows.select("context", "rest", "n").mapInArrow(
+        run, "context long, rest long, n long, gram long"
     )
-    keep = F.expr("shiftleft(1L, 8 * depth) - 1")
-    context = F.shiftright("code", 8).bitwiseAND(keep)
-    pairs = per.groupBy(
-        "depth", context.alias("context"), F.col("code").bitwiseAND(255).alias("symbol")
-    ).agg(F.sum("n").alias("n"))
-    pairs = materialise(pairs, "pairs")
-    total = pairs.filter("depth = 0").agg(F.sum("n")).first()[0] or 0
-    sizes = pairs.groupBy("depth", "context").agg(F.sum("n").alias("total"))
-    return pairs.join(sizes.filter(F.col("total") >= LEAST_SHARE * total), ["depth", "context"])
-
-
-def _retained(levels: DataFrame, total: int) -> DataFrame:
-    """Contexts that pass the divergence test against their parents."""
-    parent = levels.select(
-        (F.col("depth") + 1).alias("depth"),
-        F.col("context").alias("__parent"),
-        "symbol",
-        (F.col("n") / F.col("total")).alias("__p"),
+
+
+def _grams(training: DataFrame, k: int, candidates: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """(context, rest, n, gram) at least ``LEAST`` times seen, at candidate contexts of ``k`` symbols.
+
+    Rows of contexts that only the bit tables let pass are left to the joins that follow.
+    """
+    context = training.sparkSession.sparkContext
+    possible = context.broadcast(bit_table(candidates, "context"))
+    grown = context.broadcast(bit_table(parents, "context")) if parents is not None else None
+
+    def find(symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
+        suffix = None
+        for at, (inside, ctx, rest, _) in enumerate(symbols.levels(k), 1):
+            if at == k:
+                found = inside & has_bit(possible.value, ctx.view(np.int64))
+                if grown is not None:
+                    found &= has_bit(grown.value, suffix.view(np.int64))
+                return ctx[found], rest[found]
+            suffix = ctx
+        raise ValueError(k)
+
+    rows = _counted(training, ("context", "rest"), find)
+    return _with_gram(rows.filter(F.col("n") >= LEAST))
+
+
+def _retained(grams: DataFrame) -> DataFrame:
+    """(context, total, mass) of contexts that pass the divergence test.
+
+    ``grams`` has context, n, total (occurrences of the context) and p_rest (of the parent).
+    """
+    sums = grams.groupBy("context").agg(
+        F.first("total").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("seen")
     )
-    own = F.col("context").bitwiseAND(F.expr("shiftleft(1L, 8 * (depth - 1)) - 1"))
-    child = levels.filter("depth > 0").withColumn("__parent", own)
-    gain = F.col("n") * F.log(F.col("n") / F.col("total") / F.col("__p"))
-    cost = (F.count(F.lit(1)) - 1) / 2 * np.log(max(total, 2))
-    return (
-        child.join(parent, ["depth", "__parent", "symbol"])
-        .groupBy("depth", "context")
-        .agg((F.sum(gain) >= F.greatest(cost, F.lit(1.0))).alias("kept"))
-        .filter("kept")
-        .select("depth", "context")
+    single = F.col("total") - F.col("seen")
+    sums = sums.select("context", "total", single.alias("single"), (DISCOUNT * F.col("kinds") + single).alias("mass"))
+    one_less = F.col("n") - 1
+    backed = F.when(one_less < LEAST, F.col("mass") - DISCOUNT + one_less).otherwise(F.col("mass"))
+    own = F.when(one_less < LEAST, 0.0).otherwise(one_less - DISCOUNT)
+    ratio = (own / F.col("p_rest") + backed) / (F.col("total") - 1)
+    of_single = F.when(
+        F.col("single") > 0, F.col("single") * F.log((F.col("mass") - 1) / (F.col("total") - 1))
+    ).otherwise(0.0)
+    gains = (
+        grams.select("context", "n", "p_rest").join(sums, "context")
+        .groupBy("context")
+        .agg(
+            F.sum(F.col("n") * F.log(ratio)).alias("gain"),
+            F.first(of_single).alias("of_single"),
+            F.first("total").alias("total"),
+            F.first("mass").alias("mass"),
+        )
     )
+    return gains.filter(F.col("gain") + F.col("of_single") >= COST).select("context", "total", "mass")
+
+
+@dataclass
+class Tree:
+    """``terms``: (key, level, uses, word, tree); words have level 0 and their base term in ``word``."""
 
+    terms: DataFrame
+    total: int
+    distinct: int
 
-def build(counts: DataFrame) -> Tree:
-    """The tree of a table of counts.
+    @property
+    def denominator(self) -> int:
+        return self.total + self.distinct + 1
 
-    Retained contexts come to the driver: at most ``DEPTH / LEAST_SHARE`` with 256 symbols each.
-    """
-    levels = materialise(_levels(counts), "levels")
-    total = levels.filter("depth = 0").agg(F.sum("n")).first()[0] or 0
-    passed = _retained(levels, total).toArrow()
-    kept = {(0, 0)}
-    for d, c in zip(passed["depth"].to_pylist(), passed["context"].to_pylist()):
-        while d and (d, c) not in kept:  # a retained context brings the suffixes it extends
-            kept.add((d, c))
-            d, c = d - 1, c & ((1 << 8 * (d - 1)) - 1)
-    wanted = pa.table(
-        [pa.array(c, t) for c, t in zip(zip(*sorted(kept)), (pa.int32(), pa.int64()))],
-        ["depth", "context"],
+
+def learn(training: DataFrame) -> Tree:
+    """The tree of a table with the bytes of each text in ``__text``."""
+    words = materialise(
+        _counted(training, ("gram",), lambda s: (s.hashes[s.place > 0],)), "words"
     )
-    wanted = counts.sparkSession.createDataFrame(wanted)
-    table = levels.join(F.broadcast(wanted), ["depth", "context"]).toArrow()
-    depth, context = (table[c].to_numpy().astype(np.int64) for c in ("depth", "context"))
-    symbol, n = (table[c].to_numpy().astype(np.int64) for c in ("symbol", "n"))
-    states = set(kept)
-    for d, c in kept:  # prefixes let one step find the next longest suffix
-        while d:
-            d, c = d - 1, c >> 8
-            states.add((d, c))
-    ordered = sorted(states)
-    number = {s: k for k, s in enumerate(ordered)}
-    parents = [number[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else 0 for d, c in ordered]
-    seen = np.unique(np.concatenate([symbol, [END, 32]]))
-    classes = np.full(256, len(seen), np.int64)
-    classes[seen] = np.arange(len(seen))
-    width = len(seen) + 1  # the last class: bytes that training has not seen
-    counted = np.zeros((len(ordered), width))
-    rows = np.array([number[s] for s in zip(depth.tolist(), context.tolist())], np.int64)
-    counted[rows, classes[symbol]] = n
-    p = np.zeros_like(counted)
-    step = np.zeros(counted.shape, np.int64)
-    children: dict[int, list[tuple[int, int]]] = {}
-    for (d, c), k in number.items():
-        if d:
-            children.setdefault(number[d - 1, c >> 8], []).append((int(classes[c & 255]), k))
-    unseen = 256 - len(seen)
-    for k, (s, parent) in enumerate(zip(ordered, parents)):
-        own = counted[k]
-        if not k:
-            p[0] = (own + 1) / (own.sum() + 256)
-            step[0] = 0
-        else:
-            weight = np.count_nonzero(own)  # as much for the parent as there are distinct symbols
-            p[k] = (own + weight * p[parent]) / (own.sum() + weight) if weight else p[parent]
-            step[k] = step[parent]
-        for symbol_class, child in children.get(k, ()):
-            step[k, symbol_class] = child
-    p[:, -1] = p[:, -1] if unseen else 1e-300
-    begin = 0
-    for _ in range(DEPTH):
-        begin = int(step[begin, classes[END]])
-    step[:, classes[END]] = begin  # a text starts anew behind an end
-    return Tree(classes, step.astype(np.int32), np.log10(p).astype(np.float32), begin, len(kept))
+    sums = words.agg(F.sum("n"), F.count("n")).first()
+    total, distinct = sums[0] or 0, sums[1]
+    texts = words.filter(F.col("gram") == int(END.view(np.int64))).select(
+        F.lit(int(BEGIN.view(np.int64))).alias("gram"), "n"
+    )
+    terms = words.select(
+        F.col("gram").alias("key"), F.lit(0).alias("level"), F.col("n").alias("uses"),
+        F.log10(F.col("n") + 1).alias("word"), F.lit(0.0).alias("tree"),
+    )
+    known = words.withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1)))
+    sources, parents = words.unionByName(texts), None
+    for k in range(1, DEPTH + 1):
+        candidates = sources.filter(F.col("n") >= FLOOR).select(
+            F.col("gram").alias("context"), F.col("n").alias("total")
+        )
+        grams = _grams(training, k, candidates, parents).join(candidates, "context").join(
+            known.select(F.col("gram").alias("rest"), F.col("p").alias("p_rest")), "rest"
+        )
+        grams = materialise(grams.select("context", "gram", "n", "total", "p_rest"), "grams")
+        parents = materialise(_retained(grams), "contexts")
+        backed = F.col("mass") / F.col("total") * F.col("p_rest")
+        p = (F.col("n") - DISCOUNT) / F.col("total") + backed
+        kept = grams.join(parents.select("context", "mass"), "context")
+        kept = materialise(
+            kept.select("gram", "n", p.alias("p"), (F.log10(p) - F.log10(backed)).alias("tree")), "kept"
+        )
+        terms = terms.unionByName(
+            kept.select(
+                F.col("gram").alias("key"), F.lit(k).alias("level"), F.col("n").alias("uses"),
+                F.lit(0.0).alias("word"), "tree",
+            )
+        ).unionByName(
+            parents.select(
+                F.col("context").bitwiseXOR(F.lit(CONTEXT)).alias("key"),
+                F.lit(-k).alias("level"), F.col("total").alias("uses"),
+                F.lit(0.0).alias("word"), F.log10(F.col("mass") / F.col("total")).alias("tree"),
+            )
+        )
+        sources = known = kept
+    return Tree(terms, total, distinct)
+
+
+def _keys(symbols: Symbols, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, key) of all terms that the symbols may have."""
+    doc = symbols.doc[1:]
+    keep = symbols.place[1:] > 0
+    keep &= has_bit(table, symbols.hashes[1:].view(np.int64))
+    docs, keys = [doc[keep]], [symbols.hashes[1:][keep].view(np.int64)]
+    grown = np.ones(len(doc), bool)
+    for inside, context, _, whole in symbols.levels(DEPTH):
+        context, whole = context.view(np.int64) ^ np.int64(CONTEXT), whole.view(np.int64)
+        grown &= inside & has_bit(table, context)
+        seen = grown & has_bit(table, whole)
+        docs += [doc[grown], doc[seen]]
+        keys += [context[grown], whole[seen]]
+    return np.concatenate(docs), np.concatenate(keys)
 
 
 def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of every row of ``df`` under counts of ``training``.
+    """Scores of every row of ``df`` under the tree of ``training``.
 
     Columns: key, n_tokens, n_known, train_tokens, base_score, score.
     """
-    spark = df.sparkSession
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")
-    counts = materialise(count(training.select(raw), "__text"), "counts")
-    kind = F.substring("key", 1, 1)
-    words = counts.filter(kind == F.lit(TOKEN)).select(F.substring("key", 2, 1 << 30).alias("word"), "n")
-    ends = counts.filter(F.col("key") == F.lit(FINISH)).agg(F.sum("n")).first()[0] or 0
-    sums = words.agg(F.sum("n"), F.count("n")).first()
-    total, distinct = (sums[0] or 0) + ends, sums[1] + (1 if ends else 0)
-    limit = total / FREQUENT
-    top = words.filter(F.col("n") >= limit).toArrow()  # at most FREQUENT rows
-    frequent = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
-    shared = spark.sparkContext.broadcast((build(counts), frequent))
-    denominator = float(np.log10(total + distinct + 1))
-    end_log = float(np.log10(ends + 1))
+    raw = raw_text(text)
+    tree = learn(training.select(raw))
+    # Terms used more often than this are at most FREQUENT for each of the 2 DEPTH + 1 levels.
+    often = F.col("uses") > tree.total / FREQUENT
+    top = tree.terms.filter(often).select("key", "level", "word", "tree").orderBy("key").toArrow()
+    columns = [top[c].to_numpy() for c in ("key", "level", "word", "tree")]
+    shared = df.sparkSession.sparkContext.broadcast((bit_table(tree.terms, "key"), columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common = shared.value
+        table, (common, level, word, gain) = shared.value
+        is_word = (level == 0).astype(np.int64)
         part, at = TaskContext.get().partitionId(), 0
-        logs = {w: float(np.log10(n + 1)) for w, n in common.items()}
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(key))
-            for first, texts in slices(batch, "__text"):
-                texts = [t.lower() for t in texts]
-                tree_scores = tree.score([b" ".join(t.split()) for t in texts])
-                words, sizes = split_words(texts)
-                words = words.dictionary_encode()
-                distinct, number = words.dictionary.to_pylist(), words.indices.to_numpy()
-                doc = np.repeat(np.arange(len(texts)), sizes)
-                log = np.array([logs.get(w, -1.0) for w in distinct])
-                found = log[number] if distinct else np.zeros(0)
-                is_known = found >= 0
-                sums = np.bincount(doc, np.where(is_known, found, 0), len(texts)) + end_log
-                known = np.bincount(doc[is_known], minlength=len(texts)) + (1 if ends else 0)
-                pairs = doc[~is_known] * (len(distinct) + 1) + number[~is_known]
-                pairs, times = np.unique(pairs, return_counts=True)
-                of, word = np.divmod(pairs, len(distinct) + 1)
-                runs = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32))
-                rare = words.dictionary.take(pa.array(word))
+            for first, texts in slices(batch, "__text", RUN):
+                symbols = Symbols.of(texts)
+                tokens = np.bincount(symbols.doc, minlength=len(texts)) - 1
+                doc, keys = _keys(symbols, table)
+                place = np.searchsorted(common, keys)
+                found = np.zeros(len(keys), bool)
+                if len(common):
+                    found = common[np.minimum(place, len(common) - 1)] == keys
+                own, place = doc[found], place[found]
+                sums = [np.bincount(own, c[place], len(texts)) for c in (is_word, word, gain)]
+                left = ~found
+                (of, rare), times = _pairs([(doc[left], keys[left])])
+                ends = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(at, at + len(texts), dtype=np.int64) + (part << 40)),
                         ids.slice(first, len(texts)),
-                        pa.array(sizes + 1, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(sums, pa.float64()),
-                        pa.array(tree_scores, pa.float64()),
-                        pa.ListArray.from_arrays(runs, rare),
-                        pa.ListArray.from_arrays(runs, pa.array(times, pa.int32())),
+                        pa.array(tokens.astype(np.int64)),
+                        pa.array(sums[0].astype(np.int64)),
+                        pa.array(sums[1], pa.float64()),
+                        pa.array(sums[2], pa.float64()),
+                        pa.ListArray.from_arrays(ends, pa.array(rare)),
+                        pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
                     ],
-                    ["__row", key, "n_tokens", "known", "sums", "score", "rare", "rare_n"],
+                    ["__row", key, "n_tokens", "known", "word", "tree", "rare", "rare_n"],
                 )
                 at += len(texts)
 
@@ -281,26 +334,29 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
     scored = materialise(
         df.select(key, raw).mapInArrow(
             run,
-            f"__row long, `{key}` {kind_of_key}, n_tokens long, known long, sums double, "
-            "score double, rare array<binary>, rare_n array<int>",
+            f"__row long, `{key}` {kind_of_key}, n_tokens long, known long, word double, tree double, "
+            "rare array<long>, rare_n array<int>",
         ),
         "scored",
     )
     left = scored.select(
-        "__row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("rare_n").alias("k"))).alias("r")
-    ).select("__row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
-    rest = words.filter(F.col("n") < limit)
-    more = left.join(rest, "word").groupBy("__row").agg(
-        F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("__sum"), F.sum("k").alias("__known")
+        "__row", F.explode(F.arrays_zip(F.col("rare").alias("key"), F.col("rare_n").alias("k"))).alias("r")
+    ).select("__row", F.col("r.key").alias("key"), F.col("r.k").alias("k"))
+    rest = tree.terms.filter(~often).select(
+        "key", (F.col("level") == 0).cast("int").alias("is_word"), "word", "tree"
+    )
+    more = left.join(rest, "key").groupBy("__row").agg(
+        *(F.sum(F.col("k") * F.col(c)).alias(f"__{c}") for c in ("is_word", "word", "tree"))
     )
-    base = F.col("sums") + F.coalesce("__sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)
+    none = F.lit(0.0)
+    base = F.col("word") + F.coalesce("__word", none) - F.col("n_tokens") * F.lit(float(np.log10(tree.denominator)))
     return scored.drop("rare", "rare_n").join(more, "__row", "left").select(
         key,
         "n_tokens",
-        (F.col("known") + F.coalesce("__known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("known") + F.coalesce("__is_word", F.lit(0))).alias("n_known"),
+        F.lit(tree.total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (base + F.col("tree") + F.coalesce("__tree", none)).alias("score"),
     )
 
 

@@ -21,40 +21,51 @@ def remainder(doc_id, parts):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % parts
 
 
-def plain_tree(streams):
-    """Scorer that looks up the longest retained suffix at every symbol."""
-    depth = suffix_tree.DEPTH
+def plain_tree(texts, base):
+    """Scorer that grows the tree from its definition and walks to the longest retained suffix."""
+    m = suffix_tree
     counts = defaultdict(Counter)
-    for s in streams:
-        full = b"\n" * depth + s + b"\n"
-        for k in range(depth, len(full)):
-            for d in range(depth + 1):
-                counts[full[k - d : k]][full[k]] += 1
-    total = sum(counts[b""].values())
+    for ws in texts:
+        full = [b"<", *ws, b" "]
+        for k in range(1, len(full)):
+            for d in range(m.DEPTH + 1):
+                if d <= k:
+                    counts[tuple(full[k - d : k])][full[k]] += 1
     sizes = {c: sum(v.values()) for c, v in counts.items()}
-    kept = {b""}
-    for c, n in sizes.items():
-        if c and n >= suffix_tree.LEAST_SHARE * total:
-            gain = sum(v * math.log(v / n / (counts[c[1:]][x] / sizes[c[1:]])) for x, v in counts[c].items())
-            if gain >= max((len(counts[c]) - 1) / 2 * math.log(max(total, 2)), 1.0):
-                kept |= {c[k:] for k in range(len(c))}
-
-    def p(context, x):
-        if not context:
-            return (counts[b""][x] + 1) / (total + 256)
-        weight = len(counts[context])
-        return (counts[context][x] + weight * p(context[1:], x)) / (sizes[context] + weight)
-
-    def score(s):
-        full, out = b"\n" * depth + s + b"\n", 0.0
-        for k in range(depth, len(full)):
-            context = full[k - depth : k]
-            while context not in kept:
-                context = context[1:]
-            out += math.log10(p(context, full[k]))
+    kept = {()}
+
+    def mass(c, less=None):
+        each = [n - (x == less) for x, n in counts[c].items()]
+        return sum(m.DISCOUNT if n >= m.LEAST else n for n in each)
+
+    def p(c, x, less=False):
+        if not c:
+            return base(x)
+        n, size = counts[c][x] - less, sizes[c] - less
+        own = n - m.DISCOUNT if n >= m.LEAST else 0.0
+        return (own + mass(c, x if less else None) * p(c[1:], x)) / size
+
+    for d in range(1, m.DEPTH + 1):
+        grown = set()
+        for c in [c for c, n in sizes.items() if len(c) == d and n >= m.FLOOR]:
+            if c[1:] in kept and c[:-1] in kept:
+                if max(counts[c].values()) < m.LEAST:
+                    continue
+                gain = sum(n * math.log(p(c, x, True) / p(c[1:], x)) for x, n in counts[c].items())
+                if gain >= m.COST:
+                    grown.add(c)
+        kept |= grown
+
+    def score(ws):
+        full, out = [b"<", *ws, b" "], 0.0
+        for k in range(1, len(full)):
+            c = tuple(full[max(0, k - m.DEPTH) : k])
+            while c not in kept:
+                c = c[1:]
+            out += math.log10(p(c, full[k]))
         return out
 
-    return score
+    return score, len(kept)
 
 
 def check_op6(got, rows, some):
@@ -65,7 +76,8 @@ def check_op6(got, rows, some):
             counts.update(ws)
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
-    tree = plain_tree([b" ".join(ws) for i, ws in lowered if remainder(i, 7) != 2])
+    learned = [ws for i, ws in lowered if remainder(i, 7) != 2]
+    tree, _ = plain_tree(learned, lambda x: ((ends if x == b" " else counts[x]) + 1) / (n + v + 1))
     key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[5])
     want = []
     for i, ws in lowered:
@@ -75,16 +87,24 @@ def check_op6(got, rows, some):
     for k, (g, w) in enumerate(zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True)):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
         if k % some == 0 and len(w[6]) < 5000:
-            assert g[6] == pytest.approx(tree(b" ".join(w[6])), rel=1e-6), w[0]
+            assert g[6] == pytest.approx(tree(w[6]), rel=1e-6), w[0]
 
 
-def test_op6(spark, monkeypatch):
+def test_op6(spark):
     got = suffix_tree.op6_suffix_tree(spark, SF).collect()
     check_op6(got, documents(spark), 25)
-    monkeypatch.setattr(suffix_tree, "LEAST_SHARE", 2.0)  # the root alone
-    flat = suffix_tree.op6_suffix_tree(spark, SF).collect()
-    held = [sum(r.score for r in rows if r.held_out) for rows in (got, flat)]
-    assert held[0] > 0.7 * held[1]
+
+
+def test_op6_beats_its_base_and_grows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = suffix_tree.op6_suffix_tree(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    tokens = sum(r.n_tokens for r in got)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.02 * tokens
+    contexts = []
+    for part in (docs.filter("doc_id % 4 = 0"), docs):
+        terms = suffix_tree.learn(part.select(suffix_tree.raw_text("text"))).terms
+        contexts.append(terms.filter("level < 0").count())
+    assert contexts[1] > 2 * contexts[0] > 0
 
 
 def test_op6_edges(spark, tmp_path):
@@ -97,13 +117,13 @@ def test_op6_rare_words_are_joined(spark, monkeypatch):
     check_op6(suffix_tree.op6_suffix_tree(spark, SF).collect(), documents(spark), 200)
 
 
-def test_op6_lanes_do_not_matter(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "LANE", 7)
+def test_op6_runs_do_not_matter(spark, monkeypatch):
     docs = edge_docs(spark).select("doc_id", "text").filter("doc_id < 10")
-    short = {r.doc_id: r.score for r in suffix_tree.score(docs, docs).collect()}
-    monkeypatch.setattr(suffix_tree, "LANE", 4096)
-    long = {r.doc_id: r.score for r in suffix_tree.score(docs, docs).collect()}
-    assert short == pytest.approx(long)
+    whole = {r.doc_id: r.score for r in suffix_tree.score(docs, docs).collect()}
+    monkeypatch.setattr(suffix_tree, "RUN", 7)
+    monkeypatch.setattr(suffix_tree, "HELD", 3)
+    parts = {r.doc_id: r.score for r in suffix_tree.score(docs, docs).collect()}
+    assert parts == pytest.approx(whole)
 
 
 def test_op6_nothing_learned(spark, tmp_path):
@@ -111,7 +131,7 @@ def test_op6_nothing_learned(spark, tmp_path):
     docs = edge_docs(spark).select("doc_id", "text").filter("doc_id = 6")
     row = suffix_tree.score(docs, docs.limit(0)).first()
     assert row.base_score == 0 and row.n_known == 0
-    assert row.score == pytest.approx(6 * math.log10(1 / 256))
+    assert row.score == 0
 
 
 def test_op10(spark):
