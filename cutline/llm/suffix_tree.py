@@ -16,12 +16,13 @@ context (under ``LEAST``) count as part of the mass left to the parent:
 with B the discounts plus the occurrences under ``LEAST``. The root is the add-one unigram of the base. The
 log probability under the longest retained suffix is then a sum of terms that do not depend on
 each other: the base term of the symbol, ``log10 B / N`` of each retained suffix, and for each seen
-(suffix, symbol) what it gains over backing off. A text's score is the sum of the terms of the keys that it
-holds: one join by key, whatever the depth.
+(suffix, symbol) what it gains over backing off. A retained suffix is a run of symbols that ended at the
+symbol before, so its term is kept with that run. A text's score is the sum of the terms of the runs that
+it holds, of 1 to ``DEPTH`` + 1 symbols: one join by key, whatever the depth.
 
 Nothing of the size of the corpus is gathered: counts, contexts and terms are tables. Tasks get bit tables
 of fixed size that tell which keys cannot be in a table, and the terms of keys that make up more than
-1 / ``FREQUENT`` of the training symbols (at most ``FREQUENT`` per level and kind); the others are joined
+1 / ``FREQUENT`` of the training symbols (at most ``FREQUENT`` per level of 24 bytes); the others are joined
 by key, where no key is hot. Symbols and contexts are compared by 64-bit hashes.
 
 Edge cases: NULL, empty and blank texts are the end symbol alone; with no training text
@@ -50,11 +51,10 @@ FLOOR = 4  # occurrences of a context
 LEAST = 2  # occurrences of a next symbol in a context that gets a term of its own
 DISCOUNT = 0.75
 COST = 5.0  # nats that a context must gain
-FREQUENT = 50_000
+FREQUENT = 500_000
 RUN = 1 << 20  # bytes of text that are hashed at once
 HELD = 1 << 21  # positions that a task counts at once
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-CONTEXT = 0x2545F4914F6CDD1D  # tells a context's key from that of the same symbols as a gram
 
 
 def raw_text(text: str) -> F.Column:
@@ -153,25 +153,21 @@ def _with_gram(rows: DataFrame) -> DataFrame:
     )
 
 
-def _grams(training: DataFrame, k: int, candidates: DataFrame, parents: DataFrame | None) -> DataFrame:
+def _grams(training: DataFrame, k: int, candidates: DataFrame, known: DataFrame) -> DataFrame:
     """(context, rest, n, gram) at least ``LEAST`` times seen, at candidate contexts of ``k`` symbols.
 
-    Rows of contexts that only the bit tables let pass are left to the joins that follow.
+    ``rest``, the gram at the parent, is seen as often and must be known there. Rows that only the bit
+    tables let pass are left to the joins that follow.
     """
     context = training.sparkSession.sparkContext
     possible = context.broadcast(bit_table(candidates, "context"))
-    grown = context.broadcast(bit_table(parents, "context")) if parents is not None else None
+    parents = context.broadcast(bit_table(known.filter(F.col("n") >= LEAST), "gram"))
 
     def find(symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
-        suffix = None
-        for at, (inside, ctx, rest, _) in enumerate(symbols.levels(k), 1):
-            if at == k:
-                found = inside & has_bit(possible.value, ctx.view(np.int64))
-                if grown is not None:
-                    found &= has_bit(grown.value, suffix.view(np.int64))
-                return ctx[found], rest[found]
-            suffix = ctx
-        raise ValueError(k)
+        *_, (found, ctx, rest, _) = symbols.levels(k)
+        found = found & has_bit(possible.value, ctx.view(np.int64))
+        found &= has_bit(parents.value, rest.view(np.int64))
+        return ctx[found], rest[found]
 
     rows = _counted(training, ("context", "rest"), find)
     return _with_gram(rows.filter(F.col("n") >= LEAST))
@@ -209,9 +205,12 @@ def _retained(grams: DataFrame) -> DataFrame:
 
 @dataclass
 class Tree:
-    """``terms``: (key, level, uses, word, tree); words have level 0 and their base term in ``word``."""
+    """``terms``: (key, level, uses, word, tree) of runs of level + 1 symbols; ``word`` is the base term of
+    one symbol, ``tree`` what the run gains, and what it costs as the context of the next symbol.
+    ``contexts``: (context, level, backed)."""
 
     terms: DataFrame
+    contexts: DataFrame
     total: int
     distinct: int
 
@@ -227,59 +226,56 @@ def learn(training: DataFrame) -> Tree:
     )
     sums = words.agg(F.sum("n"), F.count("n")).first()
     total, distinct = sums[0] or 0, sums[1]
-    texts = words.filter(F.col("gram") == int(END.view(np.int64))).select(
+    begins = words.filter(F.col("gram") == int(END.view(np.int64))).select(
         F.lit(int(BEGIN.view(np.int64))).alias("gram"), "n"
     )
-    terms = words.select(
-        F.col("gram").alias("key"), F.lit(0).alias("level"), F.col("n").alias("uses"),
-        F.log10(F.col("n") + 1).alias("word"), F.lit(0.0).alias("tree"),
-    )
     known = words.withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1)))
-    sources, parents = words.unionByName(texts), None
-    for k in range(1, DEPTH + 1):
-        candidates = sources.filter(F.col("n") >= FLOOR).select(
-            F.col("gram").alias("context"), F.col("n").alias("total")
-        )
-        grams = _grams(training, k, candidates, parents).join(candidates, "context").join(
-            known.select(F.col("gram").alias("rest"), F.col("p").alias("p_rest")), "rest"
-        )
-        grams = materialise(grams.select("context", "gram", "n", "total", "p_rest"), "grams")
-        parents = materialise(_retained(grams), "contexts")
-        backed = F.col("mass") / F.col("total") * F.col("p_rest")
-        p = (F.col("n") - DISCOUNT) / F.col("total") + backed
-        kept = grams.join(parents.select("context", "mass"), "context")
-        kept = materialise(
-            kept.select("gram", "n", p.alias("p"), (F.log10(p) - F.log10(backed)).alias("tree")), "kept"
-        )
-        terms = terms.unionByName(
-            kept.select(
-                F.col("gram").alias("key"), F.lit(k).alias("level"), F.col("n").alias("uses"),
-                F.lit(0.0).alias("word"), "tree",
+    sources = words.select("gram", "n", F.log10(F.col("n") + 1).alias("word"), F.lit(0.0).alias("tree"))
+    sources = sources.unionByName(begins.withColumns({"word": F.lit(0.0), "tree": F.lit(0.0)}))
+    terms = contexts = None
+    for k in range(1, DEPTH + 2):
+        if k > DEPTH:
+            made = sources.withColumn("backed", F.lit(0.0))
+        else:
+            candidates = sources.filter(F.col("n") >= FLOOR).select(
+                F.col("gram").alias("context"), F.col("n").alias("total")
+            )
+            grams = _grams(training, k, candidates, known).join(candidates, "context").join(
+                known.select(F.col("gram").alias("rest"), F.col("p").alias("p_rest")), "rest"
             )
-        ).unionByName(
-            parents.select(
-                F.col("context").bitwiseXOR(F.lit(CONTEXT)).alias("key"),
-                F.lit(-k).alias("level"), F.col("total").alias("uses"),
-                F.lit(0.0).alias("word"), F.log10(F.col("mass") / F.col("total")).alias("tree"),
+            grams = materialise(grams.select("context", "gram", "n", "total", "p_rest"), "grams")
+            grown = materialise(
+                _retained(grams).withColumn("backed", F.log10(F.col("mass") / F.col("total"))), "contexts"
             )
+            made = sources.join(grown.select(F.col("context").alias("gram"), "backed"), "gram", "left")
+        level = made.select(
+            F.col("gram").alias("key"), F.lit(k - 1).alias("level"), F.col("n").alias("uses"), "word",
+            (F.col("tree") + F.coalesce("backed", F.lit(0.0))).alias("tree"),
         )
-        sources = known = kept
-    return Tree(terms, total, distinct)
+        terms = level if terms is None else terms.unionByName(level)
+        if k <= DEPTH:
+            found = grown.select("context", F.lit(k).alias("level"), "backed")
+            contexts = found if contexts is None else contexts.unionByName(found)
+            backed = F.col("mass") / F.col("total") * F.col("p_rest")
+            p = (F.col("n") - DISCOUNT) / F.col("total") + backed
+            kept = grams.join(grown.select("context", "mass"), "context").select(
+                "gram", "n", p.alias("p"), F.lit(0.0).alias("word"), (F.log10(p) - F.log10(backed)).alias("tree")
+            )
+            sources = known = materialise(kept, "kept")
+    return Tree(materialise(terms, "terms"), contexts, total, distinct)
 
 
 def _keys(symbols: Symbols, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(doc, key) of all terms that the symbols may have."""
-    doc = symbols.doc[1:]
-    keep = symbols.place[1:] > 0
-    keep &= has_bit(table, symbols.hashes[1:].view(np.int64))
-    docs, keys = [doc[keep]], [symbols.hashes[1:][keep].view(np.int64)]
-    grown = np.ones(len(doc), bool)
-    for inside, context, _, whole in symbols.levels(DEPTH):
-        context, whole = context.view(np.int64) ^ np.int64(CONTEXT), whole.view(np.int64)
-        grown &= inside & has_bit(table, context)
-        seen = grown & has_bit(table, whole)
-        docs += [doc[grown], doc[seen]]
-        keys += [context[grown], whole[seen]]
+    runs = symbols.hashes.view(np.int64)
+    found = has_bit(table, runs)
+    docs, keys = [symbols.doc[found]], [runs[found]]
+    for inside, _, _, whole in symbols.levels(DEPTH):
+        whole = whole.view(np.int64)
+        # A run has a term only if the run without its first symbol has one.
+        found = found[-len(whole):] & inside & has_bit(table, whole)
+        docs.append(symbols.doc[1:][found])
+        keys.append(whole[found])
     return np.concatenate(docs), np.concatenate(keys)
 
 
@@ -290,15 +286,18 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
     """
     raw = raw_text(text)
     tree = learn(training.select(raw))
-    # Terms used more often than this are at most FREQUENT for each of the 2 DEPTH + 1 levels.
+    # Terms used more often than this are at most FREQUENT for each of the DEPTH + 1 levels.
     often = F.col("uses") > tree.total / FREQUENT
-    top = tree.terms.filter(often).select("key", "level", "word", "tree").orderBy("key").toArrow()
-    columns = [top[c].to_numpy() for c in ("key", "level", "word", "tree")]
+    is_word = ((F.col("level") == 0) & (F.col("word") > 0)).cast("int").alias("is_word")
+    top = tree.terms.filter(often).select("key", is_word, "word", "tree").orderBy("key").toArrow()
+    columns = [top[c].to_numpy() for c in ("key", "is_word", "word", "tree")]
     shared = df.sparkSession.sparkContext.broadcast((bit_table(tree.terms, "key"), columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (common, level, word, gain) = shared.value
-        is_word = (level == 0).astype(np.int64)
+        """A row per text with the sum of its frequent terms, and a row per other key that it holds.
+
+        """
+        table, (common, *facts) = shared.value
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(key))
@@ -310,53 +309,52 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
                 found = np.zeros(len(keys), bool)
                 if len(common):
                     found = common[np.minimum(place, len(common) - 1)] == keys
-                own, place = doc[found], place[found]
-                sums = [np.bincount(own, c[place], len(texts)) for c in (is_word, word, gain)]
-                left = ~found
+                own, place, left = doc[found], place[found], ~found
+                known, word, gain = (np.bincount(own, f[place], len(texts)) for f in facts)
                 (of, rare), times = _pairs([(doc[left], keys[left])])
-                ends = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32))
+                rows = np.arange(at, at + len(texts), dtype=np.int64) + (part << 40)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(at, at + len(texts), dtype=np.int64) + (part << 40)),
-                        ids.slice(first, len(texts)),
-                        pa.array(tokens.astype(np.int64)),
-                        pa.array(sums[0].astype(np.int64)),
-                        pa.array(sums[1], pa.float64()),
-                        pa.array(sums[2], pa.float64()),
-                        pa.ListArray.from_arrays(ends, pa.array(rare)),
-                        pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
+                        pa.array(rows), pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), np.int32)),
+                        ids.slice(first, len(texts)), pa.array(tokens.astype(np.int64)),
+                        pa.array(known.astype(np.int64)), pa.array(word, pa.float64()), pa.array(gain, pa.float64()),
                     ],
-                    ["__row", key, "n_tokens", "known", "word", "tree", "rare", "rare_n"],
+                    names,
+                )
+                none = [pa.nulls(len(of), t) for t in (ids.type, *[pa.int64()] * 2, *[pa.float64()] * 2)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[of]), pa.array(rare), pa.array(times, pa.int32()), *none], names
                 )
                 at += len(texts)
 
+    names = ["__row", "key", "times", "__id", "n_tokens", "known", "own_word", "own_tree"]
     kind_of_key = df.schema[key].dataType.simpleString()
-    scored = materialise(
-        df.select(key, raw).mapInArrow(
-            run,
-            f"__row long, `{key}` {kind_of_key}, n_tokens long, known long, word double, tree double, "
-            "rare array<long>, rare_n array<int>",
-        ),
-        "scored",
-    )
-    left = scored.select(
-        "__row", F.explode(F.arrays_zip(F.col("rare").alias("key"), F.col("rare_n").alias("k"))).alias("r")
-    ).select("__row", F.col("r.key").alias("key"), F.col("r.k").alias("k"))
-    rest = tree.terms.filter(~often).select(
-        "key", (F.col("level") == 0).cast("int").alias("is_word"), "word", "tree"
+    held = df.select(key, raw).mapInArrow(
+        run,
+        f"__row long, key long, times int, __id {kind_of_key}, n_tokens long, known long, "
+        "own_word double, own_tree double",
     )
-    more = left.join(rest, "key").groupBy("__row").agg(
-        *(F.sum(F.col("k") * F.col(c)).alias(f"__{c}") for c in ("is_word", "word", "tree"))
+    # The text's own rows have no key: its number stands in, and finds nothing.
+    held = held.withColumn("key", F.coalesce("key", F.col("__row")))
+    rest = tree.terms.filter(~often).select("key", is_word, "word", "tree")
+    own_row = F.col("n_tokens").isNotNull()
+    summed = held.join(rest, "key", "left").groupBy("__row").agg(
+        F.max("__id").alias("__id"),
+        F.sum("n_tokens").alias("n_tokens"),
+        *(
+            (F.coalesce(F.sum(own), F.lit(0)) + F.coalesce(F.sum(
+                F.when(~own_row, F.col("times") * F.col(term))), F.lit(0))).alias(f"__{term}")
+            for own, term in (("known", "is_word"), ("own_word", "word"), ("own_tree", "tree"))
+        ),
     )
-    none = F.lit(0.0)
-    base = F.col("word") + F.coalesce("__word", none) - F.col("n_tokens") * F.lit(float(np.log10(tree.denominator)))
-    return scored.drop("rare", "rare_n").join(more, "__row", "left").select(
-        key,
+    base = F.col("__word") - F.col("n_tokens") * F.lit(float(np.log10(tree.denominator)))
+    return summed.select(
+        F.col("__id").alias(key),
         "n_tokens",
-        (F.col("known") + F.coalesce("__is_word", F.lit(0))).alias("n_known"),
+        F.col("__is_word").cast("long").alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("tree") + F.coalesce("__tree", none)).alias("score"),
+        (base + F.col("__tree")).alias("score"),
     )
 
 
