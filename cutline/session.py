@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Shuffle files of an SQL execution are removed when it ends, not when the driver collects garbage.
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(
     cpus: str | int = "*", shuffle_partitions: int = 8, hive: bool = False
 ) -> SparkSession:
@@ -49,12 +55,29 @@ def scratch_dir(spark: SparkSession, label: str = "run") -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts lineage in a way that survives lost executors, and fixes the rows where a
-    frame feeds several jobs (a model fit followed by scoring).
+    frame feeds several jobs (a model fit followed by scoring). The shuffles of the write are
+    released as it ends: later jobs read the files.
     """
-    path = scratch_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    with _setting(spark, RELEASE_SHUFFLES, "true"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
