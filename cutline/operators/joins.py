@@ -1,4 +1,4 @@
-"""Statistics of a row's group, and the product of numbered tables."""
+"""Statistics of a row's group, joins of few keys, and the product of numbered tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELLS_PER_TASK = 1_000_000
+TILE = 1024  # rows of each side that meet at once
 
 
 def with_group_stats(df: DataFrame, keys: list[str], **aggs) -> DataFrame:
@@ -19,6 +20,29 @@ def with_group_stats(df: DataFrame, keys: list[str], **aggs) -> DataFrame:
     return df.join(stats, keys, "left")
 
 
+def tiled_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner equi join of few keys that hold many rows on both sides, so that no key is one task's work.
+
+    The rows of a key are dealt by their content into tiles of some ``TILE`` rows on either side, and
+    each pair of tiles is a key of its own. Both sides are read twice: pass written tables whose rows
+    differ.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
+
+    sizes = tiles(left, "__left").join(tiles(right, "__right"), on)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        names = {own: F.pmod(F.xxhash64(*df.columns), F.col(own)), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
+        rows = df.join(sizes, on).withColumn(own, names[own].cast("int")).withColumn(other, names[other])
+        return rows.repartition(n, *on, "__left", "__right")
+
+    met = dealt(left, "__left", "__right").join(dealt(right, "__right", "__left"), [*on, "__left", "__right"])
+    return met.drop("__left", "__right")
+
+
 def _stride(sizes: list[int]) -> int:
     out = 1
     for n in sizes:

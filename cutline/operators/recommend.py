@@ -25,7 +25,7 @@ from cutline.functions.ranks import (
 )
 from cutline.functions.text import contains_ignore_case, request_key
 from cutline.operators import models
-from cutline.operators.joins import product
+from cutline.operators.joins import product, tiled_join
 from cutline.operators.ordered import running_sums, with_position
 from cutline.operators.vocab import UNKNOWN
 from cutline.session import materialise
@@ -106,6 +106,18 @@ def jee_candidates(requests: DataFrame, features: DataFrame, marker: str = "IIT"
     return offered.join(with_cohort(requests).select(*COHORT).distinct(), COHORT, "left_semi")
 
 
+def jee_matches(
+    requests: DataFrame, features: DataFrame, cols: list[str], marker: str = "IIT"
+) -> DataFrame:
+    """Every programme of its cohort for every different request, by ``request_key``.
+
+    Requests times programmes of their cohort. Cohorts are few, so their rows meet in tiles.
+    """
+    wanted = with_cohort(distinct_requests(requests, "jee", cols)).select(*COHORT, "request_key")
+    offered = jee_candidates(requests, features, marker)
+    return tiled_join(materialise(wanted, "wanted"), materialise(offered, "offered"), COHORT)
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     """Rows with ``id`` from 0 in their order."""
     return with_position(df, [], df.columns, "id").withColumn("id", F.col("id") - 1)

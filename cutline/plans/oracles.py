@@ -466,7 +466,16 @@ FROM fx_requests""",
     "request_dedup": """SELECT user_rank, exam_type, category, quota, pool, count(*) AS n_requests,
   concat_ws('_', 'jee', user_rank, exam_type, category, quota, pool) AS request_key
 FROM fx_requests GROUP BY user_rank, exam_type, category, quota, pool""",
-    "jee_candidate_match": "SELECT * FROM candidates",
+    "jee_candidate_match": """
+wanted AS (SELECT DISTINCT user_rank, exam_type, category, quota, pool,
+  concat_ws('_', 'jee', user_rank, exam_type, category, quota, pool) AS request_key
+  FROM fx_requests)
+SELECT request_key, institute_type, institute_short, program_name, degree_short,
+  closing_rank_max, opening_rank_min
+FROM wanted w JOIN multi_raw f ON upper(w.quota) = upper(f.quota)
+  AND lower(w.pool) = lower(f.pool) AND upper(w.category) = upper(f.category)
+  AND (lower(w.exam_type) LIKE '%advanced%') = (f.institute_type = 'ASIA')""",
+    "jee_candidates": "SELECT * FROM candidates",
     "request_answers": f"""
 asks AS (SELECT ask_id, category, concat_ws('_', category, quota, pool) AS k,
   CAST(floor(epoch(asked_at)) AS BIGINT) AS s FROM fx_asks),

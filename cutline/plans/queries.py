@@ -719,13 +719,26 @@ def request_dedup(spark, sf_dir):
     return recommend.distinct_requests(_requests(spark, sf_dir), "jee", JEE_REQUEST)
 
 
+def _offered(spark, sf_dir):
+    return features.jee_multi_year(_per_year(spark, sf_dir)).select(
+        *features.JEE_KEYS, "closing_rank_max", "opening_rank_min"
+    )
+
+
 @query
 def jee_candidate_match(spark, sf_dir):
-    """Programmes of every cohort that was asked for."""
-    offered = features.jee_multi_year(_per_year(spark, sf_dir)).select(
-        *features.JEE_KEYS, "closing_rank_max", "opening_rank_min"
+    """Every programme of its cohort, for every different request."""
+    matched = recommend.jee_matches(_requests(spark, sf_dir), _offered(spark, sf_dir), JEE_REQUEST, MARKER)
+    return matched.select(
+        "request_key", "institute_type", "institute_short", "program_name", "degree_short",
+        "closing_rank_max", "opening_rank_min",
     )
-    matched = recommend.jee_candidates(_requests(spark, sf_dir), offered, MARKER)
+
+
+@query
+def jee_candidates(spark, sf_dir):
+    """Programmes of every cohort that was asked for."""
+    matched = recommend.jee_candidates(_requests(spark, sf_dir), _offered(spark, sf_dir), MARKER)
     return matched.select(
         *recommend.COHORT, "institute_short", "program_name", "degree_short",
         "closing_rank_max", "opening_rank_min",

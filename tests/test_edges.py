@@ -409,3 +409,21 @@ def test_answers_without_requests_or_catalogue(spark):
             requests, offered, ["category"], "user_rank", "pred", names, recommend.KCET_RULE
         )
         assert answers.intervals().count() == answers.page(0, 5).count() == 0
+
+
+def test_every_request_gets_every_programme_of_its_cohort(spark, monkeypatch):
+    from cutline.operators import joins
+
+    monkeypatch.setattr(joins, "TILE", 3)
+    asked = spark.createDataFrame(
+        [(r, "JEE Main", "GEN", "ai", "gender-neutral") for r in range(20)] * 2 + [(1, "JEE Main", None, "ai", "x")],
+        "user_rank INT, exam_type STRING, category STRING, quota STRING, pool STRING",
+    )
+    offered = spark.createDataFrame(
+        [("NIT", f"n{k}", "gen", "AI", "Gender-Neutral") for k in range(17)] + [("IIT", "i", "gen", "AI", "Gender-Neutral")],
+        "institute_type STRING, institute_short STRING, category STRING, quota STRING, pool STRING",
+    )
+    got = recommend.jee_matches(asked, offered, ["user_rank", "exam_type", "category", "quota", "pool"])
+    pairs = {(int(r.request_key.split("_")[1]), r.institute_short) for r in got.collect()}
+    assert pairs == {(r, f"n{k}") for r in range(20) for k in range(17)} and got.count() == len(pairs)
+    assert recommend.jee_matches(asked.limit(0), offered, asked.columns).count() == 0
