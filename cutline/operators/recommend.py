@@ -202,13 +202,15 @@ class Answers:
 
     def every(self) -> DataFrame:
         """All pages at once: a row per request and programme of its tiers."""
-        return self._rows(self.intervals().withColumns({"__from": F.col("first"), "__until": F.col("last")}))
+        runs = self.intervals().withColumns({"__from": F.col("first"), "__until": F.col("last")})
+        return self._rows(runs, spread=True)
 
-    def _rows(self, runs: DataFrame) -> DataFrame:
+    def _rows(self, runs: DataFrame, spread: bool = False) -> DataFrame:
         """Rows ``__from`` to ``__until`` of each run, fetched in blocks of neighbours.
 
         A request asks for the few blocks that its run touches, not for each place. A block is asked
-        for by the different ranks of its group only, and those are whole and bounded.
+        for by the different ranks of its group only, and those are whole and bounded. ``spread``
+        deals the asked blocks over all shuffle partitions: few bytes that become many rows.
         """
         block = F.floor((F.col("place") - 1) / BLOCK)
         entry = F.struct("place", *[c for c in self.placed.columns if c not in {*self.group, "place"}])
@@ -223,6 +225,9 @@ class Answers:
                 )
             ),
         )
+        if spread:
+            n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            asked = asked.repartition(n, *self.group, "__block")
         found = asked.join(blocks, [*self.group, "__block"])
         inside = F.filter("__rows", lambda r: r["place"].between(F.col("__from"), F.col("__until")))
         flat = found.select(*self.group, self.rank, "tier", "first", F.explode(inside).alias("__r"))

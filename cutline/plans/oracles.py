@@ -173,6 +173,12 @@ SELECT category, user_rank, tier, pos, institute, course, predicted_cutoff
 FROM placed WHERE pos BETWEEN {first} AND {last}"""
 
 
+def complete(rule: dict[str, str], pos: bool = True) -> str:
+    shown = "pos, " if pos else ""
+    return f"""{answer_rows(rule)}
+SELECT category, user_rank, tier, {shown}institute, course, predicted_cutoff FROM placed"""
+
+
 def catalogue_order(rule: dict[str, str]) -> str:
     return f"""
 ordered AS (SELECT category, row_number() OVER (PARTITION BY category
@@ -501,11 +507,16 @@ r AS (SELECT institute, course, category, round(eligibility_prob, 4) AS eligibil
   FROM fx_scored)
 SELECT *, CASE WHEN eligibility_prob >= 0.70 THEN 'Safe' ELSE 'Likely' END AS tier
 FROM r WHERE eligibility_prob >= 0.40""",
-    "tier_neet": intervals(NEET),
-    "tier_kcet": intervals(KCET),
-    "tier_comedk": intervals(COMEDK),
-    "tier_order": tier_ends(NEET),
-    "tier_order_asc": tier_ends(COMEDK),
+    "tier_neet": complete(NEET, pos=False),
+    "tier_kcet": complete(KCET, pos=False),
+    "tier_comedk": complete(COMEDK, pos=False),
+    "tier_order": complete(NEET),
+    "tier_order_asc": complete(COMEDK),
+    "tier_neet_intervals": intervals(NEET),
+    "tier_kcet_intervals": intervals(KCET),
+    "tier_comedk_intervals": intervals(COMEDK),
+    "tier_order_ends": tier_ends(NEET),
+    "tier_order_asc_ends": tier_ends(COMEDK),
     "tier_page": gap(KCET, 41, 60),
     "tier_order_probability": """
 r AS (SELECT *, CASE WHEN eligibility_prob >= 0.70 THEN 'Safe' ELSE 'Likely' END AS tier

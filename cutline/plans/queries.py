@@ -827,19 +827,42 @@ def _page(spark, sf_dir, rule, number, size):
     )
 
 
+def _every(spark, sf_dir, rule):
+    rows = _answers(spark, sf_dir, rule).every()
+    return rows.withColumn("predicted_cutoff", ranks.whole_rank("pred_closing_rank")).drop(
+        "pred_closing_rank"
+    )
+
+
 @query
 def tier_neet(spark, sf_dir):
-    """Complete answers to all requests: an interval per tier, and the catalogue in its order."""
-    return _published(spark, sf_dir, recommend.NEET_RULE)
+    """Complete answers: every programme of every tier of every request."""
+    return _every(spark, sf_dir, recommend.NEET_RULE).drop("pos")
 
 
 @query
 def tier_kcet(spark, sf_dir):
-    return _published(spark, sf_dir, recommend.KCET_RULE)
+    return _every(spark, sf_dir, recommend.KCET_RULE).drop("pos")
 
 
 @query
 def tier_comedk(spark, sf_dir):
+    return _every(spark, sf_dir, recommend.COMEDK_RULE).drop("pos")
+
+
+@query
+def tier_neet_intervals(spark, sf_dir):
+    """Complete answers in short form: an interval per tier, and the catalogue in its order."""
+    return _published(spark, sf_dir, recommend.NEET_RULE)
+
+
+@query
+def tier_kcet_intervals(spark, sf_dir):
+    return _published(spark, sf_dir, recommend.KCET_RULE)
+
+
+@query
+def tier_comedk_intervals(spark, sf_dir):
     return _published(spark, sf_dir, recommend.COMEDK_RULE)
 
 
@@ -858,12 +881,24 @@ def _ends(spark, sf_dir, rule):
 
 @query
 def tier_order(spark, sf_dir):
+    """Complete tiers, highest cutoff first: every programme with its position."""
+    return _every(spark, sf_dir, recommend.NEET_RULE)
+
+
+@query
+def tier_order_asc(spark, sf_dir):
+    """Complete tiers, lowest cutoff first: every programme with its position."""
+    return _every(spark, sf_dir, recommend.COMEDK_RULE)
+
+
+@query
+def tier_order_ends(spark, sf_dir):
     """Complete tiers, highest cutoff first: size, first and last programme."""
     return _ends(spark, sf_dir, recommend.NEET_RULE)
 
 
 @query
-def tier_order_asc(spark, sf_dir):
+def tier_order_asc_ends(spark, sf_dir):
     """Complete tiers, lowest cutoff first: size, first and last programme."""
     return _ends(spark, sf_dir, recommend.COMEDK_RULE)
 
@@ -930,7 +965,7 @@ def nested_response(spark, sf_dir):
 def response_pages(spark, sf_dir):
     """Complete nested response as JSON pages that all requests share, written and parsed back.
 
-    A tier of a request is the entries between its first and last place (``tier_neet``).
+    A tier of a request is the entries between its first and last place (``tier_neet_intervals``).
     """
     placed = _answers(spark, sf_dir, recommend.NEET_RULE).placed
     rows = placed.withColumn("predicted_cutoff", ranks.whole_rank("pred_closing_rank"))

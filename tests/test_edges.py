@@ -427,3 +427,16 @@ def test_every_request_gets_every_programme_of_its_cohort(spark, monkeypatch):
     pairs = {(int(r.request_key.split("_")[1]), r.institute_short) for r in got.collect()}
     assert pairs == {(r, f"n{k}") for r in range(20) for k in range(17)} and got.count() == len(pairs)
     assert recommend.jee_matches(asked.limit(0), offered, asked.columns).count() == 0
+
+
+@pytest.mark.parametrize("name", ["tier_neet", "tier_kcet", "tier_comedk", "tier_order", "tier_order_asc"])
+def test_tier_queries_hold_a_row_per_request_and_programme(spark, name):
+    from cutline.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    ends = {"tier_order": "tier_order_ends", "tier_order_asc": "tier_order_asc_ends"}
+    short = QUERIES[ends.get(name, f"{name}_intervals")](spark, sf)
+    size = F.sum("n_rows") if name in ends else F.sum(F.col("last") - F.col("first") + 1)
+    whole = QUERIES[name](spark, sf)
+    assert whole.count() == short.agg(size).first()[0] > 0
+    assert {"institute", "course", "predicted_cutoff"} <= set(whole.columns)
