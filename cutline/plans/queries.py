@@ -70,9 +70,7 @@ def scan_csv_dir(spark, sf_dir):
     """One sub-directory of files per year, read as one table."""
     ranked = view(spark, sf_dir, "fx_ranked")
     path = scratch_dir(spark, "csv-dir")
-    ranked.withColumn("part", F.col("year")).write.partitionBy("part").option(
-        "header", True
-    ).csv(path)
+    writers.write_csv(ranked.withColumn("part", F.col("year")), path, ["part"])
     rows = readers.read_csv(spark, path, RANKED_SCHEMA, recursive=True)
     return rows.groupBy("institute", "year").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("rank").alias("sum_rank")
@@ -99,9 +97,7 @@ def source_year(spark, sf_dir):
     """Year taken from the path of each file, not from its rows."""
     ranked = view(spark, sf_dir, "fx_ranked")
     path = scratch_dir(spark, "csv-year")
-    ranked.withColumnRenamed("year", "part").write.partitionBy("part").option(
-        "header", True
-    ).csv(path)
+    writers.write_csv(ranked.withColumnRenamed("year", "part"), path, ["part"])
     schema = RANKED_SCHEMA.replace("year INT, ", "")
     rows = readers.read_csv(spark, path, schema, recursive=True)
     return counted(readers.with_source_year(rows, path), "year")
@@ -262,7 +258,7 @@ def ingest_audit_files(spark, sf_dir):
     ranked = view(spark, sf_dir, "fx_ranked")
     path = scratch_dir(spark, "csv-audit")
     part = F.when(F.col("quota") == "P", "undated").otherwise(F.col("year").cast("string"))
-    ranked.withColumn("part", part).write.partitionBy("part").option("header", True).csv(path)
+    writers.write_csv(ranked.withColumn("part", part), path, ["part"])
     raw = readers.read_csv(spark, path, RANKED_SCHEMA, recursive=True)
     folder = F.substring_index(readers.below(path), "/", 1)  # Spark's file names hold digits
     files = cleaning.audit_files(raw, path, F.col("rank") > 20000, readers.year_of(folder))

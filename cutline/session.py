@@ -56,7 +56,7 @@ def scratch_dir(spark: SparkSession, label: str = "run") -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A session setting for the time of a block."""
     before = spark.conf.get(name, None)
     spark.conf.set(name, value)
@@ -78,6 +78,6 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    with _setting(spark, RELEASE_SHUFFLES, "true"):
+    with setting(spark, RELEASE_SHUFFLES, "true"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -440,3 +440,28 @@ def test_tier_queries_hold_a_row_per_request_and_programme(spark, name):
     whole = QUERIES[name](spark, sf)
     assert whole.count() == short.agg(size).first()[0] > 0
     assert {"institute", "course", "predicted_cutoff"} <= set(whole.columns)
+
+
+@pytest.mark.parametrize("files", [2, 32])
+def test_csv_folders_are_written_without_a_sort(spark, tmp_path, monkeypatch, files):
+    """Also with more folders than files that a task may hold open."""
+    from pyspark.sql import DataFrameWriter
+
+    from cutline.sources import readers, writers
+
+    limits, write = [], DataFrameWriter.csv
+
+    def watched(self, *args, **kw):
+        limits.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        return write(self, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "csv", watched)
+    monkeypatch.setattr(writers, "OPEN_FILES", files)
+    df = spark.range(100).select("id", (2000 + F.col("id") % 7).alias("part"))
+    writers.write_csv(df, str(tmp_path / "out"), ["part"])
+    assert limits == [str(files)] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    back = readers.with_source_year(
+        readers.read_csv(spark, str(tmp_path / "out"), "id LONG", recursive=True), str(tmp_path / "out")
+    )
+    assert {(r.id, r.year) for r in back.collect()} == {(k, 2000 + k % 7) for k in range(100)}
+    assert back.count() == 100
