@@ -14,8 +14,8 @@ with values may add to the others but never take from them: each is counted with
 
 Items that agree but for numbers and units, and whose values are equal at the same places, are one
 class, named by its least id; so an item is consistent with its own class. In windows that are
-hashed with their values these must agree too. Documents meet classes, so copies of items make no
-further pairs.
+hashed with their values these must agree too. Documents meet classes (:func:`matches`);
+:func:`links` then gives every item of the class its own link, with its own changed values.
 
 A document's windows are first held against the hashes of all items inside the scan, as long as
 there are at most ``PROBE`` of them (8 bytes each, checked); beyond that all windows go
@@ -197,18 +197,25 @@ class Tokens:
         return literal[size:] - literal[:-size]
 
     def classes(self) -> Iterator[int]:
-        """Per text a hash of its codes, of which of its slots hold equal values, and of the values that
-        are hashed as they are."""
+        """Per text a hash of its codes, of its names, of which of its slots (possible names too) hold equal
+        values, and of the values that are hashed as they are: equal in all readings but for values."""
         ends, codes = offsets(self.sizes), self.codes(self.slot)
         for a, b in zip(ends[:-1], ends[1:]):
             size = min(b - a, WINDOW)
             if size >= LITERALS:
                 for p in (a + np.flatnonzero(self._literals(self.slot[a:b], size) < LITERALS)).tolist():
                     codes[p : p + size] = self.hash[p : p + size]
-            slots, pattern = self.slot[a:b] > 0, np.full(b - a, -1, np.int64)
+            slots, pattern = self.opened[a:b] > 0, np.full(b - a, -1, np.int64)
             _, first, which = np.unique(self.hash[a:b][slots], return_index=True, return_inverse=True)
             pattern[slots] = first[which]
-            yield xxh64_intdigest(codes[a:b].tobytes() + pattern.tobytes()) - (1 << 63)
+            known = codes[a:b].tobytes() + pattern.tobytes() + self.named[a:b].tobytes()
+            yield xxh64_intdigest(known) - (1 << 63)
+
+    def values(self) -> Iterator[np.ndarray]:
+        """Per text the plain hash of each slot, possible names too, in order."""
+        ends = offsets(self.sizes)
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield self.hash[a:b][self.opened[a:b] > 0]
 
     def windows(
         self, size: int, probe: Probe | None
@@ -267,22 +274,38 @@ def _batch(rows: list[tuple], lead: list[pa.Array], names: list[str]) -> pa.Reco
     )
 
 
-def item_windows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Windows of one item per class: item, n_tokens, at, size, hash, slots, kind."""
+def item_classes(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """Every item with its class and the values of its slots in order: class, item, text, values."""
     kind = items.schema[item].dataType.simpleString()
 
     def templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes = []
+            classes, values = [], []
             for _, texts in slices(batch, "text"):
-                classes.extend(Tokens(texts).classes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(classes, pa.int64())], ["item", "text", "class"]
-            )
+                read = Tokens(texts)
+                classes.extend(read.classes())
+                values.extend(_signed(v).tolist() for v in read.values())
+            columns = [pa.array(classes, pa.int64()), *batch.columns, pa.array(values, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "item", "text", "values"])
+
+    raw = items.select(F.col(item).alias("item"), as_bytes(text).alias("text"))
+    return raw.mapInArrow(templates, f"class long, item {kind}, text binary, values array<long>")
+
+
+def _first_of_class(classed: DataFrame) -> DataFrame:
+    one = F.min(F.struct("item", "text", "values")).alias("one")
+    return classed.groupBy("class").agg(one).select("class", "one.*")
+
+
+def item_windows(classed: DataFrame) -> DataFrame:
+    """Windows of one item per class: class, item, n_tokens, at, size, hash, slots, kind.
+
+    They find the documents of the whole class; :func:`links` gives the other items their links.
+    """
+    kind = classed.schema["item"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for first, texts in slices(batch, "text"):
                 read = Tokens(texts)
                 own = np.minimum(read.sizes, WINDOW)
@@ -293,30 +316,25 @@ def item_windows(items: DataFrame, item: str = "item_id", text: str = "text") ->
                     if own[r[0]] == size
                 ]
                 lead = [
-                    ids.take(pa.array([first + r[0] for r in rows], pa.int64())),
+                    *[c.take(pa.array([first + r[0] for r in rows], pa.int64())) for c in batch.columns[:2]],
                     pa.array([read.sizes[r[0]] for r in rows], pa.int32()),
                 ]
-                names = ["item", "n_tokens", "item_at", "size", "hash", "item_slots", "item_kind"]
+                names = ["class", "item", "n_tokens", "item_at", "size", "hash", "item_slots", "item_kind"]
                 yield _batch(rows, lead, names)
 
-    raw = items.select(F.col(item).alias("item"), as_bytes(text).alias("text"))
-    classed = raw.mapInArrow(templates, f"item {kind}, text binary, class long")
-    one = classed.groupBy("class").agg(F.min(F.struct("item", "text")).alias("one")).select("one.*")
-    return one.mapInArrow(
+    return _first_of_class(classed).select("class", "item", "text").mapInArrow(
         cut,
-        f"item {kind}, n_tokens int, item_at int, size int, hash long, item_slots array<long>, item_kind int",
+        f"class long, item {kind}, n_tokens int, item_at int, size int, hash long, item_slots array<long>, item_kind int",
     )
 
 
-def matches(
-    docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id"
-) -> DataFrame:
-    """Contaminated (document, item class) pairs.
+CLASS = ["class", "item", "n_tokens"]
 
-    Columns: doc, text_hash, item, n_tokens (of the item), n_covered, n_changed (slot values
-    that differ). ``doc`` and ``text_hash`` name the document.
-    """
-    known = materialise(item_windows(items, item), "windows")
+
+def _aligned(docs: DataFrame, classed: DataFrame, doc: str, text: str) -> DataFrame:
+    """Consistent alignments of documents with classes that cover enough: doc, text_hash, class, item,
+    n_tokens, n_covered, pairs (of a value of the item and the document's value for it)."""
+    known = materialise(item_windows(classed), "windows")
     hashes = known.select("hash", "size").distinct()
     sizes = [r[0] for r in hashes.select("size").distinct().collect()]  # at most WINDOW
     probe = None
@@ -355,7 +373,7 @@ def matches(
     hits = (
         scanned.join(known, ["hash", "size"])
         .select(
-            "doc", "text_hash", "item", "n_tokens",
+            "doc", "text_hash", *CLASS,
             (F.col("doc_at") - F.col("item_at")).alias("shift"),
             pairs.alias("pairs"), covered.alias("covered"),
             F.greatest("item_kind", "doc_kind").alias("kind"),
@@ -367,7 +385,7 @@ def matches(
 
     # One group is one alignment of one item: it holds no more windows than the item has tokens, for
     # each kind and reading.
-    lined = hits.groupBy("doc", "text_hash", "item", "n_tokens", "shift").agg(
+    lined = hits.groupBy("doc", "text_hash", *CLASS, "shift").agg(
         F.array(
             *[
                 F.struct(joined("pairs", v).alias("pairs"), F.size(joined("covered", v)).alias("n_covered"))
@@ -375,15 +393,55 @@ def matches(
             ]
         ).alias("views")
     )
-    lined = lined.select("doc", "text_hash", "item", "n_tokens", F.inline("views"))
+    lined = lined.select("doc", "text_hash", *CLASS, F.inline("views"))
     values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
-    good = lined.filter(
+    return lined.filter(
         (F.col("n_covered") >= F.least(F.lit(COVER), "n_tokens")) & (F.size(values) == F.size("pairs"))
-    ).withColumn("n_changed", F.size(F.filter("pairs", lambda p: p["a"] != p["b"])))
+    )
+
+
+def matches(
+    docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id"
+) -> DataFrame:
+    """Contaminated (document, item class) pairs.
+
+    Columns: doc, text_hash, class, item (of least id), n_tokens (of the item), n_covered, n_changed (slot
+    values that differ). ``doc`` and ``text_hash`` name the document.
+    """
+    good = _aligned(docs, item_classes(items, item), doc, text)
+    good = good.withColumn("n_changed", F.size(F.filter("pairs", lambda p: p["a"] != p["b"])))
     best = F.max_by(F.struct("n_covered", "n_changed"), F.struct("n_covered", -F.col("n_changed")))
     return (
-        good.groupBy("doc", "text_hash", "item", "n_tokens").agg(best.alias("b"))
-        .select("doc", "text_hash", "item", "n_tokens", "b.n_covered", "b.n_changed")
+        good.groupBy("doc", "text_hash", *CLASS).agg(best.alias("b"))
+        .select("doc", "text_hash", *CLASS, "b.n_covered", "b.n_changed")
+    )
+
+
+def links(
+    docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id"
+) -> DataFrame:
+    """Contaminated (document, item) pairs, with every item of a class: the columns of :func:`matches`.
+
+    Items of a class have their slots at the same places, equal at the same places, so a value of the
+    first item stands for one value of each other item, and an alignment with the one holds for all.
+    """
+    classed = materialise(item_classes(items, item), "classes")
+    # One list holds the alignments of a document with an item: no more than it has windows.
+    found = _aligned(docs, classed, doc, text).groupBy("doc", "text_hash", "class", "n_tokens").agg(
+        F.max("n_covered").alias("n_covered"), F.collect_list(F.struct("n_covered", "pairs")).alias("all")
+    )
+    best = F.filter("all", lambda e: e["n_covered"] == F.col("n_covered"))
+    first = _first_of_class(classed).select("class", F.col("values").alias("from"))
+    member = classed.join(first, "class").select(
+        "class", "item", F.map_from_entries(F.array_distinct(F.arrays_zip("from", "values"))).alias("own")
+    )
+
+    def changed(e):
+        return F.size(F.filter(e["pairs"], lambda p: F.coalesce(F.col("own")[p["a"]], p["a"]) != p["b"]))
+
+    paired = found.withColumn("all", best).join(member, "class")
+    return paired.select(
+        "doc", "text_hash", *CLASS, "n_covered", F.array_min(F.transform("all", changed)).alias("n_changed")
     )
 
 
@@ -404,10 +462,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
 
 
 def op2_templates(spark, sf_dir: str) -> DataFrame:
-    """Every document that holds a benchmark item, with the item's class."""
+    """Every document that holds a benchmark item, with every such item."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = matches(docs, items)
+    found = links(docs, items)
     return found.select(
         F.col("doc").alias("doc_id"),
         F.col("item").alias("item_id"),

@@ -343,3 +343,26 @@ def test_shared_passages_make_no_pairs(spark, monkeypatch):
     got = near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.doc == r.component for r in got)
     assert made["stars"] < 2 * len(rows) and made["rest"] == 0
+
+
+def test_op2_links_every_item_of_a_class(spark, tmp_path):
+    """Items that differ in numbers, capitals or not at all: each has its own link and changed values."""
+    make = "A farmer sells {} apples and {} pears at the market on monday and then buys {} bags of corn".format
+    texts = [make(3, 3, 3), make(9, 9, 9), make(4, 5, 6), make(7, 8, 2), make(9, 9, 9), make(3, 3, 3).replace("apples", "Apples")]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("some words before. "), "text").alias("text"))
+    save(items, tmp_path, "benchmark")
+    found = {(r.doc_id, r.item_id): r.n_changed for r in templates.op2_templates(spark, save(docs, tmp_path)).collect()}
+    same, other = {0, 1, 4, 5}, {2, 3}
+    assert {(d, i) for d in same for i in same} | {(d, i) for d in other for i in other} <= set(found)
+    assert all(found[k, k] == 0 for k in range(6)) and found[1, 4] == found[4, 1] == 0
+    assert found[1, 0] == found[0, 1] == found[0, 4] == 1 and found[2, 3] == found[3, 2] == 3
+
+
+def test_op2_units_that_stand_for_names_elsewhere(spark):
+    """A value at a slot and as a word elsewhere is one value in one item and two in another."""
+    make = "After 5 {} of rest the Hours bakery in the old town sells bread with butter to all its guests".format
+    items = spark.createDataFrame([(0, make("hours")), (1, make("minutes"))], "item_id long, text string")
+    doc = make("days").replace("Hours", "Weeks")
+    docs = spark.createDataFrame([(0, "words before it. " + doc)], "doc_id long, text string")
+    assert 1 in {r.item for r in templates.links(docs, items).collect()}
