@@ -13,10 +13,12 @@ table stays empty; an input column named like an output column is replaced by it
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,10 @@ TABLE_CHUNKS = 500_000  # distinct marked words a task remembers (memory only)
 
 
 class PieceTable(dict):
-    """Ids per distinct marked word. The key is the word behind all markers but the first."""
+    """Ids per distinct marked word, as bytes of 32-bit numbers: they take least memory and are joined fastest.
+
+    The key is the word behind all markers but the first.
+    """
 
     def __init__(self, model: bytes, limit: int = TABLE_CHUNKS):
         import sentencepiece
@@ -40,7 +45,7 @@ class PieceTable(dict):
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece crosses a whitespace marker: words cannot be cut apart")
-        self.lone = np.array([self.model.piece_to_id(MARK)], np.int32)
+        self.lone = np.array([self.model.piece_to_id(MARK)], np.int32).tobytes()
 
     @staticmethod
     def cut(text: str | None) -> list[str]:
@@ -59,12 +64,11 @@ class PieceTable(dict):
         cuts = [self.cut(t) for t in texts]
         new = [w for w in {*chain.from_iterable(cuts)} if w not in self]
         for word, ids in zip(new, self.model.encode(new, num_threads=1) if new else []):
-            self[word] = np.array(ids, np.int32)
+            self[word] = array("i", ids).tobytes()
         if "" in self:
             self[""] = self.lone  # a marker with nothing behind it
-        none = np.zeros(0, np.int32)
         get = self.__getitem__
-        return [np.concatenate([get(w) for w in c]) if c else none for c in cuts]
+        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cuts]
 
 
 def _model(path: str | None) -> bytes:
@@ -116,7 +120,9 @@ def decode(
 
         def make(batch: pa.RecordBatch) -> list[pa.Array]:
             lists = batch.column(batch.schema.get_field_index(ids))
-            return [pa.array([sp.decode(x.as_py() or []) for x in lists], pa.string())]
+            ends = offsets(pc.fill_null(pc.list_value_length(lists), 0).to_pylist()).tolist()
+            flat = lists.flatten().to_numpy(zero_copy_only=False)  # leaves out what NULL lists hide
+            return [pa.array([sp.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())]
 
         return make
 
