@@ -99,6 +99,13 @@ def buffers_of(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
+def bytes_list(words: pa.BinaryArray) -> list[bytes]:
+    """The values of an array without NULLs, cut from its buffer: several times as fast as ``to_pylist``."""
+    data, ends = buffers_of(words)
+    raw, at = data.tobytes(), ends.tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def hash_runs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of bytes; no run is empty.
 
@@ -173,7 +180,8 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[tu
 
 def offsets(sizes: Iterable[int]) -> np.ndarray:
     """Starts of consecutive runs, and the end of the last."""
-    return np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))]).astype(np.int64)
+    sizes = sizes if isinstance(sizes, np.ndarray) else np.fromiter(sizes, np.int64)
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

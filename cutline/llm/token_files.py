@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cutline.llm.batches import column, offsets, slices
+from cutline.llm.batches import bytes_list, column, offsets, slices
 from cutline.session import scratch_dir
 
 MAGIC = b"TOKBLK1\n"
@@ -43,13 +43,15 @@ TOGETHER = 1000  # new stretches that are encoded as one text
 # characters among which there is no white space.
 VISIBLE = np.zeros(256, bool)
 VISIBLE[33:127] = VISIBLE[0xC3:0xE1] = VISIBLE[0xE4:] = True
+WIDTH = 4  # bytes of an id
 
 
 class ChunkTable(dict):
     """Ids per distinct stretch between two certain cuts of a byte-level tokenizer.
 
     Every blank before a visible character opens a stretch. Stretches are found in arrays of bytes, each
-    distinct one is encoded once, and ids are put back by position.
+    distinct one is encoded once, and ids are put back by position. The table holds ids as bytes of 32-bit
+    numbers, which are cut and joined without an array per stretch.
     """
 
     def __init__(self, path: str, limit: int = TABLE_CHUNKS):
@@ -69,7 +71,7 @@ class ChunkTable(dict):
         coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, np.uint32) for c in coded]
 
-    def _of(self, chunks: list[bytes]) -> list[np.ndarray]:
+    def _of(self, chunks: list[bytes]) -> list[bytes]:
         if len(self) > self.limit:
             self.clear()
         new = [c for c in chunks if c not in self]
@@ -77,14 +79,16 @@ class ChunkTable(dict):
         # side by side, so many go to the library as one text; the bytes of each id tell where a stretch
         # ends. The first stretch of a text may open with a blank and more white space: it goes alone.
         spaced, first = [], []
+        visible = VISIBLE.tolist()
         for c in new:
-            (spaced if c[0] == 32 and len(c) > 1 and VISIBLE[c[1]] else first).append(c)
+            (spaced if c[0] == 32 and len(c) > 1 and visible[c[1]] else first).append(c)
         groups = [spaced[k : k + TOGETHER] for k in range(0, len(spaced), TOGETHER)]
         for group, ids in zip(groups, self._plain([b"".join(g).decode() for g in groups])):
             ends = np.cumsum(self.bytes_of[ids])
-            at = np.searchsorted(ends, np.cumsum(list(map(len, group)))) + 1
-            self.update(zip(group, np.split(ids, at[:-1])))
-        self.update(zip(first, self._plain([c.decode() for c in first])))
+            at = ((np.searchsorted(ends, np.cumsum(list(map(len, group)))) + 1) * WIDTH).tolist()
+            raw = ids.tobytes()
+            self.update(zip(group, [raw[a:b] for a, b in zip([0, *at[:-1]], at)]))
+        self.update(zip(first, [ids.tobytes() for ids in self._plain([c.decode() for c in first])]))
         return [self[c] for c in chunks]
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -102,11 +106,12 @@ class ChunkTable(dict):
             runs = np.append(starts, len(data)).astype(np.int32)
             buffers = [None, pa.py_buffer(runs), pa.py_buffer(data)]
             chunks = pa.Array.from_buffers(pa.binary(), len(starts), buffers).dictionary_encode()
-            found = self._of(chunks.dictionary.to_pylist())
-            at, sizes = offsets(map(len, found)), np.array(list(map(len, found)), np.int64)
+            found = self._of(bytes_list(chunks.dictionary))
+            sizes = np.array(list(map(len, found)), np.int64) // WIDTH
+            at = offsets(sizes)
             number = chunks.indices.to_numpy()
             places = offsets(sizes[number])
-            flat = np.concatenate(found)
+            flat = np.frombuffer(b"".join(found), np.uint32)
             take = np.arange(places[-1]) + np.repeat(at[number] - places[:-1], sizes[number])
             cuts = places[np.searchsorted(starts, ends)]
             flat = flat[take]

@@ -140,3 +140,32 @@ def test_op9_white_space_at_the_borders_of_texts():
     table = token_files.ChunkTable(path)
     got = [ids.tolist() for k in range(0, len(texts), 500) for ids in table.ids(texts[k : k + 500])]
     assert got == want
+
+
+def test_tables_hold_ids_as_bytes():
+    """No array per distinct word or stretch; the ids stay those of the libraries."""
+    texts = ["one two  two", " \t lead", "", None, "naïve 世界 ok\n\n end ", "two one"]
+    words = pieces.PieceTable(pieces._model(None))
+    assert [x.tolist() for x in words.ids(texts)] == [words.model.encode(t) if t else [] for t in texts]
+    stretches = token_files.ChunkTable(token_files._tokenizer(None))
+    whole = [stretches.model.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    assert [x.tolist() for x in stretches.ids(texts)] == whole == [x.tolist() for x in stretches.ids(texts)]
+    assert {type(v) for t in (words, stretches) for v in t.values()} == {bytes}
+
+
+def test_decode_of_null_and_empty_lists(spark):
+    df = spark.createDataFrame([(1, [5, 6, 700]), (2, None), (3, []), (4, [900])], "k INT, ids ARRAY<INT>").coalesce(1)
+    model = pieces.PieceTable(pieces._model(None)).model
+    got = {r.k: r.decoded for r in pieces.decode(df).collect()}
+    assert got == {1: model.decode([5, 6, 700]), 2: "", 3: "", 4: model.decode([900])}
+
+
+def test_values_cut_from_the_buffer():
+    import pyarrow as pa
+
+    from cutline.llm.batches import bytes_list, offsets
+
+    words = pa.array([b"", b"ab", b"c", b"", b"\xff d"], pa.binary())
+    for part in (words, words[1:4], words[5:]):
+        assert bytes_list(part) == part.to_pylist()
+    assert offsets(np.array([2, 0, 3], np.int32)).tolist() == offsets([2, 0, 3]).tolist() == [0, 2, 2, 5]
