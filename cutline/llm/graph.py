@@ -14,6 +14,7 @@ from cutline.session import materialise
 
 BITS = 1 << 26  # of a bit table of ids: 8 MB, whatever the number of ids
 ROUNDS = 50
+FEW = 32  # nodes of a list whose pairs are all made: at most 16 a row
 OFTEN = (2, 16, 256)  # numbers of owners that part the elements of sets into classes
 
 
@@ -156,8 +157,9 @@ def linked(
 
     First every node of a key meets one node of it, that of the highest rank; so a group of copies makes
     as many pairs as it has rows. Then only pairs that are still in different components are
-    left; pairs inside one component cannot change the result. The nodes of keys that still hold several
-    components are open. Of their full sets the rarest elements are listed, as many as make similar sets meet
+    left; pairs inside one component cannot change the result. Of a key that still holds several
+    components and at most ``FEW`` nodes, all pairs between them are made. The nodes of larger such keys
+    are open. Of their full sets the rarest elements are listed, as many as make similar sets meet
     (``_prefixes``); of each such list, nodes outside its largest component meet those of
     other components where sizes and places leave room for enough common elements. So nodes that share a
     passage or a common original, but differ in more elements than the threshold allows, make no pairs.
@@ -185,8 +187,10 @@ def linked(
         close = _shares(pairs, data, decode).filter(F.col("share") >= num / den)
         return materialise(close.select("a", "b"), "links")
 
-    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = links_of(stars, materialise(payload(materialise(nodes, "nodes")), "sets"))
+    def nodes_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    links = links_of(stars, materialise(payload(materialise(nodes_of(stars), "nodes")), "sets"))
     comps = materialise(components(links), "components")
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("width"))
     comps = materialise(comps.join(sizes, "comp"), "components")
@@ -197,16 +201,27 @@ def linked(
         return found.withColumn("comp", F.coalesce("comp", "node")).fillna(1, ["width"])
 
     def mixed(df: DataFrame, key: str) -> DataFrame:
-        """The keys that hold several components, and the widest of them."""
+        """The keys that hold several components, the widest of them, and the number of nodes."""
         main = F.max_by("comp", F.struct("width", "comp")).alias("main")
-        found = df.groupBy(key).agg(main, F.min("comp").alias("__a"), F.max("comp").alias("__b"))
-        return found.filter("__a <> __b").select(key, "main")
+        ends = F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.count(F.lit(1)).alias("nodes")
+        return df.groupBy(key).agg(main, *ends).filter("__a <> __b").select(key, "main", "nodes")
+
+    def open_pairs(rows: DataFrame) -> DataFrame:
+        """Distinct pairs that were not compared yet."""
+        pair = [F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")]
+        return rows.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
 
     own = placed(lists.select("key", "node"))
-    left = own.select("key", "node").join(mixed(own, "key"), "key", "left_semi").select("node").distinct()
-    data = materialise(payload(materialise(left, "open")), "sets")
+    own = materialise(own.select("key", "node", "comp").join(mixed(own, "key").drop("main"), "key"), "several")
+    few = own.filter(F.col("nodes") <= FEW)
+    x, y = (few.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "comp")]) for s in "xy")
+    near = x.join(y, "key").filter("x_comp <> y_comp AND x_node > y_node")
+    near = materialise(likely(open_pairs(near)), "near")
+    left = materialise(own.filter(F.col("nodes") > FEW).select("node").distinct(), "open")
+    closer = links_of(near, materialise(payload(materialise(nodes_of(near), "nodes")), "sets"))
+    data = materialise(payload(left), "sets")
     tokens = placed(materialise(_prefixes(data, decode, part), "prefixes"))
-    tokens = materialise(tokens.join(mixed(tokens, "token"), "token"), "mixed")
+    tokens = materialise(tokens.join(mixed(tokens, "token").drop("nodes"), "token"), "mixed")
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "token"])
@@ -217,7 +232,14 @@ def linked(
         & (room * (num + den) >= num * (F.col("x_size") + F.col("y_size")))
     )
     rest = side(tokens.filter("comp <> main"), "x").join(side(tokens, "y"), "token").filter(fits)
-    pair = [F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")]
-    rest = rest.select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
-    more = links_of(materialise(likely(rest), "rest"), data)
-    return components(links.unionByName(more))
+    more = links_of(materialise(likely(open_pairs(rest)), "rest"), data)
+    # The components so far, as nodes, are joined further by the new links.
+    joined = closer.unionByName(more)
+    for node in ("a", "b"):
+        own = comps.select(F.col("node").alias(node), F.col("comp").alias("__comp"))
+        joined = joined.join(own, node, "left").withColumn(node, F.coalesce("__comp", node)).drop("__comp")
+    wider = materialise(components(joined), "wider")
+    final = comps.join(wider.select(F.col("node").alias("comp"), F.col("comp").alias("wide")), "comp", "left")
+    return final.select("node", F.coalesce("wide", "comp").alias("comp")).unionByName(
+        wider.join(comps, "node", "left_anti")
+    )

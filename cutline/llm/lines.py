@@ -32,12 +32,17 @@ SIZE = 8  # bytes of a shingle: it fills one 64-bit number, so sets are exact
 BANDS, ROWS = 20, 4
 PART = (4, 5)  # the least similarity
 AGREE = 45  # equal minima of 80 that make a pair plausible
-BLOCK = 1 << 18  # shingles hashed at a time, so that they stay in cache
+BLOCK = 1 << 20  # shingles of lines of like length that are laid side by side
+STRIP = 1 << 16  # of them hashed at a time, so that they stay in cache
+NARROW = 64  # fewer lines than this are laid one after the other
+BUCKETS = 1 << 12  # of band keys: a bucket is what a task holds at once
+RECORD = np.dtype([("key", "<u4"), ("node", "<i8")])  # a band key in its bucket and the line that has it
 SHORT = [f"s{k}" for k in range(BANDS * ROWS // 8)]
 
 
-def plain(line: str) -> bytes:
-    return b" ".join(line.lower().encode("utf-8", "replace").split())
+def plain_lines(text: str | None) -> list[bytes]:
+    """Every line of a text, lower-cased, its blanks run together; those without a word are empty."""
+    return [b" ".join(x.split()) for x in text.lower().encode("utf-8", "replace").split(b"\n")] if text else []
 
 
 def padded(line: bytes) -> bytes:
@@ -68,6 +73,25 @@ FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).
 SHIFTS = mix(np.arange(101, BANDS * ROWS + 101, dtype=np.uint64)).astype(np.uint32)
 
 
+def _minima(part: np.ndarray) -> np.ndarray:
+    """The least value of each hash function in each column."""
+    n, wide = part.shape
+    least = np.full((len(FACTORS), wide), np.iinfo(np.uint32).max, np.uint32)
+    if wide < NARROW:
+        part = np.ascontiguousarray(part.T)
+        axis, strips = 1, [part[:, k : k + STRIP] for k in range(0, n, STRIP)]
+    else:
+        rows = max(1, STRIP // wide)
+        axis, strips = 0, [part[k : k + rows] for k in range(0, n, rows)]
+    for strip in strips:
+        hashed = np.empty(strip.shape, np.uint32)
+        for k in range(len(FACTORS)):
+            np.multiply(strip, FACTORS[k], out=hashed)
+            np.add(hashed, SHIFTS[k], out=hashed)
+            np.minimum(least[k], hashed.min(axis=axis), out=least[k])
+    return least
+
+
 def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per line its band keys, and a byte of each minimum, eight to a number."""
     keys = np.zeros((len(lines), BANDS), np.uint64)
@@ -76,23 +100,19 @@ def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     low = mix(code).astype(np.uint32)
     sizes = np.diff(starts)
     order, first = np.argsort(sizes, kind="stable"), 0
+    ordered = sizes[order]
     while first < len(lines):
         # Lines of like length side by side; a shorter one repeats its last shingle.
-        some = order[first : first + max(1, BLOCK // sizes[order[first]])]
-        most = sizes[some].cumsum().searchsorted(BLOCK, "right")
-        some = some[: max(1, most)]
+        alike = int(np.searchsorted(ordered, ordered[first] * 5 // 4 + 8, "right"))
+        some = order[first : min(alike, first + max(1, BLOCK // int(ordered[first])))]
         first += len(some)
         at = np.minimum(np.arange(sizes[some[-1]])[:, None], sizes[some] - 1) + starts[some]
-        part = low[at]
-        hashed = np.empty_like(part)
+        minima = _minima(low[at])
         for band in range(BANDS):
             key = np.full(len(some), band + 1, np.uint64)
             for k in range(band * ROWS, band * ROWS + ROWS):
-                np.multiply(part, FACTORS[k], out=hashed)
-                np.add(hashed, SHIFTS[k], out=hashed)
-                least = hashed.min(axis=0)
-                key = mix(key * MIX + least)
-                short[some, k] = mix(least.astype(np.uint64)) & np.uint64(255)
+                key = mix(key * MIX + minima[k])
+                short[some, k] = mix(minima[k].astype(np.uint64)) & np.uint64(255)
             keys[some, band] = key
     return keys.view(np.int64), short.view(np.int64)
 
@@ -110,10 +130,6 @@ def _plausible(x, y) -> F.Column:
     return sum((_same_bytes(x(c), y(c)) for c in SHORT[1:]), _same_bytes(x(SHORT[0]), y(SHORT[0]))) >= AGREE
 
 
-def has_word(line: str) -> bool:
-    return bool(line) and any(c not in "\t\x0b\x0c\r \n" for c in line)
-
-
 def _digests(lines: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxh3_128_digest, lines)), "<i8").reshape(-1, 2)
 
@@ -124,10 +140,7 @@ def _doc(doc: str, text: str) -> list[F.Column]:
 
 
 def occurrences(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """A row per line with a word: h1, h2 (128 bits of the line), doc, digest, at.
-
-    The first row of each distinct line of a run also has keys and s0..: its band keys and short signature.
-    """
+    """A row per line with a word: h1, h2 (128 bits of the line), doc, digest, at."""
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,21 +149,12 @@ def occurrences(docs: DataFrame, doc: str, text: str) -> DataFrame:
             for first, texts in slices(batch, "text"):
                 lines, of, at = [], [], []
                 for k, t in enumerate(texts):
-                    for i, line in enumerate(t.split("\n") if t else ()):
-                        if has_word(line):
-                            lines.append(plain(line))
+                    for i, line in enumerate(plain_lines(t)):
+                        if line:
+                            lines.append(line)
                             of.append(first + k)
                             at.append(i)
-                place: dict[bytes, int] = {}
-                which = np.array([place.setdefault(x, len(place)) for x in lines], np.int64)
-                once = list(place)
-                h, of = _digests(once)[which], pa.array(of, pa.int64())
-                repeat = np.ones(len(lines), bool)
-                repeat[np.unique(which, return_index=True)[1]] = False
-                signed = pa.array(which, mask=repeat)
-                keys, short = signatures(once)
-                ends = pa.array(np.arange(len(once) + 1, dtype=np.int32) * BANDS)
-                bands = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))
+                h, of = _digests(lines), pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h[:, 0]),
@@ -158,15 +162,12 @@ def occurrences(docs: DataFrame, doc: str, text: str) -> DataFrame:
                         ids.take(of),
                         digests.take(of),
                         pa.array(at, pa.int32()),
-                        bands.take(signed),
-                        *[pa.array(short[:, k]).take(signed) for k in range(len(SHORT))],
                     ],
-                    ["h1", "h2", "doc", "digest", "at", "keys", *SHORT],
+                    ["h1", "h2", "doc", "digest", "at"],
                 )
 
     picked = docs.select(*_doc(doc, text), F.col(text).alias("text"))
-    fields = f"h1 long, h2 long, doc {kind}, digest long, at int, keys array<long>, "
-    return picked.mapInArrow(run, fields + ", ".join(f"{c} long" for c in SHORT))
+    return picked.mapInArrow(run, f"h1 long, h2 long, doc {kind}, digest long, at int")
 
 
 def _distinct_lines(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
@@ -175,61 +176,113 @@ def _distinct_lines(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                lines = {plain(x) for t in texts if t for x in t.split("\n") if has_word(x)}
-                yield make(sorted(lines))
+                yield make(list(dict.fromkeys(x for t in texts for x in plain_lines(t) if x)))
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, fields)
 
 
-def _lists(signed: DataFrame) -> DataFrame:
+def _packed(lines: list[bytes]) -> pa.RecordBatch:
+    """(bucket, data): the band keys of distinct lines as records of 12 bytes, a row per bucket."""
+    keys = signatures(lines)[0].view(np.uint64).reshape(-1)
+    order = np.argsort(keys)
+    keys = keys[order]
+    records = np.empty(len(keys), RECORD)
+    records["key"] = keys >> np.uint64(20)
+    records["node"] = _digests(lines)[:, 0][order // BANDS]
+    bucket = (keys >> np.uint64(52)).astype(np.int32)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = (np.append(first, len(keys)) * RECORD.itemsize).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(records.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), data], ["bucket", "data"])
+
+
+def _met(bucket: int, blobs: list[bytes]) -> pa.RecordBatch:
+    """(key, node, size): the keys of a bucket that several lines hold, their lines and how many."""
+    records = np.frombuffer(b"".join(blobs), RECORD)
+    keys = records["key"]
+    order = np.argsort(keys)
+    keys = keys[order]
+    again = np.zeros(len(keys), bool)
+    again[1:] = keys[1:] == keys[:-1]
+    again[:-1] |= again[1:]
+    keys, nodes = keys[again], records["node"][order[again]]
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new].astype(np.int64), nodes[new]
+    sizes = np.diff(np.append(np.flatnonzero(np.diff(keys, prepend=-1)), len(keys)))
+    sizes = np.repeat(sizes, sizes)
+    several = sizes > 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[several] + (bucket << 32)), pa.array(nodes[several]), pa.array(sizes[several])],
+        ["key", "node", "size"],
+    )
+
+
+def _lists(docs: DataFrame, text: str) -> DataFrame:
     """(key, node, rank) for the band keys that two different lines hold.
 
     The rank is the number of rows in all lists of a line: high for the original of edited copies.
 
-    Most keys have one line. A bit table of the shared keys drops most others before the
-    exact join.
+    Most keys have one line. They go to their bucket as packed records, 12 bytes each, and only those that
+    meet another line become rows. A key is known by 44 of its bits: two that agree in those are one list more to verify.
     """
-    half = F.shiftright("node", 32).cast("int")
-    every = signed.select(F.explode("keys").alias("key"), half.alias("half"))
-    shared = every.groupBy("key").agg(F.min("half").alias("a"), F.max("half").alias("b"))
-    shared = materialise(shared.filter("a <> b").select("key"), "keys")
-    table = signed.sparkSession.sparkContext.broadcast(bit_table(shared, "key"))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, blobs = None, []
         for batch in batches:
-            keys = batch.column(1)
-            flat, of = keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), BANDS)
-            at = np.flatnonzero(has_bit(table.value, flat))
-            of = pa.array(of[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[at]), batch.column(0).take(of)], ["key", "node"]
-            )
-
-    some = signed.select("node", "keys").mapInArrow(pick, "key long, node long")
-    found = materialise(some.join(shared, "key").distinct(), "found")
-    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    ranks = found.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("rank"))
-    return found.join(ranks, "node")
+            for own, blob in zip(column(batch, "bucket"), column(batch, "data")):
+                if own != bucket and blobs:
+                    yield _met(bucket, blobs)
+                    blobs = []
+                bucket = own
+                blobs.append(blob)
+        if blobs:
+            yield _met(bucket, blobs)
+
+    packed = _distinct_lines(docs, text, "bucket int, data binary", _packed)
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        meet, "key long, node long, size long"
+    )
+    found = materialise(found, "found")
+    return found.drop("size").join(found.groupBy("node").agg(F.sum("size").alias("rank")), "node")
 
 
 def _texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """(node, data): the lines that ``nodes`` names."""
+    """(node, data, s0..): the lines that ``nodes`` names, and their short signatures."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(nodes, "node"))
 
     def pick(lines: list[bytes]) -> pa.RecordBatch:
         h = _digests(lines)
         at = np.flatnonzero(has_bit(table.value, h[:, 0]))
+        lines = [lines[k] for k in at]
+        short = signatures(lines)[1]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(h[at, 0]),
                 pa.array(h[at, 1]),
-                pa.array([lines[k] for k in at], pa.binary()),
+                pa.array(lines, pa.binary()),
+                *[pa.array(short[:, k]) for k in range(len(SHORT))],
             ],
-            ["node", "h2", "line"],
+            ["node", "h2", "line", *SHORT],
         )
 
-    texts = _distinct_lines(docs, text, "node long, h2 long, line binary", pick)
-    return texts.join(nodes, "node").groupBy("node").agg(F.min_by("line", "h2").alias("data"))
+    fields = "node long, h2 long, line binary, " + ", ".join(f"{c} long" for c in SHORT)
+    texts = _distinct_lines(docs, text, fields, pick).join(nodes, "node", "left_semi")
+    once = texts.groupBy("node").agg(F.min_by(F.struct("line", *SHORT), "h2").alias("v"))
+    return once.select("node", F.col("v.line").alias("data"), *[F.col(f"v.{c}").alias(c) for c in SHORT])
+
+
+def _with_bit(seen: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of ``seen`` whose line may be one of ``lines``, by h1: all of these, and few others."""
+    table = seen.sparkSession.sparkContext.broadcast(bit_table(lines, "h1"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(table.value, batch.column(0).to_numpy())))
+
+    return seen.mapInArrow(pick, seen.schema)
 
 
 def _decode(line: bytes) -> np.ndarray:
@@ -243,15 +296,15 @@ def duplicate_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     those alone only one takes part in fuzzy groups.
     """
     seen = materialise(occurrences(docs, doc, text), "occurrences")
+    lists = materialise(_lists(docs, text), "lists")
+    texts = materialise(_texts(docs, text, lists.select("node").distinct()), "texts")
+    traits = texts.select("node", *SHORT)
+    again = seen.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
+    seen = materialise(_with_bit(seen, again.unionByName(traits.select(F.col("node").alias("h1")))), "seen")
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "digest", "at")
     per_line = seen.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     per_line = materialise(per_line, "lines")
-    signed = seen.filter("keys IS NOT NULL").select(F.col("h1").alias("node"), "keys", *SHORT)
-    lists = materialise(_lists(signed), "lists")
-    traits = signed.join(lists.select("node").distinct(), "node", "left_semi")
-    traits = materialise(traits.groupBy("node").agg(*[F.min(c).alias(c) for c in SHORT]), "traits")
-    texts = materialise(_texts(docs, text, traits.select("node")), "texts")
-    comps = linked(lists, lambda nodes: texts.join(nodes, "node", "left_semi"), _decode, PART, traits, _plausible)
+    comps = linked(lists, lambda nodes: texts.select("node", "data").join(nodes, "node", "left_semi"), _decode, PART, traits, _plausible)
     grouped = per_line.join(comps.withColumnRenamed("node", "h1"), "h1")
     single = grouped.groupBy("h1").agg(F.min("h2").alias("h2"))
     grouped = materialise(grouped.join(single, ["h1", "h2"]).select("h1", "h2", "first", "comp"), "grouped")

@@ -366,3 +366,38 @@ def test_op2_units_that_stand_for_names_elsewhere(spark):
     doc = make("days").replace("Hours", "Weeks")
     docs = spark.createDataFrame([(0, "words before it. " + doc)], "doc_id long, text string")
     assert 1 in {r.item for r in templates.links(docs, items).collect()}
+
+
+def test_lists_of_few_nodes_need_no_sets(spark, monkeypatch):
+    """Nodes of short lists meet directly; only those of long lists are listed by their elements."""
+    base = prose(60, 9).split()
+    edit = lambda k: " ".join([*base[:k], f"e{k}a", f"e{k}b", *base[k + 2 :]])
+    own = [" ".join(f"d{k}w{j}" for j in range(9)) for k in range(40)]
+    texts = [f"{own[k]}\n{edit(3 * (k % 13))}" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    opened, prefixes = [], graph._prefixes
+
+    def counted(data, *rest):
+        opened.append(data.count())
+        return prefixes(data, *rest)
+
+    monkeypatch.setattr(graph, "_prefixes", counted)
+    want = None
+    for few in (graph.FEW, 1):
+        monkeypatch.setattr(graph, "FEW", few)
+        got = {(r.doc, r.at) for r in lines.duplicate_lines(docs).collect()}
+        want = want or got
+        assert got == want
+    assert opened[0] == 0 and want == {(k, 1) for k in range(1, 40)}
+
+
+def test_band_keys_are_not_kept_with_the_lines(spark):
+    """What is written of a line is its place; its band keys go to their buckets as packed records."""
+    docs = spark.createDataFrame([(1, "one line of some words\none line of some words!\nother")], "doc_id long, text string")
+    assert lines.occurrences(docs, "doc_id", "text").columns == ["h1", "h2", "doc", "digest", "at"]
+    line = [b"one line of some words", b"one line of some words!", b"other"]
+    packed = lines._packed(line)
+    assert sum(map(len, packed.column(1).to_pylist())) == 12 * lines.BANDS * len(line)
+    keys = lines.signatures(line)[0]
+    shared = int((keys[0] == keys[1]).sum())
+    assert shared and lines._lists(docs, "text").count() == 2 * shared
