@@ -37,28 +37,34 @@ HEADER = "<8s32sq"
 BLOCK_BYTES = 4 << 20  # raw ids per block
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8 << 20  # bound of the dictionary's training sample
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 500_000  # of each of the two tables that a worker holds
 TOGETHER = 1000  # new stretches that are encoded as one text
 # Bytes behind a blank before which the pretokenizer certainly cuts: visible ASCII, and lead bytes of
 # characters among which there is no white space.
 VISIBLE = np.zeros(256, bool)
 VISIBLE[33:127] = VISIBLE[0xC3:0xE1] = VISIBLE[0xE4:] = True
+LETTER, MARK, SEEN = np.zeros((3, 256), bool)  # ASCII letters, ASCII signs, both and digits
+LETTER[65:91] = LETTER[97:123] = SEEN[33:127] = True
+MARK[33:127] = ~LETTER[33:127]
+MARK[48:58] = False
 WIDTH = 4  # bytes of an id
 
 
 class ChunkTable(dict):
     """Ids per distinct stretch between two certain cuts of a byte-level tokenizer.
 
-    Every blank before a visible character opens a stretch. Stretches are found in arrays of bytes, each
+    Every blank before a visible character opens a stretch, and so do a sign behind a letter and a letter
+    behind a single line end (all ASCII): a word is the same stretch whatever stands behind it. Stretches are found in arrays of bytes, each
     distinct one is encoded once, and ids are put back by position. The table holds ids as bytes of 32-bit
-    numbers, which are cut and joined without an array per stretch.
+    numbers, which are cut and joined without an array per stretch. A full table stays at hand as ``past``: stretches
+    that come again move to the new one, so frequent ones are not encoded anew.
     """
 
     def __init__(self, path: str, limit: int = TABLE_CHUNKS):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.limit = limit
+        self.limit, self.past = limit, {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.model = Tokenizer.from_file(path)
         added = [t.content for t in self.model.get_added_tokens_decoder().values()]
@@ -73,8 +79,13 @@ class ChunkTable(dict):
 
     def _of(self, chunks: list[bytes]) -> list[bytes]:
         if len(self) > self.limit:
+            self.past = dict(self)
             self.clear()
         new = [c for c in chunks if c not in self]
+        if self.past:
+            known = list(map(self.past.get, new))
+            self.update((c, ids) for c, ids in zip(new, known) if ids is not None)
+            new = [c for c, ids in zip(new, known) if ids is None]
         # Stretches that open with a blank and a visible character are cut apart wherever they stand
         # side by side, so many go to the library as one text; the bytes of each id tell where a stretch
         # ends. The first stretch of a text may open with a blank and more white space: it goes alone.
@@ -101,6 +112,9 @@ class ChunkTable(dict):
             opens = data == 32
             opens[:-1] &= VISIBLE[data[1:]]
             opens[-1] = False
+            letter = LETTER[data]
+            opens[1:] |= MARK[data[1:]] & letter[:-1]
+            opens[2:] |= letter[2:] & (data[1:-1] == 10) & SEEN[data[:-2]]
             opens[ends[:-1][np.diff(ends) > 0]] = True
             starts = np.flatnonzero(opens)
             runs = np.append(starts, len(data)).astype(np.int32)

@@ -169,3 +169,21 @@ def test_values_cut_from_the_buffer():
     for part in (words, words[1:4], words[5:]):
         assert bytes_list(part) == part.to_pylist()
     assert offsets(np.array([2, 0, 3], np.int32)).tolist() == offsets([2, 0, 3]).tolist() == [0, 2, 2, 5]
+
+
+def test_op9_stretches_are_encoded_once(monkeypatch):
+    """A word is one stretch whatever stands behind it, and a full table is not forgotten at once."""
+    table = token_files.ChunkTable(token_files._tokenizer(None), limit=40)
+    coded, plain = [], table._plain
+
+    def counted(texts):
+        coded.extend(texts)
+        return plain(texts)
+
+    monkeypatch.setattr(table, "_plain", counted)
+    texts = ["a word, a word. A word; a word\nword it's\n\nWord x's.\nHe", *(f"a word{k * 7} new{k * 7}" for k in range(60))]
+    for k in range(len(texts)):
+        for t, ids in zip((texts[0], texts[k]), table.ids([texts[0], texts[k]])):
+            assert ids.tolist() == plain([t])[0].tolist()
+    assert "".join(coded).count(" word,") == "".join(coded).count(" word.") == 0
+    assert coded.count("He") == 1
