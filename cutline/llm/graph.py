@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.batches import column
+from cutline.llm.batches import column, mix
 from cutline.session import materialise
 
 BITS = 1 << 26  # of a bit table of ids: 8 MB, whatever the number of ids
@@ -80,65 +80,105 @@ def _shares(pairs: DataFrame, data: DataFrame, decode: Callable[[bytes], np.ndar
                 [*batch.columns[:2], pa.array(shares, pa.float64())], ["a", "b", "share"]
             )
 
-    sided = pairs
-    for side in "ab":
-        own = data.select(F.col("node").alias(side), F.col("data").alias(f"data_{side}"))
-        sided = sided.join(own, side)
-    return sided.select("a", "b", "data_a", "data_b").mapInArrow(compare, "a long, b long, share double")
+    sided = _sided(pairs, data, ("a", "b")).select("a", "b", "data_a", "data_b")
+    return sided.mapInArrow(compare, "a long, b long, share double")
 
 
-def _prefixes(data: DataFrame, decode: Callable[[bytes], np.ndarray], part: tuple[int, int]) -> DataFrame:
-    """(token, node, size, place): the first elements of each set, the rarest first.
+def _sided(pairs: DataFrame, data: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """``pairs`` with the data of the nodes in two of their columns, as data_a and data_b."""
+    for name, side in zip(names, "ab"):
+        own = data.select(F.col("node").alias(name), F.col("data").alias(f"data_{side}"))
+        pairs = pairs.join(own, name)
+    return pairs
 
-    Sets of Jaccard similarity ``num / den`` share ``num / den`` of each, hence one of the first
-    ``size - ceil(size num / den) + 1`` elements of each in any common order. The order here is by class
-    of owners, then value. The class is read from bit tables of fixed size, so it may be too high for some elements
-    but is the same in all sets. Elements with one owner take up their places and are not listed.
+
+def _edits(pairs: DataFrame, data: DataFrame, decode: Callable[[bytes], np.ndarray], part: tuple[int, int]) -> DataFrame:
+    """(node, hub, size, close, least, data): where the set of a node differs from that of its hub.
+
+    ``data`` has the elements that are in one of the two sets, scrambled with the hub, so that those of
+    different hubs do not meet. Sets of sizes n and m have Jaccard similarity ``num / den`` if they differ in at most
+    ``(n + m) (den - num) / (den + num)`` elements. So of nodes with d and e edits, similar ones have at least
+    half of ``d + e`` less that in common. ``least`` is the least such number: a similar set has not more than
+    ``n den / num`` elements and not fewer than d less the bound edits. The partner of a node that is ``close`` to the hub
+    counts only if it is not, so it has more edits than the bound of its own size and the hub's.
     """
     num, den = part
+    more, less = den + num, den - num
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[bytes, np.ndarray] = {}
+            rows = []
+            for hub, *pair in zip(column(batch, "hub"), column(batch, "data_a"), column(batch, "data_b")):
+                x, h = (sets[d] if d in sets else sets.setdefault(d, decode(d)) for d in pair)
+                edits = np.setxor1d(x, h, assume_unique=True) ^ mix(np.array([hub]))
+                least = max(1, len(edits) - less * len(x) // num)
+                close = more * len(edits) <= less * (len(x) + len(h))
+                if close:
+                    least = max(least, -(-(more * len(edits) + less * (len(h) - len(x))) // (2 * more)))
+                rows.append((len(x), close, least, np.sort(mix(edits)).tobytes()))
+            kinds = pa.int64(), pa.bool_(), pa.int64(), pa.binary()
+            made = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *made], ["node", "hub", "size", "close", "least", "data"]
+            )
+
+    sided = _sided(pairs, data, ("node", "hub")).select("node", "hub", "data_a", "data_b")
+    return sided.mapInArrow(compare, "node long, hub long, size long, close boolean, least long, data binary")
+
+
+def _prefixes(edits: DataFrame) -> DataFrame:
+    """(token, node, size, edits, place): the first edits of each node, the rarest first.
+
+    Two sets that share ``least`` elements share one of the first ``n - least + 1`` of each in any common
+    order. The order here is by class of owners, then value. The class is read from bit tables of fixed size, so
+    it may be too high for some elements but is the same in all sets. Elements with one owner take up their places
+    and are not listed.
+    """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [decode(d) for d in column(batch, "data")]
-            if sets:
-                found, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"]
-                )
+            found, n = np.unique(np.frombuffer(b"".join(column(batch, "data")), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["token", "n"])
 
-    counts = data.select("data").mapInArrow(tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = edits.select("data").mapInArrow(tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = materialise(counts.filter(F.col("n") >= OFTEN[0]), "tokens")
     tables = [bit_table(counts.filter(F.col("n") >= n), "token") for n in OFTEN]
-    shared = data.sparkSession.sparkContext.broadcast(np.array(tables))
+    shared = edits.sparkSession.sparkContext.broadcast(np.array(tables))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for batch in batches:
-            tokens, of, sizes, places = [], [], [], []
-            for k, d in enumerate(column(batch, "data")):
-                own = decode(d)
-                most = len(own) - -(-len(own) * num // den) + 1
+            tokens, of, places, counts = [], [], [], []
+            for k, (least, d) in enumerate(zip(column(batch, "least"), column(batch, "data"))):
+                own = np.frombuffer(d, np.int64)
+                most = len(own) - least + 1
+                if most <= 0:
+                    continue
                 level = sum(has_bit(t, own).astype(np.int8) for t in levels)
                 single = len(own) - np.count_nonzero(level)
                 if single < most:
                     order = np.lexsort((own, level))[single:most]
-                    tokens.append(own[order].view(np.int64))
+                    tokens.append(own[order])
                     of.append(np.full(len(order), k))
-                    sizes.append(np.full(len(order), len(own)))
+                    counts.append(np.full(len(order), len(own)))
                     places.append(np.arange(single, single + len(order)))
             if tokens:
-                nodes = batch.column(0).take(pa.array(np.concatenate(of)))
+                of = pa.array(np.concatenate(of))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens)),
-                        nodes,
-                        pa.array(np.concatenate(sizes), pa.int64()),
+                        batch.column(0).take(of),
+                        batch.column(1).take(of),
+                        pa.array(np.concatenate(counts), pa.int64()),
                         pa.array(np.concatenate(places), pa.int64()),
                     ],
-                    ["token", "node", "size", "place"],
+                    ["token", "node", "size", "edits", "place"],
                 )
 
-    return data.select("node", "data").mapInArrow(first, "token long, node long, size long, place long")
+    return edits.select("node", "size", "least", "data").mapInArrow(
+        first, "token long, node long, size long, edits long, place long"
+    )
 
 
 def linked(
@@ -159,10 +199,10 @@ def linked(
     as many pairs as it has rows. Then only pairs that are still in different components are
     left; pairs inside one component cannot change the result. Of a key that still holds several
     components and at most ``FEW`` nodes, all pairs between them are made. The nodes of larger such keys
-    are open. Of their full sets the rarest elements are listed, as many as make similar sets meet
-    (``_prefixes``); of each such list, nodes outside its largest component meet those of
-    other components where sizes and places leave room for enough common elements. So nodes that share a
-    passage or a common original, but differ in more elements than the threshold allows, make no pairs.
+    are open. Of their differences from the hub (``_edits``) the rarest are listed, as many as make similar nodes
+    meet (``_prefixes``); of each such list, nodes outside its largest component meet those of
+    other components where sizes and places leave room for enough common edits. So nodes that share a
+    passage or are edited from a common original in different places make no pairs.
     """
     num, den = part
     names = [c for c in traits.columns if c != "node"]
@@ -217,22 +257,28 @@ def linked(
     x, y = (few.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "comp")]) for s in "xy")
     near = x.join(y, "key").filter("x_comp <> y_comp AND x_node > y_node")
     near = materialise(likely(open_pairs(near)), "near")
-    left = materialise(own.filter(F.col("nodes") > FEW).select("node").distinct(), "open")
+    left = own.filter(F.col("nodes") > FEW).select("key", "node").join(hubs, "key").filter("node <> hub")
+    left = materialise(left.select("node", "hub").distinct(), "open")
     closer = links_of(near, materialise(payload(materialise(nodes_of(near), "nodes")), "sets"))
-    data = materialise(payload(left), "sets")
-    tokens = placed(materialise(_prefixes(data, decode, part), "prefixes"))
+    both = left.select(F.explode(F.array("node", "hub")).alias("node")).distinct()
+    data = materialise(payload(materialise(both, "nodes")), "sets")
+    edits = materialise(_edits(left, data, decode, part), "edits")
+    tokens = placed(materialise(_prefixes(edits), "prefixes"))
     tokens = materialise(tokens.join(mixed(tokens, "token").drop("nodes"), "token"), "mixed")
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "token"])
 
-    room = F.least(F.expr("x_size - x_place"), F.expr("y_size - y_place"))
+    room = F.least(F.expr("x_edits - x_place"), F.expr("y_edits - y_place"))
+    spare = (F.expr("x_edits + y_edits") - 2 * room) * (den + num)
     fits = (
         F.expr("x_comp <> y_comp AND (y_comp = y_main OR x_node > y_node)")
-        & (room * (num + den) >= num * (F.col("x_size") + F.col("y_size")))
+        & (spare <= F.expr("x_size + y_size") * (den - num))
+        & (F.expr("least(x_size, y_size)") * den >= F.expr("greatest(x_size, y_size)") * num)
     )
     rest = side(tokens.filter("comp <> main"), "x").join(side(tokens, "y"), "token").filter(fits)
     more = links_of(materialise(likely(open_pairs(rest)), "rest"), data)
+    more = more.unionByName(edits.filter("close").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     # The components so far, as nodes, are joined further by the new links.
     joined = closer.unionByName(more)
     for node in ("a", "b"):

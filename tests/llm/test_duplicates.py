@@ -401,3 +401,29 @@ def test_band_keys_are_not_kept_with_the_lines(spark):
     keys = lines.signatures(line)[0]
     shared = int((keys[0] == keys[1]).sum())
     assert shared and lines._lists(docs, "text").count() == 2 * shared
+
+
+def test_copies_edited_in_different_places_make_few_pairs(spark, monkeypatch):
+    """Copies too far from their original to be linked with it meet only those with the same edits."""
+    base = prose(70, 11).split()
+
+    def edited(k, places):
+        return " ".join(f"e{k}x{j}" if j in places else w for j, w in enumerate(base))
+
+    texts = [" ".join(base)]
+    texts += [edited(k, {7 * k % 70}) for k in range(60)]
+    texts += [edited(k, {(k + 9 * j * (1 + k % 4)) % 70 for j in range(5)}) for k in range(60, 160)]
+    texts += [texts[k] + f" t{k}" for k in range(100, 130)]  # near a far copy alone
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    made, write = {}, graph.materialise
+
+    def counted(df, label="cut"):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    got = {(r.doc, r.at) for r in lines.duplicate_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = plain_lines(rows)
+    assert got == {(k, 0) for k, t, *_ in rows if want[k, t] == ""}
+    assert len(got) > 60 and made["rest"] < 2000, (len(got), made["rest"])
