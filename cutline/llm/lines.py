@@ -33,7 +33,7 @@ BANDS, ROWS = 20, 4
 PART = (4, 5)  # the least similarity
 AGREE = 45  # equal minima of 80 that make a pair plausible
 BLOCK = 1 << 20  # shingles of lines of like length that are laid side by side
-STRIP = 1 << 16  # of them hashed at a time, so that they stay in cache
+STRIP = 1 << 15  # of them hashed at a time, so that they stay in cache
 NARROW = 64  # fewer lines than this are laid one after the other
 BUCKETS = 1 << 12  # of band keys: a bucket is what a task holds at once
 RECORD = np.dtype([("key", "<u4"), ("node", "<i8")])  # a band key in its bucket and the line that has it
@@ -70,7 +70,6 @@ def shingle_set(line: bytes) -> frozenset[bytes]:
 
 
 FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-SHIFTS = mix(np.arange(101, BANDS * ROWS + 101, dtype=np.uint64)).astype(np.uint32)
 
 
 def _minima(part: np.ndarray) -> np.ndarray:
@@ -87,34 +86,45 @@ def _minima(part: np.ndarray) -> np.ndarray:
         hashed = np.empty(strip.shape, np.uint32)
         for k in range(len(FACTORS)):
             np.multiply(strip, FACTORS[k], out=hashed)
-            np.add(hashed, SHIFTS[k], out=hashed)
             np.minimum(least[k], hashed.min(axis=axis), out=least[k])
     return least
 
 
-def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Per line its band keys, and a byte of each minimum, eight to a number."""
-    keys = np.zeros((len(lines), BANDS), np.uint64)
-    short = np.zeros((len(lines), BANDS * ROWS), np.uint8)
+def minima(lines: list[bytes]) -> np.ndarray:
+    """The least value of each hash function (a row) in each line."""
     code, starts = shingles(lines)
+    # The hash functions are products with odd factors: of scrambled numbers, each another order.
     low = mix(code).astype(np.uint32)
     sizes = np.diff(starts)
     order, first = np.argsort(sizes, kind="stable"), 0
     ordered = sizes[order]
+    least = np.empty((len(FACTORS), len(lines)), np.uint32)
     while first < len(lines):
         # Lines of like length side by side; a shorter one repeats its last shingle.
-        alike = int(np.searchsorted(ordered, ordered[first] * 5 // 4 + 8, "right"))
+        alike = int(np.searchsorted(ordered, ordered[first] * 9 // 8 + 8, "right"))
         some = order[first : min(alike, first + max(1, BLOCK // int(ordered[first])))]
         first += len(some)
         at = np.minimum(np.arange(sizes[some[-1]])[:, None], sizes[some] - 1) + starts[some]
-        minima = _minima(low[at])
-        for band in range(BANDS):
-            key = np.full(len(some), band + 1, np.uint64)
-            for k in range(band * ROWS, band * ROWS + ROWS):
-                key = mix(key * MIX + minima[k])
-                short[some, k] = mix(minima[k].astype(np.uint64)) & np.uint64(255)
-            keys[some, band] = key
-    return keys.view(np.int64), short.view(np.int64)
+        least[:, some] = _minima(low[at])
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """Per line the keys of its bands."""
+    keys = np.empty((least.shape[1], BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(keys), band + 1, np.uint64)
+        for row in least[band * ROWS : band * ROWS + ROWS]:
+            key = mix(key * MIX + row)
+        keys[:, band] = key
+    return keys.view(np.int64)
+
+
+def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Per line its band keys, and a byte of each minimum, eight to a number."""
+    least = minima(lines)
+    short = np.ascontiguousarray((mix(least) & np.uint64(255)).astype(np.uint8).T)
+    return band_keys(least), short.view(np.int64)
 
 
 def _same_bytes(a: F.Column, b: F.Column) -> F.Column:
@@ -183,7 +193,7 @@ def _distinct_lines(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
 
 def _packed(lines: list[bytes]) -> pa.RecordBatch:
     """(bucket, data): the band keys of distinct lines as records of 12 bytes, a row per bucket."""
-    keys = signatures(lines)[0].view(np.uint64).reshape(-1)
+    keys = band_keys(minima(lines)).view(np.uint64).reshape(-1)
     order = np.argsort(keys)
     keys = keys[order]
     records = np.empty(len(keys), RECORD)
