@@ -80,4 +80,13 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_dir(spark, label)
     with setting(spark, RELEASE_SHUFFLES, "true"):
         df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Remove the files of a table that ``materialise`` gave and nothing reads any more."""
+    context = made.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(made.scratch_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

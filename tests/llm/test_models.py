@@ -1,6 +1,7 @@
 """Operators 6 and 10 against plain Python, and their held-out quality."""
 
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from cutline.llm import languages, suffix_tree
+from cutline.session import scratch_dir
 from tests.llm.cases import clashing, edge_docs, edge_rows, no_docs, save
 
 SF = "/root/testdata/sf0.001"
@@ -125,6 +127,26 @@ def test_op6_runs_do_not_matter(spark, monkeypatch):
     assert parts == pytest.approx(whole)
 
 
+def test_op6_records(spark):
+    numbers = np.array([3, 1 << 39, 7, 3], np.uint64)
+    facts = np.array([0.5, -1.0, 2.0, 0.0])
+    buckets, blobs = suffix_tree._packed(np.array([1, 0, 1, 2], np.int16), [numbers, facts], (5, 8))
+    assert buckets.tolist() == [0, 1, 2] and [len(b) for b in blobs] == [13, 26, 13]
+    first, second = suffix_tree._unpacked(blobs, (5, 8))
+    assert first.tolist() == [1 << 39, 3, 7, 3]
+    assert np.ascontiguousarray(second).view(np.float64).tolist() == [-1.0, 0.5, 2.0, 0.0]
+
+
+def test_op6_rows_are_not_joined_key_by_key(spark):
+    base = os.path.dirname(scratch_dir(spark).removeprefix("file:"))
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    docs = edge_docs(spark).select("doc_id", "text")
+    scored = suffix_tree.score(docs, docs)
+    assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()
+    left = {d.split("-")[0] for d in set(os.listdir(base)) - before}
+    assert "kept" in left and "grams" not in left
+
+
 def test_op6_nothing_learned(spark, tmp_path):
     assert suffix_tree.op6_suffix_tree(spark, save(no_docs(spark), tmp_path)).count() == 0
     docs = edge_docs(spark).select("doc_id", "text").filter("doc_id = 6")
