@@ -520,8 +520,8 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
     del table, keys, facts
 
     kind_of_key, kind_of_id = df.schema[key].dataType.simpleString(), to_arrow_type(df.schema[key].dataType)
-    made_names = ["__row", "__id", "n_tokens", "is_word", "word", "tree"]
-    names = ["bucket", "__row", "data", *made_names[1:]]
+    made_names = ["__id", "n_tokens", "is_word", "word", "tree"]
+    names = ["bucket", "__row", "data", *made_names]
     sums = f"__id {kind_of_key}, n_tokens long, is_word long, word double, tree double"
     schema = f"bucket int, __row long, data binary, {sums}"
 
@@ -572,8 +572,8 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
             order = np.argsort(columns[0])
             yield blobs_of([c[order] for c in columns], (8, 3), base)
 
-    def blobs_of(columns: list[np.ndarray], widths: tuple[int, ...], base: int) -> pa.RecordBatch:
-        bucket, blobs = _packed(_buckets(columns[0]), columns, widths)
+    def blobs_of(columns: list, widths: tuple, base: int, bucket: np.ndarray | None = None) -> pa.RecordBatch:
+        bucket, blobs = _packed(_buckets(columns[0]) if bucket is None else bucket, columns, widths)
         none = [pa.nulls(len(blobs), t) for t in (kind_of_id, *[pa.int64()] * 2, *[pa.float64()] * 2)]
         start = pa.array(np.full(len(blobs), base))
         return pa.RecordBatch.from_arrays(
@@ -592,13 +592,11 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
             yield blobs_of([np.concatenate(c) for c in zip(*parts)], (8, 8, 8), -1)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of the texts as they are, and a row per text and some buckets for the keys found there."""
+        """The rows of the texts as they are, and records with the sums of texts over some buckets of keys."""
         bucket, blobs, facts, hits, held = None, [], None, [], 0
         for batch in batches:
             own = pc.is_null(batch.column(2))
-            texts = batch.filter(own)
-            texts = [texts.column(1), texts.column(3).cast(kind_of_id), *texts.columns[4:]]
-            yield pa.RecordBatch.from_arrays(texts, made_names)
+            yield texts_of(batch, own)
             batch = batch.filter(pc.invert(own))
             for here, base, blob in zip(*(column(batch, c) for c in names[:3])):
                 if here != bucket:
@@ -627,27 +625,48 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
         row, word, gain = (np.concatenate(c) for c in zip(*hits))
         row, of = np.unique(row, return_inverse=True)
         known, word, gain = (np.bincount(of, f, len(row)) for f in (word > 0, word, gain))
-        none = pa.nulls(len(row), kind_of_id), pa.nulls(len(row), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row), *none, pa.array(known.astype(np.int64)), pa.array(word), pa.array(gain)], made_names
-        )
+        columns = [row.astype(np.uint64), known.astype(np.uint64), word, gain]
+        # The bucket of the text's own row.
+        return blobs_of(columns, (8, 4, 8, 8), -1, (row % BUCKETS + BUCKETS).astype(np.int16))
+
+    def texts_of(batch: pa.RecordBatch, own: pa.Array) -> pa.RecordBatch:
+        columns = batch.filter(own).columns
+        return pa.RecordBatch.from_arrays([*columns[:3], columns[3].cast(kind_of_id), *columns[4:]], names)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of the texts, with all their sums."""
+        texts, blobs = [], []
+        for batch in batches:
+            own = pc.is_null(batch.column(2))
+            texts.append(texts_of(batch, own))
+            blobs += column(batch.filter(pc.invert(own)), "data")
+        texts = pa.Table.from_batches(texts).combine_chunks() if texts else None
+        if not texts:
+            return
+        rows, *sums = (texts[c].to_numpy() for c in ("__row", "is_word", "word", "tree"))
+        if blobs:
+            row, known, *facts = _unpacked(blobs, (8, 4, 8, 8))
+            order = np.argsort(rows)
+            at = order[np.searchsorted(rows[order], row.astype(np.int64))]
+            facts = [known, *(np.ascontiguousarray(f).view(np.float64) for f in facts)]
+            sums = [s + np.bincount(at, f, len(rows)) for s, f in zip(sums, facts)]
+        columns = [pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])]
+        for name, values in zip(("is_word", "word", "tree"), columns):
+            texts = texts.set_column(texts.schema.get_field_index(name), name, values)
+        yield from texts.select(made_names).to_batches()
 
     held = df.select(key, raw).mapInArrow(run, schema)
     rest = tree.terms.filter(~often).select("key", "word", "tree").mapInArrow(pack_terms, schema)
-    met = _by_bucket(held.unionByName(rest), f"__row long, {sums}", ["bucket", "__row"], meet)
-    summed = met.groupBy("__row").agg(
-        F.max("__id").alias("__id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        *(F.sum(c).alias(f"__{c}") for c in ("is_word", "word", "tree")),
-    )
-    base = F.col("__word") - F.col("n_tokens") * F.lit(float(np.log10(tree.denominator)))
+    met = _by_bucket(held.unionByName(rest), schema, ["bucket", "__row"], meet)
+    summed = _by_bucket(met, sums, ["bucket"], total)
+    base = F.col("word") - F.col("n_tokens") * F.lit(float(np.log10(tree.denominator)))
     return summed.select(
         F.col("__id").alias(key),
         "n_tokens",
-        F.col("__is_word").cast("long").alias("n_known"),
+        F.col("is_word").alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("__tree")).alias("score"),
+        (base + F.col("tree")).alias("score"),
     )
 
 
